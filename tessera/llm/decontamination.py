@@ -102,16 +102,20 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH w AS (
-  SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
-  UNION ALL
-  SELECT 'b', item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), w AS (
+  SELECT kind, id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts
+), placed AS (
+  SELECT kind, id, len(w) AS n_words, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w
+), grams AS (
+  SELECT kind, id, n_words, i, list(word) OVER (PARTITION BY kind, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS g FROM placed
 ), items AS (
-  SELECT DISTINCT id AS item_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
-  FROM (SELECT id, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM w WHERE kind = 'b' AND len(w) > 0)
+  SELECT DISTINCT id AS item_id, least(n_words, 5) AS k, array_to_string(g[1 : least(n_words, 5)], ' ') AS s
+  FROM grams WHERE kind = 'b' AND len(g) >= least(n_words, 5)
 ), docs AS (
-  SELECT DISTINCT id AS doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
-  FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT DISTINCT k FROM items) WHERE kind = 'd' AND len(w) >= k)
+  SELECT DISTINCT id AS doc_id, k, array_to_string(g[1 : k], ' ') AS s
+  FROM grams, (SELECT DISTINCT k FROM items) WHERE kind = 'd' AND len(g) >= k
 ), n AS (SELECT item_id, count(*) AS n_shingles FROM items GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles
 FROM docs JOIN items USING (k, s) JOIN n USING (item_id)

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jpeg, mixing, pii, quality, sharding, simhash, toxicity
+from . import chat, decontamination, jpeg, mixing, pii, quality, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat": chat.op1_chat,
         "op2_mixing": mixing.op2_mixing,
         "op3_pii": pii.op3_pii,
         "op4_decontamination": decontamination.op4_decontamination,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontamination.OP4_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op4_decontamination": decontamination.OP4_SQL}
