@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, jpeg, mixing, pii, quality, sharding, simhash, toxicity
+from . import chat, decontamination, jpeg, mixing, pii, quality, sharding, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": simhash.op5_simhash,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_sharding": sharding.op7_sharding,
+        "op8_suffixes": suffixes.op8_suffixes,
         "op9_media": jpeg.op9_media,
         "op10_quality": quality.op10_quality,
     }
