@@ -69,6 +69,8 @@ grid AS (
 ), panel AS (SELECT *, pf / nullif(lag(pf) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r FROM filled)
 """
 )
+#: The panel with prices filled forward and no volume where there was no trade.
+FILLED = PANEL.replace("panel AS (SELECT *,", "panel AS (SELECT * REPLACE (pf AS px, coalesce(volume, 0) AS volume),")
 #: The benchmark: VWAP of all lines a week.
 MARKET = """
 , market AS (SELECT date, m, m / nullif(lag(m) OVER (ORDER BY date), 0) - 1 AS rm FROM (

@@ -21,7 +21,7 @@ NULLIF = lambda a, b: f"({a}) / nullif({b}, 0)"
 WEIGHTS = dict.fromkeys(O.SIGNALS, 0.2)
 
 RAW = (
-    S.PANEL
+    S.FILLED
     + f""", raw AS (SELECT ticker, date, i, pf, {NULLIF(S.lag("px", 21), S.lag("px", 147))} - 1 AS mom, {S.change("px", 5)} AS r5,
       {NULLIF(f"px - {AVG(20)}", SD(20, "px"))} AS dev, 0.6 * ({NULLIF("px", AVG(50))} - 1) + 0.4 * ({NULLIF(AVG(50), AVG(200))} - 1) AS trend,
       {NULLIF(S.change("px", 63), f"{SD(63)} * sqrt(252)")} AS vam, -{SD(126)} * sqrt(252) AS calm,
@@ -35,32 +35,32 @@ COMPOSITE = f"CASE WHEN {LIVE} >= 3 THEN ({' + '.join(f'0.2 * coalesce({s}, 0)'
 
 
 def _one(name: str):
-    return lambda spark, d: O.production_signals(T.panel(spark, d)).select("ticker", "date", out(F.col(name)).alias(name))
+    return lambda spark, d: O.production_signals(T.filled_panel(spark, d)).select("ticker", "date", out(F.col(name)).alias(name))
 
 
 for k, s in enumerate(O.SIGNALS, 1):
     book.add(f"s{k}_{s}", _one(s), RAW + f"SELECT ticker, date, {S.out(s)} AS {s} FROM signals")
 book.add(
     "s6_history_mask",
-    lambda spark, d: O.production_signals(T.panel(spark, d)).groupBy("date").agg(*(F.count(s).alias(s) for s in O.SIGNALS)),
+    lambda spark, d: O.production_signals(T.filled_panel(spark, d)).groupBy("date").agg(*(F.count(s).alias(s) for s in O.SIGNALS)),
     RAW + f"SELECT date, {', '.join(f'count({s}) AS {s}' for s in O.SIGNALS)} FROM signals GROUP BY date",
 )
 book.add(
     "s7_composite",
-    lambda spark, d: O.combine(O.production_signals(T.panel(spark, d)), WEIGHTS).select("ticker", "date", out(F.col("composite")).alias("composite")),
+    lambda spark, d: O.combine(O.production_signals(T.filled_panel(spark, d)), WEIGHTS).select("ticker", "date", out(F.col("composite")).alias("composite")),
     RAW + f"SELECT ticker, date, {S.out(COMPOSITE)} AS composite FROM signals",
 )
 LEGACY = "CASE WHEN count(raw) OVER w < 3 OR coalesce(stddev_samp(raw) OVER w, 0) = 0 THEN 0.0 ELSE (raw - avg(raw) OVER w) / nullif(stddev_samp(raw) OVER w, 0) END"
 book.add(
     "s8_legacy_momentum",
-    lambda spark, d: O.legacy_momentum(T.panel(spark, d)).select("ticker", "date", out(F.col("score")).alias("score")),
-    S.PANEL + f", x AS (SELECT *, {S.change('pf', 126)} - {S.change('pf', 21)} AS raw FROM panel) SELECT ticker, date, {S.out(LEGACY)} AS score FROM x WHERE i >= 136 WINDOW w AS (PARTITION BY date)",
+    lambda spark, d: O.legacy_momentum(T.filled_panel(spark, d)).select("ticker", "date", out(F.col("score")).alias("score")),
+    S.FILLED + f", x AS (SELECT *, {S.change('pf', 126)} - {S.change('pf', 21)} AS raw FROM panel) SELECT ticker, date, {S.out(LEGACY)} AS score FROM x WHERE i >= 136 WINDOW w AS (PARTITION BY date)",
 )
 
 
 def _mean_reversion(spark, d):
-    own, panel = T.own_series(spark, d), T.panel(spark, d)
-    fear = T.macro(spark, d).where("series_id = '3-MEDIUM'").select("date", (F.col("value") / 4000).alias("value"))
+    own, panel = T.own_series(spark, d), T.filled_panel(spark, d)
+    fear = T.macro(spark, d).where("series_id = '3-MEDIUM'").select("date", (F.col("value") / 10000).alias("value"))
     dates = panel.select("date").distinct()
     from tessera.operators.joins import asof
 
@@ -70,12 +70,12 @@ def _mean_reversion(spark, d):
 book.add(
     "s9_legacy_mean_reversion",
     _mean_reversion,
-    S.PANEL
+    S.FILLED
     + S.MACRO
     + f""", moves AS (SELECT *, greatest(coalesce(px - lag(px) OVER (PARTITION BY ticker ORDER BY n), 0), 0) AS up, greatest(coalesce(lag(px) OVER (PARTITION BY ticker ORDER BY n) - px, 0), 0) AS down FROM own),
     smooth AS (SELECT *, {wilder("up")} AS g, {wilder("down")} AS l FROM moves),
     rsi AS (SELECT ticker, date, CASE WHEN l = 0 AND g > 0 THEN 100 WHEN l > 0 THEN 100 - 100 / (1 + g / l) END AS rsi FROM smooth),
-    fear AS (SELECT c.date, m.value / 4000 AS value FROM cal c ASOF LEFT JOIN (SELECT * FROM macro WHERE series_id = '3-MEDIUM') m ON c.date >= m.date),
+    fear AS (SELECT c.date, m.value / 10000 AS value FROM cal c ASOF LEFT JOIN (SELECT * FROM macro WHERE series_id = '3-MEDIUM') m ON c.date >= m.date),
     b AS (SELECT ticker, date, i, {NULLIF(f"px - ({AVG(20)} - 2 * {SD(20, 'px')})", f"4 * {SD(20, 'px')}")} AS bb, {NULLIF("px", f"({S.roll('max', 'px', 252)})")} - 1 AS dd FROM panel),
     p AS (SELECT b.*, value, (CASE WHEN rsi < 30 THEN (30 - rsi) / 30 WHEN rsi > 70 THEN -(rsi - 70) / 30 ELSE 0 END + {S.clip("0.5 - bb", -1, 1)} + {S.clip("-2 * dd", 0, 1.5)}) / 3 AS part
       FROM b LEFT JOIN rsi USING (ticker, date) LEFT JOIN fear USING (date)),
@@ -84,8 +84,8 @@ book.add(
 )
 book.add(
     "s10_tsmom",
-    lambda spark, d: O.tsmom(T.panel(spark, d)).select("ticker", "date", out(F.col("tsmom")).alias("tsmom")),
-    S.PANEL + f"SELECT ticker, date, {S.out(f'CASE WHEN count(px) OVER {S.frame(253)} = 253 THEN (sign({S.change("px", 63)}) + sign({S.change("px", 126)}) + sign({S.change("px", 252)})) / 3.0 END')} AS tsmom FROM panel",
+    lambda spark, d: O.tsmom(T.filled_panel(spark, d)).select("ticker", "date", out(F.col("tsmom")).alias("tsmom")),
+    S.FILLED + f"SELECT ticker, date, {S.out(f'CASE WHEN count(px) OVER {S.frame(253)} = 253 THEN (sign({S.change("px", 63)}) + sign({S.change("px", 126)}) + sign({S.change("px", 252)})) / 3.0 END')} AS tsmom FROM panel",
 )
 book.add(
     "s11_blended_momentum",
@@ -101,8 +101,8 @@ book.add(
 PCT = lambda x: f"({S.average_rank(x)}) / nullif(count({x}) OVER (PARTITION BY date), 0)"
 book.add(
     "s13_composite_alpha",
-    lambda spark, d: O.composite_alpha(T.panel(spark, d)).select("ticker", "date", out(F.col("alpha")).alias("alpha")),
-    S.PANEL
+    lambda spark, d: O.composite_alpha(T.filled_panel(spark, d)).select("ticker", "date", out(F.col("alpha")).alias("alpha")),
+    S.FILLED
     + f""", x AS (SELECT ticker, date, {S.change("px", 126)} AS mom, {NULLIF("px", AVG(50))} - 1 AS trend, {NULLIF(S.change("px", 21), SD(21))} AS sentiment, -{SD(63)} AS macro FROM panel)
     SELECT ticker, date, {S.out(f"(0.35 * {PCT('mom')} + 0.25 * {PCT('trend')} + 0.25 * {PCT('sentiment')} + 0.15 * {PCT('macro')}) * 2 - 1")} AS alpha FROM x""",
 )
@@ -111,7 +111,7 @@ book.add(
 
 PAIR = "CASE WHEN r IS NOT NULL AND rm IS NOT NULL THEN 1 END"
 DAY = (
-    S.PANEL
+    S.FILLED
     + S.MARKET
     + f""", joined AS (SELECT panel.*, rm FROM panel LEFT JOIN market USING (date)),
     day0 AS (SELECT *, {S.clip(f"{NULLIF('open', S.lag('close', 1))} - 1", -0.2, 0.2)} AS gap, {S.clip("close / nullif(open, 0) - 1", -0.2, 0.2)} AS within,
@@ -142,7 +142,7 @@ A_SQL = {
 
 
 def candidate_panel(spark, d):
-    return T.panel(spark, d).join(F.broadcast(T.market(spark, d)), "date", "left")
+    return T.filled_panel(spark, d).join(F.broadcast(T.market(spark, d)), "date", "left")
 
 
 def _candidate(name):
@@ -159,6 +159,6 @@ book.add(
 )
 book.add(
     "u1_user_rolling",
-    lambda spark, d: O.user_rolling(T.panel(spark, d), "r", 10, lambda a: F.array_max(a) - F.array_min(a), "spread").select("ticker", "date", out(F.col("spread")).alias("spread")),
-    S.PANEL + f"SELECT ticker, date, {S.out(f'({S.roll("max", "r", 10)}) - ({S.roll("min", "r", 10)})')} AS spread FROM panel",
+    lambda spark, d: O.user_rolling(T.filled_panel(spark, d), "r", 10, lambda a: F.array_max(a) - F.array_min(a), "spread").select("ticker", "date", out(F.col("spread")).alias("spread")),
+    S.FILLED + f"SELECT ticker, date, {S.out(f'({S.roll("max", "r", 10)}) - ({S.roll("min", "r", 10)})')} AS spread FROM panel",
 )

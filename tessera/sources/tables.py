@@ -56,6 +56,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(bars(spark, sf_dir))
 
 
+def filled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel with prices filled forward and no volume where there was no trade."""
+    return panel(spark, sf_dir).withColumn("px", F.col("pf")).withColumn("volume", F.coalesce("volume", F.lit(0)))
+
+
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark: date, m, rm."""
     lines = table(spark, sf_dir, "lineitem")
