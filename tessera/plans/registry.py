@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feature_queries
+from . import feature_queries, ingest_queries, league_queries, metric_queries, portfolio_queries, regime_queries, risk_queries, signal_queries
 
-BOOKS = [feature_queries.book]
+BOOKS = [
+    m.book
+    for m in (ingest_queries, feature_queries, signal_queries, league_queries, regime_queries, portfolio_queries, risk_queries, metric_queries)
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
