@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.windows import ANNUAL, ratio
 
-YEAR = F.lit(ANNUAL)
+YEAR = ANNUAL
 
 
 def running(key: str = "strategy_id"):
@@ -23,7 +23,7 @@ def equity(daily: DataFrame, key: str = "strategy_id") -> DataFrame:
 def sharpe(r: Column, least: int = 20) -> Column:
     """M2, as an aggregate."""
     sd = F.stddev_samp(r)
-    return F.when((F.count(r) >= least) & (sd > 0), F.avg(r) / sd * F.sqrt(YEAR))
+    return F.when((F.count(r) >= least) & (sd > 0), F.avg(r) / sd * F.sqrt(F.lit(YEAR)))
 
 
 def summary(daily: DataFrame, key: str = "strategy_id") -> DataFrame:
@@ -34,8 +34,8 @@ def summary(daily: DataFrame, key: str = "strategy_id") -> DataFrame:
     down = F.stddev_samp(F.when(r < 0, r))
     return eq.groupBy(key).agg(
         (F.pow(F.max_by("equity", "date"), YEAR / F.count(F.lit(1))) - 1).alias("cagr"), F.round(sharpe(r), 2).alias("sharpe"),
-        F.when(down > 0, F.avg(r) * YEAR / (down * F.sqrt(YEAR))).alias("sortino"), F.min("dd").alias("max_drawdown"),
-        F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("hit_rate"), (F.stddev_samp(r) * F.sqrt(YEAR)).alias("vol"),
+        F.when(down > 0, F.avg(r) * YEAR / (down * F.sqrt(F.lit(YEAR)))).alias("sortino"), F.min("dd").alias("max_drawdown"),
+        F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("hit_rate"), (F.stddev_samp(r) * F.sqrt(F.lit(YEAR))).alias("vol"),
     )
 
 
@@ -46,8 +46,8 @@ def ledger_metrics(values: DataFrame, key: str = "strategy_id", rf: float = 0.04
     years = F.datediff(F.max("date"), F.min("date")) / 365.25
     total = ratio(F.max_by("value", "date"), F.min_by("value", "date"))
     agg = rows.groupBy(key).agg(
-        (total - 1).alias("total_return"), F.when(years > 0, F.pow(total, 1 / years) - 1).alias("cagr"), (F.stddev_samp("r") * F.sqrt(YEAR)).alias("vol"),
-        (F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))) * F.sqrt(YEAR)).alias("down"), F.min("dd").alias("max_drawdown"),
+        (total - 1).alias("total_return"), F.when(years > 0, F.pow(total, 1 / years) - 1).alias("cagr"), (F.stddev_samp("r") * F.sqrt(F.lit(YEAR))).alias("vol"),
+        (F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))) * F.sqrt(F.lit(YEAR))).alias("down"), F.min("dd").alias("max_drawdown"),
     )
     over = F.col("cagr") - rf
     return agg.select(
@@ -87,7 +87,7 @@ def yearly(daily: DataFrame, key: str = "strategy_id", least: int = 40) -> DataF
     r = F.col("ret")
     sd = F.stddev_samp(r)
     y = daily.where(r.isNotNull()).groupBy(key, F.year("date").alias("year")).agg(
-        F.count(r).alias("n"), (F.exp(F.sum(F.log1p(r))) - 1).alias("ret"), (sd * F.sqrt(YEAR)).alias("vol"), F.when(sd > 0, F.avg(r) / sd * F.sqrt(YEAR)).alias("sharpe")
+        F.count(r).alias("n"), (F.exp(F.sum(F.log1p(r))) - 1).alias("ret"), (sd * F.sqrt(F.lit(YEAR))).alias("vol"), F.when(sd > 0, F.avg(r) / sd * F.sqrt(F.lit(YEAR))).alias("sharpe")
     )
     return y.where(F.col("n") >= least)
 
@@ -102,8 +102,8 @@ def daily_snapshot(values: DataFrame, key: str = "strategy_id", rf: float = 0.04
     return rows.select(
         key, "date", F.col("r").alias("daily"), (ratio(F.col("value"), F.first("value").over(running(key))) - 1).alias("cumulative"),
         (ratio(F.col("value"), F.greatest("value", F.max("value").over(past))) - 1).alias("drawdown"),
-        F.when((F.count("r").over(frame(90)) >= 20) & (sd90 > 0), (F.avg("r").over(frame(90)) * YEAR - rf) / (sd90 * F.sqrt(YEAR))).alias("sharpe_90"),
-        F.when(F.count("r").over(frame(21)) >= 5, F.stddev_pop("r").over(frame(21)) * F.sqrt(YEAR)).alias("vol_21"),
+        F.when((F.count("r").over(frame(90)) >= 20) & (sd90 > 0), (F.avg("r").over(frame(90)) * YEAR - rf) / (sd90 * F.sqrt(F.lit(YEAR)))).alias("sharpe_90"),
+        F.when(F.count("r").over(frame(21)) >= 5, F.stddev_pop("r").over(frame(21)) * F.sqrt(F.lit(YEAR))).alias("vol_21"),
     )
 
 
@@ -123,7 +123,7 @@ def ytd(values: DataFrame, year: int, key: str = "strategy_id") -> DataFrame:
     rows = rows.withColumn("r", ratio(F.col("value"), F.lag("value").over(w)) - 1)
     sd = F.stddev_pop("r")
     return rows.groupBy(key).agg(
-        (ratio(F.max_by("value", "date"), F.min_by("value", "date")) - 1).alias("ret"), F.when(sd > 0, F.avg("r") / sd * F.sqrt(YEAR)).alias("sharpe"),
+        (ratio(F.max_by("value", "date"), F.min_by("value", "date")) - 1).alias("ret"), F.when(sd > 0, F.avg("r") / sd * F.sqrt(F.lit(YEAR))).alias("sharpe"),
         (F.min("value") / F.max("value") - 1).alias("drawdown"),
     )
 
@@ -239,4 +239,4 @@ def blends(a: DataFrame, b: DataFrame, allocations=(0.7, 0.6, 0.5)) -> DataFrame
     both = a.select("date", F.col("ret").alias("x")).join(b.select("date", F.col("ret").alias("y")), "date").where("x is not null and y is not null")
     mixes = F.broadcast(a.sparkSession.createDataFrame([(float(w),) for w in allocations], "share double"))
     mixed = both.crossJoin(mixes).withColumn("r", F.col("share") * F.col("x") + (1 - F.col("share")) * F.col("y"))
-    return mixed.groupBy("share").agg(sharpe(F.col("r")).alias("sharpe"), (F.stddev_samp("r") * F.sqrt(YEAR)).alias("vol"), F.round(F.corr("x", "y"), 2).alias("corr"))
+    return mixed.groupBy("share").agg(sharpe(F.col("r")).alias("sharpe"), (F.stddev_samp("r") * F.sqrt(F.lit(YEAR))).alias("vol"), F.round(F.corr("x", "y"), 2).alias("corr"))

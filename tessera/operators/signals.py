@@ -18,7 +18,7 @@ from tessera.functions.windows import ANNUAL, average_rank, change, clip, lag, p
 from tessera.operators.features import legacy_zscore
 
 SIGNALS = ("xs_momentum", "mean_reversion", "trend_follow", "vol_adj_momentum", "low_vol")
-YEAR = F.lit(ANNUAL)
+YEAR = ANNUAL
 
 
 def sma(n: int, x: str = "px") -> Column:
@@ -38,8 +38,8 @@ def production_signals(panel: DataFrame, history: int = 252) -> DataFrame:
         change("px", 5).alias("r5"),
         ratio(p - sma(20), sd(20, "px")).alias("dev"),
         (0.6 * (ratio(p, sma(50)) - 1) + 0.4 * (ratio(sma(50), sma(200)) - 1)).alias("trend"),
-        ratio(change("px", 63), sd(63) * F.sqrt(YEAR)).alias("vam"),
-        (-sd(126) * F.sqrt(YEAR)).alias("calm"),
+        ratio(change("px", 63), sd(63) * F.sqrt(F.lit(YEAR))).alias("vam"),
+        (-sd(126) * F.sqrt(F.lit(YEAR))).alias("calm"),
         (F.count("px").over(series().rowsBetween(Window.unboundedPreceding, 0)) >= history).alias("enough"),
     )
     scores = {
@@ -140,8 +140,8 @@ _plain("low_attention", lambda: -ratio(sma(21, "volume"), sma(126, "volume")))
 _plain("overnight_fade", lambda: -roll(F.sum, F.col("gap"), 21))
 _plain("intraday", lambda: roll(F.sum, F.col("within"), 21))
 _plain("range_strength", lambda: roll(F.avg, F.col("place"), 10))
-_plain("downside_vol", lambda: -roll(F.stddev_samp, F.coalesce(F.when(F.col("r") < 0, F.col("r")), F.lit(0.0)), 126) * F.sqrt(YEAR))
-_plain("calm_momentum", lambda: ratio(ratio(lag("px", 21), lag("px", 147)) - 1, F.when(sd(63).isNotNull(), F.greatest(sd(63) * F.sqrt(YEAR), F.lit(0.10)))))
+_plain("downside_vol", lambda: -roll(F.stddev_samp, F.coalesce(F.when(F.col("r") < 0, F.col("r")), F.lit(0.0)), 126) * F.sqrt(F.lit(YEAR)))
+_plain("calm_momentum", lambda: ratio(ratio(lag("px", 21), lag("px", 147)) - 1, F.when(sd(63).isNotNull(), F.greatest(sd(63) * F.sqrt(F.lit(YEAR)), F.lit(0.10)))))
 
 
 @candidate("idio_vol")
@@ -151,7 +151,7 @@ def idio_vol(panel: DataFrame) -> DataFrame:
     w = trailing(126)
     beta = F.when(F.count(pair).over(w) == 126, ratio(F.covar_samp("r", "rm").over(w), F.var_samp("rm").over(w)))
     left = panel.withColumn("_left", F.col("r") - beta * F.col("rm"))
-    return left.withColumn("idio_vol", -roll(F.stddev_samp, F.col("_left"), 126) * F.sqrt(YEAR)).drop("_left")
+    return left.withColumn("idio_vol", -roll(F.stddev_samp, F.col("_left"), 126) * F.sqrt(F.lit(YEAR))).drop("_left")
 
 
 @candidate("anti_lottery")

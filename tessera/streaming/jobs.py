@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.regime import CAUTIOUS, step
@@ -46,7 +47,8 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     else:
         query = writer.outputMode(mode).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(path)).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema if mode == "append" else f"{stream.schema.simpleString()[7:-1]},batch bigint").parquet(path)
+    schema = stream.schema if mode == "append" else T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def distinct_bars(stream: DataFrame, keys: list[str], late: str = "7 days") -> DataFrame:
