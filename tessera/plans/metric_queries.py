@@ -145,7 +145,7 @@ book.add(
 K, WARM = 10, 60
 
 
-def targets(s, d, sign=1.0):
+def targets(s, d, sign=1.0, K=K):
     p = T.filled_panel(s, d).select("ticker", "date", "i", out(zscore(change("pf", 21))).alias("score"))
     on = p.where(f"i >= {WARM} and (i - {WARM}) % {K} = 0 and score is not null")
     return _ends(on).select(F.lit("live").alias("config"), F.expr(f"(i - {WARM}) div {K}").alias("period"), "ticker", (F.col("leg") * 0.05 * sign).alias("weight"))
@@ -156,13 +156,14 @@ def _ends(on, k=10):
     return both.withColumn("leg", F.when(F.col("best") <= k, 1.0).otherwise(-1.0))
 
 
-def _daily(s, d):
-    t = targets(s, d)
+def _daily(s, d, K=K):
+    t = targets(s, d, K=K)
     rows, ends = O.drifted_returns(t, T.filled_panel(s, d).select("ticker", "i", "date", (F.col("r") / 20).alias("r")), K, WARM)
     return t, rows, ends
 
 
-WF = Q3 + f""", rk0 AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY z DESC, ticker) AS best, row_number() OVER (PARTITION BY date ORDER BY z, ticker) AS worst FROM zz WHERE z IS NOT NULL AND i >= {WARM} AND (i - {WARM}) % {K} = 0),
+def walk(K: int) -> str:
+    return Q3 + f""", rk0 AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY z DESC, ticker) AS best, row_number() OVER (PARTITION BY date ORDER BY z, ticker) AS worst FROM zz WHERE z IS NOT NULL AND i >= {WARM} AND (i - {WARM}) % {K} = 0),
     tg AS (SELECT 'live' AS config, (i - {WARM}) // {K} AS period, ticker, CASE WHEN best <= 10 THEN 0.05 ELSE -0.05 END::DOUBLE AS weight FROM rk0 WHERE best <= 10 OR worst <= 10),
     rr AS (SELECT ticker, i, date, coalesce(r / 20, 0) AS r, (i - {WARM} - 1) // {K} AS period FROM panel WHERE i > {WARM}),
     gv AS (SELECT t.config, t.period, t.ticker, rr.i, rr.date, weight, weight * exp(sum(ln(1 + r)) OVER (PARTITION BY t.period, t.ticker ORDER BY rr.i ROWS UNBOUNDED PRECEDING)) AS value FROM tg t JOIN rr ON rr.ticker = t.ticker AND rr.period = t.period),
@@ -171,6 +172,9 @@ WF = Q3 + f""", rk0 AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY
     en AS (SELECT config, period, ticker, x / v AS weight FROM (SELECT config, period, ticker, arg_max(value, i) AS x FROM gv GROUP BY ALL) JOIN (SELECT config, period, arg_max(v, i) AS v FROM bk GROUP BY ALL) USING (config, period)),
     tr AS (SELECT period, sum(abs(coalesce(w, 0) - coalesce(o, 0))) AS traded FROM (SELECT period, ticker, weight AS w FROM tg) a FULL OUTER JOIN (SELECT period + 1 AS period, ticker, weight AS o FROM en) b USING (period, ticker) WHERE period IN (SELECT period FROM tg) GROUP BY 1),
     nt AS (SELECT dl.*, traded, row_number() OVER (PARTITION BY period ORDER BY i) = 1 AS first FROM dl JOIN tr USING (period))"""
+
+
+WF = walk(K)
 book.add(
     "w1_calendar",
     lambda s, d: O.rebalance_calendar(T.calendar(T.bars(s, d)), K, WARM).select("date", F.col("period").cast("long").alias("period"), "rebalance"),
@@ -195,7 +199,22 @@ def _costs(s, d):
     return O.cost_sensitivity(rows, O.traded(t, ends))
 
 
+def _grid(s, d):
+    """One walk a cadence, one row a configuration."""
+    rows = None
+    for every in (5, 10):
+        t, daily, ends = _daily(s, d, every)
+        net = O.net_returns(daily, O.traded(t, ends), 5.0).select(F.concat(F.lit("every"), F.lit(every)).alias("config"), "ret")
+        rows = net if rows is None else rows.unionByName(net)
+    return rows.groupBy("config").agg(F.count("ret").alias("n"), O.sharpe(F.col("ret")).alias("sharpe"), F.sum("ret").alias("total"))
+
+
 NET = "gross - CASE WHEN first THEN traded * 5 / 10000.0 ELSE 0 END"
+book.add(
+    "a28_experiment_grid",
+    lambda s, d: pick(_grid(s, d), "sharpe", "total", keys=("config", "n")),
+    " UNION ALL ".join(f"SELECT * FROM ({walk(k)} SELECT 'every{k}' AS config, count(*) AS n, {cols(sharpe=SHARPE(NET), total=f'sum({NET})')} FROM nt)" for k in (5, 10)),
+)
 book.add("w4_costs", lambda s, d: pick(_net(s, d), "ret", "traded", keys=("date",)), WF + f"SELECT date, {cols(ret=NET, traded='traded')} FROM nt")
 book.add(
     "w5_turnover",
