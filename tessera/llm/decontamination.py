@@ -83,10 +83,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     candidates = stored(hits.distinct())
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_hash") == F.col("c.text_hash"))
     pairs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).alias("d").join(_small(candidates).alias("c"), same).select("d.*", "c.item_id")
-    pairs = pairs.join(_small(known), "item_id").withColumn("w", words(F.lower("text")))
-    own = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1), lambda i: F.array_join(F.slice("w", i, F.col("length")), " "))
-    shared = pairs.select("doc_id", "text_hash", "item_id", F.size(F.array_intersect("shingles", own)).alias("n_shared"), F.col("n").alias("n_shingles"))
-    return shared.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles")).distinct()
+    pairs = pairs.join(_small(known), "item_id").select("doc_id", "text_hash", "item_id", "n", "length", "shingles", words(F.lower("text")).alias("w"))
+    # positions are exploded, so that the words of a text are split once and not again for each of its shingles
+    at = F.explode(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1)).alias("at")
+    grams = pairs.select("doc_id", "text_hash", "item_id", "n", "shingles", "w", "length", at)
+    grams = grams.select("doc_id", "text_hash", "item_id", "n", "shingles", F.array_join(F.slice("w", F.col("at"), F.col("length")), " ").alias("gram"))
+    shared = grams.where(F.array_contains("shingles", F.col("gram"))).groupBy("doc_id", "text_hash", "item_id", F.col("n").alias("n_shingles")).agg(F.countDistinct("gram").alias("n_shared"))
+    return shared.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles")).select("doc_id", "text_hash", "item_id", "n_shared", "n_shingles")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
