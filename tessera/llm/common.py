@@ -27,11 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Lets a finished query drop its shuffle files at once instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, free: bool = False) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
+
+    `free`: the shuffle files of this write go with its end.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
+    before = spark.conf.get(CLEANUP, "false")
+    try:
+        if free:
+            spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words(text: Column) -> Column:

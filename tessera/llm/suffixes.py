@@ -145,6 +145,22 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(gaps.view("<u4").reshape(-1).astype(np.uint64))
 
 
+def _pack_long(x: np.ndarray) -> bytes:
+    """Sorted 56-bit names as 6-byte gaps; 7-byte names behind a mark if a gap is too wide."""
+    gaps = np.diff(x, prepend=np.uint64(0))
+    wide = len(gaps) > 0 and gaps.max() >= 1 << 48
+    mark, data, width = (b"7", x, 7) if wide else (b"6", gaps, 6)
+    return mark + data.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack_long(data: bytes) -> np.ndarray:
+    width = int(data[:1])
+    x = np.zeros((len(data) // width, 8), np.uint8)
+    x[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    x = x.view("<u8").reshape(-1)
+    return np.cumsum(x, dtype=np.uint64) if width == 6 else x
+
+
 def _bits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
@@ -201,9 +217,8 @@ def _send_strings(pdf: pd.DataFrame, answers: pd.DataFrame, buckets: int) -> pd.
     rows, at = [], 0
     for b, end in zip(*_cuts(bucket), strict=True):
         ids, rank = np.unique(low[at:end], return_inverse=True)
-        seven = name[at:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
         ranks = rank.astype("<u2" if len(ids) < 1 << 16 else "<u4").tobytes()
-        rows.append((int(b), int(pdf["pack"].iat[0]), int(end - at), seven, ranks, ids.astype("<i8").tobytes()))
+        rows.append((int(b), int(pdf["pack"].iat[0]), int(end - at), _pack_long(name[at:end]), ranks, ids.astype("<i8").tobytes()))
         at = end
     return pd.DataFrame(rows, columns=columns)
 
@@ -212,9 +227,7 @@ def _answer_strings(pdf: pd.DataFrame) -> pd.DataFrame:
     """A bit for each string sent: another pack has it in a smaller document."""
     names, docs = [], []
     for n, data, ranks, ids in zip(pdf["n"], pdf["names"], pdf["flags"], pdf["docs"], strict=True):
-        x = np.zeros((n, 8), np.uint8)
-        x[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
-        names.append(x.view("<u8").reshape(-1))
+        names.append(_unpack_long(data))
         docs.append(np.frombuffer(ids, "<i8")[np.frombuffer(ranks, "<u2" if len(ranks) == 2 * n else "<u4")])
     x, d = np.concatenate(names), np.concatenate(docs)
     order = np.argsort(x, kind="stable")
@@ -267,10 +280,11 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     pack = F.pmod(F.xxhash64("doc_id"), F.lit(packs))
     kept = marked.where("not copy").select("doc_id", "text", pack.alias("pack")).repartition("pack")
     own = kept.groupBy("pack")
+    # each answer is stored, and its job's shuffle files go, before the next job begins: two shuffles are on disk at most
     sent = own.applyInPandas(lambda pdf: _send_names(pdf, buckets), SENT)
-    names = sent.groupBy("bucket").applyInPandas(_answer_names, ANSWER)
+    names = stored(sent.groupBy("bucket").applyInPandas(_answer_names, ANSWER), free=True)
     sent = own.cogroup(names.groupBy("pack")).applyInPandas(lambda a, b: _send_strings(a, b, buckets), SENT)
-    strings = sent.groupBy("bucket").applyInPandas(_answer_strings, ANSWER)
+    strings = stored(sent.groupBy("bucket").applyInPandas(_answer_strings, ANSWER), free=True)
     found = own.cogroup(names.unionByName(strings).groupBy("pack")).applyInPandas(lambda a, b: _remove(a, b, buckets), RESULT)
 
     long = size >= LENGTH
