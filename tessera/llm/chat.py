@@ -5,9 +5,10 @@ topologically by what they depend on, their arguments are validated against the
 of their tools, and each call is serialised with its result as canonical JSON (keys sorted,
 no white space; arguments pass through the variant type, which keeps objects in key order).
 
-Ordering peels the dependency graph level by level (Kahn): a round is two joins on the open
-calls and edges, stored between rounds, so a conversation of any size is never gathered in
-one task.  Rounds follow the longest chain of dependencies, not the number of rows.
+Ordering never gathers a conversation in one task: chains of single dependencies are folded
+by doubling pointers, and the calls with several dependencies are peeled level by level
+(Kahn), each round a join whose result is stored.  Rounds follow the logarithm of the longest
+chain and the depth of calls with several dependencies, not the number of rows.
 
 Defined results: null ids link to nothing and are dropped; of several calls (or results) of
 one id the earliest turn counts, then the smallest content, and n_calls / n_results tell how
@@ -60,27 +61,50 @@ def link_results(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def topological_levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of `calls` (conv_id, call_id, depends_on): 0 without dependencies, else one above the deepest."""
-    nodes = stored(calls.select(*KEY).distinct())
+    """(conv_id, call_id, level) of `calls` (conv_id, call_id, depends_on): 0 without dependencies, else one above the deepest.
+
+    Calls with one dependency form chains; each finds the head of its chain (a call with none or
+    several) and its distance by doubling pointers.  Then the heads alone are peeled level by level.
+    """
+    nodes = calls.select(*KEY).distinct()
     wanted = calls.select("conv_id", F.explode("depends_on").alias("src"), F.col("call_id").alias("dst")).distinct()
     edges = stored(wanted.join(nodes.withColumnRenamed("call_id", "src"), ["conv_id", "src"], "left_semi"))
-    waiting = edges.select("conv_id", F.col("dst").alias("call_id")).distinct()
-    done, open_calls, level = nodes.join(waiting, KEY, "left_anti").withColumn("level", F.lit(0)), stored(waiting), 0
-    ranked = [done]
-    while not open_calls.isEmpty():
-        ready = stored(ranked[-1].select("conv_id", F.col("call_id").alias("src")))
-        if ready.isEmpty():  # only cycles and what hangs on them are left
-            ranked.append(open_calls.withColumn("level", F.lit(None).cast("int")))
-            break
-        edges = stored(edges.join(ready, ["conv_id", "src"], "left_anti"))
-        level += 1
-        waiting = edges.select("conv_id", F.col("dst").alias("call_id")).distinct()
-        ranked.append(stored(open_calls.join(waiting, KEY, "left_anti").withColumn("level", F.lit(level))))
-        open_calls = stored(waiting)
-    out = ranked[0]
-    for r in ranked[1:]:
-        out = out.unionByName(r)
-    return out
+    into = edges.groupBy("conv_id", F.col("dst").alias("call_id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("src"))
+    single = F.coalesce("n", F.lit(0)) == 1
+    chains = stored(
+        nodes.join(into, KEY, "left").select(
+            *KEY, F.when(single, F.col("src")).otherwise(F.col("call_id")).alias("head"), single.cast("long").alias("dist"), (~single).alias("ready"), F.coalesce("n", F.lit(0)).alias("n")
+        )
+    )
+    several = chains.where("n > 1").select(*KEY)
+    reached, total = 1, chains.count()
+    while reached <= total and not chains.where("not ready").isEmpty():
+        onward = chains.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("next"), F.col("dist").alias("more"), F.col("ready").alias("there"))
+        moved = chains.where("not ready").join(onward, ["conv_id", "head"]).select(*KEY, F.col("next").alias("head"), (F.col("dist") + F.col("more")).alias("dist"), F.col("there").alias("ready"), "n")
+        chains, reached = stored(chains.where("ready").unionByName(moved)), reached * 2
+    # what is not ready by now turns in a circle and gets no level
+    known = chains.where("n = 0").select(*KEY, F.lit(0).cast("long").alias("level"))
+    if not several.isEmpty():
+        to = chains.where("ready").select("conv_id", F.col("call_id").alias("src"), "head", "dist")
+        arcs = stored(edges.join(several.withColumnRenamed("call_id", "dst"), ["conv_id", "dst"], "left_semi").join(to, ["conv_id", "src"], "left"))
+        waiting, done = stored(several), [stored(known)]
+        while not waiting.isEmpty():
+            levels = done[0]
+            for d in done[1:]:
+                levels = levels.unionByName(d)
+            above = arcs.join(levels.select("conv_id", F.col("call_id").alias("head"), "level"), ["conv_id", "head"], "left")
+            full = above.groupBy("conv_id", F.col("dst").alias("call_id")).agg(F.max(F.col("level") + F.col("dist") + 1).alias("level"), F.count("level").alias("have"), F.count(F.lit(1)).alias("all"))
+            found = stored(full.where("have = all").select(*KEY, "level").join(waiting, KEY, "left_semi"))
+            if found.isEmpty():
+                break
+            waiting = stored(waiting.join(found, KEY, "left_anti"))
+            done.append(found)
+        known = done[0]
+        for d in done[1:]:
+            known = known.unionByName(d)
+    heads = known.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("base"))
+    placed = chains.join(heads, ["conv_id", "head"], "left")
+    return placed.select(*KEY, F.when(F.col("ready"), F.col("base") + F.col("dist")).cast("int").alias("level"))
 
 
 def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
