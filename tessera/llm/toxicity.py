@@ -167,7 +167,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) ->
     """Fit on at most `most` labelled documents and SAMPLE_BYTES of each, drawn from all of its text."""
     zero = np.zeros(len(FEATURES))
     chosen = stored(training_labels(labels, "toxic", most))
-    chosen = chosen.where("y = 1").unionByName(chosen.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 4))
 
     def sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -183,7 +182,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) ->
     p = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
     if min(y.sum(), len(y) - y.sum()) < 8:
         return ToxicityModel(b"", b"", zero, zero + 1, zero, float(np.log(p / (1 - p))))
-    texts = [folded(t) for t in pdf["text"]]
+    one: dict[bytes, bytes] = {}  # each word once in memory
+    texts = [[one.setdefault(w, w) for w in folded(t)] for t in pdf["text"]]
     half = np.zeros(len(y), int)
     for c in (0, 1):
         half[y == c] = np.arange((y == c).sum()) % 2

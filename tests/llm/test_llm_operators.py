@@ -232,6 +232,18 @@ def test_toxicity_learns_and_survives_edges(spark):
     assert toxicity.scored(docs, toxicity.fit_toxicity(docs, labels.limit(0))).where("score <> 0.5").count() == 0
 
 
+def test_toxicity_fits_on_every_sampled_row(spark):
+    rng = np.random.default_rng(7)
+    docs = docs_of(spark, [sentence(rng, 12) for _ in range(400)])
+    labels = spark.createDataFrame([(i, 1, int(i % 50 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    toxic = sum(i % 50 == 0 for i in train)
+    assert toxic < 8  # too few to train on: the smoothed share of the label, whatever the bound on rows
+    model = toxicity.fit_toxicity(docs, labels, most=len(train))
+    share = (toxic + 1) / (len(train) + 2)
+    assert abs(model.intercept - np.log(share / (1 - share))) < 1e-9
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = np.random.default_rng(8)
