@@ -168,7 +168,8 @@ book.add(
 
 def _group_user(s, d):
     own = T.own_series(s, d).join(T.dimensions(s, d), "ticker")
-    return own.select("sector", "px").groupBy("sector").applyInPandas(lambda p: p.groupby("sector", as_index=False).agg(mean=("px", "mean"), n=("px", "size")), "sector string, mean double, n long").withColumn("mean", out(F.col("mean")))
+    part = own.select("sector", "ticker", "px").groupBy("sector", "ticker").applyInPandas(lambda p: p.groupby("sector", as_index=False).agg(total=("px", "sum"), valid=("px", "count"), n=("px", "size")), "sector string, total double, valid long, n long")
+    return part.groupBy("sector").agg(out(F.try_divide(F.sum("total"), F.sum("valid"))).alias("mean"), F.sum("n").alias("n"))
 
 
 book.add("u2_group_function", _group_user, S.BARS + S.DIMENSIONS + f"SELECT sector, {R6('avg(px)')} AS mean, count(*) AS n FROM own JOIN dims USING (ticker) GROUP BY 1")

@@ -211,3 +211,17 @@ def test_registry_pairs_queries_with_sql():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert len(queries) > 150 and set(sql) <= set(queries) and len(sql) > 150
+
+
+def test_group_function_holds_one_name_of_a_sector(spark):
+    from tessera.plans import ingest_queries
+
+    d = "/root/testdata/sf0.001"
+    found = ingest_queries._group_user(spark, d)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    group = next(line for line in plan.splitlines() if "FlatMapGroupsInPandas" in line)
+    assert "ticker" in group.split("]")[0]
+    own = tables.own_series(spark, d).join(tables.dimensions(spark, d), "ticker").groupBy("sector")
+    want = {r.sector: (r.mean, r.n) for r in own.agg(F.avg("px").alias("mean"), F.count(F.lit(1)).alias("n")).collect()}
+    rows = {r.sector: (r.mean, r.n) for r in found.collect()}
+    assert rows.keys() == want.keys() and all(rows[k][1] == want[k][1] and abs(rows[k][0] - want[k][0]) < 1e-5 for k in want)
