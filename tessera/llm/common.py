@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh one where none is configured."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local session may do without it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tessera-"))
     return sc.getCheckpointDir()
 
 
@@ -49,6 +52,21 @@ def stored(df: DataFrame, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a counted table may be broadcast; beyond it the same join is a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` (stored) with a broadcast hint if its row count allows it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def row_hashes(docs: DataFrame) -> list[Column]:
+    """h1, h2: 128 bits over all columns of a row (maps as JSON), equal for rows that are equal."""
+    columns = [F.to_json(f.name) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return [F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2")]
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{GAPS}|{GAPS}$", "")
