@@ -13,10 +13,13 @@ document can't show a short item, so the sketches are on the item side:
 4. Candidates are verified by exact containment of shingle strings.
 
 Sketches, candidates and items are broadcast only while a count has shown them to have at
-most BROADCAST_ROWS rows; beyond that the same joins run as shuffles.
+most `broadcast_rows` rows; beyond that the same joins run as shuffles.
 
-Defined results: null and blank texts or items match nothing; rows of one doc_id are told
-apart by a hash of their text; repeated items are items of their own.
+Defined results: null and blank texts or items match nothing; a null doc_id matches like any
+other; rows of one doc_id are told apart by a hash of their text, equal rows are reported once;
+repeated items are items of their own; a text of any length is probed whole; at exactly the
+threshold an item counts as held; an empty table on either side gives an empty result and keeps
+all documents; `decontaminate` carries all other columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, words
+from .common import BROADCAST_ROWS, small, stored, table, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BROADCAST_ROWS = 200_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """`df` (stored) with a broadcast hint if its row count allows it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def _gram(array: Column, at: Column, length: int) -> list[Column]:
@@ -63,27 +60,23 @@ def _hash(array: Column, at: Column, length: int) -> Column:
     return h
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text_hash, item_id, n_shared, n_shingles of every document and item that it holds."""
     if not 0.8 <= threshold <= 1:
         raise ValueError("the sketches are for thresholds of 0.8 and more")
     known = stored(item_shingles(items, shingle))
     probe = stored(sketches(known))
-    lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # `shingle` values at most
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.lower("text")).alias("w"))
-    hits = None
-    for length in lengths:
-        at = F.explode(F.sequence(F.lit(0), F.size("w") - length)).alias("at")
-        grams = rows.where(F.size("w") >= length).select("doc_id", "text_hash", "w", at)
-        hashed = grams.select("doc_id", "text_hash", _hash(F.col("w"), F.col("at"), length).alias("h"))
-        found = hashed.join(_small(probe.where(F.col("length") == length).drop("length")), "h").select("doc_id", "text_hash", "item_id")
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = rows.join(known, F.lit(False)).select("doc_id", "text_hash", "item_id")
+    lengths = sorted(r[0] for r in known.select("length").distinct().collect()) or [shingle]  # `shingle` values at most
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.lower("text")).alias("w")).where(F.size("w") >= lengths[0])
+    # one scan for all lengths: a position gives a hash of every length that fits
+    starts = rows.select("doc_id", "text_hash", "w", F.explode(F.sequence(F.lit(0), F.size("w") - lengths[0])).alias("at"))
+    each = [F.struct(F.lit(n).alias("length"), F.when(F.col("at") + n <= F.size("w"), _hash(F.col("w"), F.col("at"), n)).alias("h")) for n in lengths]
+    hashed = starts.select("doc_id", "text_hash", (F.explode(F.array(*each)) if len(each) > 1 else each[0]).alias("x")).select("doc_id", "text_hash", "x.*")
+    hits = hashed.join(small(probe, broadcast_rows), ["length", "h"]).select("doc_id", "text_hash", "item_id")
     candidates = stored(hits.distinct())
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_hash") == F.col("c.text_hash"))
-    pairs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).alias("d").join(_small(candidates).alias("c"), same).select("d.*", "c.item_id")
-    pairs = pairs.join(_small(known), "item_id").select("doc_id", "text_hash", "item_id", "n", "length", "shingles", words(F.lower("text")).alias("w"))
+    pairs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).alias("d").join(small(candidates, broadcast_rows).alias("c"), same).select("d.*", "c.item_id")
+    pairs = pairs.join(small(known, broadcast_rows), "item_id").select("doc_id", "text_hash", "item_id", "n", "length", "shingles", words(F.lower("text")).alias("w"))
     # positions are exploded, so that the words of a text are split once and not again for each of its shingles
     at = F.explode(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1)).alias("at")
     grams = pairs.select("doc_id", "text_hash", "item_id", "n", "shingles", "w", "length", at)
@@ -92,11 +85,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return shared.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles")).select("doc_id", "text_hash", "item_id", "n_shared", "n_shingles")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of `docs` that hold no item."""
-    bad = stored(contaminated(docs, items).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    return docs.join(_small(bad), same, "left_anti")
+    bad = stored(contaminated(docs, items, broadcast_rows=broadcast_rows).select(F.col("doc_id").alias("id"), "text_hash").distinct())
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own"), F.xxhash64("text").alias("own_hash"))
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash"))
+    return packed.join(small(bad, broadcast_rows), same, "left_anti").select("row.*")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
