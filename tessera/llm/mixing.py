@@ -7,11 +7,15 @@ of them is at 0 or 1.  Each group of documents ends with one open document at mo
 are merged FAN at a time, and the last open document of a source is rounded alone - so the
 words taken from a source miss its target by less than one document.
 
-Texts are never shuffled: the tree moves (doc_id, source, size).
+Texts are never shuffled by the tree: it moves units.  A unit is the rows that are equal in
+every column; of its rows `extra` take one copy more than `copies`, so a unit of any number of
+rows is rounded by less than one row, like any other.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
-order; rows alike in doc_id, source and size get the same number of copies; documents
-without words take nothing; an empty table gives an empty result.
+order; null doc_ids and doc_ids with several texts are rows like any other; documents without
+words take nothing; texts of any length count whole; ties are ordered by a hash of the row, so
+that reruns agree; an empty table gives an empty result; other columns are carried along,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, word_count
+from .common import row_hashes, small, stored, table, word_count
 
 #: Weights by rank of the source in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -37,9 +41,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     share of all words, split by weight; what exceeds cap x size is reshared among the others.
     The fixed point is min(cap x size, level x weight); each round of resharing is one aggregate.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # over sources, not documents
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") % len(weights) + 1).cast("int"))
-    ranked = stored(sizes.withColumn("sid", (F.row_number().over(order) - 1).cast("int")).withColumn("w", w))
+    # ranked by ranges: a count of each range, not the sources, passes through the driver
+    ranges = stored(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    before, at = {}, 0
+    for part, n in sorted(tuple(r) for r in ranges.groupBy("part").count().collect()):
+        before[part], at = at, at + n
+    offset = F.coalesce(*(F.when(F.col("part") == k, v) for k, v in before.items()), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    ranked = stored(ranges.withColumn("sid", (place - 1 + offset).cast("int")).drop("part").withColumn("w", w))
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level = 0.0
     while True:
@@ -80,18 +90,21 @@ def _pivot(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> int:
     return held
 
 
-def pivotal_mix(units: DataFrame, seed: int = 5) -> DataFrame:
-    """Adds copies long to `units` (doc_id, source, size, sid, n, fraction): the reduction tree."""
-    columns = ["doc_id", "size", "sid", "bucket", "whole", "p", "open", "mass"]
-    schema = "doc_id long, size long, sid int, bucket int, whole long, p double, open boolean, mass double"
+def pivotal_mix(units: DataFrame, seed: int = 5, group: int = GROUP, fan: int = FAN) -> DataFrame:
+    """sid, h1, h2, extra of `units` (sid, h1, h2, size, n, due): `due` extra rows each, rounded in a reduction tree.
+
+    n: units of the source; they are dealt to groups of about `group`, merged `fan` at a time.
+    """
+    columns = ["sid", "h1", "h2", "size", "bucket", "whole", "p", "open"]
+    schema = "sid int, h1 long, h2 long, size double, bucket int, whole long, p double, open boolean"
 
     def rounder(level: int, last: bool):
         def fn(pdf: pd.DataFrame) -> pd.DataFrame:
             # large documents first: what stays open at the end is then small
-            pdf = pdf.sort_values(["mass", "doc_id", "p"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+            pdf = pdf.sort_values(["size", "h1", "h2"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
             rng = np.random.default_rng([seed, level, int(pdf["sid"].iloc[0]), int(pdf["bucket"].iloc[0])])
             p = pdf["p"].to_numpy(dtype=float).copy()
-            held = _pivot(pdf["mass"].to_numpy(dtype=float), p, rng)
+            held = _pivot(pdf["size"].to_numpy(dtype=float), p, rng)
             if held >= 0 and last:
                 p[held] = float(rng.random() < p[held])
             pdf["p"], pdf["open"] = p, (np.arange(len(p)) == held) & (not last)
@@ -99,17 +112,11 @@ def pivotal_mix(units: DataFrame, seed: int = 5) -> DataFrame:
 
         return fn
 
-    groups = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / GROUP)))).cast("int")
+    groups = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / group)))).cast("int")
     rows = units.select(
-        "doc_id",
-        "size",
-        "sid",
-        F.pmod(F.xxhash64("doc_id", "size"), groups).cast("int").alias("bucket"),
-        F.floor("fraction").cast("long").alias("whole"),
-        (F.col("fraction") - F.floor("fraction")).alias("p"),
-        F.lit(True).alias("open"),
-        F.col("mass").cast("double").alias("mass"),
-    )
+        "sid", "h1", "h2", F.col("size").cast("double").alias("size"), F.pmod(F.col("h1"), groups).cast("int").alias("bucket"),
+        F.floor("due").cast("long").alias("whole"), (F.col("due") - F.floor("due")).alias("p"), F.lit(True).alias("open"),
+    )
     most = units.agg(F.max(groups)).first()[0] or 1
     done, level = [], 0
     while True:
@@ -118,47 +125,40 @@ def pivotal_mix(units: DataFrame, seed: int = 5) -> DataFrame:
         done.append(out.where(~F.col("open")))
         if last:
             break
-        rows, most, level = out.where("open").withColumn("bucket", F.expr(f"bucket div {FAN}")), -(-most // FAN), level + 1
+        rows, most, level = out.where("open").withColumn("bucket", F.expr(f"bucket div {fan}")), -(-most // fan), level + 1
     rounded = done[0]
     for d in done[1:]:
         rounded = rounded.unionByName(d)
-    return rounded.select("doc_id", "size", "sid", (F.col("whole") + F.round("p").cast("long")).alias("copies"))
+    return rounded.select("sid", "h1", "h2", (F.col("whole") + F.round("p").cast("long")).alias("extra"))
 
 
-def mix_sources(docs: DataFrame, seed: int = 5) -> DataFrame:
-    """Units of `docs` and their copies: doc_id, source, size, rows, source_size, target, copies.
+def mix_sources(docs: DataFrame, seed: int = 5, group: int = GROUP, fan: int = FAN) -> DataFrame:
+    """Units of `docs`: h1, h2, doc_id, source, size, rows, source_size, target, copies of each row, extra.
 
-    A unit is the rows alike in (doc_id, source, size).
+    `extra` of the `rows` equal rows of a unit take one copy more than `copies`.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
-    units = stored(narrow.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
+    narrow = docs.select(*row_hashes(docs), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    units = stored(narrow.groupBy("h1", "h2", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
     sources = source_targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count(F.lit(1)).alias("n")))
-    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    known = units.join(sources, units["source"].eqNullSafe(sources["source"])).select(
-        units["doc_id"], units["source"], "size", "rows", "sid", "n", "source_size", "target",
-        F.when(F.col("size") > 0, due).otherwise(F.lit(0.0)).alias("fraction"), (F.col("size") * F.col("rows")).alias("mass"),
-    )
-    rounded = pivotal_mix(known, seed)
-    r = rounded.select(*(F.col(c).alias(f"_{c}") for c in rounded.columns))
-    joined = known.join(r, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("size") == F.col("_size")) & (F.col("sid") == F.col("_sid")))
-    return joined.select("doc_id", "source", "size", "rows", "source_size", "target", F.col("_copies").alias("copies"))
+    known = units.join(small(sources.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    due = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(CAP))).otherwise(F.lit(0.0))
+    known = known.withColumn("copies", F.floor(due).cast("long")).withColumn("due", F.col("rows") * (due - F.floor(due)))
+    rounded = pivotal_mix(known, seed, group, fan)
+    return known.drop("due", "n").join(rounded, ["sid", "h1", "h2"]).drop("sid")
 
 
-def mixed_documents(docs: DataFrame, seed: int = 5) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 5, group: int = GROUP, fan: int = FAN) -> DataFrame:
     """`docs` with every row repeated as often as the mix takes it."""
-    units = mix_sources(docs, seed).where("copies > 0").select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size", "copies")))
-    sized = docs.withColumn("_n", word_count(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(F.col("_doc_id")) & sized["source"].eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    return (
-        sized.join(units, same)
-        .withColumn("_copy", F.explode(F.expr("sequence(1, cast(_copies as int))")))
-        .select(*(sized[c] for c in docs.columns))
-    )
+    units = mix_sources(docs, seed, group, fan).select("h1", "h2", "rows", "copies", "extra").where("copies + extra > 0")
+    packed = docs.select(*row_hashes(docs), F.struct("*").alias("row")).join(units, ["h1", "h2"])
+    # a row alone takes all its copies; of equal rows each takes `copies`, and one of them stands for the extra ones
+    single = packed.select("row", (F.col("copies") + F.when(F.col("rows") == 1, F.col("extra")).otherwise(0)).alias("k"))
+    more = packed.where("rows > 1 and extra > 0").groupBy("h1", "h2").agg(F.any_value("row").alias("row"), F.max("extra").alias("k")).select("row", "k")
+    return single.unionByName(more).where("k > 0").select("row", F.explode(F.expr("sequence(1, k)"))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = mix_sources(table(spark, sf_dir, "documents"))
-    return units.select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies",
-        F.explode(F.expr("sequence(1, cast(rows as int))")).alias("row"),
-    ).drop("row")
+    rows = units.select("*", F.explode(F.expr("sequence(1, rows)")).alias("k"))
+    copies = F.col("copies") + (F.col("k") <= F.col("extra")).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"))
