@@ -1,25 +1,28 @@
 """Sharding: a Feistel permutation with cycle walking over global row numbers.
 
-Rows get gapless global numbers (hash bucket of doc_id, then rank in the bucket), the
+Rows get gapless global numbers (bucket of a hash of the row, then rank in the bucket), the
 permutation maps number -> place in [0, N), and place gives shard = place mod n and
 slot = place div n.  Both are computable from the number alone, shard sizes differ by one
 at most, and slots are gapless in every shard.
 
-The only driver-side data are the counts of BUCKETS hash buckets, a fixed bound.
+Equal rows are one unit with a range of numbers, so that a row repeated any number of times
+is one row of its bucket; numbers are dealt to hashes, and texts are moved once, to join
+them.  The only driver-side data are the counts of BUCKETS hash buckets, a fixed bound.
 
-Defined results: a null text has size 1 and crc32 0 (as the empty text); null ids share a
-bucket; repeated rows each get a place of their own; an empty table gives an empty result;
-columns besides doc_id and text are carried along untouched.
+Defined results: a null text has size 1 and crc32 0 (as the empty text); null doc_ids and
+repeated doc_ids are rows like any other; equal rows each get a place of their own; an empty
+table gives an empty result; texts of any length are carried along; so are all other columns,
+but `shard` and `slot` replace columns of those names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import row_hashes, stored, table
 
 BUCKETS = 4096
 ROUNDS = 6
@@ -53,26 +56,31 @@ def permute(number: np.ndarray, n: int, seed: int) -> np.ndarray:
     return place.astype(np.int64)
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 11, tie: list[Column] | None = None) -> DataFrame:
-    """`docs` plus shard int and slot long. `tie` orders rows of one doc_id; equal rows may swap."""
-    rows = docs.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
+def numbered(keys: DataFrame, shards: int, seed: int) -> DataFrame:
+    """`keys` (h1, h2, rows and more) once for each of their rows, with shard int and slot long."""
+    units = stored(keys.withColumn("bucket", F.pmod("h1", F.lit(BUCKETS)).cast("int")))
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for r in rows.groupBy("_bucket").count().collect():  # BUCKETS rows at most
+    for r in units.groupBy("bucket").agg(F.sum("rows")).collect():  # BUCKETS rows at most
         counts[r[0]] = r[1]
     total, offsets = int(counts.sum()), np.cumsum(counts) - counts
 
     @F.pandas_udf("long")
     def place(bucket: pd.Series, rank: pd.Series) -> pd.Series:
-        return pd.Series(permute(offsets[bucket.to_numpy()] + rank.to_numpy() - 1, total, seed))
-
-    in_bucket = Window.partitionBy("_bucket").orderBy("doc_id", *(tie or [F.crc32(F.col("text"))]))
-    return (
-        rows.withColumn("_rank", F.row_number().over(in_bucket))
-        .withColumn("_place", place("_bucket", "_rank"))
-        .withColumn("shard", (F.col("_place") % shards).cast("int"))
-        .withColumn("slot", F.expr(f"_place div {shards}"))
-        .drop("_bucket", "_rank", "_place")
-    )
+        return pd.Series(permute(offsets[bucket.to_numpy()] + rank.to_numpy(), total, seed))
+
+    before = F.sum("rows").over(Window.partitionBy("bucket").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
+    each = units.withColumn("first", before).select("*", F.explode(F.expr("sequence(0, rows - 1)")).alias("k"))
+    placed = each.withColumn("place", place("bucket", F.col("first") + F.col("k")))
+    return placed.withColumn("shard", (F.col("place") % shards).cast("int")).withColumn("slot", F.expr(f"place div {shards}")).drop("bucket", "first", "k", "place", "rows")
+
+
+def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 11) -> DataFrame:
+    """`docs` plus shard int and slot long."""
+    keyed = docs.select(*row_hashes(docs), F.struct("*").alias("row"))
+    places = numbered(keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows")), shards, seed)
+    one = keyed.groupBy("h1", "h2").agg(F.any_value("row").alias("row"))
+    columns = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return one.join(places, ["h1", "h2"]).select(*columns, "shard", "slot")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +88,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
     )
-    placed = assign_shards(docs, tie=[F.col("size"), F.col("text_crc32")])
+    # nothing of the text is needed beyond its size and checksum, so the numbers are given to those
+    units = docs.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("rows"))
+    placed = numbered(units.select(*row_hashes(units.drop("rows")), "*"), 8, 11)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
