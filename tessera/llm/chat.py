@@ -10,11 +10,15 @@ by doubling pointers, and the calls with several dependencies are peeled level b
 (Kahn), each round a join whose result is stored.  Rounds follow the logarithm of the longest
 chain and the depth of calls with several dependencies, not the number of rows.
 
-Defined results: null ids link to nothing and are dropped; of several calls (or results) of
-one id the earliest turn counts, then the smallest content, and n_calls / n_results tell how
-many there were; dependencies on unknown ids are listed as violations and don't hold a call
-back; calls in or behind a cycle have a null level; arguments that are no JSON object are
-one violation and are null in the canonical form; tools without a schema are one too.
+Defined results: every message and every result gives a row.  Of several calls (or results) of
+one id the earliest turn counts, then the smallest content; the others are `duplicate_call` or
+`duplicate_result` (equal ones as one row, their number in n_calls or n_results).  Calls and
+results with a null id or conversation are `null_id_call` and `null_id_result`, unreadable
+lists of calls `malformed`, messages without calls `no_calls`; none of these is linked or has a
+level.  Dependencies on unknown ids are listed as violations and don't hold a call back; calls
+in or behind a cycle have a null level; arguments that are no JSON object are one violation and
+are null in the canonical form; tools without a schema are one too; texts of any length are
+kept whole; empty tables give an empty result; only the columns named are read.
 """
 
 from __future__ import annotations
@@ -22,43 +26,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, word_count
+from .common import BROADCAST_ROWS, small, stored, table, word_count
 
-SCHEMA_ROWS = 10_000
 CALL = "array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>"
 KEY = ["conv_id", "call_id"]
 
 
 def parse_calls(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, call_id, name, arguments, depends_on from the JSON lists in column tool_calls."""
-    calls = messages.where("tool_calls is not null").select("conv_id", "turn", F.explode(F.from_json("tool_calls", CALL)).alias("c"))
-    return calls.select("conv_id", "turn", F.col("c.id").alias("call_id"), "c.name", "c.arguments", F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on"))
+    """conv_id, turn, call_id, name, arguments, depends_on, problem from the JSON lists in column tool_calls (null: none)."""
+    listed = F.from_json("tool_calls", CALL)
+    calls = messages.select("conv_id", "turn", "tool_calls", listed.alias("list"), F.explode_outer(listed).alias("c"))
+    empty = F.col("tool_calls").isNull() | (F.size("list") == 0)
+    problem = F.when(empty, "no_calls").when(F.col("c").isNull(), "malformed").when(F.col("c.id").isNull() | F.col("conv_id").isNull(), "null_id_call")
+    return calls.select(
+        "conv_id", "turn", F.col("c.id").alias("call_id"), "c.name", F.when(problem == "malformed", F.col("tool_calls")).otherwise(F.col("c.arguments")).alias("arguments"),
+        F.coalesce("c.depends_on", F.array().cast("array<string>")).alias("depends_on"), problem.alias("problem"),
+    )
 
 
 def link_results(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Full outer hash join of calls and results (conv_id, turn, call_id, content) by identifier."""
-    first_call = (
-        calls.where("call_id is not null and conv_id is not null")
-        .groupBy(*KEY)
-        .agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("call"), F.count(F.lit(1)).alias("n_calls"))
-    )
-    first_result = (
-        results.where("call_id is not null and conv_id is not null")
-        .groupBy(*KEY)
-        .agg(F.min(F.struct("turn", "content")).alias("result"), F.count(F.lit(1)).alias("n_results"))
-    )
+    """Full outer hash join of calls and results (conv_id, turn, call_id, content) by identifier, and every row that has no part in it."""
+    odd = calls.where("problem is not null").select("*", F.lit(1).alias("n_calls"), F.lit(0).alias("n_results"), F.col("problem").alias("status"))
+    nameless = F.col("call_id").isNull() | F.col("conv_id").isNull()
+    lost = results.where(nameless).select("conv_id", "turn", "call_id", "content", F.lit(0).alias("n_calls"), F.lit(1).alias("n_results"), F.lit("null_id_result").alias("status"))
+    each_call = stored(calls.where("problem is null").groupBy(*KEY, F.struct("turn", "name", "arguments", "depends_on").alias("call")).agg(F.count(F.lit(1)).alias("k")))
+    each_result = stored(results.where(~nameless).groupBy(*KEY, F.struct("turn", "content").alias("result")).agg(F.count(F.lit(1)).alias("k")))
+    first_call = each_call.groupBy(*KEY).agg(F.min("call").alias("call"), F.sum("k").alias("n_calls"))
+    first_result = each_result.groupBy(*KEY).agg(F.min("result").alias("result"), F.sum("k").alias("n_results"))
     status = (
         F.when(F.col("call").isNull(), "orphan_result")
         .when(F.col("result").isNull(), "no_result")
         .when(F.col("result.turn") < F.col("call.turn"), "result_before_call")
         .otherwise("linked")
     )
-    return (
+    linked = (
         first_call.join(first_result.hint("shuffle_hash"), KEY, "full_outer")
         .select(*KEY, "call.turn", "call.name", "call.arguments", "call.depends_on", "result.content",
                 F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), status.alias("status"))
     )
 
+    def repeated(each: DataFrame, first: DataFrame, x: str) -> DataFrame:
+        several = first.where(f"n_{x}s > 1").select(*KEY, F.col(x).alias("first"))
+        again = each.join(several, KEY).withColumn("k", F.col("k") - (F.col(x) == F.col("first")).cast("int")).where("k > 0")
+        return again.select(*KEY, f"{x}.*", F.col("k").alias(f"n_{x}s"), F.lit(f"duplicate_{x}").alias("status"))
+
+    for part in (odd.drop("problem"), lost, repeated(each_call, first_call, "call"), repeated(each_result, first_result, "result")):
+        linked = linked.unionByName(part, allowMissingColumns=True)
+    none = F.lit(0)
+    return linked.withColumn("n_calls", F.coalesce("n_calls", none)).withColumn("n_results", F.coalesce("n_results", none))
+
 
 def topological_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of `calls` (conv_id, call_id, depends_on): 0 without dependencies, else one above the deepest.
@@ -107,7 +123,7 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     return placed.select(*KEY, F.when(F.col("ready"), F.col("base") + F.col("dist")).cast("int").alias("level"))
 
 
-def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
+def validate(calls: DataFrame, schemas: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """`calls` plus args (variant) and violations (sorted array).
 
     `schemas`: name, field, type (string, integer, number, boolean, array, object), required,
@@ -116,8 +132,7 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     rules = stored(
         schemas.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("field", "type", "required", "least", "most"))).alias("rules"))
     )  # a row a tool, its fields only
-    rules = F.broadcast(rules) if rules.limit(SCHEMA_ROWS + 1).count() <= SCHEMA_ROWS else rules
-    known = calls.join(rules, "name", "left").withColumn("args", F.try_parse_json("arguments"))
+    known = calls.join(small(rules, broadcast_rows), "name", "left").withColumn("args", F.try_parse_json("arguments"))
     known = known.withColumn("_fields", F.expr("try_cast(args as map<string, variant>)"))
 
     def broken(rule):
@@ -153,26 +168,31 @@ def canonical(linked: DataFrame) -> DataFrame:
 
 
 def link_tool_calls(messages: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row a call or orphan result: conv_id, call_id, turn, name, level, status, n_calls, n_results, violations, canonical."""
+    """A row for every call, result and message without calls: conv_id, call_id, turn, name, level, status, n_calls, n_results, violations, canonical."""
     linked = stored(link_results(parse_calls(messages), results))
-    calls = linked.where("status <> 'orphan_result'")
+    calls = linked.where(F.col("status").isin("linked", "no_result", "result_before_call"))
     levels = topological_levels(calls)
     checked = validate(linked, schemas)
     unknown = calls.select("conv_id", "call_id", F.explode("depends_on").alias("src"))
     ids = calls.select("conv_id", F.col("call_id").alias("src"))
     dangling = unknown.join(ids, ["conv_id", "src"], "left_anti").groupBy(*KEY).agg(F.array_sort(F.collect_set(F.concat(F.lit("dependency:"), "src"))).alias("dangling"))
-    out = canonical(checked.join(levels, KEY, "left").join(dangling, KEY, "left"))
-    orphan = F.col("status") == "orphan_result"
+    # a duplicate has the id of its call, but neither its level nor its dependencies
+    placed = levels.join(dangling, KEY, "left").withColumn("placed", F.lit(True))
+    own = checked.withColumn("placed", F.when(F.col("status").isin("linked", "no_result", "result_before_call"), True))
+    out = canonical(own.join(placed, [*KEY, "placed"], "left"))
+    is_call = ~F.col("status").isin("orphan_result", "duplicate_result", "null_id_result", "no_calls", "malformed")
     every = F.concat(F.col("violations"), F.coalesce("dangling", F.array().cast("array<string>")))
     return out.select(
-        *KEY, "turn", "name", "level", "status", "n_calls", "n_results", F.when(~orphan, F.array_sort(every)).alias("violations"), "canonical"
-    )
+        *KEY, "turn", "name", "level", "status", "n_calls", "n_results", F.when(is_call, F.array_sort(every)).alias("violations"),
+        F.when(~F.col("status").isin("no_calls", "malformed"), F.col("canonical")).alias("canonical"),
+    )
 
 
 def conversation_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The table `conversations` read as tool traffic: every user turn is a call whose arguments
     are its text, every assistant turn is the result of the turn before, calls depend on the call
-    two turns earlier.  The tool is chosen by the number of words."""
+    two turns earlier.  The tool is chosen by the number of words.  Turns of other roles are
+    messages without calls."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", word_count(F.col("text")).alias("words"))
 
     def call_id(turn):
@@ -182,7 +202,8 @@ def conversation_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     arguments = F.to_json(F.struct(F.col("words").alias("limit"), F.col("text").alias("query"), before.alias("after")))
     name = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("report")), (F.col("words") % 3 + 1).cast("int"))
     call = F.struct(call_id(F.col("turn")).alias("id"), name.alias("name"), arguments.alias("arguments"), F.array_compact(F.array(before)).alias("depends_on"))
-    messages = turns.where("role = 'user'").select("conv_id", "turn", F.to_json(F.array(call)).alias("tool_calls"))
+    asks = F.when(F.col("role") == "user", F.to_json(F.array(call)))
+    messages = turns.where(~F.col("role").eqNullSafe("assistant")).select("conv_id", "turn", asks.alias("tool_calls"))
     results = turns.where("role = 'assistant'").select("conv_id", "turn", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     rules = [
         ("search", "query", "string", True, 1.0, 200.0), ("search", "limit", "integer", True, 1.0, 40.0), ("search", "after", "string", False, None, None),
@@ -230,4 +251,5 @@ SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id)
   CASE WHEN c.call_id IS NULL THEN '{"arguments":null' ELSE '{"arguments":{' || coalesce('"after":"' || after || '",', '') || '"limit":' || words || coalesce(',"query":' || CAST(to_json(text) AS VARCHAR), '') || '}' END
     || ',"id":"' || coalesce(c.call_id, r.call_id) || '","name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS canonical
 FROM checked c FULL OUTER JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+UNION ALL SELECT conv_id, NULL, turn, NULL, NULL, 'no_calls', '', NULL FROM t WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """

@@ -34,8 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
-from .decontamination import _small
+from .common import small, stored, table
 
 LENGTH = 50
 MODULUS = 31
@@ -275,7 +274,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     packs = max(1, -(-total // PACK_BYTES))
     buckets = max(1, -(-(total * len(COVER) // MODULUS) // BUCKET))
     copied = stored(groups.where("rows > 1").select("digest", "first"))
-    marked = rows.join(_small(copied), "digest", "left").withColumn("copy", F.col("doc_id") > F.coalesce("first", "doc_id"))
+    marked = rows.join(small(copied), "digest", "left").withColumn("copy", F.col("doc_id") > F.coalesce("first", "doc_id"))
 
     pack = F.pmod(F.xxhash64("doc_id"), F.lit(packs))
     kept = marked.where("not copy").select("doc_id", "text", pack.alias("pack")).repartition("pack")
