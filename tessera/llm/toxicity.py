@@ -1,13 +1,16 @@
 """Toxicity: compression distance to two zstandard dictionaries.
 
-A toxic and an ordinary dictionary are trained on a bounded sample of labelled rows
-(MAX_LABELS documents outside the held-out fold).  What both classes share tells nothing and
-would only fill both dictionaries, so either is trained on the words of its class whose
-document share is RATIO times that of the other class.  A text is folded to words
+A toxic and an ordinary dictionary are trained on whole texts of a bounded sample of labelled
+rows (MAX_LABELS documents outside the held-out fold).  Most words of a toxic text are as
+ordinary as any, and dictionaries of the plain class texts tell the classes apart badly (see
+README).  So either is trained on the words of its class whose share of documents is RATIO
+times that of the other class; texts that resemble an earlier one train the dictionaries, but
+don't count again in the shares.  A text is folded to words
 without case or ASCII punctuation and cut into windows of about WINDOW bytes; each window is compressed
 with both dictionaries, and the difference of the lengths tells which class it is nearer to.
 The mean, largest, third and upper-decile differences of a document, its count of windows at
-MARGIN bytes or more and the logarithm of its windows are calibrated by logistic regression on the same sample, in halves: either half
+MARGIN bytes or more and the logarithm of its windows are calibrated by logistic regression on the same
+sample, which keeps the classes as frequent as they are.  It is fitted in halves: either half
 is scored with dictionaries trained on the other, so that no text is scored by a dictionary
 that holds it.
 
@@ -16,8 +19,11 @@ scoring is one pass over whole texts without a shuffle.  Labels, lang, source an
 no inputs.
 
 Defined results: a null or blank text has no window, its features are zero and it gets the
-calibrated score of that point; without enough labelled rows of both classes every score is
-the smoothed share of the label (0.5 without any).
+calibrated score of that point; with fewer than LEAST labelled rows of either class every score is
+the smoothed share of the label (0.5 without any); labels that are null or not 0/1 are ignored, of
+contradictory labels the larger counts; of several texts of a labelled doc_id the smallest is
+fitted; rows with a null doc_id are scored, not fitted; equal texts get equal scores; texts of
+any length are scored whole; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -37,8 +43,8 @@ from pyspark.sql import functions as F
 
 from .common import HELD_OUT, fold_of, stored, table, training_labels
 
-MAX_LABELS = 12_000
-SAMPLE_BYTES = 24_576  #: most bytes of one training text on the driver
+MAX_LABELS = 6_000  #: whole texts of so many rows are held by the driver
+LEAST = 8
 DICT_BYTES = 4_096
 HEAD = 8
 WINDOW = 36  #: below 64 literals, where zstandard would start to code them by their own statistics
@@ -112,29 +118,32 @@ def _unlike(texts: list[list[bytes]]) -> np.ndarray:
     return keep
 
 
+def _trained(samples: list[bytes]) -> bytes:
+    """A dictionary of `samples`, which are repeated until zstandard has enough to train on."""
+    if not samples:
+        return b""
+    times = max(1, -(-16 * DICT_BYTES // sum(map(len, samples))))
+    return zstd.train_dictionary(DICT_BYTES, samples * times, k=32, d=6, level=LEVEL).as_bytes()
+
+
 def train_dictionaries(texts: list[list[bytes]], toxic: np.ndarray) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) dictionaries from folded texts; plain content where too little is left to train on.
+    """(toxic, ordinary) dictionaries from folded texts.
 
-    Of near copies one counts, or the chance words of a copied text would pass for marks of its class.
+    Of near copies one counts in the shares, or the chance words of a copied text would pass for marks of its class.
     Both are used as content only, without the entropy tables, so that lengths differ by matches alone.
     """
     fresh = _unlike(texts)
-    texts, toxic = [t for t, k in zip(texts, fresh, strict=True) if k], toxic[fresh]
-    df = (Counter(), Counter())
-    for parts, y in zip(texts, toxic, strict=True):
-        df[int(y)].update(_marks(parts))
-    n = [max(1, int((toxic == c).sum())) for c in (0, 1)]
+    df, n = (Counter(), Counter()), [1, 1]
+    for parts, y, counts in zip(texts, toxic, fresh, strict=True):
+        if counts:
+            df[int(y)].update(_marks(parts))
+            n[int(y)] += 1
     made = []
     for c in (1, 0):
         own, other = df[c], df[1 - c]
         marks = {w for w, k in own.items() if len(w) >= STEMS[0] and (k - SURE * k**0.5) / n[c] > RATIO * (other[w] + 1) / n[1 - c]}
         kept = [[w for w in parts if any(w[:k] in marks for k in (*STEMS, len(w)))] for parts, y in zip(texts, toxic, strict=True) if y == c]
-        samples = [b" " + b" ".join(parts[at : at + 8]) + b" " for parts in kept for at in range(0, len(parts), 8)]
-        try:
-            made.append(zstd.train_dictionary(DICT_BYTES, samples, k=32, d=6, level=LEVEL).as_bytes())
-        except zstd.ZstdError:
-            common = sorted(marks, key=lambda w: (own[w], w))[-DICT_BYTES // 16 :]
-            made.append(b" " * 8 + b" ".join(common) + b" ")
+        made.append(_trained([b" " + b" ".join(parts[at : at + 8]) + b" " for parts in kept for at in range(0, len(parts), 8)]))
     return made[0], made[1]
 
 
@@ -164,23 +173,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> ToxicityModel:
-    """Fit on at most `most` labelled documents and SAMPLE_BYTES of each, drawn from all of its text."""
+    """Fit on the whole texts of at most `most` labelled documents."""
     zero = np.zeros(len(FEATURES))
     chosen = stored(training_labels(labels, "toxic", most))
-
-    def sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            kept = []
-            for t in pdf["text"]:
-                w = windows(folded(t))
-                kept.append(b"".join(x[len(PRIME) :] for x in w[:: 1 + sum(map(len, w)) // SAMPLE_BYTES]).decode("utf-8", "ignore"))
-            yield pdf.assign(text=kept)
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    pdf = rows.mapInPandas(sampled, "doc_id long, y int, text string").toPandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # `most` rows at most
+    # of several rows of an id one counts, so that `most` bounds what the driver gets
+    pdf = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).toPandas().sort_values("doc_id").reset_index(drop=True)
     y = pdf["y"].to_numpy(float)
     p = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
-    if min(y.sum(), len(y) - y.sum()) < 8:
+    if min(y.sum(), len(y) - y.sum()) < LEAST:
         return ToxicityModel(b"", b"", zero, zero + 1, zero, float(np.log(p / (1 - p))))
     one: dict[bytes, bytes] = {}  # each word once in memory
     texts = [[one.setdefault(w, w) for w in folded(t)] for t in pdf["text"]]
@@ -202,7 +203,7 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score, predicted for every row of `docs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Distance(model.toxic, model.ordinary) if model.toxic else None
+        d = Distance(model.toxic, model.ordinary) if model.weights.any() else None
         for b in batches:
             x = np.array([d.features(t) if d else (0.0,) * len(FEATURES) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(model.score(x))], names=["doc_id", "score"])
