@@ -13,8 +13,10 @@ Each block is a restart interval, so that DC differences are DC values.  The pay
 length is in a comment segment, as the last row of blocks may be filled up.
 
 Defined results: a null text is an empty one (64 zero bytes); equal texts give equal bytes,
-hashes and features; a stream that is not baseline JPEG raises ValueError in `decode` and
-has null features in `thumbnail_features`.
+hashes and features; a text of any length up to 4 GB is one image; a null doc_id stays null and
+repeated rows are rows of their own; an empty table gives an empty result; a stream that is not
+baseline JPEG, or claims more blocks than its scan can hold, raises ValueError when it is decoded
+and has null features in `thumbnail_features`, which carries all other columns along.
 """
 
 from __future__ import annotations
@@ -203,6 +205,8 @@ def decode_coefficients(images: list[bytes], frames: list[Frame]) -> list[np.nda
             n = -(-total // per)
             if len(begin) < n:
                 raise ValueError("restart intervals are missing")
+            if total * len(layout) > 4 * len(body):  # a block has two codes of a bit at least
+                raise ValueError("more blocks than the scan can hold")
             starts.append(begin[:n] + base)
             quota.append(np.minimum(per, total - per * np.arange(n)))
             lanes_of.append(n)
