@@ -9,7 +9,10 @@
 
 Labels, lang, source and doc_id are no inputs.  Defined results: a null text is an empty
 one and is scored by the same rules; labels that are null or not 0/1 are ignored, of
-contradictory labels the larger counts; without any labelled row the score is 0.5.
+contradictory labels the larger counts; of several texts of a labelled doc_id the one with the
+smallest statistics is fitted; rows with a null doc_id are scored, not fitted; a score at the
+threshold is kept; equal rows get equal scores; texts of any length are read whole; an empty
+table gives an empty result; `keep_quality` carries all other columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -155,27 +158,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> R
     stats = statistics(F.col("text"))
     names = list(stats)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `most` rows at most
-    pdf = rows.select("doc_id", "y", *(c.alias(n) for n, c in stats.items())).toPandas().sort_values(["doc_id", *names])
+    # of several rows of an id one counts, so that `most` bounds what the driver gets
+    one = rows.select("doc_id", "y", F.struct(*(c.alias(n) for n, c in stats.items())).alias("s")).groupBy("doc_id").agg(F.max("y").alias("y"), F.min("s").alias("s"))
+    pdf = one.select("doc_id", "y", "s.*").toPandas().sort_values(["doc_id", *names])
     return fit_rules(pdf[names].to_numpy(float), pdf["y"].to_numpy(float), names)
 
 
 def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """`docs` plus score double.  The statistics are columns of their own first, so that each is computed once."""
+    """row (all columns of `docs` as a struct), score double.  The statistics are columns of their own first, so that each is computed once."""
     stats = statistics(F.col("text"))
-    wide = docs.select("*", F.struct(*(c.alias(n) for n, c in stats.items())).alias("_stats"))
-    return wide.withColumn("score", model.score({n: F.col(f"_stats.{n}") for n in stats})).drop("_stats")
+    wide = docs.select(F.struct("*").alias("row"), F.struct(*(c.alias(n) for n, c in stats.items())).alias("stats"))
+    return wide.select("row", model.score({n: F.col(f"stats.{n}") for n in stats}).alias("score"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that score at least `threshold`."""
-    model = fit_quality(docs, labels)
-    plain = docs.select(F.struct("*").alias("_row"), F.col("text"))
-    return scored(plain, model).where(F.col("score") >= threshold).select("_row.*")
+    return scored(docs, fit_quality(docs, labels)).where(F.col("score") >= threshold).select("row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return scored(docs.select("doc_id", "text"), model).select(
-        "doc_id", (fold_of(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+        "row.doc_id", (fold_of(F.col("row.doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
