@@ -51,3 +51,21 @@ def test_empty(spark):
     results = spark.createDataFrame([], "conv_id long, turn int, call_id string, content string")
     schemas = spark.createDataFrame([], "name string, field string, type string, required boolean, least double, most double")
     assert chat.link_tool_calls(messages, results, schemas).count() == 0
+
+
+def test_every_message_has_a_row(spark):
+    call = '{"id":"x","name":"f","arguments":"{}"}'
+    rows = [
+        (1, 0, f"[{call}]"), (1, 5, f"[{call}]"), (1, 5, f"[{call}]"), (1, 6, '[{"id":"x","name":"g","arguments":"{}"}]'),
+        (1, 7, '[{"id":"y"'), (1, 8, '[{"name":"f"}]'), (1, 9, "[]"), (1, 10, None), (None, 1, f"[{call}]"),
+    ]
+    messages = spark.createDataFrame(rows, "conv_id long, turn int, tool_calls string")
+    results = spark.createDataFrame([(1, 1, "x", "ok"), (1, 2, "x", "late"), (1, 3, None, "lost"), (None, 3, "x", "lost")], "conv_id long, turn int, call_id string, content string")
+    schemas = spark.createDataFrame([("f", "a", "string", False, None, None)], "name string, field string, type string, required boolean, least double, most double")
+    got = sorted((r.status, r.turn, r.n_calls, r.n_results, r.level) for r in chat.link_tool_calls(messages, results, schemas).collect())
+    assert got == sorted([
+        ("linked", 0, 4, 2, 0), ("duplicate_call", 5, 2, 0, None), ("duplicate_call", 6, 1, 0, None), ("malformed", 7, 1, 0, None), ("null_id_call", 8, 1, 0, None),
+        ("no_calls", 9, 1, 0, None), ("no_calls", 10, 1, 0, None), ("null_id_call", 1, 1, 0, None), ("duplicate_result", 2, 0, 1, None), ("null_id_result", 3, 0, 1, None), ("null_id_result", 3, 0, 1, None),
+    ])
+    rules = chat.validate(spark.createDataFrame([("f", '{"b":1}')], "name string, arguments string"), schemas, broadcast_rows=0)
+    assert rules.first().violations == ["unknown:b"]

@@ -43,6 +43,14 @@ def test_sharding_is_even_gapless_and_repeatable(spark, texts):
     assert sharding.assign_shards(docs.limit(0)).count() == 0
 
 
+def test_sharding_carries_every_column(spark, texts):
+    docs = docs_of(spark, [*texts, *["same"] * 500], [*range(len(texts)), *[7] * 500]).selectExpr("*", "1 as _rank", "2 as shard", "3 as row", "4 as place", "5 as bucket")
+    rows = sharding.assign_shards(docs)
+    assert sorted(rows.columns) == sorted([*docs.columns, "slot"])
+    assert rows.select("shard", "slot").distinct().count() == len(texts) + 500
+    assert rows.drop("slot", "shard").exceptAll(docs.drop("shard")).count() == 0 and rows.where("_rank = 1 and row = 3 and place = 4").count() == rows.count()
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000])
 def test_permutation_is_a_bijection(n):
     assert sorted(sharding.permute(np.arange(n), n, 5)) == list(range(n))
@@ -50,15 +58,35 @@ def test_permutation_is_a_bijection(n):
 
 def test_mixing_meets_targets(spark, texts):
     units = mixing.mix_sources(docs_of(spark, texts * 3, range(3 * len(texts)))).toPandas()
-    assert (units.copies <= 2).all() and (units.copies >= 0).all()
+    assert (units.copies * units.rows + units.extra <= 2 * units.rows).all() and (units.copies >= 0).all() and (units.extra >= 0).all()
     for _, g in units.groupby("source", dropna=False):
-        assert abs((g.copies * g["size"] * g["rows"]).sum() - g.target.iloc[0]) <= g["size"].max()
+        assert abs(((g.copies * g.rows + g.extra) * g["size"]).sum() - g.target.iloc[0]) <= g["size"].max()
     total = (units["size"] * units["rows"]).sum()
     assert abs(units.drop_duplicates("source").target.sum() - 1.5 * total) < 1e-6 * total
     assert mixing.mix_sources(docs_of(spark, ["a"]).limit(0)).count() == 0
     assert set(mixing.mixed_documents(docs_of(spark, texts)).columns) == set(SCHEMA.replace(" long", "").replace(" string", "").split(", "))
 
 
+def taken_of(rows, of):
+    return sum(len(t.split()) for t, s in rows if s == of)
+
+
+def test_mixing_merges_levels_and_rounds_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    docs = docs_of(spark, [sentence(rng, int(n)) for n in rng.integers(1, 60, 300)])
+    units = mixing.mix_sources(docs, group=8, fan=2).toPandas()  # several levels of the tree
+    for _, g in units.groupby("source", dropna=False):
+        assert abs(((g.copies * g.rows + g.extra) * g["size"]).sum() - g.target.iloc[0]) <= g["size"].max()
+    again = mixing.mix_sources(docs.repartition(5), group=8, fan=2).toPandas()
+    assert sorted(zip(units.doc_id, units.copies, units.extra)) == sorted(zip(again.doc_id, again.copies, again.extra))
+    repeated = spark.createDataFrame([(1, sentence(rng, 10), "en", "s", 0)] * 1000 + [(2, "one", "en", "s", 0)] + [(None, f"{sentence(rng, 9)} {i}", "en", "s", 0) for i in range(50)], SCHEMA)
+    extra = repeated.selectExpr("*", "1 as _n", "2 as h1", "3 as rows", "4 as k", "5 as copies")
+    got = mixing.mixed_documents(extra)
+    assert got.columns == extra.columns
+    rows = [(r.text, r.source) for r in got.collect()]
+    assert abs(taken_of(rows, "s") - 1.5 * (10 * 1000 + 1 + 10 * 50)) <= 10
+
+
 def test_pivot_keeps_mass():
     rng = np.random.default_rng(2)
     size, p = rng.integers(1, 50, 200).astype(float), rng.random(200)
@@ -123,7 +151,15 @@ def test_contamination_matches_brute_force(spark, texts):
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs_of(spark, bodies), bench).collect()}
     assert got == want and len(got) >= 12
     assert decontamination.decontaminate(docs_of(spark, bodies), bench).count() == len(bodies) - len({d for d, _ in want})
+    shuffled = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs_of(spark, bodies), bench, broadcast_rows=0).collect()}
+    assert shuffled == want
     assert decontamination.contaminated(docs_of(spark, bodies), bench.limit(0)).count() == 0
+    assert decontamination.contaminated(docs_of(spark, bodies).limit(0), bench).count() == 0
+    odd = docs_of(spark, [None, "", items[0], items[0]], [None, None, None, 5]).selectExpr("*", "1 as _id", "2 as text_hash", "3 as row", "4 as own")
+    kept = decontamination.decontaminate(odd, bench)
+    assert kept.columns == odd.columns and kept.count() == 2
+    long = " ".join(["filler"] * 800_000) + " " + items[1]  # a text of 5 MB is read to its end
+    assert {r.item_id for r in decontamination.contaminated(docs_of(spark, [long]), bench).collect()} == {1}
 
 
 def test_golay_code_is_perfect_and_anchors_are_complete():
@@ -206,15 +242,49 @@ def test_jpeg_dc_thumbnail_of_standard_tables(spark):
     assert (rows[1].width, rows[1].height) == (24, 8) and rows[2].width is None and rows[3].thumb_hash is None
 
 
+def _bits(values, codes):
+    """DC-only blocks: a code by category, the magnitude bits, end of block (code 0)."""
+    out = ""
+    for v in values:
+        size = abs(v).bit_length()
+        out += codes[size] + (format(v if v > 0 else v + (1 << size) - 1, f"0{size}b") if size else "") + "0"
+    out += "1" * (-len(out) % 8)
+    return bytes(int(out[i : i + 8], 2) for i in range(0, len(out), 8)).replace(b"\xff", b"\xff\x00")
+
+
+def test_jpeg_colour_with_subsampling_and_hostile_sizes(spark):
+    seg = jpeg._segment
+    dc, codes = bytes([0, 2, 1] + [0] * 13) + bytes([0, 3, 4]), {0: "00", 3: "01", 4: "100"}
+    ac = bytes([1] + [0] * 15) + bytes([0])
+    parts = bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+
+    def stream(width, height, blocks):
+        frame = seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + parts)
+        return b"\xff\xd8" + seg(0xDB, bytes([0]) + bytes([8] * 64)) + frame + seg(0xC4, b"\0" + dc) + seg(0xC4, b"\x10" + ac) + seg(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + _bits(blocks, codes) + b"\xff\xd9"
+
+    # two MCUs of four luminance blocks each; DC values are differences to the block before of the same component
+    image = stream(32, 16, [5, 0, 4, 0, 0, 0, -9, 0, 0, 0, 4, 0])
+    f = jpeg.parse(image)
+    assert jpeg.thumbnail(jpeg.decode_coefficients([image], [f])[0], f).tolist() == [[133, 133, 128, 128], [137, 137, 128, 128]]
+    hostile = stream(65528, 65528, [5])
+    with pytest.raises(ValueError, match="more blocks"):
+        jpeg.decode_coefficients([hostile], [jpeg.parse(hostile)])
+    media = spark.createDataFrame([(1, bytearray(image)), (2, bytearray(hostile))], "id int, media binary")
+    assert {r.id: r.width for r in jpeg.thumbnail_features(media).collect()} == {1: 32, 2: None}
+
+
 def test_quality_rules_learn_and_survive_edges(spark, texts):
     good = [f"plain words number {i} in a line. and more of them here." for i in range(60)]
     bad = [f"BUY!! NOW!! {i}!! BUY!! NOW!!" for i in range(60)]
     docs = docs_of(spark, [*good, *bad, None, ""])
     labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
-    rows = quality.scored(docs, quality.fit_quality(docs, labels)).select("doc_id", "score").toPandas().set_index("doc_id").score
+    rows = quality.scored(docs, quality.fit_quality(docs, labels)).select("row.doc_id", "score").toPandas().set_index("doc_id").score
     assert rows[:60].min() > 0.5 > rows[60:120].max() and rows.between(0, 1).all()
     kept = quality.keep_quality(docs, labels)
     assert kept.columns == docs.columns and kept.where("doc_id < 60").count() == 60 and kept.where("doc_id between 60 and 119").count() == 0
+    odd = docs.unionByName(docs.where("doc_id = 5")).selectExpr("*", "'x' as score", "1 as stats", "2 as row")
+    assert quality.keep_quality(odd, labels).columns == odd.columns and quality.keep_quality(odd, labels).where("doc_id = 5").count() == 2
+    assert quality.keep_quality(docs.limit(0), labels).count() == 0
     none = quality.scored(docs, quality.fit_quality(docs, labels.limit(0)))
     assert none.where("score <> 0.5").count() == 0
 
@@ -239,7 +309,7 @@ def test_toxicity_fits_on_every_sampled_row(spark):
     train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
     toxic = sum(i % 50 == 0 for i in train)
     assert toxic < 8  # too few to train on: the smoothed share of the label, whatever the bound on rows
-    model = toxicity.fit_toxicity(docs, labels, most=len(train))
+    model = toxicity.fit_toxicity(docs.unionByName(docs), labels, most=len(train))  # repeated ids count once
     share = (toxic + 1) / (len(train) + 2)
     assert abs(model.intercept - np.log(share / (1 - share))) < 1e-9
 
