@@ -116,7 +116,7 @@ def macro_features(macro: DataFrame, base: str, second: str, vix: str, vix_spare
     fear = one(vix_spare, "vix") if fear.isEmpty() else fear
     wide = one(base, "base")
     for other in (one(second, "second"), fear, one(claims, "claims")):
-        wide = wide.join(F.broadcast(other), "date", "left")  # one row a date
+        wide = wide.join(other, "date", "left")  # one row a date
     w = Window.orderBy("date")
     mean = lambda c, n: F.when(F.count(c).over(w.rowsBetween(1 - n, 0)) == n, F.avg(c).over(w.rowsBetween(1 - n, 0)))
     wide = wide.withColumn("spread", F.col("base") - F.col("second"))
@@ -139,7 +139,7 @@ def trend_following(own: DataFrame) -> DataFrame:
     speed = lambda n: ratio(change("px", n), roll(F.stddev_samp, F.col("r"), n) * F.sqrt(F.lit(float(n))))
     scored = long_enough(own, 210).withColumn("trend", clip(0.4 * speed(50) + 0.6 * speed(200), -3, 3))
     late = own.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date"))).where("_i > 210").drop("_i")
-    return scored.join(F.broadcast(late), "date", "left_semi").select("ticker", "date", "trend")
+    return scored.join(late, "date", "left_semi").select("ticker", "date", "trend")
 
 
 # ---- cross-section -------------------------------------------------------------------------
@@ -162,7 +162,7 @@ def quintile(df: DataFrame, x: str) -> DataFrame:
 
 def benchmark_correlation(own: DataFrame, market: DataFrame, n: int = 63) -> DataFrame:
     """Correlation of returns over n rows; the benchmark is one short series and is sent to all."""
-    both = own.join(F.broadcast(market), "date", "left")
+    both = own.join(market, "date", "left")
     w = trailing(n)
     whole = F.count(F.when(F.col("r").isNotNull() & F.col("rm").isNotNull(), 1)).over(w) == n
     return both.withColumn("corr", F.when(whole, F.corr("r", "rm").over(w)))
@@ -188,7 +188,7 @@ def top_bottom(df: DataFrame, score: str, k: int = 5) -> DataFrame:
 def recent_performance(own: DataFrame, n: int = 30) -> DataFrame:
     """Return of each ticker over the last n calendar rows."""
     days = own.select("date").distinct().orderBy(F.desc("date")).limit(n)
-    near = own.join(F.broadcast(days), "date", "left_semi")
+    near = own.join(days, "date", "left_semi")
     return near.groupBy("ticker").agg((ratio(F.max_by("px", "date"), F.min_by("px", "date")) - 1).alias("ret"))
 
 

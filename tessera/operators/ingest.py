@@ -34,7 +34,7 @@ def incremental_plan(bars: DataFrame, universe: DataFrame, overlap: int = 7) ->
     """Ticker, start (NULL: full backfill) - known names are read again from the newest date of all less the overlap."""
     newest = bars.groupBy("ticker").agg(F.max("date").alias("newest"))
     start = newest.agg(F.date_sub(F.max("newest"), overlap).alias("from"))
-    planned = universe.join(newest, "ticker", "left").crossJoin(F.broadcast(start))  # one row
+    planned = universe.join(newest, "ticker", "left").crossJoin(start)  # one row
     return planned.select("ticker", F.when(F.col("newest").isNotNull(), F.col("from")).alias("start"))
 
 
@@ -97,7 +97,7 @@ def quality_report(*checks: DataFrame) -> tuple[DataFrame, DataFrame]:
 def wide(panel: DataFrame, tickers: list[str], rows: int, value: str = "px") -> DataFrame:
     """A small export - the last `rows` calendar rows of named tickers."""
     last = panel.select("date").distinct().orderBy(F.desc("date")).limit(rows)
-    return panel.where(F.col("ticker").isin(tickers)).join(F.broadcast(last), "date", "left_semi").groupBy("date").pivot("ticker", tickers).agg(F.first(value))
+    return panel.where(F.col("ticker").isin(tickers)).join(last, "date", "left_semi").groupBy("date").pivot("ticker", tickers).agg(F.first(value))
 
 
 def normalized_symbol(x: Column) -> Column:
@@ -114,8 +114,8 @@ def merged_constituents(lists: list[DataFrame], excluded: DataFrame, old: DataFr
     best = rows.withColumn("_k", F.row_number().over(Window.partitionBy("ticker").orderBy("_p"))).where("_k = 1").drop("_k", "_p")
     fresh = best.join(excluded.select("ticker").distinct(), "ticker", "left_anti")
     enough = fresh.agg((F.count(F.lit(1)) >= least).alias("enough"))
-    a = fresh.crossJoin(F.broadcast(enough)).where("enough").drop("enough")
-    return a.unionByName(old.crossJoin(F.broadcast(enough)).where("not enough").drop("enough"))
+    a = fresh.crossJoin(enough).where("enough").drop("enough")
+    return a.unionByName(old.crossJoin(enough).where("not enough").drop("enough"))
 
 
 def constituents_scd(old: DataFrame, fetched: DataFrame, at: str) -> DataFrame:
@@ -137,7 +137,7 @@ def full_universe(etfs: DataFrame, stocks: DataFrame) -> DataFrame:
 
 def with_dimensions(rows: DataFrame, dims: DataFrame) -> DataFrame:
     """D21."""
-    known = rows.join(F.broadcast(dims), "ticker", "left")
+    known = rows.join(dims, "ticker", "left")
     return known.withColumn("sector", F.coalesce("sector", F.lit("Unknown"))).withColumn("asset_class", F.coalesce("asset_class", F.lit("equity")))
 
 

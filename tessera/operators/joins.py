@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +62,16 @@ def to_tall(wide: DataFrame, keys: list[str], columns: list[str], name: str, val
 def to_wide(tall: DataFrame, keys: list[str], name: str, value: str, columns: list[str]) -> DataFrame:
     """J8 back; the columns are named, so that no pass over the data looks for them."""
     return tall.groupBy(*keys).pivot(name, columns).agg(F.first(value))
+
+
+def group_function(df: DataFrame, group: str, part: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, combine: list[Column]) -> DataFrame:
+    """A user's function over the rows of each `part` of a `group`, its results (columns `schema`) combined by aggregates.
+
+    A group goes to one task part by part, never whole; `part` names a column that splits large groups.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fn(pdf).assign(**{group: pdf[group].iloc[0]})
+
+    kind = df.schema[group].dataType.simpleString()
+    return df.groupBy(group, part).applyInPandas(run, f"{schema}, {group} {kind}").groupBy(group).agg(*combine)

@@ -17,29 +17,34 @@ def tall(df: DataFrame, signals: list[str], keep: list[str]) -> DataFrame:
     return df.unpivot(["ticker", "date", "i", *keep], signals, "signal", "score")
 
 
-def rank_correlation(pairs: DataFrame, x: str, y: str, least: int) -> DataFrame:
-    """signal, date, n, ic: Spearman over rows where both values are there; ranks are taken on those rows."""
-    keys = ["signal", "date"]
+def rank_correlation(pairs: DataFrame, x: str, y: str, least: int, keys: tuple[str, ...] = ("signal", "date")) -> DataFrame:
+    """keys, i, n, ic: Spearman over rows where both values are there; ranks are taken on those rows."""
+    keys = list(keys)
     full = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = full.select(*keys, "i", average_rank(x, keys).alias("rx"), average_rank(y, keys).alias("ry"))
     ic = ranked.groupBy(*keys, "i").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("ic"))
     return ic.where(F.col("n") >= least)
 
 
-def trailing_ics(signals: DataFrame, names: list[str], back: int, least: int = 10) -> DataFrame:
-    """Signal, date, i, ic of the signal `back` rows ago against the return since; 0 where it can't be told.  `signals` has pf."""
-    past = signals.select("ticker", "date", "i", (ratio(F.col("pf"), lag("pf", back)) - 1).alias("ret"), *(lag(s, back).alias(s) for s in names))
-    ic = rank_correlation(tall(past.where(F.col("i") >= back + 1), names, ["ret"]), "score", "ret", least)
-    grid = signals.select("date", "i").distinct().crossJoin(signals.sparkSession.createDataFrame([(s,) for s in names], "signal string"))
+def trailing_ics(signals: DataFrame, names: list[str], backs: tuple[int, ...] = (21,), least: int = 10, on: Column | None = None) -> DataFrame:
+    """Signal, date, i, back, ic of the signal `back` rows ago against the return since; 0 where it can't be told.
+
+    `signals` has pf.  All look-backs share one pass over the names and one ranking; `on` tells the rows that count.
+    """
+    on = F.lit(True) if on is None else on
+    each = [F.struct(F.lit(b).alias("back"), (ratio(F.col("pf"), lag("pf", b)) - 1).alias("ret"), *(lag(s, b).alias(s) for s in names)) for b in backs]
+    past = signals.select("ticker", "date", "i", F.array(*each).alias("x")).where(on).select("ticker", "date", "i", F.explode("x").alias("x")).select("ticker", "date", "i", "x.*")
+    ic = rank_correlation(tall(past.where("i >= back + 1"), names, ["back", "ret"]), "score", "ret", least, ("signal", "date", "back"))
+    pairs = signals.sparkSession.createDataFrame([(s, b) for s in names for b in backs], "signal string, back int")
+    grid = signals.where(on).select("date", "i").distinct().crossJoin(pairs)
     safe = F.when(F.col("ic").isNotNull() & ~F.isnan("ic"), F.col("ic")).otherwise(F.lit(0.0))
-    return grid.join(ic.drop("i"), ["signal", "date"], "left").select("signal", "date", "i", safe.alias("ic"))
+    return grid.join(ic.drop("i"), ["signal", "date", "back"], "left").select("signal", "date", "i", "back", safe.alias("ic"))
 
 
-def blended_ics(signals: DataFrame, names: list[str], short: int = 21, long: int = 63) -> DataFrame:
+def blended_ics(signals: DataFrame, names: list[str], short: int = 21, long: int = 63, least: int = 10, on: Column | None = None) -> DataFrame:
     """0.70 of the short and 0.30 of the long IC."""
-    a = trailing_ics(signals, names, short)
-    b = trailing_ics(signals, names, long).select("signal", "date", F.col("ic").alias("long_ic"))
-    return a.join(b, ["signal", "date"]).select("signal", "date", "i", (0.70 * F.col("ic") + 0.30 * F.col("long_ic")).alias("ic"))
+    one = lambda b: F.max(F.when(F.col("back") == b, F.col("ic")))
+    return trailing_ics(signals, names, (short, long), least, on).groupBy("signal", "date", "i").agg((0.70 * one(short) + 0.30 * one(long)).alias("ic"))
 
 
 def adapt_weights(ics: DataFrame, names: list[str], alpha: float = 2 / 11, floor: float = 0.05, ceiling: float = 0.40) -> DataFrame:
@@ -69,14 +74,15 @@ def latest_weights(weights: DataFrame, names: list[str]) -> DataFrame:
     return each.select("strategy_id", "signal", F.when(whole, F.element_at("w", F.col("signal")) / F.col("total")).otherwise(F.lit(1 / len(names))).alias("weight"))
 
 
-def ensemble(signals: DataFrame, names: list[str], weights: DataFrame, least: int = 3) -> DataFrame:
-    """Date, ticker, composite, rank under weights (date, signal, weight)."""
+def ensemble(signals: DataFrame, names: list[str], weights: DataFrame, least: int = 3, keys: list[str] | None = None) -> DataFrame:
+    """Keys (date), ticker, composite, rank under weights (keys, signal, weight)."""
+    keys = keys or ["date"]
     rows = tall(signals, names, []).where(F.col("score").isNotNull()).join(weights, ["date", "signal"])
-    score = rows.groupBy("date", "ticker").agg(F.count(F.lit(1)).alias("live"), F.sum(F.col("weight") * F.col("score")).alias("s"), F.sum("weight").alias("w"))
-    score = score.where((F.col("live") >= least) & (F.col("w") > 0)).select("date", "ticker", (F.col("s") / F.col("w")).alias("composite"))
+    score = rows.groupBy(*keys, "ticker").agg(F.count(F.lit(1)).alias("live"), F.sum(F.col("weight") * F.col("score")).alias("s"), F.sum("weight").alias("w"))
+    score = score.where((F.col("live") >= least) & (F.col("w") > 0)).select(*keys, "ticker", (F.col("s") / F.col("w")).alias("composite"))
     # ranked by what is reported, so that equal reports tie by name
     score = score.withColumn("composite", F.round("composite", 6) + F.lit(0.0))
-    return score.withColumn("rank", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("composite"), "ticker")))
+    return score.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("composite"), "ticker")))
 
 
 # ---- league --------------------------------------------------------------------------------
@@ -170,5 +176,6 @@ def league_table(signals: DataFrame, daily: DataFrame, incumbent: DataFrame, nam
     members = quintile_members(signals, names, 5, start, least, smallest)
     quality = spread_quality(quintile_spread(members, daily, 5, start), churn(members))
     tests = split_t_stats(ic_series(signals, names, h, start, least), rows)
-    joined = tests.join(quality, "signal").join(incumbent_correlation(signals, incumbent, names, 21, start, least), "signal")
+    every = signals.sparkSession.createDataFrame([(n,) for n in names], "signal string")  # a signal that can't be tested keeps its row
+    joined = every.join(tests, "signal", "left").join(quality, "signal", "left").join(incumbent_correlation(signals, incumbent, names, 21, start, least), "signal", "left")
     return joined.withColumn("verdict", verdict()).orderBy(F.desc("t_oos"), "signal")

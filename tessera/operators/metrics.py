@@ -15,9 +15,8 @@ def running(key: str = "strategy_id"):
 
 
 def equity(daily: DataFrame, key: str = "strategy_id") -> DataFrame:
-    """M1: equity = running product of 1 + ret (through logarithms: a total loss makes it NULL)."""
-    grown = F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(running(key)))
-    return daily.withColumn("equity", grown)
+    """M1: equity = running product of 1 + ret; a missing ret is 0, and after a total loss all is 0."""
+    return daily.withColumn("equity", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(running(key)))
 
 
 def sharpe(r: Column, least: int = 20) -> Column:
@@ -29,11 +28,11 @@ def sharpe(r: Column, least: int = 20) -> Column:
 def summary(daily: DataFrame, key: str = "strategy_id") -> DataFrame:
     """M1-M5: cagr, sharpe, sortino, max_drawdown, hit_rate, vol by strategy."""
     eq = equity(daily, key)
-    eq = eq.withColumn("dd", F.col("equity") / F.greatest(F.lit(0.0), F.max("equity").over(running(key))) - 1)
+    eq = eq.withColumn("dd", ratio(F.col("equity"), F.max("equity").over(running(key))) - 1)
     r = F.col("ret")
     down = F.stddev_samp(F.when(r < 0, r))
     return eq.groupBy(key).agg(
-        (F.pow(F.max_by("equity", "date"), YEAR / F.count(F.lit(1))) - 1).alias("cagr"), F.round(sharpe(r), 2).alias("sharpe"),
+        F.when(F.max_by("equity", "date") >= 0, F.pow(F.max_by("equity", "date"), YEAR / F.count(F.lit(1))) - 1).alias("cagr"), F.round(sharpe(r), 2).alias("sharpe"),
         F.when(down > 0, F.avg(r) * YEAR / (down * F.sqrt(F.lit(YEAR)))).alias("sortino"), F.min("dd").alias("max_drawdown"),
         F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("hit_rate"), (F.stddev_samp(r) * F.sqrt(F.lit(YEAR))).alias("vol"),
     )
@@ -87,44 +86,54 @@ def yearly(daily: DataFrame, key: str = "strategy_id", least: int = 40) -> DataF
     r = F.col("ret")
     sd = F.stddev_samp(r)
     y = daily.where(r.isNotNull()).groupBy(key, F.year("date").alias("year")).agg(
-        F.count(r).alias("n"), (F.exp(F.sum(F.log1p(r))) - 1).alias("ret"), (sd * F.sqrt(F.lit(YEAR))).alias("vol"), F.when(sd > 0, F.avg(r) / sd * F.sqrt(F.lit(YEAR))).alias("sharpe")
+        F.count(r).alias("n"), (F.product(1 + r) - 1).alias("ret"), (sd * F.sqrt(F.lit(YEAR))).alias("vol"), F.when(sd > 0, F.avg(r) / sd * F.sqrt(F.lit(YEAR))).alias("sharpe")
     )
     return y.where(F.col("n") >= least)
 
 
-def daily_snapshot(values: DataFrame, key: str = "strategy_id", rf: float = 0.04) -> DataFrame:
-    """Peak and rolling figures end at the row before, as of the time of writing."""
+def daily_snapshot(values: DataFrame, bench: DataFrame, key: str = "strategy_id", rf: float = 0.04) -> DataFrame:
+    """As of the time of writing, so peak and rolling figures end at the row before; benchmark (date, m, rm) beside it.
+
+    The first row has no return (0) and no peak (drawdown 0).  Rolling moments are differences of running sums.
+    """
     w = Window.partitionBy(key).orderBy("date")
-    rows = values.withColumn("r", ratio(F.col("value"), F.lag("value").over(w)) - 1)
-    frame = lambda n: w.rowsBetween(-n, -1)
+    rows = values.withColumn("r", F.coalesce(ratio(F.col("value"), F.lag("value").over(w)) - 1, F.lit(0.0)))
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    sd90 = F.stddev_pop("r").over(frame(90))
+
+    def moments(n: int) -> tuple[Column, Column, Column]:
+        older = w.rowsBetween(Window.unboundedPreceding, -n - 1)
+        count, s1, s2 = (F.coalesce(F.sum(x).over(past), F.lit(0)) - F.coalesce(F.sum(x).over(older), F.lit(0)) for x in (F.lit(1), F.col("r"), F.col("r") * F.col("r")))
+        var = s2 / count - s1 * s1 / count / count
+        return count, s1 / count, F.sqrt(F.when(var > s2 * 1e-12, var).otherwise(F.lit(0.0)))
+
+    (n90, mean90, sd90), (n21, _, sd21) = moments(90), moments(21)
+    first = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a day of the benchmark
+    b = bench.select("date", F.col("rm").alias("bench_daily"), (F.col("m") / F.first("m").over(first) - 1).alias("bench_cumulative"))
     return rows.select(
         key, "date", F.col("r").alias("daily"), (ratio(F.col("value"), F.first("value").over(running(key))) - 1).alias("cumulative"),
-        (ratio(F.col("value"), F.greatest("value", F.max("value").over(past))) - 1).alias("drawdown"),
-        F.when((F.count("r").over(frame(90)) >= 20) & (sd90 > 0), (F.avg("r").over(frame(90)) * YEAR - rf) / (sd90 * F.sqrt(F.lit(YEAR)))).alias("sharpe_90"),
-        F.when(F.count("r").over(frame(21)) >= 5, F.stddev_pop("r").over(frame(21)) * F.sqrt(F.lit(YEAR))).alias("vol_21"),
-    )
+        F.coalesce(ratio(F.col("value"), F.max("value").over(past)) - 1, F.lit(0.0)).alias("drawdown"),
+        F.when((n90 >= 20) & (sd90 > 0), (mean90 * YEAR - rf) / (sd90 * F.sqrt(F.lit(YEAR)))).alias("sharpe_90"),
+        F.when(n21 >= 5, sd21 * F.sqrt(F.lit(YEAR))).alias("vol_21"),
+    ).join(b, "date", "left")
 
 
 def monthly_summary(values: DataFrame, bench: DataFrame, key: str = "strategy_id") -> DataFrame:
     """Start, end, return, summed benchmark returns and alpha by month."""
-    both = values.join(F.broadcast(bench), "date", "left")
+    both = values.join(bench, "date", "left")
     m = both.groupBy(key, F.date_format("date", "yyyy-MM").alias("month")).agg(
         F.min_by("value", "date").alias("start"), F.max_by("value", "date").alias("end"), F.coalesce(F.sum("rm"), F.lit(0.0)).alias("bench")
     )
     return m.withColumn("ret", ratio(F.col("end"), F.col("start")) - 1).withColumn("alpha", F.col("ret") - F.col("bench"))
 
 
-def ytd(values: DataFrame, year: int, key: str = "strategy_id") -> DataFrame:
-    """Population deviation; drawdown of the last value against the highest of the year."""
-    rows = values.where(F.year("date") == year)
+def ytd(values: DataFrame, year: int, key: str = "strategy_id", rf: float = 0.04) -> DataFrame:
+    """Population deviation; the year's first return is that on the last value before; drawdown against the highest of the year."""
     w = Window.partitionBy(key).orderBy("date")
-    rows = rows.withColumn("r", ratio(F.col("value"), F.lag("value").over(w)) - 1)
-    sd = F.stddev_pop("r")
+    rows = values.withColumn("r", F.coalesce(ratio(F.col("value"), F.lag("value").over(w)) - 1, F.lit(0.0))).where(F.year("date") == year)
+    vol = F.stddev_pop("r") * F.sqrt(F.lit(YEAR))
     return rows.groupBy(key).agg(
-        (ratio(F.max_by("value", "date"), F.min_by("value", "date")) - 1).alias("ret"), F.when(sd > 0, F.avg("r") / sd * F.sqrt(F.lit(YEAR))).alias("sharpe"),
-        (F.min("value") / F.max("value") - 1).alias("drawdown"),
+        (ratio(F.max_by("value", "date"), F.min_by("value", "date")) - 1).alias("ret"), F.when(vol > 0, (F.avg("r") * YEAR - rf) / vol).alias("sharpe"), vol.alias("vol"),
+        (F.min("value") / F.max("value") - 1).alias("drawdown"), F.count(F.lit(1)).alias("days"),
     )
 
 
@@ -134,13 +143,21 @@ PERIODS = [("1W", 7), ("1M", 30), ("3M", 91), ("6M", 182), ("1Y", 365), ("YTD",
 
 def multi_period(values: DataFrame, bench: DataFrame, key: str = "strategy_id") -> DataFrame:
     """Returns over PERIODS for strategy and benchmark (date, m), and the winner."""
-    periods = values.sparkSession.createDataFrame(PERIODS, "period string, days int")
-    end = values.agg(F.max("date").alias("end"))
-    start = F.when(F.col("days") > 0, F.date_sub("end", F.col("days"))).when(F.col("days") == 0, F.trunc("end", "year")).otherwise(F.lit("1900-01-01").cast("date"))
-    limits = F.broadcast(periods.crossJoin(end).select("period", start.alias("start")))  # seven rows
-    own = values.crossJoin(limits).where("date >= start").groupBy(key, "period").agg((ratio(F.max_by("value", "date"), F.min_by("value", "date")) - 1).alias("ret"))
-    b = bench.crossJoin(limits).where("date >= start").groupBy("period").agg((ratio(F.max_by("m", "date"), F.min_by("m", "date")) - 1).alias("bench"))
-    return own.join(F.broadcast(b), "period").withColumn("winner", F.when(F.col("ret") > F.col("bench"), "portfolio").otherwise("benchmark"))
+    end = values.agg(F.max("date")).first()[0]  # one date
+
+    def over(df: DataFrame, x: str, name: str, *keys: str) -> DataFrame:
+        """One conditional aggregate a period instead of a copy of the rows."""
+        figures = []
+        for period, days in PERIODS:
+            last = F.lit(end).cast("date")
+            start = F.date_sub(last, days) if days > 0 else F.trunc(last, "year") if days == 0 else F.lit("1900-01-01").cast("date")
+            at = F.when(F.col("date") >= start, F.col("date"))
+            figures.append(F.struct(F.lit(period).alias("period"), (ratio(F.max_by(x, at), F.min_by(x, at)) - 1).alias(name), F.count(at).alias("n")))
+        each = df.groupBy(*keys).agg(F.array(*figures).alias("f")).select(*keys, F.explode("f").alias("f"))
+        return each.where("f.n > 0").select(*keys, "f.period", f"f.{name}")
+
+    own, b = over(values, "value", "ret", key), over(bench, "m", "bench")
+    return own.join(b, "period").withColumn("winner", F.when(F.col("ret") > F.col("bench"), "portfolio").otherwise("benchmark"))
 
 
 def rebased(values: DataFrame, bench: DataFrame, key: str = "strategy_id") -> DataFrame:
@@ -155,7 +172,7 @@ def rebased(values: DataFrame, bench: DataFrame, key: str = "strategy_id") -> Da
 
 def rolling_alpha(daily: DataFrame, bench: DataFrame, n: int = 20, key: str = "strategy_id") -> DataFrame:
     """Mean difference of returns over n rows x 252 x 100."""
-    both = daily.join(F.broadcast(bench), "date").withColumn("d", F.col("ret") - F.col("rm"))
+    both = daily.join(bench, "date").withColumn("d", F.col("ret") - F.col("rm"))
     w = Window.partitionBy(key).orderBy("date").rowsBetween(-(n - 1), 0)
     return both.withColumn("alpha", F.when(F.count("d").over(w) == n, F.avg("d").over(w) * 25200))
 
@@ -185,22 +202,24 @@ def rebalance_calendar(dates: DataFrame, every: int, warmup: int) -> DataFrame:
     return rows.select("date", "i", F.expr(f"(i - {warmup}) div {every}").alias("period"), (((F.col("i") - warmup) % every == 0) & (F.col("i") < F.col("last"))).alias("rebalance"))
 
 
-def drifted_returns(targets: DataFrame, returns: DataFrame, every: int, warmup: int) -> tuple[DataFrame, DataFrame]:
-    """(config, date, i, gross) and the weights at the end of each period (config, period, ticker, weight).
+def drifted_returns(targets: DataFrame, returns: DataFrame, every: int | Column, warmup: int) -> tuple[DataFrame, DataFrame]:
+    """(config, period, i, date, v, gross, held_gross, held_net) by day and the weights at the end of each period (config, period, ticker, weight).
 
     Within a period a name is worth w0 prod(1 + r), the book 1 + sum w0 (prod(1 + r) - 1): no day loop.
-    targets: config, period, ticker, weight; returns: ticker, i, date, r; missing returns are 0.
+    targets: config, period, ticker, weight; returns: ticker, i, date, r (and config, every where cadences
+    differ); missing returns are 0.
     """
-    rows = returns.where(F.col("i") > warmup).select("ticker", "i", "date", F.coalesce("r", F.lit(0.0)).alias("r"), F.expr(f"(i - {warmup} - 1) div {every}").alias("period"))
-    held = targets.join(rows, ["period", "ticker"])
+    step = F.lit(every) if isinstance(every, int) else every
+    rows = returns.where(F.col("i") > warmup).withColumn("r", F.coalesce("r", F.lit(0.0))).withColumn("period", F.call_function("div", F.col("i") - warmup - 1, step))
+    held = targets.join(rows, [c for c in ("config", "period", "ticker") if c in rows.columns])
     name = Window.partitionBy("config", "period", "ticker").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    grown = held.withColumn("value", F.col("weight") * F.exp(F.sum(F.log1p("r")).over(name)))
-    book = grown.groupBy("config", "period", "i", "date").agg((1 + F.sum(F.col("value") - F.col("weight"))).alias("v"))
+    grown = held.withColumn("value", F.col("weight") * F.product(1 + F.col("r")).over(name))
+    book = grown.groupBy("config", "period", "i", "date").agg((1 + F.sum(F.col("value") - F.col("weight"))).alias("v"), F.sum(F.abs("value")).alias("g"), F.sum("value").alias("n"))
     before = F.coalesce(F.lag("v").over(Window.partitionBy("config", "period").orderBy("i")), F.lit(1.0))
-    daily = book.withColumn("gross", F.col("v") / before - 1)
+    daily = book.select("config", "period", "i", "date", "v", (ratio(F.col("v"), before) - 1).alias("gross"), ratio(F.col("g"), F.col("v")).alias("held_gross"), ratio(F.col("n"), F.col("v")).alias("held_net"))
     last = grown.groupBy("config", "period", "ticker").agg(F.max_by("value", "i").alias("value"))
     final = book.groupBy("config", "period").agg(F.max_by("v", "i").alias("v"))
-    return daily, last.join(final, ["config", "period"]).select("config", "period", "ticker", (F.col("value") / F.col("v")).alias("weight"))
+    return daily, last.join(final, ["config", "period"]).select("config", "period", "ticker", ratio(F.col("value"), F.col("v")).alias("weight"))
 
 
 def traded(targets: DataFrame, ends: DataFrame) -> DataFrame:
@@ -217,12 +236,11 @@ def net_returns(daily: DataFrame, trades: DataFrame, bps: float | Column) -> Dat
     return daily.join(trades, ["config", "period"]).withColumn("ret", F.col("gross") - cost)
 
 
-def turnover_summary(daily: DataFrame, trades: DataFrame, targets: DataFrame) -> DataFrame:
-    """Turnover a year, mean gross and net exposure of the targets."""
-    years = daily.groupBy("config").agg((F.count(F.lit(1)) / YEAR).alias("years"))
+def turnover_summary(daily: DataFrame, trades: DataFrame) -> DataFrame:
+    """Turnover a year, mean gross and net exposure by day, after drift."""
+    book = daily.groupBy("config").agg((F.count(F.lit(1)) / YEAR).alias("years"), F.avg("held_gross").alias("gross"), F.avg("held_net").alias("net"))
     t = trades.groupBy("config").agg(F.sum("traded").alias("traded"))
-    book = targets.groupBy("config", "period").agg(F.sum(F.abs("weight")).alias("g"), F.sum("weight").alias("n")).groupBy("config").agg(F.avg("g").alias("gross"), F.avg("n").alias("net"))
-    return t.join(years, "config").join(book, "config").select("config", (F.col("traded") / F.col("years") / 2).alias("turnover"), "gross", "net")
+    return t.join(book, "config").select("config", (F.col("traded") / F.col("years") / 2).alias("turnover"), "gross", "net")
 
 
 def cost_sensitivity(daily: DataFrame, trades: DataFrame, levels=(0.0, 5.0, 15.0)) -> DataFrame:
@@ -231,12 +249,12 @@ def cost_sensitivity(daily: DataFrame, trades: DataFrame, levels=(0.0, 5.0, 15.0
     spread = daily.crossJoin(F.broadcast(costs))
     first = F.row_number().over(Window.partitionBy("config", "bps", "period").orderBy("i")) == 1
     net = spread.join(trades, ["config", "period"]).withColumn("ret", F.col("gross") - F.when(first, F.col("traded") * F.col("bps") / 10000.0).otherwise(F.lit(0.0)))
-    return net.groupBy("config", "bps").agg(sharpe(F.col("ret")).alias("sharpe"), (F.exp(F.sum(F.when(F.col("ret") > -1, F.log1p("ret")))) - 1).alias("total"))
+    return net.groupBy("config", "bps").agg(sharpe(F.col("ret")).alias("sharpe"), (F.product(1 + F.coalesce("ret", F.lit(0.0))) - 1).alias("total"))
 
 
 def blends(a: DataFrame, b: DataFrame, allocations=(0.7, 0.6, 0.5)) -> DataFrame:
     """Mixes of two return series (date, ret) and their correlation."""
     both = a.select("date", F.col("ret").alias("x")).join(b.select("date", F.col("ret").alias("y")), "date").where("x is not null and y is not null")
-    mixes = F.broadcast(a.sparkSession.createDataFrame([(float(w),) for w in allocations], "share double"))
+    mixes = a.sparkSession.createDataFrame([(float(w),) for w in allocations], "share double")
     mixed = both.crossJoin(mixes).withColumn("r", F.col("share") * F.col("x") + (1 - F.col("share")) * F.col("y"))
     return mixed.groupBy("share").agg(sharpe(F.col("r")).alias("sharpe"), (F.stddev_samp("r") * F.sqrt(F.lit(YEAR))).alias("vol"), F.round(F.corr("x", "y"), 2).alias("corr"))

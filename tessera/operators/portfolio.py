@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tessera.functions.windows import ANNUAL, ratio, roll, trailing
+from tessera.functions.windows import ANNUAL, trailing
 
 MAX_POSITION, DUST, VOL_FLOOR = 0.05, 0.004, 0.05
 DATE = ["date"]
@@ -19,7 +19,7 @@ def eligibility(panel: DataFrame, dims: DataFrame, min_price: float = 5.0, min_r
     """`panel` with eligible.  The framed median is percentile 0.5."""
     history = F.count("px").over(Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     dollars = F.expr("percentile(px * volume, 0.5)").over(trailing(21))
-    known = panel.withColumn("_n", history).withColumn("_d", dollars).join(F.broadcast(dims), "ticker", "left")
+    known = panel.withColumn("_n", history).withColumn("_d", dollars).join(dims, "ticker", "left")
     liquid = (F.col("_d") >= min_dollars) | F.col("asset_class").isin(*exempt)
     ok = (F.col("px") >= min_price) & (F.col("_n") >= min_rows) & liquid & ~F.col("asset_class").isin(*gated)
     return known.withColumn("eligible", F.coalesce(ok, F.lit(False))).drop("_n", "_d")
@@ -69,9 +69,9 @@ def sector_cap(weights: DataFrame, long_cap: float = 0.20, short_cap: float = 0.
     return held.withColumn("weight", F.col("weight") * F.least(F.lit(1.0), cap / total)).where(F.abs("weight") >= DUST)
 
 
-def build_targets(scored: DataFrame, gross: float, net: float, longs: int = 40, shorts: int = 20, keys: list[str] = DATE, **caps) -> DataFrame:
+def build_targets(scored: DataFrame, gross: float | Column, net: float | Column, longs: int = 40, shorts: int = 20, keys: list[str] = DATE, **caps) -> DataFrame:
     """Keys, ticker, leg, sector and the signed weight; `scored` has score, vol, sector, asset_class."""
-    legs = select_legs(scored, longs, shorts, keys=keys).withColumn("leg_gross", leg_gross(F.lit(gross), F.lit(net)))
+    legs = select_legs(scored, longs, shorts, keys=keys).withColumn("leg_gross", leg_gross(*(x if isinstance(x, Column) else F.lit(x) for x in (gross, net))))
     return sector_cap(inverse_vol(legs, keys=keys), keys=keys, **caps).withColumn("weight", F.col("weight") * F.col("leg"))
 
 
@@ -98,21 +98,24 @@ def sleeve_targets(scored: DataFrame, target_vol: float = 0.08, floor: float = 0
 
 
 def risk_parity(panel: DataFrame, groups: DataFrame, core: float = 0.7, tilt: float = 0.05, bond_floor: float = 0.02, n: int = 63) -> DataFrame:
-    """Weights by ticker at the last date.  Group returns are means over complete rows; inverse volatility across groups; a tilt from bonds to equity; equal inside."""
-    rows = panel.where(F.col("r").isNotNull()).join(F.broadcast(groups), "ticker")
+    """Weights by ticker at the last date.  Group returns are means over complete rows, of which n are needed; inverse volatility
+    across groups; a tilt from bonds to equity where both are there; equal inside."""
+    rows = panel.where(F.col("r").isNotNull()).join(groups, "ticker")
     width = groups.join(panel.select("ticker").distinct(), "ticker").groupBy("grp").agg(F.count(F.lit(1)).alias("width"))
-    daily = rows.groupBy("grp", "date").agg(F.avg("r").alias("r"), F.count(F.lit(1)).alias("n")).join(F.broadcast(width), "grp").where("n = width")
+    daily = rows.groupBy("grp", "date").agg(F.avg("r").alias("r"), F.count(F.lit(1)).alias("n")).join(width, "grp").where("n = width")
     last = daily.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("date")))).where(F.col("k") <= n)
-    vol = last.groupBy("grp", "width").agg((F.stddev_samp("r") * F.sqrt(F.lit(ANNUAL))).alias("vol")).where("vol > 0")
+    vol = last.groupBy("grp", "width").agg((F.stddev_samp("r") * F.sqrt(F.lit(ANNUAL))).alias("vol"), F.count(F.lit(1)).alias("n")).where(F.expr(f"vol > 0 and n >= {n}"))
     share = vol.withColumn("w", 1 / F.col("vol") / F.sum(1 / F.col("vol")).over(Window.partitionBy()) * core)
-    moved = F.when(F.col("grp") == "fixed_income", F.greatest(F.col("w") - tilt, F.lit(bond_floor))).when(F.col("grp") == "equity", F.col("w") + tilt).otherwise(F.col("w"))
-    return share.select("grp", (moved / F.col("width")).alias("weight")).join(groups, "grp").select("ticker", "grp", "weight")
+    every = Window.partitionBy()  # a row a group
+    both = F.max(F.col("grp") == "fixed_income").over(every) & F.max(F.col("grp") == "equity").over(every)
+    moved = F.when(~both, F.col("w")).when(F.col("grp") == "fixed_income", F.greatest(F.col("w") - tilt, F.lit(bond_floor))).when(F.col("grp") == "equity", F.col("w") + tilt).otherwise(F.col("w"))
+    return share.withColumn("w", moved).select("grp", (F.col("w") / F.col("width")).alias("weight")).join(groups, "grp").select("ticker", "grp", "weight")
 
 
 def alpha_tilt(scores: DataFrame, satellite: float = 0.3, least: float = 0.05, most: float = 0.10) -> DataFrame:
-    """Scores over `least`, normalised, clipped, normalised again to the satellite share."""
+    """Scores over `least`, normalised to the satellite share, clipped at `most`, normalised again."""
     w = _over("date")
-    s = scores.where(F.col("score") > least).withColumn("weight", F.col("score") / F.sum("score").over(w))
+    s = scores.where(F.col("score") > least).withColumn("weight", F.col("score") / F.sum("score").over(w) * satellite)
     s = s.withColumn("weight", F.least("weight", F.lit(most)))
     return s.withColumn("weight", F.col("weight") / F.sum("weight").over(w) * satellite)
 
@@ -131,15 +134,22 @@ def dynamic_kelly(weights: DataFrame, k: float = 0.5) -> DataFrame:
     return weights.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight") * factor).otherwise(F.lit(0.0)))
 
 
+#: Fixed cash shares by regime; others count as TRANSITION.
+CASH = {"CALM": 0.10, "TRANSITION": 0.20, "CRISIS": 0.30}
+
+
 def trend_filter(weights: DataFrame, trend: DataFrame) -> DataFrame:
-    """Class multipliers by the benchmark against its average (date, above, label), rescaled to the old total."""
-    known = weights.join(F.broadcast(trend), "date")
+    """Class multipliers by the benchmark against its average (date, above, label); scaled down where more than 1 - cash is invested."""
+    known = weights.join(trend, "date")
     up = F.col("above") & (F.col("label") == "CALM")
     equity, bond = F.col("asset_class") == "equity", F.col("asset_class") == "fixed_income"
     factor = F.when(up & equity, 1.15).when(up & bond, 0.85).when(~F.col("above") & equity, 0.80).when(~F.col("above") & bond, 1.20).otherwise(1.0)
     w = _over("date")
-    moved = known.withColumn("_new", F.col("weight") * factor)
-    return moved.withColumn("weight", F.col("_new") * ratio(F.sum("weight").over(w), F.sum("_new").over(w))).drop("_new")
+    moved = known.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight") * factor).otherwise(F.col("weight")))
+    cash = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in CASH.items() for x in kv)), F.col("label")), F.lit(CASH["TRANSITION"]))
+    invested = F.sum(F.when(F.col("weight") > 0, F.col("weight"))).over(w)
+    over = (F.col("weight") > 0) & (invested > 1 - cash)
+    return moved.withColumn("weight", F.when(over, F.col("weight") * (1 - cash) / invested).otherwise(F.col("weight")))
 
 
 def score_weights(scores: DataFrame, top: int = 10, cap: float = 0.15) -> DataFrame:
@@ -159,7 +169,7 @@ def top_n_by_group(scores: DataFrame, n: int = 15, most: int = 3, group: str = "
 
 def substitute(picks: DataFrame, mapping: DataFrame, k: int = 5) -> DataFrame:
     """The first k picks become their mapped names; equal weights."""
-    known = picks.join(F.broadcast(mapping), "ticker", "left")  # a small fixed map
+    known = picks.join(mapping, "ticker", "left")  # a small fixed map
     name = F.when((F.col("rank") <= k) & F.col("mapped").isNotNull(), F.col("mapped")).otherwise(F.col("ticker"))
     return known.withColumn("held", name).withColumn("weight", 1.0 / F.count(F.lit(1)).over(_over("date")))
 
@@ -174,23 +184,29 @@ def crisis_allocation(scores: DataFrame, top: int = 4, cap: float = 0.35, rest:
     return s.unionByName(left.select("date", F.lit(parking).alias("ticker"), "weight"))
 
 
-def long_short_engine(scored: DataFrame, longs: int = 15, shorts: int = 10, long_w: float = 0.024, short_w: float = 0.018, least: int = 25, min_price: float = 10.0) -> DataFrame:
-    """Momentum + 0.03 alpha, fixed weights at both ends; needs mom, alpha, px."""
+def long_short_engine(scored: DataFrame, longs: int = 15, shorts: int = 10, long_w: float = 0.024, short_w: float = 0.018, least: int = 25, min_price: float = 10.0, most: int | None = None) -> DataFrame:
+    """Momentum + 0.03 alpha, fixed weights at both ends; needs mom, alpha, px.  `most`: names a sector (column sector) at either end."""
     s = scored.where((F.col("px") >= min_price) & F.col("mom").isNotNull()).withColumn("score", F.col("mom") + 0.03 * F.coalesce("alpha", F.lit(0.0)))
     w = _over("date")
     s = s.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least)
-    s = s.withColumn("_top", F.row_number().over(w.orderBy(F.desc("score"), "ticker"))).withColumn("_low", F.row_number().over(w.orderBy("score", F.desc("ticker"))))
+    down, up = [F.desc("score"), F.col("ticker")], [F.col("score"), F.desc("ticker")]
+    s = s.withColumn("_in_top", F.lit(True)).withColumn("_in_low", F.lit(True))
+    if most is not None:  # walking along the ranking with at most `most` a sector = rank within the sector, then rank overall
+        group = _over("date", "sector")
+        s = s.withColumn("_in_top", F.row_number().over(group.orderBy(*down)) <= most).withColumn("_in_low", F.row_number().over(group.orderBy(*up)) <= most)
+    s = s.withColumn("_top", F.when(F.col("_in_top"), F.sum(F.col("_in_top").cast("int")).over(w.orderBy(*down).rowsBetween(Window.unboundedPreceding, 0))))
+    s = s.withColumn("_low", F.when(F.col("_in_low"), F.sum(F.col("_in_low").cast("int")).over(w.orderBy(*up).rowsBetween(Window.unboundedPreceding, 0))))
     weight = F.when(F.col("_top") <= longs, long_w).when(F.col("_low") <= shorts, -short_w)
-    return s.withColumn("weight", weight).where(F.col("weight").isNotNull()).drop("_n", "_top", "_low")
+    return s.withColumn("weight", weight).where(F.col("weight").isNotNull()).drop("_n", "_top", "_low", "_in_top", "_in_low")
 
 
 def leverage_budget(weights: DataFrame, budget: float = 2.5, cap: float = 0.35) -> DataFrame:
-    """Needs weight and lev; levered names are scaled to the budget, names capped, the total brought to one at most."""
+    """Needs weight and lev; dust goes and names are capped, then levered names are scaled to the budget and the total to one at most."""
     w = _over("date")
+    weights = weights.where(F.col("weight") > 0.005).withColumn("weight", F.least("weight", F.lit(cap)))
     used = F.sum(F.abs("lev") * F.col("weight")).over(w)
     s = weights.withColumn("_used", used)
     s = s.withColumn("weight", F.when((F.col("_used") > budget) & (F.abs("lev") > 1), F.col("weight") * budget / F.col("_used")).otherwise(F.col("weight")))
-    s = s.withColumn("weight", F.least("weight", F.lit(cap)))
     return s.withColumn("weight", F.col("weight") / F.greatest(F.lit(1.0), F.sum("weight").over(w))).drop("_used")
 
 
@@ -201,5 +217,3 @@ def equity_floor(weights: DataFrame, floor: float = 0.30) -> DataFrame:
     short = (F.col("asset_class") == "equity") & (F.col("_e") > 0) & (F.col("_e") < floor)
     return s.withColumn("weight", F.when(short, F.col("weight") * floor / F.col("_e")).otherwise(F.col("weight"))).drop("_e")
 
-
-__all__ = ["roll"]

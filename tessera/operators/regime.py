@@ -18,7 +18,7 @@ ACTIVE, CAUTIOUS, CRISIS = "ACTIVE", "CAUTIOUS", "CRISIS"
 LADDER = [(ACTIVE, 1.0, 0.8), (CAUTIOUS, 0.6, 0.3), (CRISIS, 0.5, 0.0)]
 #: Fixed vote weights of the eight-signal detector and its regimes from mild to severe.
 EIGHT = {"vix": 0.25, "sma": 0.20, "vix_trend": 0.10, "breadth": 0.10, "drawdown": 0.10, "credit": 0.10, "spike": 0.10, "curve": 0.05}
-SEVERITY = ("CALM", "NORMAL", "STRESS", "CRISIS")
+SEVERITY = ("EUPHORIA", "CALM", "CAUTION", "STRESS", "CRISIS")
 
 
 def sma(x: str, n: int, key: str = "market") -> Column:
@@ -123,27 +123,40 @@ def simple_regime(prices: DataFrame, spike: bool = False, n: int = 200) -> DataF
     return prices.withColumn("label", label)
 
 
-def eight_votes(prices: DataFrame, n: int = 200) -> DataFrame:
-    """Market, date, label from the weighted vote of eight signals (m, rm, vix, oas, curve, breadth), ties to the milder; overrides last."""
+def eight_votes(prices: DataFrame, n: int = 200, short: int = 50, year: int = 252) -> DataFrame:
+    """Market, date, label from the weighted vote of eight signals (m, vix, oas, curve, breadth); ties to the milder, overrides last.
+
+    A vote is the place of a regime in SEVERITY; a signal that can't be told doesn't vote.
+    """
     w = Window.partitionBy("market").orderBy("date")
-    m, vix = F.col("m"), F.col("vix")
-    gap = ratio(m, sma("m", n)) - 1
-    fall = ratio(m, roll(F.max, m, 252, "market", 1)) - 1
-    rel = ratio(vix, sma("vix", 21))
-    jump = ratio(vix, F.lag("vix", 5).over(w)) - 1
-    graded = lambda x, *cuts: F.when(x.isNull(), 1).when(x < cuts[0], 0).when(x < cuts[1], 1).when(x < cuts[2], 2).otherwise(3)
+    m, vix, long = F.col("m"), F.col("vix"), sma("m", n)
+    euphoria, calm, caution, stress, crisis = range(5)
+    mean, jump = sma("vix", 21), ratio(vix, F.lag("vix", 5).over(w)) - 1
+    fall, five = ratio(m, roll(F.max, m, year, "market")) - 1, ratio(m, F.lag("m", 5).over(w)) - 1
+
+    def steps(x: Column, *cuts: tuple[float, int], last: int) -> Column:
+        """The vote of the first cut that x is below."""
+        out = F.when(x.isNull(), F.lit(None).cast("int"))
+        for cut, vote in cuts:
+            out = out.when(x < cut, vote)
+        return out.otherwise(last)
+
     grades = {
-        "vix": graded(vix, 15, 22, 32), "sma": graded(-gap, -0.03, 0.0, 0.05), "vix_trend": graded(rel, 0.95, 1.1, 1.3), "breadth": graded(-F.col("breadth"), -0.6, -0.45, -0.25),
-        "drawdown": graded(-fall, 0.03, 0.08, 0.15), "credit": graded(F.col("oas"), 3.5, 5.0, 6.5), "spike": graded(jump, 0.1, 0.2, 0.4), "curve": graded(-F.col("curve"), -0.5, 0.0, 0.5),
+        "vix": steps(vix, (13, euphoria), (18, calm), (25, caution), (35, stress), last=crisis),
+        "sma": F.when(long.isNull() | m.isNull(), F.lit(None).cast("int")).when((m > long) & (sma("m", short) > long), F.when(m > long * 1.10, euphoria).otherwise(calm)).when(m > long * 0.95, caution).otherwise(stress),
+        "vix_trend": F.when(mean.isNull() | vix.isNull(), F.lit(None).cast("int")).when(vix < mean * 0.85, calm).when(vix > mean * 1.30, stress).when(vix > mean, caution).otherwise(calm),
+        "breadth": steps(-F.col("breadth"), (-0.8 + 1e-12, calm), (-0.5 + 1e-12, caution), last=stress),
+        "drawdown": steps(-fall, (0.05, calm), (0.10, caution), (0.20, stress), last=crisis),
+        "credit": steps(F.col("oas"), (3.5, calm), (5.0, caution), (7.0, stress), last=crisis),
+        "spike": F.when(jump.isNull(), F.lit(None).cast("int")).when(jump > 0.50, crisis).when(jump > 0.30, stress).otherwise(calm),
+        "curve": F.when(F.col("curve").isNull(), F.lit(None).cast("int")).when(F.col("curve") > 1.0, calm).when(F.col("curve") > 0, caution).otherwise(stress),
     }
-    five = ratio(m, F.lag("m", 5).over(w)) - 1
-    graded_rows = prices.select("market", "date", vix.alias("level"), five.alias("five"), *(g.alias(k) for k, g in grades.items()))
-    votes = graded_rows.unpivot(["market", "date", "level", "five"], list(EIGHT), "signal", "grade")
-    weight = F.element_at(F.create_map(*(F.lit(x) for kv in EIGHT.items() for x in kv)), F.col("signal"))
-    mass = votes.groupBy("market", "date", "level", "five", "grade").agg(F.round(F.sum(weight), 6).alias("mass"))
-    best = mass.withColumn("k", F.row_number().over(Window.partitionBy("market", "date").orderBy(F.desc("mass"), "grade"))).where("k = 1")
-    floor = F.when((F.col("five") < -0.10) | (F.col("level") > 40), 3).when(F.col("five") < -0.05, 2).otherwise(0)
-    return best.select("market", "date", F.element_at(F.array(*map(F.lit, SEVERITY)), (F.greatest("grade", floor) + 1).cast("int")).alias("label"))
+    graded = prices.select("market", "date", vix.alias("level"), five.alias("five"), *(g.alias(k) for k, g in grades.items()))
+    weigh = [F.round(sum((F.when(F.col(k) == v, w_).otherwise(0.0) for k, w_ in EIGHT.items()), F.lit(0.0)), 6) for v in range(5)]
+    graded = graded.withColumn("mass", F.array(*weigh))
+    winner = F.array_position("mass", F.array_max("mass")).cast("int") - 1
+    floor = F.when((F.col("five") < -0.10) | (F.col("level") > 40), crisis).when(F.col("five") < -0.05, stress).otherwise(euphoria)
+    return graded.select("market", "date", F.element_at(F.array(*map(F.lit, SEVERITY)), F.greatest(winner, floor) + 1).alias("label"))
 
 
 def confirmed(labels: DataFrame) -> DataFrame:
@@ -167,8 +180,8 @@ def confirmed(labels: DataFrame) -> DataFrame:
 
 def detector_health(rows: DataFrame, last: int = 8, worst: int = 3) -> DataFrame:
     """Wrong calls among the last eight records and the boost that follows; rows: market, date, label, ret."""
-    calm = F.col("label").isin("CALM", "NORMAL")
-    wrong = F.when((calm & (F.col("ret") < -0.03)) | (~calm & (F.col("ret") > 0.03)), 1).otherwise(0)
+    calm, stress = F.col("label").isin("EUPHORIA", "CALM"), F.col("label").isin("STRESS", "CRISIS")
+    wrong = F.when((calm & (F.col("ret") < -0.03)) | (stress & (F.col("ret") > 0.03)), 1).otherwise(0)
     counted = rows.withColumn("wrong", F.sum(wrong).over(trailing(last, "market")))
     return counted.withColumn("boost", F.when(F.col("wrong") >= worst, 0.15).otherwise(0.0))
 

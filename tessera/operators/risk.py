@@ -52,7 +52,7 @@ def value_at_risk(targets: DataFrame, returns: DataFrame, keys: list[str], n: in
     held = targets.where(F.abs("weight") > least_weight)
     size = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where("_size >= 2")
     days = returns.select("date").distinct().orderBy(F.desc("date")).limit(n).select(F.col("date").alias("day"))
-    recent = returns.where(F.col("r").isNotNull()).select("ticker", F.col("date").alias("day"), "r").join(F.broadcast(days), "day", "left_semi")
+    recent = returns.where(F.col("r").isNotNull()).select("ticker", F.col("date").alias("day"), "r").join(days, "day", "left_semi")
     book = held.join(recent, "ticker").groupBy(*keys, "day").agg(F.sum(F.col("weight") * F.col("r")).alias("ret"), F.count(F.lit(1)).alias("_n"))
     whole = book.join(size, keys).where("_n = _size")
     return whole.groupBy(*keys).agg((F.sqrt(F.var_samp("ret")) * 1.645).alias("var95"))
@@ -67,7 +67,7 @@ def scale_to_var(targets: DataFrame, var: DataFrame, keys: list[str], limit: flo
 def average_correlation(returns: DataFrame, n: int = 63) -> DataFrame:
     """K6: mean pairwise correlation over complete names of the last n dates: (var(sum z) - m) / (m (m - 1)), linear in the names."""
     days = returns.select("date").distinct().orderBy(F.desc("date")).limit(n)
-    rows = returns.where(F.col("r").isNotNull()).join(F.broadcast(days), "date", "left_semi")
+    rows = returns.where(F.col("r").isNotNull()).join(days, "date", "left_semi")
     w = _over("ticker")
     z = rows.withColumn("_n", F.count("r").over(w)).where(F.col("_n") == n).withColumn("z", (F.col("r") - F.avg("r").over(w)) / F.stddev_samp("r").over(w))
     daily = z.groupBy("date").agg(F.sum("z").alias("s"), F.count("z").alias("m"))
@@ -85,7 +85,7 @@ def breakers(values: DataFrame, fear: DataFrame, key: str = "portfolio_id") -> D
     """K8-K12 for every day: values (key, date, value) and fear (date, vix; already as-of joined)."""
     w = Window.partitionBy(key).orderBy("date")
     v = F.col("value")
-    rows = values.join(F.broadcast(fear), "date", "left").withColumn("_k", F.row_number().over(w))
+    rows = values.join(fear, "date", "left").withColumn("_k", F.row_number().over(w))
     five = F.when(F.col("_k") >= 6, F.lag("value", 5).over(w)).when(F.col("_k") == 5, F.first("value").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.select(
         key, "date", "value", (ratio(v, F.lag("value", 1).over(w)) - 1).alias("daily"), (ratio(v, five) - 1).alias("weekly"),
@@ -161,7 +161,7 @@ def rebalance_orders(targets: DataFrame, positions: DataFrame, prices: DataFrame
     )
     w = _over("portfolio_id")
     ranked = orders.withColumn("_urgent", F.count(F.when(F.col("priority") <= 1, 1)).over(w))
-    ranked = ranked.withColumn("_k", F.row_number().over(w.orderBy("priority", F.desc("estimated_value"), "ticker")))
+    ranked = ranked.withColumn("_k", F.row_number().over(w.orderBy("priority", F.desc(F.round("estimated_value", 6)), "ticker")))
     return ranked.where((F.col("priority") <= 1) | (F.col("_k") <= F.greatest(F.lit(most), F.col("_urgent")))).drop("_urgent", "_k")
 
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.windows import ANNUAL, average_rank, change, clip, lag, percentile_rank, ratio, roll, series, trailing, zscore
+from tessera.functions.windows import ANNUAL, change, clip, lag, percentile_rank, ratio, roll, series, trailing, zscore
 from tessera.operators.features import legacy_zscore
 
 SIGNALS = ("xs_momentum", "mean_reversion", "trend_follow", "vol_adj_momentum", "low_vol")
@@ -29,11 +29,12 @@ def sd(n: int, x: str = "r") -> Column:
     return roll(F.stddev_samp, F.col(x), n)
 
 
-def production_signals(panel: DataFrame, history: int = 252) -> DataFrame:
-    """Ticker, date and the five signals; names with less than `history` prices are set NULL after scoring."""
+def production_signals(panel: DataFrame, history: int = 252, on: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Ticker, date, the columns `keep` and the five signals, on the rows `on` (default all); names with less than `history` prices are set NULL after scoring."""
     p = F.col("px")
+    on = F.lit(True) if on is None else on
     raw = panel.select(
-        "ticker", "date",
+        "ticker", "date", *keep, on.alias("on"),
         (ratio(lag("px", 21), lag("px", 147)) - 1).alias("mom"),
         change("px", 5).alias("r5"),
         ratio(p - sma(20), sd(20, "px")).alias("dev"),
@@ -49,8 +50,8 @@ def production_signals(panel: DataFrame, history: int = 252) -> DataFrame:
         "vol_adj_momentum": zscore("vam"),
         "low_vol": zscore("calm"),
     }
-    scored = raw.select("ticker", "date", "enough", *(c.alias(n) for n, c in scores.items()))
-    return scored.select("ticker", "date", *(F.when(F.col("enough"), F.col(n)).alias(n) for n in SIGNALS))
+    scored = raw.where("on").select("ticker", "date", *keep, "enough", *(c.alias(n) for n, c in scores.items()))
+    return scored.select("ticker", "date", *keep, *(F.when(F.col("enough"), F.col(n)).alias(n) for n in SIGNALS))
 
 
 def combine(signals: DataFrame, weights: dict[str, float], least: int = 3) -> DataFrame:
@@ -72,9 +73,9 @@ def legacy_mean_reversion(panel: DataFrame, rsi: DataFrame, fear: DataFrame, dro
     p = F.col("px")
     bands = ratio(p - (sma(20) - 2 * sd(20, "px")), 4 * sd(20, "px"))
     fall = ratio(p, roll(F.max, p, 252)) - 1
-    base = panel.withColumn("bb", bands).withColumn("dd", fall).join(rsi, ["ticker", "date"], "left").join(F.broadcast(fear), "date", "left")
+    base = panel.withColumn("bb", bands).withColumn("dd", fall).join(rsi, ["ticker", "date"], "left").join(fear, "date", "left")
     r = F.col("rsi")
-    by_rsi = F.when(r < 30, (30 - r) / 30).when(r > 70, -(r - 70) / 30).otherwise(F.lit(0.0))
+    by_rsi = F.when(r.isNull(), None).when(r < 30, (30 - r) / 30).when(r > 70, -(r - 70) / 30).otherwise(F.lit(0.0))
     raw = (by_rsi + clip(0.5 - F.col("bb"), -1, 1) + clip(-2 * F.col("dd"), 0, 1.5)) / 3
     base = base.withColumn("raw", F.when((F.col("value") > high) & (raw > 0), F.lit(0.0)).otherwise(raw))
     return base.withColumn("score", legacy_zscore(F.col("raw"))).where(F.col("i") >= drop)
@@ -99,15 +100,26 @@ def crisis_momentum(longer: bool = False) -> Column:
     return 0.5 * r(20) + 0.3 * r(62) + 0.2 * r(125) if longer else 0.6 * r(20) + 0.4 * r(62)
 
 
-def composite_alpha(panel: DataFrame) -> DataFrame:
-    """Percentile ranks of momentum, trend, sentiment (one month against volatility) and macro (calm), scaled to [-1, 1]."""
+def composite_alpha(panel: DataFrame, short: int = 50, long: int = 200) -> DataFrame:
+    """0.35 momentum + 0.25 trend + 0.25 sentiment + 0.15 macro, from [0, 1] to [-1, 1].
+
+    Momentum is a mean of the percentile ranks of the half-year, the quarter and the sum with the month; trend
+    adds three flags of the averages (0.5 for a name with fewer than `long` prices); sentiment is half the
+    rank of the week around 0.5; macro is 1 - the rank of 20-day volatility (0.5 while there is none).
+    """
+    p = F.col("px")
+    whole = F.count("px").over(Window.partitionBy("ticker")) >= long
+    flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    flags = 0.3 * flag(p > sma(short)) + 0.4 * flag(p > sma(long)) + 0.3 * flag(sma(short) > sma(long))
     raw = panel.select(
-        "ticker", "date", change("px", 126).alias("mom"), (ratio(F.col("px"), sma(50)) - 1).alias("trend"),
-        ratio(change("px", 21), sd(21)).alias("sentiment"), (-sd(63)).alias("macro"),
+        "ticker", "date", change("px", 126).alias("half"), change("px", 63).alias("quarter"), (change("px", 21) + change("px", 63) + change("px", 126)).alias("sum"),
+        F.when(whole, flags).otherwise(F.lit(0.5)).alias("trend"), change("px", 5).alias("week"), sd(20).alias("vol"),
     )
-    parts = {"mom": 0.35, "trend": 0.25, "sentiment": 0.25, "macro": 0.15}
-    ranked = raw.select("ticker", "date", *(percentile_rank(n).alias(n) for n in parts))
-    return ranked.withColumn("alpha", reduce(lambda a, b: a + b, (F.col(n) * w for n, w in parts.items())) * 2 - 1)
+    ranked = raw.select("ticker", "date", "trend", *(percentile_rank(n).alias(n) for n in ("half", "quarter", "sum", "week", "vol")))
+    momentum = 0.35 * F.col("half") + 0.35 * F.col("quarter") + 0.30 * F.col("sum")
+    sentiment = 0.5 + (F.col("week") - 0.5) * 0.5
+    total = 0.35 * momentum + 0.25 * F.col("trend") + 0.25 * sentiment + 0.15 * F.coalesce(1 - F.col("vol"), F.lit(0.5))
+    return ranked.withColumn("alpha", (total - 0.5) * 2)
 
 
 # ---- candidates ----------------------------------------------------------------------------
@@ -205,5 +217,3 @@ def user_rolling(panel: DataFrame, x: str, n: int, fn: Callable[[Column], Column
     held = F.collect_list(x).over(trailing(n))
     return panel.withColumn(name, F.when(F.count(x).over(trailing(n)) == n, fn(held)))
 
-
-__all__ = ["average_rank"]

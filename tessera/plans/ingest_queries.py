@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.functions import sql as S
@@ -61,11 +62,11 @@ book.add("d9_coverage", lambda s, d: O.coverage(bars(s, d), 50, 6).withColumn("y
 
 
 def _complete(s, d):
-    expected = T.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("ticker")).where("cast(ticker as int) < 120")
+    expected = T.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("ticker"))
     return O.completeness(bars(s, d), expected, 285)
 
 
-COMPLETE = """SELECT 'missing' AS "check", CASE WHEN count(*) OVER () > 2 THEN 'error' ELSE 'warning' END AS severity, CAST(p_partkey AS VARCHAR) AS ticker FROM part WHERE p_partkey < 120 AND CAST(p_partkey AS VARCHAR) NOT IN (SELECT ticker FROM bars)
+COMPLETE = """SELECT 'missing' AS "check", CASE WHEN count(*) OVER () > 2 THEN 'error' ELSE 'warning' END AS severity, CAST(p_partkey AS VARCHAR) AS ticker FROM part WHERE CAST(p_partkey AS VARCHAR) NOT IN (SELECT ticker FROM bars)
     UNION ALL SELECT 'short', 'warning', ticker FROM bars GROUP BY ticker HAVING count(*) < 285"""
 STALE = """SELECT 'stale' AS "check", CASE WHEN count(*) OVER () > 5 THEN 'error' ELSE 'warning' END AS severity, ticker FROM (SELECT ticker FROM bars GROUP BY 1 HAVING DATE '2001-11-08' - max(date) > 12)"""
 book.add("d10_completeness", _complete, S.BARS + COMPLETE)
@@ -79,37 +80,49 @@ book.add(
 book.add("d13_low_volume", lambda s, d: O.low_volume(bars(s, d), 50).withColumn("mean", out(F.col("mean"))), S.BARS + f"SELECT ticker, {R6('avg(volume)')} AS mean FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 21) GROUP BY 1 HAVING avg(volume) < 50")
 book.add("d14_report", lambda s, d: O.quality_report(_complete(s, d), _fresh(s, d))[1], S.BARS + f"SELECT coalesce(bool_and(severity <> 'error'), true) AS passed, count(*) AS issues FROM (SELECT * FROM ({COMPLETE}) UNION ALL ({STALE}))")
 book.add("d15_panel", lambda s, d: T.panel(s, d).select("ticker", "date", F.col("i").cast("long").alias("i"), out(F.col("px")).alias("px"), out(F.col("pf")).alias("pf")), S.PANEL + f"SELECT ticker, date, i, {R6('px')} AS px, {R6('pf')} AS pf FROM panel")
-NAMES = ["1", "2", "3"]
-book.add("d16_wide", lambda s, d: O.wide(T.panel(s, d), NAMES, 60).select("date", *(out(F.col(n)).alias(f"t{n}") for n in NAMES)), S.PANEL + f"SELECT date, {', '.join(f'{R6(f"max(px) FILTER (ticker = {chr(39)}{n}{chr(39)})")} AS t{n}' for n in NAMES)} FROM panel WHERE date IN (SELECT DISTINCT date FROM panel ORDER BY date DESC LIMIT 60) GROUP BY date")
+CLASSES = ["equity", "fixed_income", "commodity", "alternative", "leveraged"]
+
+
+def _wide(s, d):
+    """A column a class: the mean price of all its names; the last 60 rows."""
+    means = T.panel(s, d).join(T.dimensions(s, d), "ticker").groupBy(F.col("asset_class").alias("ticker"), "date").agg(F.avg("px").alias("px"))
+    return O.wide(means, CLASSES, 60).select("date", *(out(F.col(n)).alias(n) for n in CLASSES))
+
+
+book.add("d16_wide", _wide, S.PANEL + S.DIMENSIONS + f"SELECT date, {', '.join(f'{R6(f"avg(px) FILTER (asset_class = {chr(39)}{n}{chr(39)})")} AS {n}' for n in CLASSES)} FROM panel JOIN dims USING (ticker) WHERE date IN (SELECT DISTINCT date FROM panel ORDER BY date DESC LIMIT 60) GROUP BY date")
 book.add("d17_symbols", lambda s, d: T.table(s, d, "part").select("p_partkey", O.normalized_symbol(F.concat(F.lit(" "), F.regexp_replace("p_name", " .*", ".b "))).alias("symbol")), "SELECT p_partkey, CASE WHEN regexp_full_match(x, '[A-Z-]{1,10}') THEN x END AS symbol FROM (SELECT p_partkey, replace(upper(trim(' ' || regexp_replace(p_name, ' .*', '.b '))), '.', '-') AS x FROM part)")
 
 
-def _members(s, d, lo, hi, tag):
-    return T.table(s, d, "supplier").where(f"s_suppkey between {lo} and {hi}").select(F.col("s_suppkey").cast("string").alias("ticker"), F.concat(F.col("s_name"), F.lit(tag)).alias("name"), F.lit(tag).alias("sector"))
+#: Membership lists over the whole table; they overlap and leave some names out.
+LISTS = {"a": "s_nationkey % 3 <> 0", "b": "s_acctbal > 0", "x": "s_nationkey = 7", "old": "s_nationkey < 3", "o": "s_nationkey % 2 = 0", "e": "s_nationkey % 4 = 0", "s": "s_acctbal > 0"}
+
+
+def _members(s, d, tag):
+    return T.table(s, d, "supplier").where(LISTS[tag]).select(F.col("s_suppkey").cast("string").alias("ticker"), F.concat(F.col("s_name"), F.lit(tag)).alias("name"), F.lit(tag).alias("sector"))
 
 
 def _merged(s, d):
-    return O.merged_constituents([_members(s, d, 0, 60, "a"), _members(s, d, 40, 90, "b")], _members(s, d, 5, 9, "x"), _members(s, d, 0, 3, "old"), 10)
+    return O.merged_constituents([_members(s, d, "a"), _members(s, d, "b")], _members(s, d, "x"), _members(s, d, "old"), 10)
 
 
-MERGED = """merged AS (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, s_name || CASE WHEN s_suppkey <= 60 THEN 'a' ELSE 'b' END AS name, CASE WHEN s_suppkey <= 60 THEN 'a' ELSE 'b' END AS sector FROM supplier WHERE s_suppkey BETWEEN 0 AND 90 AND s_suppkey NOT BETWEEN 5 AND 9),
-    fresh AS (SELECT * FROM merged WHERE (SELECT count(*) FROM merged) >= 10 UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name || 'old', 'old' FROM supplier WHERE s_suppkey BETWEEN 0 AND 3 AND (SELECT count(*) FROM merged) < 10)"""
+MERGED = f"""merged AS (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, s_name || CASE WHEN {LISTS["a"]} THEN 'a' ELSE 'b' END AS name, CASE WHEN {LISTS["a"]} THEN 'a' ELSE 'b' END AS sector FROM supplier WHERE ({LISTS["a"]} OR {LISTS["b"]}) AND NOT ({LISTS["x"]})),
+    fresh AS (SELECT * FROM merged WHERE (SELECT count(*) FROM merged) >= 10 UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name || 'old', 'old' FROM supplier WHERE {LISTS["old"]} AND (SELECT count(*) FROM merged) < 10)"""
 book.add("d18_constituents", _merged, f"WITH {MERGED} SELECT * FROM fresh")
 
 
 def _scd(s, d):
-    old = _members(s, d, 50, 99, "o").withColumns({"active": F.lit(True), "first_seen": F.lit("2020-01-01").cast("timestamp"), "last_seen": F.lit("2020-06-01").cast("timestamp")})
+    old = _members(s, d, "o").withColumns({"active": F.lit(True), "first_seen": F.lit("2020-01-01").cast("timestamp"), "last_seen": F.lit("2020-06-01").cast("timestamp")})
     return O.constituents_scd(old, _merged(s, d), "2024-01-01").select("ticker", "name", "sector", "active", F.to_date("first_seen").alias("first_seen"), F.to_date("last_seen").alias("last_seen"))
 
 
 book.add(
     "d19_scd",
     _scd,
-    f"""WITH {MERGED}, old AS (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, s_name || 'o' AS name FROM supplier WHERE s_suppkey BETWEEN 50 AND 99)
+    f"""WITH {MERGED}, old AS (SELECT CAST(s_suppkey AS VARCHAR) AS ticker, s_name || 'o' AS name FROM supplier WHERE {LISTS["o"]})
     SELECT coalesce(o.ticker, f.ticker) AS ticker, coalesce(f.name, o.name) AS name, coalesce(f.sector, 'o') AS sector, f.ticker IS NOT NULL AS active, CASE WHEN o.ticker IS NULL THEN DATE '2024-01-01' ELSE DATE '2020-01-01' END AS first_seen,
     CASE WHEN f.ticker IS NULL THEN DATE '2020-06-01' ELSE DATE '2024-01-01' END AS last_seen FROM old o FULL OUTER JOIN fresh f ON o.ticker = f.ticker""",
 )
-book.add("d20_universe", lambda s, d: O.full_universe(_members(s, d, 0, 30, "e"), _members(s, d, 20, 80, "s")), "SELECT CAST(s_suppkey AS VARCHAR) AS ticker, CASE WHEN s_suppkey <= 30 THEN 0 ELSE 1 END AS place FROM supplier WHERE s_suppkey BETWEEN 0 AND 80")
+book.add("d20_universe", lambda s, d: O.full_universe(_members(s, d, "e"), _members(s, d, "s")), f"SELECT CAST(s_suppkey AS VARCHAR) AS ticker, CASE WHEN {LISTS['e']} THEN 0 ELSE 1 END AS place FROM supplier WHERE {LISTS['e']} OR {LISTS['s']}")
 book.add(
     "d21_dimensions",
     lambda s, d: O.with_dimensions(bars(s, d).select("ticker").distinct(), T.dimensions(s, d).where("cast(ticker as int) % 3 <> 0")),
@@ -118,7 +131,7 @@ book.add(
 
 
 def _sink(s, d):
-    path = ST.folder(s)
+    path = T.shared_folder(s)
     b = bars(s, d).select("ticker", "date", "px").withColumn("year", F.year("date"))
     O.write_partitioned(b, path, "year")
     O.write_partitioned(b.where("year = 1997").withColumn("px", F.lit(1.0)), path, "year")  # replaces one partition
@@ -167,9 +180,9 @@ book.add(
 
 
 def _group_user(s, d):
-    own = T.own_series(s, d).join(T.dimensions(s, d), "ticker")
-    part = own.select("sector", "ticker", "px").groupBy("sector", "ticker").applyInPandas(lambda p: p.groupby("sector", as_index=False).agg(total=("px", "sum"), valid=("px", "count"), n=("px", "size")), "sector string, total double, valid long, n long")
-    return part.groupBy("sector").agg(out(F.try_divide(F.sum("total"), F.sum("valid"))).alias("mean"), F.sum("n").alias("n"))
+    own = T.own_series(s, d).join(T.dimensions(s, d), "ticker").select("sector", "ticker", "px")
+    combine = [out(F.try_divide(F.sum("total"), F.sum("valid"))).alias("mean"), F.sum("n").alias("n")]
+    return J.group_function(own, "sector", "ticker", lambda p: pd.DataFrame({"total": [p["px"].sum()], "valid": [p["px"].count()], "n": [len(p)]}), "total double, valid long, n long", combine)
 
 
 book.add("u2_group_function", _group_user, S.BARS + S.DIMENSIONS + f"SELECT sector, {R6('avg(px)')} AS mean, count(*) AS n FROM own JOIN dims USING (ticker) GROUP BY 1")
@@ -184,12 +197,27 @@ def events(s, d):
 book.add("t1_deduplicated", lambda s, d: ST.finished(ST.distinct_bars(ST.replay(events(s, d).unionByName(events(s, d))), ["event_id"])).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "SELECT event_type AS key, count(*) AS n FROM events GROUP BY 1")
 
 
+book.add(
+    "t1_corrected",
+    lambda s, d: ST.corrected_bars(ST.replay(events(s, d).withColumn("date", F.to_date("ts"))), ["key", "date"], ["ts", "event_id"]).select("key", "date", "event_id", out(F.col("value")).alias("value")),
+    f"SELECT event_type AS key, CAST(ts AS DATE) AS date, arg_max(event_id, row(ts, event_id)) AS event_id, {R6('arg_max(value, row(ts, event_id))')} AS value FROM events GROUP BY ALL",
+)
+T2_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT event_type AS market, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k,
+      event_id % 3 - 1 AS trend, event_id * 2 % 3 - 1 AS vol, event_id * 5 % 3 - 1 AS credit FROM events),
+    v AS MATERIALIZED (SELECT *, (trend = 1)::INT + (vol = 1)::INT + (credit = 1)::INT AS n_on, (trend = -1)::INT + (vol = -1)::INT + (credit = -1)::INT AS n_off FROM e),
+    path AS (SELECT market, 0::BIGINT AS k, NULL::BIGINT AS event_id, 'CAUTIOUS' AS regime, 0 AS bullish, 0 AS bearish, 0.0::DOUBLE AS confidence FROM (SELECT DISTINCT market FROM v)
+      UNION ALL SELECT market, k, event_id, CASE WHEN (trend = 1 AND vol = 1) OR (bu >= 2 AND be < 2) THEN 'ACTIVE' WHEN be >= 2 THEN 'CRISIS' WHEN n_off >= 2 AND regime = 'ACTIVE' THEN 'CAUTIOUS'
+          WHEN n_on >= 2 AND regime = 'CRISIS' THEN 'CAUTIOUS' ELSE regime END, bu, be, round(greatest(n_on, n_off) / 3.0::DOUBLE, 3)
+        FROM (SELECT v.*, p.regime, CASE WHEN n_on >= 2 THEN p.bullish + 1 ELSE 0 END AS bu, CASE WHEN n_off >= 2 THEN p.bearish + 1 ELSE 0 END AS be FROM path p JOIN v ON v.market = p.market AND v.k = p.k + 1))
+    SELECT market, event_id, regime, bullish, bearish, confidence FROM path WHERE k > 0"""
+
+
 def _votes(s, d):
     e = events(s, d)
     return e.select(F.col("key").alias("market"), "ts", "event_id", *((F.col("event_id") * k % 3 - 1).cast("int").alias(n) for n, k in (("trend", 1), ("vol", 2), ("credit", 5))))
 
 
-book.add("t2_regime_stream", lambda s, d: ST.finished(ST.regime_stream(ST.replay(_votes(s, d)))).select("market", "event_id", "regime", "bullish", "bearish", "confidence"))
+book.add("t2_regime_stream", lambda s, d: ST.finished(ST.regime_stream(ST.replay(_votes(s, d)))).select("market", "event_id", "regime", "bullish", "bearish", "confidence"), T2_SQL)
 
 
 def _stops(s, d):

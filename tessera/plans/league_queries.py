@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import sql as S
-from tessera.functions.windows import out, zscore
+from tessera.functions.windows import out
 from tessera.operators import league as O
 from tessera.operators import signals as SG
 from tessera.sources import tables as T
@@ -18,8 +18,7 @@ FIVE = list(SG.SIGNALS)
 
 
 def five(spark, d):
-    panel = T.filled_panel(spark, d)
-    return SG.production_signals(panel).join(panel.select("ticker", "date", "i", "pf"), ["ticker", "date"])
+    return SG.production_signals(T.filled_panel(spark, d), keep=("i", "pf"))
 
 
 def _ic_sql(name: str, back: int) -> str:
@@ -51,7 +50,7 @@ def weights(spark, d):
     return O.adapt_weights(O.blended_ics(five(spark, d), FIVE).withColumn("strategy_id", F.lit("live")), FIVE)
 
 
-book.add("c1_trailing_ic", _ics(lambda s: O.trailing_ics(s, FIVE, 21)), RAW + IC21 + f"SELECT signal, date, {S.out('ic')} AS ic FROM ic21")
+book.add("c1_trailing_ic", _ics(lambda s: O.trailing_ics(s, FIVE)), RAW + IC21 + f"SELECT signal, date, {S.out('ic')} AS ic FROM ic21")
 book.add("c2_blended_ic", _ics(lambda s: O.blended_ics(s, FIVE)), BLEND + f"SELECT signal, date, {S.out('ic')} AS ic FROM blend")
 book.add("c3_adapted_weights", lambda spark, d: weights(spark, d).select("date", "signal", out(F.col("weight")).alias("weight")), FOLD + f"SELECT date, signal, {S.out('weight')} AS weight FROM weights")
 book.add(
@@ -68,21 +67,21 @@ book.add(
     SELECT *, row_number() OVER (PARTITION BY date ORDER BY composite DESC, ticker) AS rank FROM scored2""",
 )
 
-# ---- league over four candidates, shortened look-backs for a weekly history ------------------
+# ---- league over all candidates, shortened look-backs for a weekly history -------------------
 
-FOUR = ["rev_5d", "rev_21d", "mom_3m", "intraday"]
+ALL = list(A_SQL)
 H, START, LEAST, SMALLEST = 5, 70, 5, 2
 CAND = (
     DAY
-    + f""", rawc AS (SELECT ticker, date, i, pf, r, {", ".join(f"{A_SQL[n]} AS {n}" for n in FOUR)} FROM day),
-    cand AS MATERIALIZED (SELECT ticker, date, i, pf, r, {", ".join(f"{S.out(S.zscore(n))} AS {n}" for n in FOUR)} FROM rawc),
+    + f""", rawc AS (SELECT ticker, date, i, pf, r, {", ".join(f"{A_SQL[n]} AS {n}" for n in ALL)} FROM day),
+    cand AS MATERIALIZED (SELECT ticker, date, i, pf, r, {", ".join(f"{S.out(S.zscore(n))} AS {n}" for n in ALL)} FROM rawc),
     ahead AS (SELECT *, lead(pf, {H}) OVER ({S.SERIES}) / nullif(pf, 0) - 1 AS fwd FROM cand),
-    tallf AS (UNPIVOT (SELECT * FROM ahead WHERE i >= {START} AND (i - {START}) % {H} = 0 AND fwd IS NOT NULL) ON {", ".join(FOUR)} INTO NAME signal VALUE score),
+    tallf AS (UNPIVOT (SELECT * FROM ahead WHERE i >= {START} AND (i - {START}) % {H} = 0 AND fwd IS NOT NULL) ON {", ".join(ALL)} INTO NAME signal VALUE score),
     ics AS (SELECT signal, date, i, count(*) AS n, corr(rx, ry) AS ic FROM (SELECT signal, date, i, {S.average_rank("score", "signal, date")} AS rx, {S.average_rank("fwd", "signal, date")} AS ry FROM tallf)
       GROUP BY ALL HAVING count(*) >= {LEAST} AND isfinite(corr(rx, ry)))"""
 )
 TSTAT = "CASE WHEN count({0}) >= 8 AND stddev_samp({0}) > 0 THEN avg({0}) / (stddev_samp({0}) / sqrt(count({0}))) ELSE 0.0 END"
-MEMBERS = f""", tallq AS (UNPIVOT (SELECT * FROM cand WHERE i >= {START} AND (i - {START}) % 5 = 0) ON {", ".join(FOUR)} INTO NAME signal VALUE score),
+MEMBERS = f""", tallq AS (UNPIVOT (SELECT * FROM cand WHERE i >= {START} AND (i - {START}) % 5 = 0) ON {", ".join(ALL)} INTO NAME signal VALUE score),
     sized AS (SELECT *, count(*) OVER (PARTITION BY signal, date) AS n, row_number() OVER (PARTITION BY signal, date ORDER BY score DESC, ticker) AS top,
       row_number() OVER (PARTITION BY signal, date ORDER BY score, ticker DESC) AS bottom FROM tallq),
     members AS (SELECT signal, (i - {START}) // 5 AS period, ticker, leg, greatest(floor(n * 0.2), {SMALLEST}) AS q FROM sized, (VALUES (1), (-1)) v(leg)
@@ -96,26 +95,26 @@ NET = lambda b: f"(spread - 2 * churn * {b / 10000})"
 SH = lambda b: f"CASE WHEN stddev_pop({NET(b)}) > 0 THEN avg({NET(b)}) / stddev_pop({NET(b)}) * sqrt(252 / 5.0) ELSE 0.0 END"
 QUALITY = f""", quality AS (SELECT signal, round({SH(0)}, 2) AS sharpe_gross, round({SH(5)}, 2) AS sharpe_5, round({SH(15)}, 2) AS sharpe_15,
       round(avg(spread) * 252 / 5.0, 4) AS annual, round(avg(churn) * 2 * 252 / 5.0, 1) AS turnover FROM spreads JOIN churned USING (signal, period) GROUP BY signal)"""
-INC = f""", inc AS (SELECT ticker, date, ({" + ".join(f"coalesce({n}, 0)" for n in FOUR)}) / 4 AS incumbent FROM cand),
-    tallc AS (UNPIVOT (SELECT * FROM cand WHERE i >= {START} AND (i - {START}) % 21 = 0) ON {", ".join(FOUR)} INTO NAME signal VALUE score),
+INC = f""", inc AS (SELECT ticker, date, ({" + ".join(f"coalesce({n}, 0)" for n in ALL)}) / {len(ALL)} AS incumbent FROM cand),
+    tallc AS (UNPIVOT (SELECT * FROM cand WHERE i >= {START} AND (i - {START}) % 21 = 0) ON {", ".join(ALL)} INTO NAME signal VALUE score),
     corrs AS (SELECT signal, avg(CASE WHEN isfinite(c) THEN c END) AS corr FROM (SELECT signal, t.date, corr(score, incumbent) AS c FROM tallc t JOIN inc USING (ticker, date) GROUP BY signal, t.date HAVING count(*) >= {LEAST}) GROUP BY signal)"""
 
 
-def four(spark, d):
-    c = SG.candidates(candidate_panel(spark, d), FOUR)
-    return c.select("ticker", "date", "i", "pf", *(out(F.col(n)).alias(n) for n in FOUR))
+def every(spark, d):
+    c = SG.candidates(candidate_panel(spark, d), ALL)
+    return c.select("ticker", "date", "i", "pf", *(out(F.col(n)).alias(n) for n in ALL))
 
 
 def incumbent(c):
-    return c.select("ticker", "date", (sum((F.coalesce(n, F.lit(0.0)) for n in map(F.col, FOUR)), F.lit(0.0)) / 4).alias("incumbent"))
+    return c.select("ticker", "date", (sum((F.coalesce(n, F.lit(0.0)) for n in map(F.col, ALL)), F.lit(0.0)) / len(ALL)).alias("incumbent"))
 
 
 def _ic(spark, d):
-    return O.ic_series(four(spark, d), FOUR, H, START, LEAST)
+    return O.ic_series(every(spark, d), ALL, H, START, LEAST)
 
 
 def _members(spark, d):
-    return O.quintile_members(four(spark, d), FOUR, 5, START, LEAST, SMALLEST)
+    return O.quintile_members(every(spark, d), ALL, 5, START, LEAST, SMALLEST)
 
 
 def _spread(spark, d):
@@ -137,7 +136,7 @@ book.add(
 book.add("a23_spread_quality", lambda s, d: O.spread_quality(_spread(s, d), O.churn(_members(s, d))), CAND + MEMBERS + QUALITY + "SELECT * FROM quality")
 book.add(
     "a24_incumbent_correlation",
-    lambda s, d: O.incumbent_correlation(c := four(s, d), incumbent(c), FOUR, 21, START, LEAST).select("signal", out(F.col("corr")).alias("corr")),
+    lambda s, d: O.incumbent_correlation(c := every(s, d), incumbent(c), ALL, 21, START, LEAST).select("signal", out(F.col("corr")).alias("corr")),
     CAND + INC + f"SELECT signal, {S.out('corr')} AS corr FROM corrs",
 )
 SPLIT = f", tests AS (SELECT signal, {TSTAT.format('CASE WHEN i < cut THEN ic END')} AS t_is, {TSTAT.format('CASE WHEN i >= cut THEN ic END')} AS t_oos FROM ics, (SELECT floor(0.6 * count(*)) AS cut FROM cal) GROUP BY signal)"
@@ -148,8 +147,8 @@ def _rows(spark, d):
 
 
 def _league(s, d):
-    c = four(s, d)
-    return O.league_table(c, T.filled_panel(s, d), incumbent(c), FOUR, _rows(s, d), H, START, LEAST, SMALLEST).select(
+    c = every(s, d)
+    return O.league_table(c, T.filled_panel(s, d), incumbent(c), ALL, _rows(s, d), H, START, LEAST, SMALLEST).select(
         "signal", *(out(F.col(x), 4).alias(x) for x in ("t_is", "t_oos", "corr")), "sharpe_gross", "sharpe_5", "sharpe_15", "annual", "turnover", "verdict"
     )
 
@@ -163,7 +162,7 @@ VERDICT = """CASE WHEN k = 3 THEN 'PROMOTE' WHEN k = 2 THEN 'WATCH' ELSE 'KILL'
 LEAGUE = (
     CAND + MEMBERS + QUALITY + INC + SPLIT
     + f""", joined2 AS (SELECT *, (abs(t_is) >= 3 AND abs(t_oos) >= 2.5 AND sign(t_is) = sign(t_oos))::INT + (sharpe_15 >= 0.5)::INT + (abs(corr) < 0.5)::INT AS k
-      FROM tests JOIN quality USING (signal) JOIN corrs USING (signal))"""
+      FROM (SELECT unnest({ALL}) AS signal) e LEFT JOIN tests USING (signal) LEFT JOIN quality USING (signal) LEFT JOIN corrs USING (signal))"""
 )
 book.add("a26_verdict", lambda s, d: _league(s, d).select("signal", "verdict"), LEAGUE + f"SELECT signal, {VERDICT} FROM joined2")
 book.add(
@@ -171,4 +170,3 @@ book.add(
     _league,
     LEAGUE + f"SELECT signal, {S.out('t_is', 4)} AS t_is, {S.out('t_oos', 4)} AS t_oos, {S.out('corr', 4)} AS corr, sharpe_gross, sharpe_5, sharpe_15, annual, turnover, {VERDICT} FROM joined2",
 )
-__all__ = ["zscore"]

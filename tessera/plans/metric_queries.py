@@ -5,30 +5,37 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import sql as S
-from tessera.functions.windows import out, zscore, change
+from tessera.functions.windows import ANNUAL, change, out, roll, zscore
 from tessera.operators import metrics as O
+from tessera.operators import portfolio as PF
+from tessera.operators import regime as RG
 from tessera.operators import signals as SG
-from tessera.operators.features import top_bottom
+from tessera.operators import walkforward as WK
 from tessera.sources import tables as T
+from tessera.sources.tables import stored
 
 from .base import Book
+from .league_queries import IC21, IC63
+from .portfolio_queries import CAPPED, GROSS, LEGS, SCORED
+from .regime_queries import roll as MROLL
+from .signal_queries import RAW
 
 book = Book()
 
 
 def daily(s, d):
-    return T.filled_panel(s, d).where("r is not null").select(F.col("ticker").alias("strategy_id"), "date", "i", (F.col("r") / 20).alias("ret"))
+    return T.filled_panel(s, d).where("r is not null").select(F.col("ticker").alias("strategy_id"), "date", "i", F.col("r").alias("ret"))
 
 
 def values(s, d):
     return T.filled_panel(s, d).where("px is not null").select(F.col("ticker").alias("strategy_id"), "date", F.col("px").alias("value"))
 
 
-B = S.FILLED + S.MARKET + """, daily AS (SELECT ticker AS strategy_id, date, i, r / 20 AS ret FROM panel WHERE r IS NOT NULL),
+B = S.FILLED + S.MARKET + """, daily AS (SELECT ticker AS strategy_id, date, i, r AS ret FROM panel WHERE r IS NOT NULL),
     vals AS (SELECT ticker AS strategy_id, date, px AS value FROM panel WHERE px IS NOT NULL)"""
 RUN = "(PARTITION BY strategy_id ORDER BY date ROWS UNBOUNDED PRECEDING)"
 W = "(PARTITION BY strategy_id ORDER BY date)"
-EQ = B + f", eq AS (SELECT *, exp(sum(ln(1 + ret)) OVER {RUN}) AS equity FROM daily), dds AS (SELECT *, equity / max(equity) OVER {RUN} - 1 AS dd FROM eq)"
+EQ = B + f", eq AS (SELECT *, product(1 + ret) OVER {RUN} AS equity FROM daily), dds AS (SELECT *, equity / max(equity) OVER {RUN} - 1 AS dd FROM eq)"
 SHARPE = lambda r: f"CASE WHEN count({r}) >= 20 AND stddev_samp({r}) > 0 THEN avg({r}) / stddev_samp({r}) * sqrt(252) END"
 
 
@@ -42,7 +49,7 @@ def cols(**named) -> str:
 
 book.add("m1_equity", lambda s, d: pick(O.equity(daily(s, d)).withColumn("log_equity", F.ln("equity")), "log_equity", keys=("strategy_id", "date")), EQ + f"SELECT strategy_id, date, {cols(log_equity='ln(equity)')} FROM eq")
 for name, columns, e in (
-    ("m1_cagr", ["cagr"], {"cagr": "pow(arg_max(equity, date), 252.0 / count(*)) - 1"}),
+    ("m1_cagr", ["cagr"], {"cagr": "CASE WHEN arg_max(equity, date) >= 0 THEN pow(arg_max(equity, date), 252.0 / count(*)) - 1 END"}),
     ("m2_sharpe", ["sharpe"], {"sharpe": f"round({SHARPE('ret')}, 2)"}),
     ("m3_sortino", ["sortino"], {"sortino": "CASE WHEN stddev_samp(ret) FILTER (ret < 0) > 0 THEN avg(ret) * 252 / (stddev_samp(ret) FILTER (ret < 0) * sqrt(252)) END"}),
     ("m4_max_drawdown", ["max_drawdown"], {"max_drawdown": "min(dd)"}),
@@ -82,17 +89,18 @@ book.add(
 book.add(
     "m10_yearly",
     lambda s, d: pick(O.yearly(daily(s, d)), "ret", "vol", "sharpe", keys=("strategy_id", "year", "n")),
-    B + f"""SELECT strategy_id, CAST(year(date) AS INT) AS year, count(ret) AS n, {cols(ret="exp(sum(ln(1 + ret))) - 1", vol="stddev_samp(ret) * sqrt(252)", sharpe="CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) END")}
+    B + f"""SELECT strategy_id, CAST(year(date) AS INT) AS year, count(ret) AS n, {cols(ret="product(1 + ret) - 1", vol="stddev_samp(ret) * sqrt(252)", sharpe="CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) END")}
     FROM daily GROUP BY 1, 2 HAVING count(ret) >= 40""",
 )
 F90, F21 = (f"(PARTITION BY strategy_id ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (90, 21))
-SNAP = ["daily", "cumulative", "drawdown", "sharpe_90", "vol_21"]
+SNAP = ["daily", "cumulative", "drawdown", "sharpe_90", "vol_21", "bench_daily", "bench_cumulative"]
 book.add(
     "m11_snapshot",
-    lambda s, d: pick(O.daily_snapshot(values(s, d)), *SNAP, keys=("strategy_id", "date")),
-    B + f""", sr AS (SELECT *, value / nullif(lag(value) OVER {W}, 0) - 1 AS r FROM vals)
-    SELECT strategy_id, date, {cols(daily="r", cumulative=f"value / first_value(value) OVER {RUN} - 1", drawdown=f"value / greatest(value, max(value) OVER (PARTITION BY strategy_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) - 1",
-    sharpe_90=f"CASE WHEN count(r) OVER {F90} >= 20 AND stddev_pop(r) OVER {F90} > 0 THEN (avg(r) OVER {F90} * 252 - 0.04) / (stddev_pop(r) OVER {F90} * sqrt(252)) END", vol_21=f"CASE WHEN count(r) OVER {F21} >= 5 THEN stddev_pop(r) OVER {F21} * sqrt(252) END")} FROM sr""",
+    lambda s, d: pick(O.daily_snapshot(values(s, d), T.market(s, d)), *SNAP, keys=("strategy_id", "date")),
+    B + f""", sr AS (SELECT *, coalesce(value / nullif(lag(value) OVER {W}, 0) - 1, 0) AS r FROM vals), mb AS (SELECT date, rm, m / first_value(m) OVER (ORDER BY date) - 1 AS mc FROM market),
+    sx AS (SELECT strategy_id, date, r, value / first_value(value) OVER {RUN} - 1 AS cum, coalesce(value / max(value) OVER (PARTITION BY strategy_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, 0) AS dd,
+      CASE WHEN count(r) OVER {F90} >= 20 AND stddev_pop(r) OVER {F90} > 0 THEN (avg(r) OVER {F90} * 252 - 0.04) / (stddev_pop(r) OVER {F90} * sqrt(252)) END AS s90, CASE WHEN count(r) OVER {F21} >= 5 THEN stddev_pop(r) OVER {F21} * sqrt(252) END AS v21 FROM sr)
+    SELECT strategy_id, sx.date, {cols(daily="r", cumulative="cum", drawdown="dd", sharpe_90="s90", vol_21="v21", bench_daily="rm", bench_cumulative="mc")} FROM sx LEFT JOIN mb ON mb.date = sx.date""",
 )
 book.add(
     "m12_monthly_summary",
@@ -102,9 +110,9 @@ book.add(
 )
 book.add(
     "m13_ytd",
-    lambda s, d: pick(O.ytd(values(s, d), 2001), "ret", "sharpe", "drawdown"),
-    B + f""", y AS (SELECT *, value / nullif(lag(value) OVER {W}, 0) - 1 AS r FROM vals WHERE year(date) = 2001)
-    SELECT strategy_id, {cols(ret="arg_max(value, date) / arg_min(value, date) - 1", sharpe="CASE WHEN stddev_pop(r) > 0 THEN avg(r) / stddev_pop(r) * sqrt(252) END", drawdown="min(value) / max(value) - 1")} FROM y GROUP BY 1""",
+    lambda s, d: pick(O.ytd(values(s, d), 2001), "ret", "sharpe", "vol", "drawdown", keys=("strategy_id", "days")),
+    B + f""", y AS (SELECT * FROM (SELECT *, coalesce(value / nullif(lag(value) OVER {W}, 0) - 1, 0) AS r FROM vals) WHERE year(date) = 2001)
+    SELECT strategy_id, count(*) AS days, {cols(ret="arg_max(value, date) / arg_min(value, date) - 1", sharpe="CASE WHEN stddev_pop(r) > 0 THEN (avg(r) * 252 - 0.04) / (stddev_pop(r) * sqrt(252)) END", vol="stddev_pop(r) * sqrt(252)", drawdown="min(value) / max(value) - 1")} FROM y GROUP BY 1""",
 )
 book.add(
     "m14_multi_period",
@@ -140,112 +148,155 @@ book.add(
     SELECT series_id, count(*) AS rows, {cols(latest="max(value) FILTER (k = 1)", change_5="max(value) FILTER (k = 1) - max(value) FILTER (k = 6)", drawdown="max(value) FILTER (k = 1) / max(value) - 1")} FROM rk GROUP BY 1""",
 )
 
-# ---- walk-forward: top and bottom names by one-month momentum, every 10 rows after row 60 ----
+# ---- walk-forward of the live path, from row 160 on; averages and history shortened to the weekly panel ----
 
-K, WARM = 10, 60
+K, WARM = 10, 160
+LIVE = [("live", K, 0.0)]
+#: Fixed experiments: cadence and net exposure in a crisis.
+GRID = [("rebalance 5, crisis net -0.1", 5, -0.1), ("rebalance 10", 10, -0.1), ("rebalance 15", 15, -0.1), ("rebalance 5, crisis net 0", 5, 0.0), ("rebalance 10, crisis net 0", 10, 0.0)]
+MEDIAN, HISTORY, LONGS, SHORTS = 60_000, 60, 20, 10
 
 
-def targets(s, d, sign=1.0, K=K):
-    p = T.filled_panel(s, d).select("ticker", "date", "i", out(zscore(change("pf", 21))).alias("score"))
-    on = p.where(f"i >= {WARM} and (i - {WARM}) % {K} = 0 and score is not null")
-    return _ends(on).select(F.lit("live").alias("config"), F.expr(f"(i - {WARM}) div {K}").alias("period"), "ticker", (F.col("leg") * 0.05 * sign).alias("weight"))
+def _returns(s, d):
+    return T.filled_panel(s, d).select("ticker", "i", "date", "r")
 
 
-def _ends(on, k=10):
-    both = top_bottom(on, "score", k)
-    return both.withColumn("leg", F.when(F.col("best") <= k, 1.0).otherwise(-1.0))
+def targets(s, d, configs=LIVE):
+    """W2 over the weekly panel: vote of the price alone, as the walk-forward has no other series."""
+    panel = T.filled_panel(s, d).withColumn("vol", roll(F.stddev_samp, F.col("r"), 63) * F.sqrt(F.lit(ANNUAL)))
+    signals = SG.production_signals(panel, HISTORY, keep=("i", "pf"))
+    able = PF.eligibility(panel, T.dimensions(s, d), 5, 0, MEDIAN, (), ("leveraged",)).select("ticker", "date", "eligible", "vol", "sector", "asset_class")
+    market = T.market(s, d).withColumn("market", F.lit("MKT"))
+    votes = market.select("market", "date", *(c.alias(n) for n, c in RG.proxy_votes(n=50).items()))
+    cal = T.calendar(T.bars(s, d))
+    path = RG.regime_path(votes.join(cal.where(F.col("i") >= WARM).select("date"), "date"))
+    return WK.live_targets(signals, list(SG.SIGNALS), able, path, cal, configs, WARM, LONGS, SHORTS, long_cap=0.30)
 
 
-def _daily(s, d, K=K):
-    t = targets(s, d, K=K)
-    rows, ends = O.drifted_returns(t, T.filled_panel(s, d).select("ticker", "i", "date", (F.col("r") / 20).alias("r")), K, WARM)
-    return t, rows, ends
+def _walk(s, d, configs=LIVE):
+    """Targets, daily rows and costs of several configurations in one walk."""
+    t = stored(targets(s, d, configs).drop("date"))
+    rows = _returns(s, d).crossJoin(WK.configurations(s, configs).drop("crisis_net"))  # a row a configuration
+    daily, ends = O.drifted_returns(t, rows, F.col("every"), WARM)
+    return t, daily, O.traded(t, ends)
 
 
-def walk(K: int) -> str:
-    return Q3 + f""", rk0 AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY z DESC, ticker) AS best, row_number() OVER (PARTITION BY date ORDER BY z, ticker) AS worst FROM zz WHERE z IS NOT NULL AND i >= {WARM} AND (i - {WARM}) % {K} = 0),
-    tg AS (SELECT 'live' AS config, (i - {WARM}) // {K} AS period, ticker, CASE WHEN best <= 10 THEN 0.05 ELSE -0.05 END::DOUBLE AS weight FROM rk0 WHERE best <= 10 OR worst <= 10),
-    rr AS (SELECT ticker, i, date, coalesce(r / 20, 0) AS r, (i - {WARM} - 1) // {K} AS period FROM panel WHERE i > {WARM}),
-    gv AS (SELECT t.config, t.period, t.ticker, rr.i, rr.date, weight, weight * exp(sum(ln(1 + r)) OVER (PARTITION BY t.period, t.ticker ORDER BY rr.i ROWS UNBOUNDED PRECEDING)) AS value FROM tg t JOIN rr ON rr.ticker = t.ticker AND rr.period = t.period),
-    bk AS (SELECT config, period, i, date, 1 + sum(value - weight) AS v FROM gv GROUP BY ALL),
-    dl AS (SELECT *, v / coalesce(lag(v) OVER (PARTITION BY period ORDER BY i), 1) - 1 AS gross FROM bk),
-    en AS (SELECT config, period, ticker, x / v AS weight FROM (SELECT config, period, ticker, arg_max(value, i) AS x FROM gv GROUP BY ALL) JOIN (SELECT config, period, arg_max(v, i) AS v FROM bk GROUP BY ALL) USING (config, period)),
-    tr AS (SELECT period, sum(abs(coalesce(w, 0) - coalesce(o, 0))) AS traded FROM (SELECT period, ticker, weight AS w FROM tg) a FULL OUTER JOIN (SELECT period + 1 AS period, ticker, weight AS o FROM en) b USING (period, ticker) WHERE period IN (SELECT period FROM tg) GROUP BY 1),
-    nt AS (SELECT dl.*, traded, row_number() OVER (PARTITION BY period ORDER BY i) = 1 AS first FROM dl JOIN tr USING (period))"""
+def _cfg(configs) -> str:
+    return ", ".join(f"('{n}', {k}, {c}::DOUBLE)" for n, k, c in configs)
 
 
-WF = walk(K)
+PER = "PARTITION BY config, date"
+BOOK = (LEGS[len(SCORED) :] + CAPPED[len(LEGS) :]).replace("PARTITION BY date", PER).replace(f"{GROSS}::DOUBLE AS g", "CASE WHEN leg = 1 THEN greatest(least((gross + net) / 2, 0.98), 0) ELSE greatest((gross - net) / 2, 0) END AS g").replace("tg AS (SELECT date,", "tg AS (SELECT config, period, date,").replace("FROM legs))", "FROM legs) WHERE g > 0)")
+WALKED = f""",
+    rr AS (SELECT config, ticker, i, date, coalesce(r, 0) AS r, (i - {{warm}} - 1) // every AS period FROM panel, cfg WHERE i > {{warm}}),
+    gv AS (SELECT t.config, t.period, t.ticker, rr.i, rr.date, weight, weight * product(1 + r) OVER (PARTITION BY t.config, t.period, t.ticker ORDER BY rr.i ROWS UNBOUNDED PRECEDING) AS value FROM tg t JOIN rr ON rr.config = t.config AND rr.ticker = t.ticker AND rr.period = t.period),
+    bk AS (SELECT config, period, i, date, 1 + sum(value - weight) AS v, sum(abs(value)) AS g, sum(value) AS n FROM gv GROUP BY ALL),
+    dl AS (SELECT *, v / coalesce(lag(v) OVER (PARTITION BY config, period ORDER BY i), 1) - 1 AS gross FROM bk),
+    en AS (SELECT config, period, ticker, x / v AS weight FROM (SELECT config, period, ticker, arg_max(value, i) AS x FROM gv GROUP BY ALL) JOIN (SELECT config, period, arg_max(v, i) AS v FROM bk GROUP BY ALL) USING (config, period)),
+    tr AS (SELECT config, period, sum(abs(coalesce(w, 0) - coalesce(o, 0))) AS traded FROM (SELECT config, period, ticker, weight AS w FROM tg) a FULL OUTER JOIN (SELECT config, period + 1 AS period, ticker, weight AS o FROM en) b USING (config, period, ticker)
+      WHERE (config, period) IN (SELECT DISTINCT config, period FROM tg) GROUP BY 1, 2),
+    nt AS (SELECT dl.*, traded, row_number() OVER (PARTITION BY config, period ORDER BY i) = 1 AS first FROM dl JOIN tr USING (config, period))"""
+
+
+def live(configs) -> str:
+    return (
+        (RAW.replace(">= 252 AS enough", f">= {HISTORY} AS enough") + IC21 + IC63).replace("\nWITH lines", "\nWITH RECURSIVE lines") + S.MARKET + S.DIMENSIONS
+        + f""", blend AS (SELECT signal, a.date, a.i, 0.70 * a.ic + 0.30 * b.ic AS ic FROM ic21 a JOIN ic63 b USING (signal, date)),
+    cfg AS (SELECT * FROM (VALUES {_cfg(configs)}) c(config, every, crisis_net)),
+    reb AS MATERIALIZED (SELECT config, every, crisis_net, date, i, (i - {WARM}) // every AS period FROM cal, cfg WHERE i >= {WARM} AND (i - {WARM}) % every = 0 AND i < (SELECT max(i) FROM cal)),
+    byday AS MATERIALIZED (SELECT config, period, r.date, [{", ".join(f"max(ic) FILTER (signal = '{n}')" for n in SG.SIGNALS)}] AS ics FROM reb r JOIN blend b ON b.date = r.date GROUP BY ALL),
+    fold AS (SELECT config, -1::BIGINT AS period, CAST(NULL AS DATE) AS date, [0.2::DOUBLE, 0.2, 0.2, 0.2, 0.2] AS w FROM cfg
+      UNION ALL SELECT config, period, date, list_transform(x, lambda v: v / list_sum(x)) FROM (
+        SELECT b.config, b.period, b.date, list_transform(f.w, lambda v, k: greatest(0.05::DOUBLE, least(0.40::DOUBLE, 2 / 11.0::DOUBLE * (0.2 + 0.5 * greatest(b.ics[k], 0)) + 9 / 11.0::DOUBLE * v))) AS x FROM fold f JOIN byday b ON b.config = f.config AND b.period = f.period + 1) b),
+    weights AS (SELECT config, period, date, unnest({list(SG.SIGNALS)}) AS signal, unnest(w) AS weight FROM fold WHERE period >= 0),
+    mv AS (SELECT date, {MROLL("avg", "m", 50).replace("PARTITION BY market ", "")} AS mean, m, {MROLL("stddev_samp", "rm", 21).replace("PARTITION BY market ", "")} * sqrt(252) AS vol FROM market),
+    days AS MATERIALIZED (SELECT date, row_number() OVER (ORDER BY date) AS k, CASE WHEN m / mean - 1 > 0.02 THEN 1 WHEN m / mean - 1 < -0.02 THEN -1 WHEN mean IS NOT NULL THEN 0 END AS trend,
+      CASE WHEN vol < 0.15 THEN 1 WHEN vol > 0.25 THEN -1 WHEN vol IS NOT NULL THEN 0 END AS volv FROM mv JOIN cal USING (date) WHERE i >= {WARM}),
+    path AS (SELECT 0::BIGINT AS k, CAST(NULL AS DATE) AS date, 'CAUTIOUS' AS regime, 0 AS bu, 0 AS be
+      UNION ALL SELECT k, date, CASE WHEN live < 2 THEN regime WHEN trend = 1 AND volv = 1 THEN 'ACTIVE' WHEN b2 >= 2 AND e2 < 2 THEN 'ACTIVE' WHEN e2 >= 2 THEN 'CRISIS'
+          WHEN n_off >= 2 AND regime = 'ACTIVE' THEN 'CAUTIOUS' WHEN n_on >= 2 AND regime = 'CRISIS' THEN 'CAUTIOUS' ELSE regime END, b2, e2
+        FROM (SELECT *, CASE WHEN n_on >= 2 THEN bu + 1 ELSE 0 END AS b2, CASE WHEN n_off >= 2 THEN be + 1 ELSE 0 END AS e2 FROM (SELECT d.*, p.regime, p.bu, p.be, (trend IS NOT NULL)::INT + (volv IS NOT NULL)::INT AS live,
+          coalesce((trend = 1)::INT, 0) + coalesce((volv = 1)::INT, 0) AS n_on, coalesce((trend = -1)::INT, 0) + coalesce((volv = -1)::INT, 0) AS n_off FROM path p JOIN days d ON d.k = p.k + 1))),
+    tallw AS (UNPIVOT (SELECT ticker, date, {", ".join(SG.SIGNALS)} FROM signals) ON {", ".join(SG.SIGNALS)} INTO NAME signal VALUE score),
+    comp AS (SELECT config, t.date, ticker, {S.out("sum(weight * t.score) / sum(weight)")} AS score FROM tallw t JOIN weights w ON t.date = w.date AND t.signal = w.signal GROUP BY ALL HAVING count(*) >= 3),
+    able AS (SELECT p.ticker, p.date, px, {S.roll("stddev_samp", "r", 63)} * sqrt(252) AS vol, quantile_cont(px * volume, 0.5) OVER (PARTITION BY p.ticker ORDER BY date ROWS 20 PRECEDING) AS dollars, sector, asset_class FROM panel p LEFT JOIN dims USING (ticker)),
+    base AS MATERIALIZED (SELECT c.config, r.period, c.date, c.ticker, c.score, a.vol, sector, asset_class, CASE regime WHEN 'ACTIVE' THEN 1.0 WHEN 'CAUTIOUS' THEN 0.6 ELSE 0.5 END::DOUBLE AS gross,
+      CASE regime WHEN 'ACTIVE' THEN 0.8 WHEN 'CAUTIOUS' THEN 0.3 ELSE crisis_net END::DOUBLE AS net FROM comp c JOIN able a ON a.ticker = c.ticker AND a.date = c.date JOIN reb r ON r.config = c.config AND r.date = c.date JOIN path ON path.date = c.date
+      WHERE px >= 5 AND dollars >= {MEDIAN} AND asset_class <> 'leveraged')""" + BOOK + WALKED.format(warm=WARM)
+    )
+
+
+WF = live(LIVE)
 book.add(
     "w1_calendar",
     lambda s, d: O.rebalance_calendar(T.calendar(T.bars(s, d)), K, WARM).select("date", F.col("period").cast("long").alias("period"), "rebalance"),
     S.PANEL + f"SELECT date, (i - {WARM}) // {K} AS period, (i - {WARM}) % {K} = 0 AND i < (SELECT max(i) FROM cal) AS rebalance FROM cal WHERE i >= {WARM}",
 )
-book.add("w2_targets", lambda s, d: targets(s, d).select(F.col("period").cast("long").alias("period"), "ticker", "weight"), WF + "SELECT period, ticker, weight FROM tg")
-book.add("w3_drift", lambda s, d: pick(_daily(s, d)[1], "gross", keys=("date",)), WF + f"SELECT date, {cols(gross='gross')} FROM dl")
-
-
-def _net(s, d, bps=5.0):
-    t, rows, ends = _daily(s, d)
-    return O.net_returns(rows, O.traded(t, ends), bps)
-
-
-def _turnover(s, d):
-    t, rows, ends = _daily(s, d)
-    return O.turnover_summary(rows, O.traded(t, ends), t)
+book.add("w2_targets", lambda s, d: pick(targets(s, d), "weight", keys=("config", "date", "ticker")), WF + f"SELECT config, date, ticker, {cols(weight='weight')} FROM tg")
+book.add("w3_drift", lambda s, d: pick(_walk(s, d)[1], "gross", keys=("date",)), WF + f"SELECT date, {cols(gross='gross')} FROM dl")
 
 
-def _costs(s, d):
-    t, rows, ends = _daily(s, d)
-    return O.cost_sensitivity(rows, O.traded(t, ends))
+def _net(s, d, bps=5.0, configs=LIVE):
+    _, rows, trades = _walk(s, d, configs)
+    return O.net_returns(rows, trades, bps)
 
 
 def _grid(s, d):
-    """One walk a cadence, one row a configuration."""
-    rows = None
-    for every in (5, 10):
-        t, daily, ends = _daily(s, d, every)
-        net = O.net_returns(daily, O.traded(t, ends), 5.0).select(F.concat(F.lit("every"), F.lit(every)).alias("config"), "ret")
-        rows = net if rows is None else rows.unionByName(net)
-    return rows.groupBy("config").agg(F.count("ret").alias("n"), O.sharpe(F.col("ret")).alias("sharpe"), F.sum("ret").alias("total"))
+    """All configurations in one walk; cagr, Sharpe ratio, largest drawdown and turnover of each."""
+    _, rows, trades = _walk(s, d, GRID)
+    net = O.net_returns(rows, trades, 5.0)
+    return O.summary(net, "config").join(O.turnover_summary(rows, trades), "config")
 
 
 NET = "gross - CASE WHEN first THEN traded * 5 / 10000.0 ELSE 0 END"
+CEQ = "(PARTITION BY config ORDER BY date ROWS UNBOUNDED PRECEDING)"
 book.add(
     "a28_experiment_grid",
-    lambda s, d: pick(_grid(s, d), "sharpe", "total", keys=("config", "n")),
-    " UNION ALL ".join(f"SELECT * FROM ({walk(k)} SELECT 'every{k}' AS config, count(*) AS n, {cols(sharpe=SHARPE(NET), total=f'sum({NET})')} FROM nt)" for k in (5, 10)),
+    lambda s, d: pick(_grid(s, d), "cagr", "sharpe", "max_drawdown", "turnover", keys=("config",)),
+    live(GRID) + f""", ge AS (SELECT config, date, {NET} AS ret FROM nt), gq AS (SELECT *, product(1 + ret) OVER {CEQ} AS equity FROM ge), gd AS (SELECT *, equity / nullif(max(equity) OVER {CEQ}, 0) - 1 AS dd FROM gq)
+    SELECT config, {cols(cagr="CASE WHEN arg_max(equity, date) >= 0 THEN pow(arg_max(equity, date), 252.0 / count(*)) - 1 END", sharpe=f"round({SHARPE('ret')}, 2)", max_drawdown="min(dd)", turnover="any_value(tv) / (count(*) / 252.0) / 2")}
+    FROM gd JOIN (SELECT config, sum(traded) AS tv FROM tr GROUP BY 1) USING (config) GROUP BY config""",
 )
 book.add("w4_costs", lambda s, d: pick(_net(s, d), "ret", "traded", keys=("date",)), WF + f"SELECT date, {cols(ret=NET, traded='traded')} FROM nt")
 book.add(
     "w5_turnover",
-    lambda s, d: pick(_turnover(s, d), "turnover", "gross", "net", keys=("config",)),
-    WF + f"""SELECT 'live' AS config, {cols(turnover="(SELECT sum(traded) FROM tr) / ((SELECT count(*) FROM dl) / 252.0) / 2", gross="avg(g)", net="avg(n)")} FROM (SELECT period, sum(abs(weight)) AS g, sum(weight) AS n FROM tg GROUP BY 1)""",
+    lambda s, d: pick(O.turnover_summary(*_walk(s, d)[1:]), "turnover", "gross", "net", keys=("config",)),
+    WF + f"""SELECT config, {cols(turnover="any_value(tv) / (count(*) / 252.0) / 2", gross="avg(g / v)", net="avg(n / v)")} FROM dl JOIN (SELECT config, sum(traded) AS tv FROM tr GROUP BY 1) USING (config) GROUP BY config""",
 )
 book.add(
     "w6_cost_sensitivity",
-    lambda s, d: pick(_costs(s, d), "sharpe", "total", keys=("bps",)),
+    lambda s, d: pick(O.cost_sensitivity(*_walk(s, d)[1:]), "sharpe", "total", keys=("bps",)),
     WF + f""", lv AS (SELECT bps, gross - CASE WHEN first THEN traded * bps / 10000.0 ELSE 0 END AS ret FROM nt, (VALUES (0.0::DOUBLE), (5.0), (15.0)) b(bps))
-    SELECT bps, {cols(sharpe=SHARPE('ret'), total="exp(sum(CASE WHEN ret > -1 THEN ln(1 + ret) END)) - 1")} FROM lv GROUP BY 1""",
+    SELECT bps, {cols(sharpe=SHARPE('ret'), total="product(1 + ret) - 1")} FROM lv GROUP BY 1""",
 )
+SLEEVE, SLEEVE_VOL = 260, 2.0  # weekly moves are large: the default of 0.08 leaves dust only
 
 
 def sleeve(s, d):
-    """The trend sleeve through the same walk: signs of three momenta as weights."""
-    p = T.filled_panel(s, d)
-    on = SG.tsmom(p).where(f"i >= 260 and (i - 260) % {K} = 0 and tsmom is not null")
-    t = on.select(F.lit("sleeve").alias("config"), F.expr(f"(i - 260) div {K}").alias("period"), "ticker", (F.col("tsmom") * 0.01).alias("weight"))
-    rows, ends = O.drifted_returns(t, p.select("ticker", "i", "date", (F.col("r") / 20).alias("r")), K, 260)
+    """The trend sleeve (S10, P7) through the same walk."""
+    p = T.filled_panel(s, d).withColumn("vol", roll(F.stddev_samp, F.col("r"), 63) * F.sqrt(F.lit(ANNUAL)))
+    on = SG.tsmom(p).where(f"i >= {SLEEVE} and (i - {SLEEVE}) % {K} = 0").select("ticker", "date", "i", F.col("tsmom").alias("score"), "vol")
+    t = PF.sleeve_targets(on.join(T.dimensions(s, d), "ticker"), SLEEVE_VOL).select(F.lit("sleeve").alias("config"), F.expr(f"(i - {SLEEVE}) div {K}").alias("period"), "ticker", "weight")
+    t = stored(t)
+    rows, ends = O.drifted_returns(t, _returns(s, d), K, SLEEVE)
     return O.net_returns(rows, O.traded(t, ends), 5.0)
 
 
-SL = S.FILLED + f""", sg AS (SELECT ticker, i, CASE WHEN count(px) OVER {S.frame(253)} = 253 THEN (sign({S.change("px", 63)}) + sign({S.change("px", 126)}) + sign({S.change("px", 252)})) / 3.0 END AS z FROM panel),
-    tg AS (SELECT 'sleeve' AS config, (i - 260) // {K} AS period, ticker, z * 0.01 AS weight FROM sg WHERE i >= 260 AND (i - 260) % {K} = 0 AND z IS NOT NULL),
-    rr AS (SELECT ticker, i, date, coalesce(r / 20, 0) AS r, (i - 261) // {K} AS period FROM panel WHERE i > 260),
-    gv""" + WF.split("\n    gv", 1)[1]
+SL = (
+    S.FILLED + S.DIMENSIONS
+    + f""", cfg AS (SELECT 'sleeve' AS config, {K} AS every), sg AS (SELECT ticker, date, i, {S.roll("stddev_samp", "r", 63)} * sqrt(252) AS vol,
+      CASE WHEN count(px) OVER {S.frame(253)} = 253 THEN (sign({S.change("px", 63)}) + sign({S.change("px", 126)}) + sign({S.change("px", 252)})) / 3.0 END AS score FROM panel),
+    s0 AS (SELECT sg.*, asset_class, CASE WHEN vol IS NOT NULL THEN greatest(vol, 0.04) END AS v FROM sg JOIN dims USING (ticker) WHERE i >= {SLEEVE} AND (i - {SLEEVE}) % {K} = 0 AND score <> 0),
+    s1 AS (SELECT *, greatest(-0.12, least(0.12, score * {SLEEVE_VOL} / (coalesce(v, median(v) OVER (PARTITION BY date), 0.15) * sqrt(count(*) OVER (PARTITION BY date))))) AS weight FROM s0),
+    s2 AS (SELECT * REPLACE (weight * least(1.0, 0.35 / sum(abs(weight)) OVER (PARTITION BY date, asset_class)) AS weight) FROM s1),
+    s3 AS (SELECT * REPLACE (weight * least(1.0, 1.0 / sum(abs(weight)) OVER (PARTITION BY date)) AS weight) FROM s2),
+    tg AS (SELECT 'sleeve' AS config, (i - {SLEEVE}) // {K} AS period, ticker, weight FROM s3 WHERE abs(weight) >= 0.005)""" + WALKED.format(warm=SLEEVE)
+)
 book.add("w7_sleeve", lambda s, d: pick(sleeve(s, d), "ret", keys=("date",)), SL + f"SELECT date, {cols(ret=NET)} FROM nt")
 book.add(
     "w8_blends",
-    lambda s, d: pick(O.blends(_net(s, d), T.market(s, d).select("date", (F.col("rm") / 20).alias("ret"))), "sharpe", "vol", "corr", keys=("share",)),
-    WF + S.MARKET + f""", bl AS (SELECT share, x, y, share * x + (1 - share) * y AS r FROM (SELECT nt.date, {NET} AS x, rm / 20 AS y FROM nt JOIN market ON market.date = nt.date WHERE rm IS NOT NULL), (VALUES (0.7::DOUBLE), (0.6), (0.5)) s(share))
+    lambda s, d: pick(O.blends(_net(s, d), sleeve(s, d)), "sharpe", "vol", "corr", keys=("share",)),
+    f"""WITH one AS ({WF} SELECT date, {NET} AS x FROM nt), two AS ({SL} SELECT date, {NET} AS y FROM nt),
+    bl AS (SELECT share, x, y, share * x + (1 - share) * y AS r FROM one JOIN two USING (date), (VALUES (0.7::DOUBLE), (0.6), (0.5)) s(share))
     SELECT share, {cols(sharpe=SHARPE('r'), vol="stddev_samp(r) * sqrt(252)", corr="round(corr(x, y), 2)")} FROM bl GROUP BY 1""",
 )

@@ -19,11 +19,10 @@ book = Book()
 
 def scored(spark, d):
     """date, ticker, score (rounded), vol, px, sector, asset_class on rebalance rows."""
-    panel = T.filled_panel(spark, d)
-    score = SG.combine(SG.production_signals(panel), WEIGHTS).select("ticker", "date", out(F.col("composite")).alias("score"))
-    vol = panel.select("ticker", "date", "i", "px", (roll(F.stddev_samp, F.col("r"), 63) * F.sqrt(F.lit(ANNUAL))).alias("vol"))
-    both = vol.where("i % 21 = 0").join(score, ["ticker", "date"])
-    return both.join(F.broadcast(T.dimensions(spark, d)), "ticker", "left")
+    panel = T.filled_panel(spark, d).withColumn("vol", roll(F.stddev_samp, F.col("r"), 63) * F.sqrt(F.lit(ANNUAL)))
+    signals = SG.production_signals(panel, on=F.expr("i % 21 = 0"), keep=("i", "px", "vol"))
+    score = SG.combine(signals, WEIGHTS).select("ticker", "date", "i", "px", "vol", out(F.col("composite")).alias("score"))
+    return score.join(T.dimensions(spark, d), "ticker", "left")
 
 
 SCORED = RAW + S.DIMENSIONS + f""", vols AS (SELECT ticker, date, i, px, {SD(63)} * sqrt(252) AS vol FROM panel),
@@ -88,11 +87,11 @@ book.add(
     + f""", rows AS (SELECT asset_class AS grp, date, r FROM panel JOIN dims USING (ticker) WHERE r IS NOT NULL),
     width AS (SELECT asset_class AS grp, count(*) AS width FROM dims WHERE ticker IN (SELECT ticker FROM panel) GROUP BY 1),
     daily AS (SELECT grp, date, avg(r) AS r, any_value(width) AS width FROM rows JOIN width USING (grp) GROUP BY grp, date HAVING count(*) = any_value(width)),
-    vol AS (SELECT grp, width, stddev_samp(r) * sqrt(252) AS vol FROM (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY grp ORDER BY date DESC) <= 63) GROUP BY ALL HAVING stddev_samp(r) > 0),
-    share AS (SELECT *, 1 / vol / sum(1 / vol) OVER () * 0.7 AS w FROM vol)
-    SELECT ticker, grp, {S.out("CASE grp WHEN 'fixed_income' THEN greatest(w - 0.05, 0.02) WHEN 'equity' THEN w + 0.05 ELSE w END / width")} AS weight FROM share JOIN dims ON asset_class = grp""",
+    vol AS (SELECT grp, width, stddev_samp(r) * sqrt(252) AS vol FROM (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY grp ORDER BY date DESC) <= 63) GROUP BY ALL HAVING stddev_samp(r) > 0 AND count(*) >= 63),
+    share AS (SELECT *, 1 / vol / sum(1 / vol) OVER () * 0.7 AS w, bool_or(grp = 'equity') OVER () AND bool_or(grp = 'fixed_income') OVER () AS tilts FROM vol)
+    SELECT ticker, grp, {S.out("CASE WHEN tilts AND grp = 'fixed_income' THEN greatest(w - 0.05, 0.02) WHEN tilts AND grp = 'equity' THEN w + 0.05 ELSE w END / width")} AS weight FROM share JOIN dims ON asset_class = grp""",
 )
-TILT = SCORED + """, n1 AS (SELECT *, least(score / sum(score) OVER (PARTITION BY date), 0.10) AS w FROM base WHERE score > 0.05),
+TILT = SCORED + """, n1 AS (SELECT *, least(score / sum(score) OVER (PARTITION BY date) * 0.3, 0.10) AS w FROM base WHERE score > 0.05),
     tilt AS (SELECT date, ticker, asset_class, score, w / sum(w) OVER (PARTITION BY date) * 0.3 AS weight FROM n1)"""
 tilt = lambda s, d: O.alpha_tilt(scored(s, d))
 book.add("p9_alpha_tilt", lambda s, d: SHOW(tilt(s, d)), TILT + f"SELECT date, ticker, {W6} FROM tilt")
@@ -123,9 +122,10 @@ book.add(
     lambda s, d: SHOW(O.trend_filter(tops(s, d), _trend(s, d))),
     SCORED + S.MARKET + TOPS
     + f""", tr AS (SELECT date, coalesce(m > CASE WHEN count(m) OVER (ORDER BY date ROWS 49 PRECEDING) = 50 THEN avg(m) OVER (ORDER BY date ROWS 49 PRECEDING) END, true) AS above, coalesce(abs(rm), 0) < 0.05 AS calm FROM market),
-    mv AS (SELECT sw.*, weight * CASE WHEN above AND calm AND asset_class = 'equity' THEN 1.15 WHEN above AND calm AND asset_class = 'fixed_income' THEN 0.85
-      WHEN NOT above AND asset_class = 'equity' THEN 0.80 WHEN NOT above AND asset_class = 'fixed_income' THEN 1.20 ELSE 1.0 END AS n FROM sw JOIN tr USING (date))
-    SELECT date, ticker, {S.out("n * sum(weight) OVER (PARTITION BY date) / nullif(sum(n) OVER (PARTITION BY date), 0)")} AS weight FROM mv""",
+    mv AS (SELECT sw.*, calm, weight * CASE WHEN above AND calm AND asset_class = 'equity' THEN 1.15 WHEN above AND calm AND asset_class = 'fixed_income' THEN 0.85
+      WHEN NOT above AND asset_class = 'equity' THEN 0.80 WHEN NOT above AND asset_class = 'fixed_income' THEN 1.20 ELSE 1.0 END AS n FROM sw JOIN tr USING (date)),
+    iv2 AS (SELECT *, sum(CASE WHEN n > 0 THEN n END) OVER (PARTITION BY date) AS invested, CASE WHEN calm THEN 0.90 ELSE 0.80 END AS most FROM mv)
+    SELECT date, ticker, {S.out("CASE WHEN n > 0 AND invested > most THEN n * most / invested ELSE n END")} AS weight FROM iv2""",
 )
 book.add("p13_score_weights", lambda s, d: SHOW(tops(s, d)), SCORED + TOPS + f"SELECT date, ticker, {W6} FROM sw")
 PICKS = SCORED + """, g AS (SELECT * FROM base WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date, sector ORDER BY score DESC, ticker) <= 3),
@@ -172,9 +172,9 @@ book.add(
     "p18_leverage_budget",
     lambda s, d: SHOW(O.leverage_budget(_lev(tops(s, d)), 1.2, 0.12)),
     SCORED + TOPS
-    + f""", lv AS (SELECT *, CASE asset_class WHEN 'leveraged' THEN 3.0 WHEN 'commodity' THEN 2.0 ELSE 1.0 END::DOUBLE AS lev FROM sw),
+    + f""", lv AS (SELECT * REPLACE (least(weight, 0.12) AS weight), CASE asset_class WHEN 'leveraged' THEN 3.0 WHEN 'commodity' THEN 2.0 ELSE 1.0 END::DOUBLE AS lev FROM sw WHERE weight > 0.005),
     u AS (SELECT *, sum(lev * weight) OVER (PARTITION BY date) AS used FROM lv),
-    k AS (SELECT *, least(CASE WHEN used > 1.2 AND lev > 1 THEN weight * 1.2 / used ELSE weight END, 0.12) AS w FROM u)
+    k AS (SELECT *, CASE WHEN used > 1.2 AND lev > 1 THEN weight * 1.2 / used ELSE weight END AS w FROM u)
     SELECT date, ticker, {S.out("w / greatest(1.0, sum(w) OVER (PARTITION BY date))")} AS weight FROM k""",
 )
 book.add(

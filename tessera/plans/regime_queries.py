@@ -24,7 +24,7 @@ def state(spark, d):
     for name, (sid, scale) in roles.items():
         base = asof(base, series.where(F.col("series_id") == sid).select("date", (F.col("value") / scale).alias(name)), "date", [name])
     panel = T.filled_panel(spark, d)
-    up = panel.withColumn("a", O.roll(F.avg, F.col("px"), N)).groupBy("date").agg(F.avg(F.when(F.col("a").isNotNull(), (F.col("px") > F.col("a")).cast("double"))).alias("breadth"))
+    up = panel.withColumn("a", O.roll(F.avg, F.col("px"), N)).groupBy("date").agg(F.avg(F.coalesce((F.col("px") > F.col("a")).cast("double"), F.lit(0.0))).alias("breadth"))
     return base.withColumn("curve", F.col("curve") - 2.5).join(up, "date", "left").withColumn("market", F.lit("MKT"))
 
 
@@ -42,13 +42,13 @@ def lag(x: str, n: int) -> str:
 
 STATE = (
     S.FILLED + S.MARKET + S.MACRO
-    + f""", up AS (SELECT date, avg(CASE WHEN a IS NOT NULL THEN (px > a)::INT::DOUBLE END) AS breadth FROM (SELECT date, px, {S.roll("avg", "px", N)} AS a FROM panel) GROUP BY date),
+    + f""", up AS (SELECT date, avg(coalesce((px > a)::INT::DOUBLE, 0)) AS breadth FROM (SELECT date, px, {S.roll("avg", "px", N)} AS a FROM panel) GROUP BY date),
     state AS (SELECT 'MKT' AS market, k.date, m, rm, v.value / 10000 AS vix, o.value / 50000 AS oas, c.value / 100000 - 2.5 AS curve, breadth FROM market k
       ASOF LEFT JOIN (SELECT * FROM macro WHERE series_id = '3-MEDIUM') v ON k.date >= v.date ASOF LEFT JOIN (SELECT * FROM macro WHERE series_id = '4-NOT SPECIFIED') o ON k.date >= o.date
       ASOF LEFT JOIN (SELECT * FROM macro WHERE series_id = '5-LOW') c ON k.date >= c.date LEFT JOIN up ON up.date = k.date),
     rel AS (SELECT *, m / nullif({roll("avg", "m", N)}, 0) - 1 AS gap, vix / nullif({roll("avg", "vix", 21)}, 0) AS rv, oas - {lag("oas", 10)} AS d10,
-      {roll("stddev_samp", "rm", 21)} * sqrt(252) AS vol, {roll("avg", "m", N)} AS mean, vix / nullif({lag("vix", 5)}, 0) - 1 AS jump, m / nullif({lag("m", 5)}, 0) - 1 AS five,
-      m / nullif({roll("max", "m", 252, 1)}, 0) - 1 AS fall FROM state),
+      {roll("stddev_samp", "rm", 21)} * sqrt(252) AS vol, {roll("avg", "m", N)} AS mean, {roll("avg", "m", N // 4)} AS near, {roll("avg", "vix", 21)} AS vmean, vix / nullif({lag("vix", 5)}, 0) - 1 AS jump, m / nullif({lag("m", 5)}, 0) - 1 AS five,
+      m / nullif({roll("max", "m", 52)}, 0) - 1 AS fall FROM state),
     votes AS (SELECT *, CASE WHEN gap > 0.02 THEN 1 WHEN gap < -0.02 THEN -1 WHEN gap IS NOT NULL THEN 0 END AS trend,
       CASE WHEN rv IS NULL THEN NULL WHEN vix >= 28 OR rv >= 1.15 THEN -1 WHEN vix <= 20 AND rv <= 1.05 THEN 1 ELSE 0 END AS volv,
       CASE WHEN d10 IS NULL THEN NULL WHEN oas >= 5.5 OR d10 >= 0.75 THEN -1 WHEN oas <= 3.5 AND d10 <= 0 THEN 1 ELSE 0 END AS credit,
@@ -99,23 +99,31 @@ book.add(
     lambda s, d: O.simple_regime(x := state(s, d), n=N).select("date", F.col("label").alias("plain")).join(O.simple_regime(x, True, N).select("date", F.col("label").alias("spiked")), "date"),
     STATE + f"SELECT date, {SIMPLE} AS plain, CASE WHEN coalesce(vix, 20) / nullif(lag(coalesce(vix, 20), 5) OVER (ORDER BY date), 0) - 1 > 0.40 THEN 'CRISIS' ELSE {SIMPLE} END AS spiked FROM rel",
 )
-GRADE = lambda x, a, b, c: f"CASE WHEN ({x}) IS NULL THEN 1 WHEN ({x}) < {a} THEN 0 WHEN ({x}) < {b} THEN 1 WHEN ({x}) < {c} THEN 2 ELSE 3 END"
+VOTES = {
+    "vix": (0.25, "CASE WHEN vix < 13 THEN 0 WHEN vix < 18 THEN 1 WHEN vix < 25 THEN 2 WHEN vix < 35 THEN 3 WHEN vix IS NOT NULL THEN 4 END"),
+    "sma": (0.20, "CASE WHEN mean IS NULL OR m IS NULL THEN NULL WHEN m > mean AND near > mean THEN CASE WHEN m > mean * 1.10 THEN 0 ELSE 1 END WHEN m > mean * 0.95 THEN 2 ELSE 3 END"),
+    "vix_trend": (0.10, "CASE WHEN rv IS NULL THEN NULL WHEN vix < vmean * 0.85 THEN 1 WHEN vix > vmean * 1.30 THEN 3 WHEN vix > vmean THEN 2 ELSE 1 END"),
+    "breadth": (0.10, "CASE WHEN breadth >= 0.8 THEN 1 WHEN breadth >= 0.5 THEN 2 WHEN breadth IS NOT NULL THEN 3 END"),
+    "drawdown": (0.10, "CASE WHEN fall > -0.05 THEN 1 WHEN fall > -0.10 THEN 2 WHEN fall > -0.20 THEN 3 WHEN fall IS NOT NULL THEN 4 END"),
+    "credit": (0.10, "CASE WHEN oas < 3.5 THEN 1 WHEN oas < 5 THEN 2 WHEN oas < 7 THEN 3 WHEN oas IS NOT NULL THEN 4 END"),
+    "spike": (0.10, "CASE WHEN jump > 0.50 THEN 4 WHEN jump > 0.30 THEN 3 WHEN jump IS NOT NULL THEN 1 END"),
+    "curve": (0.05, "CASE WHEN curve > 1 THEN 1 WHEN curve > 0 THEN 2 WHEN curve IS NOT NULL THEN 3 END"),
+}
+LABELS = "['EUPHORIA', 'CALM', 'CAUTION', 'STRESS', 'CRISIS']"
 EIGHT = (
     STATE
-    + f""", graded AS (SELECT market, date, vix AS level, five, {GRADE("vix", 15, 22, 32)} AS vix, {GRADE("-gap", -0.03, 0.0, 0.05)} AS sma, {GRADE("rv", 0.95, 1.1, 1.3)} AS vix_trend, {GRADE("-breadth", -0.6, -0.45, -0.25)} AS breadth,
-      {GRADE("-fall", 0.03, 0.08, 0.15)} AS drawdown, {GRADE("oas", 3.5, 5.0, 6.5)} AS credit, {GRADE("jump", 0.1, 0.2, 0.4)} AS spike, {GRADE("-curve", -0.5, 0.0, 0.5)} AS curve FROM rel),
-    ballots AS (UNPIVOT graded ON vix, sma, vix_trend, breadth, drawdown, credit, spike, curve INTO NAME signal VALUE grade),
-    mass AS (SELECT market, date, level, five, grade, round(sum(CASE signal WHEN 'vix' THEN 0.25 WHEN 'sma' THEN 0.20 WHEN 'curve' THEN 0.05 ELSE 0.10 END), 6) AS mass FROM ballots GROUP BY ALL),
-    best AS (SELECT * FROM mass QUALIFY row_number() OVER (PARTITION BY date ORDER BY mass DESC, grade) = 1),
-    labels AS (SELECT market, date, ['CALM', 'NORMAL', 'STRESS', 'CRISIS'][greatest(grade, CASE WHEN five < -0.10 OR level > 40 THEN 3 WHEN five < -0.05 THEN 2 ELSE 0 END) + 1] AS label FROM best)"""
+    + f""", ballots AS (SELECT market, date, vix, five, v.grade, v.share FROM rel, LATERAL (VALUES {", ".join(f"({e}, {w}::DOUBLE)" for w, e in VOTES.values())}) v(grade, share)),
+    mass AS (SELECT market, date, vix, five, g, round(coalesce(sum(share) FILTER (grade = g), 0), 6) AS mass FROM ballots, (VALUES (0), (1), (2), (3), (4)) gs(g) GROUP BY ALL),
+    best AS (SELECT * FROM mass QUALIFY row_number() OVER (PARTITION BY date ORDER BY mass DESC, g) = 1),
+    labels AS (SELECT market, date, {LABELS}[greatest(g, CASE WHEN five < -0.10 OR vix > 40 THEN 4 WHEN five < -0.05 THEN 3 ELSE 0 END) + 1] AS label FROM best)"""
 )
-_eight = lambda s, d: O.eight_votes(state(s, d), N)
+_eight = lambda s, d: O.eight_votes(state(s, d), N, N // 4, 52)
 book.add("r10_eight_votes", _eight, EIGHT + "SELECT * FROM labels")
 book.add(
     "r11_confirmed",
     lambda s, d: O.confirmed(_eight(s, d)),
     EIGHT.replace("\nWITH lines", "\nWITH RECURSIVE lines")
-    + """, seq AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY date) AS k, list_position(['CALM', 'NORMAL', 'STRESS', 'CRISIS'], label) AS sev FROM labels),
+    + """, seq AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY date) AS k, list_position(['EUPHORIA', 'CALM', 'CAUTION', 'STRESS', 'CRISIS'], label) AS sev FROM labels),
     held AS (SELECT k, date, label AS held, sev, date AS since FROM seq WHERE k = 1
       UNION ALL SELECT s.k, s.date, CASE WHEN go THEN s.label ELSE h.held END, CASE WHEN go THEN s.sev ELSE h.sev END, CASE WHEN go THEN s.date ELSE h.since END
       FROM (SELECT h.*, h.k AS hk, s.sev <> h.sev AND (s.label = 'CRISIS' OR s.date - h.since >= CASE WHEN s.sev > h.sev THEN 5 ELSE 10 END) AS go FROM held h JOIN seq s ON s.k = h.k + 1) h JOIN seq s ON s.k = h.hk + 1)
@@ -125,7 +133,7 @@ book.add(
     "r12_detector_health",
     lambda s, d: O.detector_health(_eight(s, d).join(T.market(s, d).select("date", F.col("rm").alias("ret")), "date")).select("date", F.col("wrong").cast("long").alias("wrong"), "boost"),
     EIGHT
-    + """, w AS (SELECT date, CAST(sum(CASE WHEN (label IN ('CALM', 'NORMAL') AND rm < -0.03) OR (label NOT IN ('CALM', 'NORMAL') AND rm > 0.03) THEN 1 ELSE 0 END)
+    + """, w AS (SELECT date, CAST(sum(CASE WHEN (label IN ('EUPHORIA', 'CALM') AND rm < -0.03) OR (label IN ('STRESS', 'CRISIS') AND rm > 0.03) THEN 1 ELSE 0 END)
       OVER (ORDER BY date ROWS 7 PRECEDING) AS BIGINT) AS wrong FROM labels JOIN market USING (date))
     SELECT date, wrong, CASE WHEN wrong >= 3 THEN 0.15::DOUBLE ELSE 0.0 END AS boost FROM w""",
 )

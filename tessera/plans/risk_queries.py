@@ -32,7 +32,7 @@ def positions(spark, d):
     held = lines.join(o, lines.l_orderkey == o.o_orderkey).groupBy("portfolio_id", "ticker").agg(
         F.sum(q).alias("qty"), (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / 100.0 / F.sum("l_quantity")).alias("entry_price")
     )
-    return held.where("qty <> 0").join(F.broadcast(last), "ticker").withColumn("market_value", F.col("qty") * F.col("current_price"))
+    return held.where("qty <> 0").join(last, "ticker").withColumn("market_value", F.col("qty") * F.col("current_price"))
 
 
 def values(pos):
@@ -45,7 +45,7 @@ def books(spark, d):
 
 
 def sectored(spark, d):
-    return books(spark, d).join(F.broadcast(T.dimensions(spark, d)), "ticker", "left")
+    return books(spark, d).join(T.dimensions(spark, d), "ticker", "left")
 
 
 P = ["portfolio_id"]
@@ -165,7 +165,7 @@ ORD = POS + """, tg AS (SELECT * FROM (SELECT portfolio_id, ticker, CASE (CAST(t
       UNION ALL SELECT portfolio_id, ticker, goal, CASE WHEN goal > 0 THEN 3 ELSE 2 END, 'open', p FROM o3 WHERE goal <> 0 AND (q = 0 OR sign(q) <> sign(goal))
       UNION ALL SELECT portfolio_id, ticker, step, CASE WHEN abs(goal) <= abs(q) THEN 1 WHEN goal > 0 THEN 3 ELSE 2 END, CASE WHEN abs(goal) > abs(q) THEN 'increase' ELSE 'reduce' END, p FROM o3
         WHERE q <> 0 AND goal <> 0 AND sign(q) = sign(goal) AND abs(w - mv / pv) >= greatest(0.0035, 0.20 * abs(w)) AND abs(step) >= CASE WHEN w < 0 THEN 1 ELSE 0.001 END),
-    o5 AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY priority, abs(signed) * p DESC, ticker) AS k, count(*) FILTER (priority <= 1) OVER (PARTITION BY portfolio_id) AS urgent FROM o4),
+    o5 AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY priority, round(abs(signed) * p, 6) DESC, ticker) AS k, count(*) FILTER (priority <= 1) OVER (PARTITION BY portfolio_id) AS urgent FROM o4),
     ords AS (SELECT portfolio_id, ticker, CASE WHEN signed > 0 THEN 'buy' ELSE 'sell' END AS side, abs(signed) AS quantity, abs(signed) * p AS estimated_value, priority, reason FROM o5 WHERE priority <= 1 OR k <= greatest({0}, urgent))"""
 ROW = ["portfolio_id", "ticker", "side", "priority", "reason"]
 _show = lambda df: df.select(*ROW, out(F.col("quantity"), 4).alias("quantity"), out(F.col("estimated_value")).alias("estimated_value"))
@@ -190,4 +190,3 @@ book.add(
     ORD.replace("{0}", "60") + f"SELECT portfolio_id, CASE WHEN priority <= 1 THEN 'close' ELSE 'open' END AS phase, count(*) AS orders, {S.out('sum(estimated_value)')} AS value FROM ords GROUP BY ALL",
 )
 book.add("o9_fill_summary", lambda s, d: O.fill_summary(T.table(s, d, "orders").withColumnRenamed("o_orderstatus", "status")), "SELECT o_orderstatus AS status, count(*) AS orders FROM orders GROUP BY 1")
-__all__ = ["roll"]

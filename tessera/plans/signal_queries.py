@@ -77,7 +77,7 @@ book.add(
     rsi AS (SELECT ticker, date, CASE WHEN l = 0 AND g > 0 THEN 100 WHEN l > 0 THEN 100 - 100 / (1 + g / l) END AS rsi FROM smooth),
     fear AS (SELECT c.date, m.value / 10000 AS value FROM cal c ASOF LEFT JOIN (SELECT * FROM macro WHERE series_id = '3-MEDIUM') m ON c.date >= m.date),
     b AS (SELECT ticker, date, i, {NULLIF(f"px - ({AVG(20)} - 2 * {SD(20, 'px')})", f"4 * {SD(20, 'px')}")} AS bb, {NULLIF("px", f"({S.roll('max', 'px', 252)})")} - 1 AS dd FROM panel),
-    p AS (SELECT b.*, value, (CASE WHEN rsi < 30 THEN (30 - rsi) / 30 WHEN rsi > 70 THEN -(rsi - 70) / 30 ELSE 0 END + {S.clip("0.5 - bb", -1, 1)} + {S.clip("-2 * dd", 0, 1.5)}) / 3 AS part
+    p AS (SELECT b.*, value, (CASE WHEN rsi IS NULL THEN NULL WHEN rsi < 30 THEN (30 - rsi) / 30 WHEN rsi > 70 THEN -(rsi - 70) / 30 ELSE 0 END + {S.clip("0.5 - bb", -1, 1)} + {S.clip("-2 * dd", 0, 1.5)}) / 3 AS part
       FROM b LEFT JOIN rsi USING (ticker, date) LEFT JOIN fear USING (date)),
     x AS (SELECT *, CASE WHEN value > 35 AND part > 0 THEN 0.0 ELSE part END AS raw FROM p)
     SELECT ticker, date, {S.out(LEGACY, 4)} AS score FROM x WHERE i >= 252 WINDOW w AS (PARTITION BY date)""",
@@ -103,8 +103,9 @@ book.add(
     "s13_composite_alpha",
     lambda spark, d: O.composite_alpha(T.filled_panel(spark, d)).select("ticker", "date", out(F.col("alpha")).alias("alpha")),
     S.FILLED
-    + f""", x AS (SELECT ticker, date, {S.change("px", 126)} AS mom, {NULLIF("px", AVG(50))} - 1 AS trend, {NULLIF(S.change("px", 21), SD(21))} AS sentiment, -{SD(63)} AS macro FROM panel)
-    SELECT ticker, date, {S.out(f"(0.35 * {PCT('mom')} + 0.25 * {PCT('trend')} + 0.25 * {PCT('sentiment')} + 0.15 * {PCT('macro')}) * 2 - 1")} AS alpha FROM x""",
+    + f""", x AS (SELECT ticker, date, {S.change("px", 126)} AS half, {S.change("px", 63)} AS quarter, {S.change("px", 21)} + {S.change("px", 63)} + {S.change("px", 126)} AS total, {S.change("px", 5)} AS week, {SD(20)} AS vol,
+      CASE WHEN count(px) OVER (PARTITION BY ticker) >= 200 THEN 0.3::DOUBLE * coalesce((px > {AVG(50)})::INT, 0) + 0.4 * coalesce((px > {AVG(200)})::INT, 0) + 0.3 * coalesce(({AVG(50)} > {AVG(200)})::INT, 0) ELSE 0.5 END AS trend FROM panel)
+    SELECT ticker, date, {S.out(f"(0.35 * (0.35 * {PCT('half')} + 0.35 * {PCT('quarter')} + 0.30 * {PCT('total')}) + 0.25 * trend + 0.25 * (0.5 + ({PCT('week')} - 0.5) * 0.5) + 0.15 * coalesce(1 - {PCT('vol')}, 0.5) - 0.5) * 2")} AS alpha FROM x""",
 )
 
 # ---- candidates ----------------------------------------------------------------------------
@@ -142,7 +143,7 @@ A_SQL = {
 
 
 def candidate_panel(spark, d):
-    return T.filled_panel(spark, d).join(F.broadcast(T.market(spark, d)), "date", "left")
+    return T.filled_panel(spark, d).join(T.market(spark, d), "date", "left")
 
 
 def _candidate(name):

@@ -6,41 +6,45 @@ is read back, so that the same code serves a bounded replay and a running stream
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.ingest import upsert
 from tessera.operators.regime import CAUTIOUS, step
+from tessera.sources.tables import shared_folder
 
 
-def folder(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+#: Rows of a slice of a replay at most, about: a batch of one key is held by one task.
+SLICE_ROWS = 1_000_000
 
 
-def replay(events: DataFrame, files: int = 3) -> DataFrame:
-    """`events` written slice by slice in order of ts and read as a stream, one slice a batch."""
-    path = folder(events.sparkSession)
+def replay(events: DataFrame, slices: int = 3, rows: int = SLICE_ROWS) -> DataFrame:
+    """`events` written slice by slice in order of ts (null first) and read as a stream, one slice a batch.
+
+    The number of slices grows with the table, so that no file and no batch does.  Batches follow
+    the times of the files, so slices are published one after another, each from its own partition.
+    """
+    spark, path = events.sparkSession, shared_folder(events.sparkSession)
     at = F.unix_micros("ts").cast("double")
-    cuts = events.select(at.alias("t")).approxQuantile("t", [k / files for k in range(1, files)], 0.01)
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = events if low is None else events.where(at > low)
-        part = part if high is None else part.where(at <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return events.sparkSession.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    slices = max(slices, -(-events.count() // rows))
+    cuts = events.select(at.alias("t")).approxQuantile("t", [k / slices for k in range(1, slices)], 0.01 / slices)
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < at)) if cuts else F.lit(0)
+    staged = f"{path}-staged"
+    events.withColumn("slice", F.coalesce(place, F.lit(0))).repartition("slice").write.partitionBy("slice").parquet(staged)
+    whole = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in events.schema)}, slice int").parquet(staged)
+    for k in range(len(cuts) + 1):
+        whole.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run to the end of the source; the sink is Parquet (append) or the last state of each batch (update)."""
-    spark, path = stream.sparkSession, folder(stream.sparkSession)
+    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
     writer = stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").outputMode("append").start(path)
@@ -52,13 +56,23 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def distinct_bars(stream: DataFrame, keys: list[str], late: str = "7 days") -> DataFrame:
-    """Exact repeats within the overlap are dropped; corrections go through the batch upsert in foreachBatch."""
+    """Exact repeats within the overlap are dropped; corrections: see corrected_bars."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def corrected_bars(stream: DataFrame, merge: Callable[[DataFrame, int], None]):
-    """Corrections, batch by batch."""
-    return stream.writeStream.option("checkpointLocation", f"{folder(stream.sparkSession)}-state").trigger(availableNow=True).foreachBatch(merge).start()
+def corrected_bars(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Corrections - the newest row of `keys` in a batch replaces the one before.  A batch writes a version of its own, so that it can be repeated."""
+    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
+    versions: list[int] = []
+
+    def merge(batch: DataFrame, n: int) -> None:
+        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("row")).select("row.*")
+        held = spark.read.schema(batch.schema).parquet(f"{path}/{n - 1}") if n else newest.limit(0)
+        upsert(held, newest, keys).write.mode("overwrite").parquet(f"{path}/{n}")
+        versions.append(n)
+
+    stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/{max(versions)}") if versions else spark.createDataFrame([], stream.schema)
 
 
 def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -83,7 +97,7 @@ def regime_stream(votes: DataFrame) -> DataFrame:
 
 def stop_stream(prices: DataFrame, positions: DataFrame, limit: float = -0.08) -> DataFrame:
     """Each price against the static positions (key, entry_price)."""
-    joined = prices.join(F.broadcast(positions), "key")
+    joined = prices.join(positions, "key")
     return joined.withColumn("pnl", F.when(F.col("entry_price") > 0, F.col("value") / F.col("entry_price") - 1)).where(F.col("pnl") <= limit)
 
 

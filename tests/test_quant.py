@@ -225,3 +225,150 @@ def test_group_function_holds_one_name_of_a_sector(spark):
     want = {r.sector: (r.mean, r.n) for r in own.agg(F.avg("px").alias("mean"), F.count(F.lit(1)).alias("n")).collect()}
     rows = {r.sector: (r.mean, r.n) for r in found.collect()}
     assert rows.keys() == want.keys() and all(rows[k][1] == want[k][1] and abs(rows[k][0] - want[k][0]) < 1e-5 for k in want)
+
+
+# ---- plain loops, written from the steps of the published rules ------------------------------
+
+
+def test_total_loss_stays_zero(spark):
+    from tessera.operators import metrics as M
+
+    daily = spark.createDataFrame([("a", dt.date(2024, 1, k + 1), r) for k, r in enumerate([0.1, -1.0, 0.2])], "strategy_id string, date date, ret double")
+    assert [round(r.equity, 9) for r in M.equity(daily).orderBy("date").collect()] == [1.1, 0.0, 0.0]
+    row = M.summary(daily).first()
+    assert row.cagr == -1.0 and row.max_drawdown == -1.0
+
+
+def test_rolling_sums_equal_frames(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tessera.functions.windows import roll
+
+    rng = np.random.default_rng(4)
+    x = pd.Series(rng.normal(1000, 50, 300))
+    x[100:130], x[200] = 777.0, None
+    df = spark.createDataFrame([("a", dt.date(2020, 1, 1) + dt.timedelta(k), None if v != v else float(v)) for k, v in enumerate(x)], "ticker string, date date, x double")
+    got = df.select("date", roll(F.avg, "x", 20).alias("a"), roll(F.stddev_samp, "x", 20).alias("s"), roll(F.sum, F.col("x"), 20, least=10).alias("t")).orderBy("date").toPandas()
+    for name, want in (("a", x.rolling(20).mean()), ("t", x.rolling(20, min_periods=10).sum())):
+        assert np.allclose(got[name].astype(float), want, rtol=1e-12, equal_nan=True)
+    sd = x.rolling(20).apply(lambda w: np.std(w, ddof=1), raw=True)
+    assert np.allclose(got["s"].astype(float), sd, rtol=1e-9, atol=1e-9, equal_nan=True) and (got["s"][119:129].dropna() == 0).all()
+
+
+def test_eight_votes_follow_the_rules(spark):
+    import numpy as np
+
+    from tessera.operators.regime import EIGHT, SEVERITY, eight_votes
+
+    rng = np.random.default_rng(8)
+    n, long, short, year = 120, 20, 5, 30
+    m = 100 * np.exp(np.cumsum(rng.normal(0, 0.03, n)))
+    vix, oas, curve, breadth = np.abs(rng.normal(22, 10, n)), rng.normal(4.5, 2, n), rng.normal(0.5, 1, n), rng.random(n)
+    vix[:3], oas[7] = np.nan, np.nan
+    none = lambda v: None if v != v else float(v)
+    rows = [("MKT", dt.date(2020, 1, 1) + dt.timedelta(k), float(m[k]), none(vix[k]), none(oas[k]), float(curve[k]), float(breadth[k])) for k in range(n)]
+    df = spark.createDataFrame(rows, "market string, date date, m double, vix double, oas double, curve double, breadth double")
+    got = [r.label for r in eight_votes(df, long, short, year).orderBy("date").collect()]
+    for k in range(n):
+        votes = {}
+        v = vix[k]
+        if v == v:
+            votes["vix"] = 0 if v < 13 else 1 if v < 18 else 2 if v < 25 else 3 if v < 35 else 4
+            window = vix[max(0, k - 20) : k + 1]
+            if k >= 20 and not np.isnan(window).any():
+                a = window.mean()
+                votes["vix_trend"] = 1 if v < a * 0.85 else 3 if v > a * 1.30 else 2 if v > a else 1
+            if k >= 5 and vix[k - 5] == vix[k - 5]:
+                jump = v / vix[k - 5] - 1
+                votes["spike"] = 4 if jump > 0.5 else 3 if jump > 0.3 else 1
+        if k >= long - 1:
+            slow, fast = m[k - long + 1 : k + 1].mean(), m[k - short + 1 : k + 1].mean()
+            votes["sma"] = (0 if m[k] > slow * 1.10 else 1) if m[k] > slow and fast > slow else 2 if m[k] > slow * 0.95 else 3
+        votes["breadth"] = 1 if breadth[k] >= 0.8 else 2 if breadth[k] >= 0.5 else 3
+        if k >= year - 1:
+            fall = m[k] / m[k - year + 1 : k + 1].max() - 1
+            votes["drawdown"] = 1 if fall > -0.05 else 2 if fall > -0.10 else 3 if fall > -0.20 else 4
+        if oas[k] == oas[k]:
+            votes["credit"] = 1 if oas[k] < 3.5 else 2 if oas[k] < 5 else 3 if oas[k] < 7 else 4
+        votes["curve"] = 1 if curve[k] > 1 else 2 if curve[k] > 0 else 3
+        mass = [round(sum(EIGHT[s] for s, g in votes.items() if g == grade), 6) for grade in range(5)]
+        winner = mass.index(max(mass))
+        if k >= 5:
+            week = m[k] / m[k - 5] - 1
+            winner = max(winner, 3) if week < -0.05 else winner
+            winner = 4 if week < -0.10 else winner
+        assert got[k] == SEVERITY[4 if v == v and v > 40 else winner], k
+
+
+def test_tilt_filter_and_leverage_follow_the_rules(spark):
+    from tessera.operators import portfolio as P
+
+    day = dt.date(2024, 1, 1)
+    scores = {"a": 0.9, "b": 0.2, "c": 0.1, "d": 0.01}
+    df = spark.createDataFrame([(day, t, s) for t, s in scores.items()], "date date, ticker string, score double")
+    live = {t: s for t, s in scores.items() if s > 0.05}
+    w = {t: min(s / sum(live.values()) * 0.3, 0.10) for t, s in live.items()}
+    w = {t: x / sum(w.values()) * 0.3 for t, x in w.items()}
+    assert {r.ticker: round(r.weight, 9) for r in P.alpha_tilt(df).collect()} == {t: round(x, 9) for t, x in w.items()}
+
+    book = [("a", 0.5, "equity"), ("b", 0.4, "fixed_income"), ("c", -0.1, "equity")]
+    df = spark.createDataFrame([(day, *b) for b in book], "date date, ticker string, weight double, asset_class string")
+    for above, label, up, bond, cash in ((True, "CALM", 1.15, 0.85, 0.10), (False, "CRISIS", 0.80, 1.20, 0.30), (True, "CRISIS", 1, 1, 0.30)):
+        moved = {"a": 0.5 * up, "b": 0.4 * bond, "c": -0.1}
+        total = moved["a"] + moved["b"]
+        want = {t: x * (1 - cash) / total if x > 0 and total > 1 - cash else x for t, x in moved.items()}
+        trend = spark.createDataFrame([(day, above, label)], "date date, above boolean, label string")
+        assert {r.ticker: round(r.weight, 9) for r in P.trend_filter(df, trend).collect()} == {t: round(x, 9) for t, x in want.items()}
+
+    book = {"a": (0.6, 3.0), "b": (0.5, 1.0), "c": (0.3, 3.0), "d": (0.004, 1.0)}
+    df = spark.createDataFrame([(day, t, *x) for t, x in book.items()], "date date, ticker string, weight double, lev double")
+    w = {t: min(x, 0.35) for t, (x, _) in book.items() if x > 0.005}
+    used = sum(book[t][1] * x for t, x in w.items())
+    w = {t: x * 1.5 / used if used > 1.5 and book[t][1] > 1 else x for t, x in w.items()}
+    w = {t: x / max(1.0, sum(w.values())) for t, x in w.items()}
+    assert {r.ticker: round(r.weight, 9) for r in P.leverage_budget(df, 1.5).collect()} == {t: round(x, 9) for t, x in w.items()}
+
+
+def test_walk_equals_the_day_loop(spark):
+    import numpy as np
+
+    from tessera.operators import metrics as M
+
+    rng = np.random.default_rng(2)
+    n, warm, every, names = 30, 5, 4, ["a", "b", "c"]
+    r = rng.normal(0, 0.1, (n, 3))
+    r[9, 0], r[12, 1] = -1.0, np.nan
+    plan = {p: rng.normal(0, 0.4, 3) for p in range((n - 1 - warm - 1) // every + 1)}
+    returns = spark.createDataFrame([(t, i, dt.date(2024, 1, 1) + dt.timedelta(i), None if r[i, k] != r[i, k] else float(r[i, k])) for i in range(n) for k, t in enumerate(names)], "ticker string, i int, date date, r double")
+    targets = spark.createDataFrame([("x", p, t, float(w[k])) for p, w in plan.items() for k, t in enumerate(names)], "config string, period int, ticker string, weight double")
+    daily, ends = M.drifted_returns(targets, returns, every, warm)
+    trades = M.traded(targets, ends)
+    got = {row.i: row for row in M.net_returns(daily, trades, 5.0).collect()}
+    held, total, gross, net = np.zeros(3), 0.0, [], []
+    for i in range(warm, n - 1):
+        cost = 0.0
+        if (i - warm) % every == 0:
+            new = plan[(i - warm) // every]
+            cost, held = np.abs(new - held).sum() * 5 / 1e4, new
+            total += cost * 1e4 / 5
+        move = np.nan_to_num(r[i + 1])
+        g = (held * move).sum()
+        held = held * (1 + move) / (1 + g)
+        gross.append(np.abs(held).sum())
+        net.append(held.sum())
+        assert abs(got[i + 1].ret - (g - cost)) < 1e-9
+    row = M.turnover_summary(daily, trades).first()
+    years = len(gross) / 252
+    assert np.allclose([row.turnover, row.gross, row.net], [total / years / 2, np.mean(gross), np.mean(net)])
+
+
+def test_long_short_sector_limit(spark):
+    from tessera.operators import portfolio as P
+
+    day = dt.date(2024, 1, 1)
+    rows = [(day, f"t{k:02d}", 20.0, 1.0 - k / 100, 0.0, "s0" if k < 6 else f"s{k % 3}") for k in range(30)]
+    df = spark.createDataFrame(rows, "date date, ticker string, px double, mom double, alpha double, sector string")
+    free = {r.ticker for r in P.long_short_engine(df, 5, 5).where("weight > 0").collect()}
+    held = [r.sector for r in P.long_short_engine(df, 5, 5, most=2).where("weight > 0").collect()]
+    assert free == {"t00", "t01", "t02", "t03", "t04"} and len(held) == 5 and max(held.count(s) for s in set(held)) == 2
