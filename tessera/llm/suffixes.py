@@ -18,11 +18,17 @@ sends every name once, however many of its documents share it (a combine before
 shuffle), packed as bytes, and gets one bit a name back.  Exact copies are folded first.
 
 Names are hashes.  Those of step 2 (32 bits within a bucket) may collide: that only adds
-candidates.  Those of step 3 have 56 bits plus the bucket, drawn independently; n strings
-collide with a chance of about n x BUCKET / 2^57, some 1e-3 at 30 GB.
+candidates.  Those of step 3 have 56 bits plus the bucket, drawn independently, and are not
+compared by bytes: n candidate strings have about n x `bucket` / 2^57 pairs of different strings
+with one name (see README).  A bucket holds about `bucket` names: step 2 has as many buckets as the
+samples fill, step 3 as many as all strings would.  A name that every pack has is one name a
+pack in its bucket.
 
 Defined results: a null text is an empty one; documents of one doc_id do not remove each
-other; a null doc_id counts as larger than all others; texts under 50 bytes lose nothing.
+other; a null doc_id counts as larger than all others and stays null; texts under 50 bytes lose
+nothing; equal texts under different ids lose all but the first; texts of any length are
+whole (a text above `pack_bytes` fills its pack); an empty table gives an empty result; only doc_id
+and text are read.
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ COVER = (0, 1, 3, 8, 12, 18)
 TUPLE = LENGTH - MODULUS + 1
 PACK_BYTES = 2_000_000
 BUCKET = 3_000_000  #: names a bucket
-NULL_ID = 2**63 - 1
+NULL_ID = 2**63 - 1  #: the place of a null id; an id of this value is told apart by a flag
 _M = 0x9E3779B97F4A7C15
 
 
@@ -77,6 +83,7 @@ class Pack:
         order = sorted(range(len(texts)), key=lambda i: (pdf["doc_id"].iat[i], texts[i]))
         self.ids = pdf["doc_id"].to_numpy(np.int64)[order]
         self.texts = [texts[i] for i in order]
+        self.nameless = pdf["nameless"].to_numpy(bool)[order]
         self.n = np.array([len(t) for t in self.texts], np.int64)
         self.bytes = np.frombuffer(b"".join(self.texts) + bytes(LENGTH), np.uint8)
         self.ends = np.cumsum(self.n)
@@ -93,7 +100,10 @@ class Pack:
         with np.errstate(over="ignore"):
             bucket = ((h * np.uint64(_M)) >> np.uint64(33)) % np.uint64(self.buckets)
         name = h & np.uint64(2**bits - 1)
-        order = np.lexsort((name, bucket))
+        if bits + self.buckets.bit_length() <= 64:  # one integer is sorted faster than two columns
+            order = np.argsort((bucket << np.uint64(bits)) | name)
+        else:
+            order = np.lexsort((name, bucket))
         b, x, d = bucket[order], name[order], self.ids[self.doc[where[order]]]
         new = np.ones(len(b), bool)
         new[1:] = (b[1:] != b[:-1]) | (x[1:] != x[:-1])
@@ -206,12 +216,13 @@ def _asked(answers: pd.DataFrame, kind: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, bool), *(_bits(d, n) for d, n in zip(own["bits"], own["n"], strict=True))])
 
 
-def _send_strings(pdf: pd.DataFrame, answers: pd.DataFrame, buckets: int) -> pd.DataFrame:
+def _send_strings(pdf: pd.DataFrame, answers: pd.DataFrame, buckets: int, wide: int) -> pd.DataFrame:
     columns = ["bucket", "pack", "n", "names", "flags", "docs"]
     if not len(pdf):
         return pd.DataFrame([], columns=columns)
     pack = Pack(pdf, buckets)
     back = pack.names()[-1]
+    pack.buckets = wide
     bucket, name, low, _, _ = pack.string_names(pack.strings(_asked(answers, 0)[back]))
     rows, at = [], 0
     for b, end in zip(*_cuts(bucket), strict=True):
@@ -239,15 +250,16 @@ def _answer_strings(pdf: pd.DataFrame) -> pd.DataFrame:
     return _answers(pdf, smaller, 1)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, nameless boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _remove(pdf: pd.DataFrame, answers: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+def _remove(pdf: pd.DataFrame, answers: pd.DataFrame, buckets: int, wide: int) -> pd.DataFrame:
+    columns = ["doc_id", "nameless", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if not len(pdf):
         return pd.DataFrame([], columns=columns)
     pack = Pack(pdf, buckets)
     where = pack.strings(_asked(answers, 0)[pack.names()[-1]])
+    pack.buckets = wide
     _, _, low, _, back = pack.string_names(where)
     gone_at = where[_asked(answers, 1)[back] | (pack.ids[pack.doc[where]] > low[back])]
     cover = np.zeros(len(pack.doc) + LENGTH + 1, np.int64)
@@ -259,40 +271,41 @@ def _remove(pdf: pd.DataFrame, answers: pd.DataFrame, buckets: int) -> pd.DataFr
         g = gone[a:e]
         spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
         kept = pack.bytes[a:e][~g].tobytes() if spans else pack.texts[i]
-        rows.append((pack.ids[i], e - a, int(g.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        rows.append((pack.ids[i], pack.nameless[i], e - a, int(g.sum()), spans, hashlib.sha256(kept).hexdigest()))
     return pd.DataFrame(rows, columns=columns)
 
 
-def repeated_bytes(docs: DataFrame) -> DataFrame:
+def repeated_bytes(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of `docs`."""
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("nameless"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("digest", F.sha2("text", 256))
     size = F.octet_length("text").cast("long")
     groups = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"), F.max(size).alias("size")))
     total = groups.agg(F.sum("size")).first()[0] or 0
-    packs = max(1, -(-total // PACK_BYTES))
-    buckets = max(1, -(-(total * len(COVER) // MODULUS) // BUCKET))
+    packs = max(1, -(-total // pack_bytes))
+    buckets = max(1, -(-(total * len(COVER) // MODULUS) // bucket))
+    wide = max(1, -(-total // bucket))
     copied = stored(groups.where("rows > 1").select("digest", "first"))
     marked = rows.join(small(copied), "digest", "left").withColumn("copy", F.col("doc_id") > F.coalesce("first", "doc_id"))
 
     pack = F.pmod(F.xxhash64("doc_id"), F.lit(packs))
-    kept = marked.where("not copy").select("doc_id", "text", pack.alias("pack")).repartition("pack")
+    kept = marked.where("not copy").select("doc_id", "nameless", "text", pack.alias("pack")).repartition("pack")
     own = kept.groupBy("pack")
     # each answer is stored, and its job's shuffle files go, before the next job begins: two shuffles are on disk at most
     sent = own.applyInPandas(lambda pdf: _send_names(pdf, buckets), SENT)
     names = stored(sent.groupBy("bucket").applyInPandas(_answer_names, ANSWER), free=True)
-    sent = own.cogroup(names.groupBy("pack")).applyInPandas(lambda a, b: _send_strings(a, b, buckets), SENT)
+    sent = own.cogroup(names.groupBy("pack")).applyInPandas(lambda a, b: _send_strings(a, b, buckets, wide), SENT)
     strings = stored(sent.groupBy("bucket").applyInPandas(_answer_strings, ANSWER), free=True)
-    found = own.cogroup(names.unionByName(strings).groupBy("pack")).applyInPandas(lambda a, b: _remove(a, b, buckets), RESULT)
+    found = own.cogroup(names.unionByName(strings).groupBy("pack")).applyInPandas(lambda a, b: _remove(a, b, buckets, wide), RESULT)
 
     long = size >= LENGTH
     copies = marked.where("copy").select(
-        "doc_id", size.alias("n_bytes"), F.when(long, size).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        "doc_id", "nameless", size.alias("n_bytes"), F.when(long, size).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         long.cast("long").alias("n_spans"), F.when(long, F.sha2(F.lit(""), 256)).otherwise(F.col("digest")).alias("kept_sha256"),
     )
     both = found.unionByName(copies)
-    return both.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    return both.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

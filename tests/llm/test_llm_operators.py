@@ -191,25 +191,43 @@ def test_components_match_brute_force(spark, texts):
     assert simhash.near_duplicates(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_suffixes_match_brute_force(spark, texts):
-    rng = np.random.default_rng(9)
-    shared = sentence(rng, 60)
-    bodies = [*texts, f"{sentence(rng, 20)}{shared}", f"{shared} {sentence(rng, 9)}", "a" * 300, "b" + "a" * 200]
+def check_removed(got, bodies, ids):
+    """Rows of repeated_bytes against a table of all 50-byte strings; ids may repeat, None is largest."""
+    place = [2**63 if i is None else i for i in ids]
     first: dict[bytes, int] = {}
-    for i, t in enumerate(bodies):
-        b = (t or "").encode()
+    for k in sorted(range(len(bodies)), key=lambda k: place[k]):
+        b = (bodies[k] or "").encode()
         for p in range(len(b) - 49):
-            first.setdefault(b[p : p + 50], i)
-    rows = {r.doc_id: r for r in suffixes.repeated_bytes(docs_of(spark, bodies)).collect()}
-    for i, t in enumerate(bodies):
+            first.setdefault(b[p : p + 50], place[k])
+    want = []
+    for k, t in enumerate(bodies):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for p in range(len(b) - 49):
-            if first[b[p : p + 50]] < i:
+            if first[b[p : p + 50]] < place[k]:
                 gone[p : p + 50] = b"\1" * 50
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        assert (rows[i].n_bytes, rows[i].n_removed, rows[i].kept_sha256) == (len(b), sum(gone), hashlib.sha256(kept).hexdigest())
-        assert rows[i].n_spans == sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
+        spans = sum(1 for j in range(len(gone)) if gone[j] and (j == 0 or not gone[j - 1]))
+        want.append((str(ids[k]), len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == sorted(want)
+
+
+def test_suffixes_across_many_packs_and_buckets(spark, texts):
+    rng = np.random.default_rng(12)
+    shared = [sentence(rng, 15) for _ in range(6)]
+    bodies = [" ".join(rng.permutation([sentence(rng, 10), *rng.choice(shared, 2), sentence(rng, 5)])) for _ in range(150)]
+    bodies += [*texts, "a" * 300, "b" + "a" * 200, None, bodies[3], bodies[3]]
+    ids = [*rng.permutation(len(bodies) - 4).tolist(), 2**63 - 1, None, None, 3]
+    docs = docs_of(spark, bodies, ids)
+    assert sum(len((t or "").encode()) for t in bodies) > 50 * 1000
+    check_removed(suffixes.repeated_bytes(docs, pack_bytes=1000, bucket=500), bodies, ids)
+
+
+def test_suffixes_match_brute_force(spark, texts):
+    rng = np.random.default_rng(9)
+    shared = sentence(rng, 60)
+    bodies = [*texts, f"{sentence(rng, 20)}{shared}", f"{shared} {sentence(rng, 9)}", "a" * 300, "b" + "a" * 200]
+    check_removed(suffixes.repeated_bytes(docs_of(spark, bodies)), bodies, range(len(bodies)))
     assert len({(a - b) % 31 for a in suffixes.COVER for b in suffixes.COVER}) == 31
     assert suffixes.repeated_bytes(docs_of(spark, ["a"]).limit(0)).count() == 0
 
