@@ -37,6 +37,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,20 +155,25 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(gaps.view("<u4").reshape(-1).astype(np.uint64))
 
 
+WIDE = np.uint64(2**48 - 1)
+
+
 def _pack_long(x: np.ndarray) -> bytes:
-    """Sorted 56-bit names as 6-byte gaps; 7-byte names behind a mark if a gap is too wide."""
+    """Sorted 56-bit names as 6-byte gaps; the few gaps that are too wide stand in front in full."""
     gaps = np.diff(x, prepend=np.uint64(0))
-    wide = len(gaps) > 0 and gaps.max() >= 1 << 48
-    mark, data, width = (b"7", x, 7) if wide else (b"6", gaps, 6)
-    return mark + data.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    wide = gaps[gaps >= WIDE]
+    short = np.minimum(gaps, WIDE).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return len(wide).to_bytes(4, "little") + wide.astype("<u8").tobytes() + short
 
 
 def _unpack_long(data: bytes) -> np.ndarray:
-    width = int(data[:1])
-    x = np.zeros((len(data) // width, 8), np.uint8)
-    x[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    x = x.view("<u8").reshape(-1)
-    return np.cumsum(x, dtype=np.uint64) if width == 6 else x
+    n = int.from_bytes(data[:4], "little")
+    wide = np.frombuffer(data, "<u8", n, 4)
+    gaps = np.zeros(((len(data) - 4 - 8 * n) // 6, 8), np.uint8)
+    gaps[:, :6] = np.frombuffer(data, np.uint8, offset=4 + 8 * n).reshape(-1, 6)
+    gaps = gaps.view("<u8").reshape(-1).copy()
+    gaps[gaps == WIDE] = wide
+    return np.cumsum(gaps, dtype=np.uint64)
 
 
 def _bits(data: bytes, n: int) -> np.ndarray:
@@ -228,7 +234,7 @@ def _send_strings(pdf: pd.DataFrame, answers: pd.DataFrame, buckets: int, wide:
     for b, end in zip(*_cuts(bucket), strict=True):
         ids, rank = np.unique(low[at:end], return_inverse=True)
         ranks = rank.astype("<u2" if len(ids) < 1 << 16 else "<u4").tobytes()
-        rows.append((int(b), int(pdf["pack"].iat[0]), int(end - at), _pack_long(name[at:end]), ranks, ids.astype("<i8").tobytes()))
+        rows.append((int(b), int(pdf["pack"].iat[0]), int(end - at), _pack_long(name[at:end]), ranks, zstd.compress(ids.astype("<i8").tobytes(), 1)))
         at = end
     return pd.DataFrame(rows, columns=columns)
 
@@ -238,7 +244,7 @@ def _answer_strings(pdf: pd.DataFrame) -> pd.DataFrame:
     names, docs = [], []
     for n, data, ranks, ids in zip(pdf["n"], pdf["names"], pdf["flags"], pdf["docs"], strict=True):
         names.append(_unpack_long(data))
-        docs.append(np.frombuffer(ids, "<i8")[np.frombuffer(ranks, "<u2" if len(ranks) == 2 * n else "<u4")])
+        docs.append(np.frombuffer(zstd.decompress(ids), "<i8")[np.frombuffer(ranks, "<u2" if len(ranks) == 2 * n else "<u4")])
     x, d = np.concatenate(names), np.concatenate(docs)
     order = np.argsort(x, kind="stable")
     s = x[order]
