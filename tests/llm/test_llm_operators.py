@@ -162,19 +162,20 @@ def test_contamination_matches_brute_force(spark, texts):
     assert {r.item_id for r in decontamination.contaminated(docs_of(spark, [long]), bench).collect()} == {1}
 
 
-def test_golay_code_is_perfect_and_anchors_are_complete():
-    starts, pattern, excess = simhash._errors()
-    assert all((excess[a:b] == 0).sum() == 1 for a, b in zip(starts[:-1], starts[1:], strict=True))
-    rng = np.random.default_rng(0)
-    x = rng.integers(0, 2**63, 50, dtype=np.uint64)
-    for flips in ([], [1], [1, 40], [22, 23], [5, 9], [50, 63]):
-        y = x.copy()
-        for f in flips:
-            y ^= np.uint64(1) << np.uint64(f)
-        who, anchor, over = simhash.anchors(y)
-        home = {i: a for i, a, e in zip(*simhash.anchors(x), strict=True) if e == 0}
-        seen = {(i, a) for i, a in zip(who, anchor, strict=True)}
-        assert all((i, home[i]) in seen for i in range(50))
+def test_codes_are_perfect_and_anchors_are_complete():
+    for code in simhash.CODES:
+        e = simhash.errors(code)
+        assert (e.upto[:, 0] == 1).all()  # every syndrome has one error pattern within the radius
+        assert (code.syndrome(e.pattern) == np.repeat(np.arange(len(e.first)), e.upto[:, -1])).all()
+    x = np.random.default_rng(0).integers(0, 2**64, 20, dtype=np.uint64)
+    who, anchor, over = simhash.anchors(x)
+    assert len(set(zip(who, anchor, strict=True))) == len(who) and over.max() == simhash.THRESHOLD
+    assert (anchor[over == 0] == simhash.homes(x)).all()
+    seen = set(zip(who, anchor, strict=True))
+    for i in range(64):
+        for j in range(i, 64):  # every change of one bit (i == j: bit i alone) or two
+            flip = np.uint64((1 << i) | (1 << j))
+            assert all(p in seen for p in enumerate(simhash.homes(x ^ flip)))
 
 
 def test_components_match_brute_force(spark, texts):
