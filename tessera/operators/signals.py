@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,18 @@ SIGNALS = ("xs_momentum", "mean_reversion", "trend_follow", "vol_adj_momentum",
 YEAR = ANNUAL
 
 
+class Looks(NamedTuple):
+    """Look-backs of the production signals in rows."""
+
+    week: int = 5
+    band: int = 20
+    skip: int = 21
+    short: int = 50
+    quarter: int = 63
+    half: int = 126
+    long: int = 200
+
+
 def sma(n: int, x: str = "px") -> Column:
     return roll(F.avg, F.col(x), n)
 
@@ -29,18 +42,21 @@ def sd(n: int, x: str = "r") -> Column:
     return roll(F.stddev_samp, F.col(x), n)
 
 
-def production_signals(panel: DataFrame, history: int = 252, on: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Ticker, date, the columns `keep` and the five signals, on the rows `on` (default all); names with less than `history` prices are set NULL after scoring."""
-    p = F.col("px")
+def production_signals(panel: DataFrame, history: int = 252, on: Column | None = None, keep: tuple[str, ...] = (), looks: Looks = Looks()) -> DataFrame:
+    """Ticker, date, the columns `keep` and the five signals, on the rows `on` (default all); names with less than `history` prices are set NULL after scoring.
+
+    On a panel with gaps a shifted price or an average over a gap is NULL, and the gap is no history.
+    """
+    p, k = F.col("px"), looks
     on = F.lit(True) if on is None else on
     raw = panel.select(
         "ticker", "date", *keep, on.alias("on"),
-        (ratio(lag("px", 21), lag("px", 147)) - 1).alias("mom"),
-        change("px", 5).alias("r5"),
-        ratio(p - sma(20), sd(20, "px")).alias("dev"),
-        (0.6 * (ratio(p, sma(50)) - 1) + 0.4 * (ratio(sma(50), sma(200)) - 1)).alias("trend"),
-        ratio(change("px", 63), sd(63) * F.sqrt(F.lit(YEAR))).alias("vam"),
-        (-sd(126) * F.sqrt(F.lit(YEAR))).alias("calm"),
+        (ratio(lag("px", k.skip), lag("px", k.skip + k.half)) - 1).alias("mom"),
+        change("px", k.week).alias("r5"),
+        ratio(p - sma(k.band), sd(k.band, "px")).alias("dev"),
+        (0.6 * (ratio(p, sma(k.short)) - 1) + 0.4 * (ratio(sma(k.short), sma(k.long)) - 1)).alias("trend"),
+        ratio(change("px", k.quarter), sd(k.quarter) * F.sqrt(F.lit(YEAR))).alias("vam"),
+        (-sd(k.half) * F.sqrt(F.lit(YEAR))).alias("calm"),
         (F.count("px").over(series().rowsBetween(Window.unboundedPreceding, 0)) >= history).alias("enough"),
     )
     scores = {
@@ -81,10 +97,12 @@ def legacy_mean_reversion(panel: DataFrame, rsi: DataFrame, fear: DataFrame, dro
     return base.withColumn("score", legacy_zscore(F.col("raw"))).where(F.col("i") >= drop)
 
 
-def tsmom(panel: DataFrame) -> DataFrame:
-    """Mean sign of three returns; NULL unless 253 rows are there."""
-    whole = F.count("px").over(trailing(253)) == 253
-    mean = (F.signum(change("px", 63)) + F.signum(change("px", 126)) + F.signum(change("px", 252))) / 3
+def tsmom(panel: DataFrame, looks: tuple[int, int, int] = (63, 126, 252)) -> DataFrame:
+    """Mean sign of three returns; NULL unless the rows of the longest are all there (253 by default)."""
+    n = max(looks) + 1
+    whole = F.count("px").over(trailing(n)) == n
+    one, two, three = (F.signum(change("px", k)) for k in looks)
+    mean = (one + two + three) / 3
     return panel.withColumn("tsmom", F.when(whole, mean))
 
 

@@ -155,18 +155,28 @@ book.add(
 
 def _engine(s, d):
     mom = T.filled_panel(s, d).select("ticker", "date", out(SG.blended_momentum()).alias("mom"))
-    return O.long_short_engine(scored(s, d).withColumnRenamed("score", "alpha").join(mom, ["ticker", "date"]))
+    return scored(s, d).withColumnRenamed("score", "alpha").join(mom, ["ticker", "date"])
 
 
+ENGINE = SCORED + f""", mom AS (SELECT ticker, date, {S.out(" + ".join(f"{w} * ({S.lag('px', 21)} / nullif({S.lag('px', k)}, 0) - 1)" for w, k in ((0.4, 83), (0.35, 146), (0.25, 272))))} AS mom FROM panel),
+    e AS (SELECT b.date, b.ticker, sector, mom + 0.03 * coalesce(score, 0) AS s FROM base b JOIN mom USING (ticker, date) WHERE px >= 10 AND mom IS NOT NULL QUALIFY count(*) OVER (PARTITION BY b.date) >= 25)"""
 book.add(
     "p17_long_short",
-    lambda s, d: SHOW(_engine(s, d)),
-    SCORED
-    + f""", mom AS (SELECT ticker, date, {S.out(" + ".join(f"{w} * ({S.lag('px', 21)} / nullif({S.lag('px', k)}, 0) - 1)" for w, k in ((0.4, 83), (0.35, 146), (0.25, 272))))} AS mom FROM panel),
-    e AS (SELECT b.date, b.ticker, mom + 0.03 * coalesce(score, 0) AS s FROM base b JOIN mom USING (ticker, date) WHERE px >= 10 AND mom IS NOT NULL QUALIFY count(*) OVER (PARTITION BY b.date) >= 25),
-    r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY s DESC, ticker) AS top, row_number() OVER (PARTITION BY date ORDER BY s, ticker DESC) AS low FROM e)
+    lambda s, d: SHOW(O.long_short_engine(_engine(s, d))),
+    ENGINE
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY s DESC, ticker) AS top, row_number() OVER (PARTITION BY date ORDER BY s, ticker DESC) AS low FROM e)
     SELECT date, ticker, CASE WHEN top <= 15 THEN 0.024::DOUBLE ELSE -0.018 END AS weight FROM r WHERE top <= 15 OR low <= 10""",
 )
+book.add(
+    "p17_sector_limit",
+    lambda s, d: SHOW(O.long_short_engine(_engine(s, d), most=2), "sector"),
+    ENGINE
+    + """, best AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY date, sector ORDER BY s DESC, ticker) <= 2),
+    worst AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY date, sector ORDER BY s, ticker DESC) <= 2),
+    longs AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY date ORDER BY s DESC, ticker) <= 15),
+    shorts AS (SELECT * FROM worst QUALIFY row_number() OVER (PARTITION BY date ORDER BY s, ticker DESC) <= 10)
+    SELECT date, ticker, sector, 0.024::DOUBLE AS weight FROM longs UNION ALL SELECT date, ticker, sector, -0.018 FROM shorts s WHERE NOT EXISTS (SELECT 1 FROM longs l WHERE l.date = s.date AND l.ticker = s.ticker)""",
+)
 _lev = lambda df: df.withColumn("lev", F.when(F.col("asset_class") == "leveraged", 3.0).when(F.col("asset_class") == "commodity", 2.0).otherwise(1.0))
 book.add(
     "p18_leverage_budget",

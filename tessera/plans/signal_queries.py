@@ -20,16 +20,23 @@ NULLIF = lambda a, b: f"({a}) / nullif({b}, 0)"
 #: Weights of the five production signals; a fixed equal start.
 WEIGHTS = dict.fromkeys(O.SIGNALS, 0.2)
 
-RAW = (
-    S.FILLED
-    + f""", raw AS (SELECT ticker, date, i, pf, {NULLIF(S.lag("px", 21), S.lag("px", 147))} - 1 AS mom, {S.change("px", 5)} AS r5,
-      {NULLIF(f"px - {AVG(20)}", SD(20, "px"))} AS dev, 0.6 * ({NULLIF("px", AVG(50))} - 1) + 0.4 * ({NULLIF(AVG(50), AVG(200))} - 1) AS trend,
-      {NULLIF(S.change("px", 63), f"{SD(63)} * sqrt(252)")} AS vam, -{SD(126)} * sqrt(252) AS calm,
-      count(px) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) >= 252 AS enough FROM panel),
+
+
+def raw_sql(base: str, k: O.Looks = O.Looks(), history: int = 252) -> str:
+    """The five signals over a panel, filled or not."""
+    return (
+        base
+        + f""", raw AS (SELECT ticker, date, i, pf, {NULLIF(S.lag("px", k.skip), S.lag("px", k.skip + k.half))} - 1 AS mom, {S.change("px", k.week)} AS r5,
+      {NULLIF(f"px - {AVG(k.band)}", SD(k.band, "px"))} AS dev, 0.6 * ({NULLIF("px", AVG(k.short))} - 1) + 0.4 * ({NULLIF(AVG(k.short), AVG(k.long))} - 1) AS trend,
+      {NULLIF(S.change("px", k.quarter), f"{SD(k.quarter)} * sqrt(252)")} AS vam, -{SD(k.half)} * sqrt(252) AS calm,
+      count(px) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) >= {history} AS enough FROM panel),
     scored AS (SELECT ticker, date, i, pf, enough, {S.zscore("mom")} AS xs_momentum, {S.clip(f"-(0.5 * ({S.zscore('r5')}) + 0.5 * ({S.zscore('dev')}))", -3, 3)} AS mean_reversion,
       {S.zscore("trend")} AS trend_follow, {S.zscore("vam")} AS vol_adj_momentum, {S.zscore("calm")} AS low_vol FROM raw),
     signals AS (SELECT ticker, date, i, pf, {", ".join(f"CASE WHEN enough THEN {s} END AS {s}" for s in O.SIGNALS)} FROM scored)"""
-)
+    )
+
+
+RAW = raw_sql(S.FILLED)
 LIVE = " + ".join(f"({s} IS NOT NULL)::INT" for s in O.SIGNALS)
 COMPOSITE = f"CASE WHEN {LIVE} >= 3 THEN ({' + '.join(f'0.2 * coalesce({s}, 0)' for s in O.SIGNALS)}) / (0.2 * ({LIVE})) END"
 
@@ -50,6 +57,13 @@ book.add(
     lambda spark, d: O.combine(O.production_signals(T.filled_panel(spark, d)), WEIGHTS).select("ticker", "date", out(F.col("composite")).alias("composite")),
     RAW + f"SELECT ticker, date, {S.out(COMPOSITE)} AS composite FROM signals",
 )
+#: Over the unfilled panel, where about a fifth of the cells are gaps: look-backs short enough for whole windows.
+GAP_LOOKS, GAP_HISTORY = O.Looks(week=1, band=4, skip=2, short=3, quarter=4, half=5, long=6), 60
+book.add(
+    "s7_gaps",
+    lambda spark, d: O.combine(O.production_signals(T.panel(spark, d), GAP_HISTORY, looks=GAP_LOOKS), WEIGHTS).select("ticker", "date", *(out(F.col(c)).alias(c) for c in (*O.SIGNALS, "composite"))),
+    raw_sql(S.PANEL, GAP_LOOKS, GAP_HISTORY) + f"SELECT ticker, date, {', '.join(f'{S.out(c)} AS {c}' for c in O.SIGNALS)}, {S.out(COMPOSITE)} AS composite FROM signals",
+)
 LEGACY = "CASE WHEN count(raw) OVER w < 3 OR coalesce(stddev_samp(raw) OVER w, 0) = 0 THEN 0.0 ELSE (raw - avg(raw) OVER w) / nullif(stddev_samp(raw) OVER w, 0) END"
 book.add(
     "s8_legacy_momentum",
@@ -87,6 +101,11 @@ book.add(
     lambda spark, d: O.tsmom(T.filled_panel(spark, d)).select("ticker", "date", out(F.col("tsmom")).alias("tsmom")),
     S.FILLED + f"SELECT ticker, date, {S.out(f'CASE WHEN count(px) OVER {S.frame(253)} = 253 THEN (sign({S.change("px", 63)}) + sign({S.change("px", 126)}) + sign({S.change("px", 252)})) / 3.0 END')} AS tsmom FROM panel",
 )
+book.add(
+    "s10_gaps",
+    lambda spark, d: O.tsmom(T.panel(spark, d), (2, 4, 6)).select("ticker", "date", out(F.col("tsmom")).alias("tsmom")),
+    S.PANEL + f"SELECT ticker, date, {S.out(f'CASE WHEN count(px) OVER {S.frame(7)} = 7 THEN (sign({S.change("px", 2)}) + sign({S.change("px", 4)}) + sign({S.change("px", 6)})) / 3.0 END')} AS tsmom FROM panel",
+)
 book.add(
     "s11_blended_momentum",
     lambda spark, d: T.own_series(spark, d).select("ticker", "date", out(O.blended_momentum()).alias("score")),
@@ -158,6 +177,11 @@ book.add(
     DAY + f", x AS (SELECT ticker, date, {', '.join(f'{e} AS {n}' for n, e in A_SQL.items())} FROM day), z AS (SELECT date, {', '.join(f'{S.zscore(n)} AS {n}' for n in A_SQL)} FROM x)"
     + f" SELECT date, {', '.join(f'count({n}) AS {n}' for n in A_SQL)} FROM z GROUP BY date",
 )
+book.add(
+    "a18_gaps",
+    lambda spark, d: O.candidates(T.panel(spark, d).join(T.market(spark, d), "date", "left")).select("ticker", "date", *(out(F.col(n)).alias(n) for n in A_SQL)),
+    DAY.replace(S.FILLED, S.PANEL) + f", x AS (SELECT ticker, date, {', '.join(f'{e} AS {n}' for n, e in A_SQL.items())} FROM day) SELECT ticker, date, {', '.join(f'{S.out(S.zscore(n))} AS {n}' for n in A_SQL)} FROM x",
+)
 book.add(
     "u1_user_rolling",
     lambda spark, d: O.user_rolling(T.filled_panel(spark, d), "r", 10, lambda a: F.array_max(a) - F.array_min(a), "spread").select("ticker", "date", out(F.col("spread")).alias("spread")),

@@ -41,6 +41,28 @@ def test_no_look_ahead(market):
     pd.testing.assert_frame_equal(a, b)
 
 
+def test_signals_over_gaps_match_pandas(market):
+    """Shifts and averages see the gaps, returns see filled prices, gaps are no history."""
+    got = signals.production_signals(tables.dense(market), 200).toPandas()
+    bars = market.toPandas()
+    p = bars.pivot(index="date", columns="ticker", values="px").sort_index()
+    r = p.ffill().pct_change(fill_method=None)
+    mean = lambda n: p.rolling(n).mean()
+    z = lambda x: x.sub(x.mean(axis=1), axis=0).div(x.std(axis=1).where(lambda s: s != 0), axis=0)
+    want = {
+        "xs_momentum": z(p.shift(21) / p.shift(147) - 1),
+        "mean_reversion": -(0.5 * z(p / p.shift(5) - 1).clip(-3, 3) + 0.5 * z((p - mean(20)) / p.rolling(20).std()).clip(-3, 3)),
+        "trend_follow": z(0.6 * (p / mean(50) - 1) + 0.4 * (mean(50) / mean(200) - 1)),
+        "vol_adj_momentum": z((p / p.shift(63) - 1) / (r.rolling(63).std() * 252**0.5)),
+        "low_vol": z(-r.rolling(126).std() * 252**0.5),
+    }
+    enough = p.notna().cumsum() >= 200
+    for name, x in want.items():
+        x, y = x.clip(-3, 3).where(enough), got.pivot(index="date", columns="ticker", values=name).sort_index()
+        assert x.notna().sum().sum() > 50 and p.isna().sum().sum() > 50
+        pd.testing.assert_frame_equal(y.astype(float), x, check_names=False, check_dtype=False, atol=1e-6, rtol=0)
+
+
 def test_history_mask_clip_and_least_signals(market):
     s = signals.combine(signals.production_signals(filled(market), 252), dict.fromkeys(signals.SIGNALS, 0.2)).toPandas()
     assert s[s.ticker == "T29"][list(signals.SIGNALS)].isna().all().all()
