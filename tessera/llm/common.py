@@ -62,9 +62,35 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def row_hashes(docs: DataFrame) -> list[Column]:
-    """h1, h2: 128 bits over all columns of a row (maps as JSON), equal for rows that are equal."""
-    columns = [F.to_json(f.name) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in docs.schema.fields]
-    return [F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2")]
+    """h1, h2: 128 bits over all columns of a row, equal for rows that are equal.
+
+    A hash skips nulls, so that each column is hashed with whether it is null; nested columns as JSON with their nulls.
+    """
+    parts = []
+    for f in docs.schema.fields:
+        c = F.col(f"`{f.name}`")
+        nested = f.dataType.typeName() in ("map", "struct", "array")
+        parts.append((c.isNull(), F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) if nested else c))
+    flat = [x for pair in parts for x in pair]
+    back = [x for pair in reversed(parts) for x in pair]
+    return [F.xxhash64(*flat).alias("h1"), F.xxhash64(F.lit(1), *back).alias("h2")]
+
+
+#: A row that is repeated more often is cut into parts of so many copies, which are dealt to tasks anew.
+PART = 4096
+
+
+def repeated(df: DataFrame, count: str, name: str, keys: list[str], part: int = PART) -> DataFrame:
+    """Every row of `df` (stored, or cheap to make twice) `count` times, numbered from 0 in `name` (long).
+
+    No array holds more than `part` copies and no task makes more than its parts, however often a row is repeated.
+    """
+    n = F.col(count).cast("long")
+    upto = lambda low, high: F.explode(F.sequence(low, high))
+    few = df.where((n > 0) & (n <= part)).select("*", upto(F.lit(0).cast("long"), n - 1).alias(name))
+    parts = df.where(n > part).select("*", upto(F.lit(0).cast("long"), F.floor((n - 1) / part)).alias("_part")).repartition(*keys, "_part")
+    many = parts.select("*", upto(F.col("_part") * part, F.least(n, (F.col("_part") + 1) * part) - 1).alias(name)).drop("_part")
+    return few.unionByName(many)
 
 
 def words(text: Column) -> Column:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_hashes, small, stored, table, word_count
+from .common import repeated, row_hashes, small, stored, table, word_count
 
 #: Weights by rank of the source in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -152,13 +152,15 @@ def mixed_documents(docs: DataFrame, seed: int = 5, group: int = GROUP, fan: int
     units = mix_sources(docs, seed, group, fan).select("h1", "h2", "rows", "copies", "extra").where("copies + extra > 0")
     packed = docs.select(*row_hashes(docs), F.struct("*").alias("row")).join(units, ["h1", "h2"])
     # a row alone takes all its copies; of equal rows each takes `copies`, and one of them stands for the extra ones
-    single = packed.select("row", (F.col("copies") + F.when(F.col("rows") == 1, F.col("extra")).otherwise(0)).alias("k"))
-    more = packed.where("rows > 1 and extra > 0").groupBy("h1", "h2").agg(F.any_value("row").alias("row"), F.max("extra").alias("k")).select("row", "k")
-    return single.unionByName(more).where("k > 0").select("row", F.explode(F.expr("sequence(1, k)"))).select("row.*")
+    single = packed.select("row", (F.col("copies") + F.when(F.col("rows") == 1, F.col("extra")).otherwise(0)).alias("k")).where("k > 0")
+    single = single.select("row", F.explode(F.expr("sequence(1, k)")))  # CAP + 1 copies at most
+    more = packed.where("rows > 1 and extra > 0").groupBy("h1", "h2").agg(F.any_value("row").alias("row"), F.max("extra").alias("k"))
+    more = repeated(stored(more), "k", "at", ["h1", "h2"])
+    return single.select("row").unionByName(more.select("row")).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = mix_sources(table(spark, sf_dir, "documents"))
-    rows = units.select("*", F.explode(F.expr("sequence(1, rows)")).alias("k"))
-    copies = F.col("copies") + (F.col("k") <= F.col("extra")).cast("long")
+    rows = repeated(stored(units), "rows", "k", ["h1", "h2"])
+    copies = F.col("copies") + (F.col("k") < F.col("extra")).cast("long")
     return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"))

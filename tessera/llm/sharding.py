@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_hashes, stored, table
+from .common import PART, repeated, row_hashes, small, stored, table
 
 BUCKETS = 4096
 ROUNDS = 6
@@ -57,8 +57,9 @@ def permute(number: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def numbered(keys: DataFrame, shards: int, seed: int) -> DataFrame:
-    """`keys` (h1, h2, rows and more) once for each of their rows, with shard int and slot long."""
-    units = stored(keys.withColumn("bucket", F.pmod("h1", F.lit(BUCKETS)).cast("int")))
+    """`keys` (h1, h2, rows and more) once for each of their rows, with at (0 to rows - 1), shard int and slot long."""
+    before = F.sum("rows").over(Window.partitionBy("bucket").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
+    units = stored(keys.withColumn("bucket", F.pmod("h1", F.lit(BUCKETS)).cast("int")).withColumn("first", before))
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for r in units.groupBy("bucket").agg(F.sum("rows")).collect():  # BUCKETS rows at most
         counts[r[0]] = r[1]
@@ -68,19 +69,25 @@ def numbered(keys: DataFrame, shards: int, seed: int) -> DataFrame:
     def place(bucket: pd.Series, rank: pd.Series) -> pd.Series:
         return pd.Series(permute(offsets[bucket.to_numpy()] + rank.to_numpy(), total, seed))
 
-    before = F.sum("rows").over(Window.partitionBy("bucket").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
-    each = units.withColumn("first", before).select("*", F.explode(F.expr("sequence(0, rows - 1)")).alias("k"))
-    placed = each.withColumn("place", place("bucket", F.col("first") + F.col("k")))
-    return placed.withColumn("shard", (F.col("place") % shards).cast("int")).withColumn("slot", F.expr(f"place div {shards}")).drop("bucket", "first", "k", "place", "rows")
+    placed = repeated(units, "rows", "at", ["h1", "h2"]).withColumn("place", place("bucket", F.col("first") + F.col("at")))
+    return placed.withColumn("shard", (F.col("place") % shards).cast("int")).withColumn("slot", F.expr(f"place div {shards}")).drop("bucket", "first", "place")
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 11) -> DataFrame:
-    """`docs` plus shard int and slot long."""
+def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 11, part: int = PART) -> DataFrame:
+    """`docs` plus shard int and slot long.  Rows with more than `part` equal ones meet their places in parts."""
     keyed = docs.select(*row_hashes(docs), F.struct("*").alias("row"))
-    places = numbered(keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows")), shards, seed)
+    units = stored(keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows")))
+    places = numbered(units, shards, seed)
     one = keyed.groupBy("h1", "h2").agg(F.any_value("row").alias("row"))
     columns = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
-    return one.join(places, ["h1", "h2"]).select(*columns, "shard", "slot")
+    out = one.join(places.where(F.col("rows") <= part), ["h1", "h2"]).select(*columns, "shard", "slot")
+    hot = units.where(F.col("rows") > part)
+    if hot.isEmpty():
+        return out
+    rows = keyed.join(small(hot), ["h1", "h2"]).groupBy("h1", "h2").agg(F.any_value("row").alias("row"), F.max("rows").alias("rows"))
+    rows = rows.select("h1", "h2", "row", F.explode(F.expr(f"sequence(0L, (rows - 1) div {part})")).alias("part"))
+    parts = places.where(F.col("rows") > part).withColumn("part", F.expr(f"at div {part}"))
+    return out.unionByName(rows.join(parts, ["h1", "h2", "part"]).select(*columns, "shard", "slot"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
