@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, jpeg, mixing, pii, quality, sharding, simhash, suffixes, toxicity
+from . import chat, decontamination, jpeg, mixing, pii, quality, repair, sharding, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffixes": suffixes.op8_suffixes,
         "op9_media": jpeg.op9_media,
         "op10_quality": quality.op10_quality,
+        "op11_repair": repair.op11_repair,
     }
 
 
