@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, jpeg, manifest, mixing, pii, quality, repair, sharding, simhash, suffixes, toxicity
+from . import chat, decontamination, jpeg, licenses, manifest, mixing, pii, quality, repair, sharding, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": quality.op10_quality,
         "op11_repair": repair.op11_repair,
         "op12_manifest": manifest.op12_manifest,
+        "op13_licenses": licenses.op13_licenses,
     }
 
 
