@@ -15,7 +15,7 @@ Results are strict: NULL unless `least` (default n) of the n rows hold a value.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -37,6 +37,7 @@ class Roll(NamedTuple):
     n: int
     least: int | None = None
     y: str | None = None
+    fn: Callable[[np.ndarray], np.ndarray] | None = None
 
 
 def _maker(kind: str):
@@ -62,6 +63,11 @@ def residual(x: str, y: str, n: int) -> Roll:
     return Roll("residual", x, n, None, y)
 
 
+def user(x: str, n: int, fn: Callable[[np.ndarray], np.ndarray]) -> Roll:
+    """Any function of the last n values: it gets [rows, n] and returns a value a row; only windows with all n values are asked."""
+    return Roll("user", x, n, None, None, fn)
+
+
 Values = tuple[np.ndarray, np.ndarray]  # values, which of them are there
 
 
@@ -179,6 +185,18 @@ def _figure(roll: Roll, fields: np.ndarray, x: Values, y: Values | None) -> Valu
         return x[0] - slope * y[0], there & x[1] & y[1]
 
 
+def _asked(roll: Roll, x: Values, at: np.ndarray) -> Values:
+    """A user's function over all whole windows; the windows are views of the values."""
+    out, n = np.zeros(len(at)), roll.n
+    whole = np.zeros(len(at), dtype=bool)
+    if len(at) >= n:
+        view = np.lib.stride_tricks.sliding_window_view
+        whole[n - 1 :] = view(x[1], n).all(axis=1) & (at[n - 1 :] >= n - 1)
+        if whole.any():
+            out[whole] = roll.fn(view(x[0], n)[whole[n - 1 :]])
+    return out, whole
+
+
 def _reach(rolls: dict[str, Roll]) -> int:
     """Rows before a row that its figures depend on."""
     reach: dict[str, int] = {}
@@ -193,6 +211,9 @@ def figures(columns: dict[str, Values], at: np.ndarray, rolls: dict[str, Roll])
     known, shared = dict(columns), {}
     for name, r in rolls.items():
         x, y = known[r.x], known[r.y] if r.y else None
+        if r.kind == "user":
+            known[name] = _asked(r, x, at)
+            continue
         kind = r.kind if r.kind in ("max", "min", "skew") else "moments"
         key = (r.x, r.y, r.n, kind)
         if key not in shared:

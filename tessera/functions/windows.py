@@ -20,27 +20,17 @@ def trailing(n: int, keys: str | list[str] = "ticker", order: str = "date") -> W
 
 
 def roll(agg, x: Column | str, n: int, keys="ticker", least: int | None = None) -> Column:
-    """agg over the last n rows; NULL unless `least` (default n) of them hold a value."""
+    """agg over the frame of the last n rows; NULL unless `least` (default n) of them hold a value.
+
+    For short series (one a market).  Panels take functions.sliding, where a row costs the same whatever n is.
+    """
     w = trailing(n, keys)
-    full = F.count(x).over(w) >= (least or n)
-    if agg not in (F.avg, F.sum, F.stddev_samp):
-        return F.when(full, agg(x).over(w))
-    # differences of running sums: a row costs the same whatever n is
-    x = F.col(x) if isinstance(x, str) else x
-    upto, before = (series(keys).rowsBetween(Window.unboundedPreceding, k) for k in (0, -n))
-
-    def total(v: Column) -> Column:
-        return F.sum(v).over(upto) - F.coalesce(F.sum(v).over(before), F.lit(0))
-
-    held, sum1 = total(x.isNotNull().cast("long")), total(x.cast("double"))
-    full = held >= (least or n)
-    if agg is F.sum:
-        return F.when(full, sum1)
-    if agg is F.avg:
-        return F.when(full, sum1 / held)
-    sum2 = total(x.cast("double") * x)
-    spread = sum2 - sum1 * sum1 / held
-    return F.when(full & (held > 1), F.sqrt(F.when(spread > sum2 * 1e-12, spread).otherwise(F.lit(0.0)) / (held - 1)))
+    return F.when(F.count(x).over(w) >= (least or n), agg(x).over(w))
+
+
+def last_values(x: Column, n: int, keys="ticker") -> Column:
+    """The last n values as an array, the newest first, NULL where there is none: n shifts, no frame."""
+    return F.array(x, *(F.lag(x, k).over(series(keys)) for k in range(1, n)))
 
 
 def lag(x: Column | str, n: int, keys="ticker") -> Column:

@@ -1,7 +1,7 @@
 """Own-series features (F1-F15) and cross-sectional operators.
 
-Inputs are bars (ticker, date, open, high, low, close, px, volume, r, n); every function
-returns columns that share one partitioning by ticker, so that they fuse into one sort.
+Inputs are bars (ticker, date, open, high, low, close, px, volume, r, n).  Shifts are columns that share one
+partitioning by ticker; rolling figures are taken in one pass over the same sorted rows (functions.sliding).
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.windows import ANNUAL, change, clip, lag, percentile_rank, ratio, roll, series, trailing, zscore
+from tessera.functions.sliding import avg, corr, high, sd, sliding
+from tessera.functions.windows import ANNUAL, change, clip, lag, percentile_rank, ratio, series, zscore
 
 HORIZONS = (1, 5, 21, 63, 126, 252)
 LEAST_ROWS = 252
@@ -27,14 +28,15 @@ def returns() -> dict[str, Column]:
     return {f"ret_{k}": change("px", k) for k in HORIZONS}
 
 
-def volatility(n: int) -> Column:
-    """annualised sample deviation of returns."""
-    return roll(F.stddev_samp, F.col("r"), n) * F.sqrt(F.lit(ANNUAL))
+def volatility(own: DataFrame, *looks: int) -> DataFrame:
+    """vol_n, the annualised sample deviation of n returns."""
+    found = sliding(own, {f"vol_{n}": sd("r", n) for n in looks})
+    return found.withColumns({f"vol_{n}": F.col(f"vol_{n}") * F.sqrt(F.lit(ANNUAL)) for n in looks})
 
 
-def volatility_ratio() -> Column:
+def volatility_ratio(own: DataFrame) -> DataFrame:
     """F3."""
-    return ratio(volatility(21), volatility(63))
+    return volatility(own, 21, 63).withColumn("ratio", ratio(F.col("vol_21"), F.col("vol_63")))
 
 
 def recursive_features(own: DataFrame) -> DataFrame:
@@ -64,12 +66,17 @@ def recursive_features(own: DataFrame) -> DataFrame:
     return out.withColumn("rsi", F.when(~F.isnan("rsi"), F.col("rsi")))
 
 
-def bollinger() -> Column:
-    """place between the bands of 20 rows and 2 deviations."""
-    p, m, s = F.col("px"), roll(F.avg, F.col("px"), 20), roll(F.stddev_samp, F.col("px"), 20)
+def bands(p: Column, m: Column, s: Column) -> Column:
+    """Place of p between the bands of 2 deviations around the mean."""
     return ratio(p - (m - 2 * s), 4 * s)
 
 
+def bollinger(own: DataFrame) -> DataFrame:
+    """`place` between the bands of 20 rows and 2 deviations."""
+    found = sliding(own, {"_m": avg("px", 20), "_s": sd("px", 20)})
+    return found.withColumn("place", bands(F.col("px"), F.col("_m"), F.col("_s"))).drop("_m", "_s")
+
+
 def true_range() -> Column:
     before = lag("close", 1)
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
@@ -77,22 +84,23 @@ def true_range() -> Column:
 
 def with_atr(own: DataFrame) -> DataFrame:
     """simple mean of 14 true ranges; the first row's range is high - low."""
-    return own.withColumn("tr", true_range()).withColumn("atr", roll(F.avg, F.col("tr"), 14))
+    return sliding(own.withColumn("tr", true_range()), {"atr": avg("tr", 14)})
 
 
-def volume_ratio() -> Column:
-    """F8."""
-    return ratio(F.col("volume").cast("double"), roll(F.avg, F.col("volume"), 21))
+def volume_ratio(own: DataFrame) -> DataFrame:
+    """F8: `ratio`."""
+    return sliding(own, {"_m": avg("volume", 21)}).withColumn("ratio", ratio(F.col("volume").cast("double"), F.col("_m"))).drop("_m")
 
 
-def drawdown() -> Column:
-    """F9."""
-    return ratio(F.col("px"), roll(F.max, F.col("px"), 252)) - 1
+def drawdown(own: DataFrame) -> DataFrame:
+    """`drawdown`."""
+    return sliding(own, {"_h": high("px", 252)}).withColumn("drawdown", ratio(F.col("px"), F.col("_h")) - 1).drop("_h")
 
 
-def sma_cross() -> Column:
-    """F10."""
-    return ratio(roll(F.avg, F.col("px"), 50), roll(F.avg, F.col("px"), 200)) - 1
+def sma_cross(own: DataFrame) -> DataFrame:
+    """`sma_cross`."""
+    found = sliding(own, {"_short": avg("px", 50), "_long": avg("px", 200)})
+    return found.withColumn("sma_cross", ratio(F.col("_short"), F.col("_long")) - 1).drop("_short", "_long")
 
 
 def momentum_12_1() -> Column:
@@ -128,16 +136,19 @@ def macro_features(macro: DataFrame, base: str, second: str, vix: str, vix_spare
     return wide.select("date", *(F.last(c, ignorenulls=True).over(fill).alias(c) for c in wide.columns if c != "date"))
 
 
-def trend_strength() -> Column:
-    """-1, 0 or 1; a missing average compares as not above."""
-    above = lambda n: F.when(F.col("px") > roll(F.avg, F.col("px"), n), 1).otherwise(0)
-    return above(50) + above(200) - 1
+def trend_strength(own: DataFrame) -> DataFrame:
+    """`strength`, -1, 0 or 1; a missing average compares as not above."""
+    found = sliding(own, {"_50": avg("px", 50), "_200": avg("px", 200)})
+    above = lambda n: F.when(F.col("px") > F.col(f"_{n}"), 1).otherwise(0)
+    return found.withColumn("strength", (above(50) + above(200) - 1).cast("double")).drop("_50", "_200")
 
 
 def trend_following(own: DataFrame) -> DataFrame:
     """fast and slow risk-adjusted trend for tickers of 210 rows; the first 210 calendar rows are dropped."""
-    speed = lambda n: ratio(change("px", n), roll(F.stddev_samp, F.col("r"), n) * F.sqrt(F.lit(float(n))))
-    scored = long_enough(own, 210).withColumn("trend", clip(0.4 * speed(50) + 0.6 * speed(200), -3, 3))
+    moved = long_enough(own, 210).withColumns({f"_c{n}": change("px", n) for n in (50, 200)})
+    found = sliding(moved, {f"_s{n}": sd("r", n) for n in (50, 200)})
+    speed = lambda n: ratio(F.col(f"_c{n}"), F.col(f"_s{n}") * F.sqrt(F.lit(float(n))))
+    scored = found.withColumn("trend", clip(0.4 * speed(50) + 0.6 * speed(200), -3, 3))
     late = own.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date"))).where("_i > 210").drop("_i")
     return scored.join(late, "date", "left_semi").select("ticker", "date", "trend")
 
@@ -162,10 +173,7 @@ def quintile(df: DataFrame, x: str) -> DataFrame:
 
 def benchmark_correlation(own: DataFrame, market: DataFrame, n: int = 63) -> DataFrame:
     """Correlation of returns over n rows; the benchmark is one short series and is sent to all."""
-    both = own.join(market, "date", "left")
-    w = trailing(n)
-    whole = F.count(F.when(F.col("r").isNotNull() & F.col("rm").isNotNull(), 1)).over(w) == n
-    return both.withColumn("corr", F.when(whole, F.corr("r", "rm").over(w)))
+    return sliding(own.join(market, "date", "left"), {"corr": corr("r", "rm", n)})
 
 
 def actions(df: DataFrame, score: str) -> DataFrame:

@@ -89,7 +89,8 @@ def ensemble(signals: DataFrame, names: list[str], weights: DataFrame, least: in
 
 
 def with_forward(signals: DataFrame, h: int) -> DataFrame:
-    return signals.withColumn("fwd", ratio(F.lead("pf", h).over(series()), F.col("pf")) - 1)
+    """fwd: the return over the next h rows; kept where rows that count have been picked after it was taken."""
+    return signals if "fwd" in signals.columns else signals.withColumn("fwd", ratio(F.lead("pf", h).over(series()), F.col("pf")) - 1)
 
 
 def ic_series(signals: DataFrame, names: list[str], h: int = 21, start: int = 260, least: int = 50) -> DataFrame:

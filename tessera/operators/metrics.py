@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.sliding import avg, sd, sliding
 from tessera.functions.windows import ANNUAL, ratio
 
 YEAR = ANNUAL
@@ -94,26 +95,24 @@ def yearly(daily: DataFrame, key: str = "strategy_id", least: int = 40) -> DataF
 def daily_snapshot(values: DataFrame, bench: DataFrame, key: str = "strategy_id", rf: float = 0.04) -> DataFrame:
     """As of the time of writing, so peak and rolling figures end at the row before; benchmark (date, m, rm) beside it.
 
-    The first row has no return (0) and no peak (drawdown 0).  Rolling moments are differences of running sums.
+    The first row has no return (0) and no peak (drawdown 0).
     """
     w = Window.partitionBy(key).orderBy("date")
     rows = values.withColumn("r", F.coalesce(ratio(F.col("value"), F.lag("value").over(w)) - 1, F.lit(0.0)))
+    rolled = sliding(rows, {"_m90": avg("r", 90, 20), "_s90": sd("r", 90, 20), "_s21": sd("r", 21, 5)}, key)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-
-    def moments(n: int) -> tuple[Column, Column, Column]:
-        older = w.rowsBetween(Window.unboundedPreceding, -n - 1)
-        count, s1, s2 = (F.coalesce(F.sum(x).over(past), F.lit(0)) - F.coalesce(F.sum(x).over(older), F.lit(0)) for x in (F.lit(1), F.col("r"), F.col("r") * F.col("r")))
-        var = s2 / count - s1 * s1 / count / count
-        return count, s1 / count, F.sqrt(F.when(var > s2 * 1e-12, var).otherwise(F.lit(0.0)))
-
-    (n90, mean90, sd90), (n21, _, sd21) = moments(90), moments(21)
+    before = lambda c: F.lag(c).over(w)
+    # population deviations of the n rows before, fewer at the start
+    held = lambda n: F.least(F.lit(n), F.row_number().over(w) - 1)
+    pop = lambda c, n: before(c) * F.sqrt((held(n) - 1) / F.greatest(held(n), F.lit(1)))
+    sd90 = pop("_s90", 90)
     first = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a day of the benchmark
     b = bench.select("date", F.col("rm").alias("bench_daily"), (F.col("m") / F.first("m").over(first) - 1).alias("bench_cumulative"))
-    return rows.select(
+    return rolled.select(
         key, "date", F.col("r").alias("daily"), (ratio(F.col("value"), F.first("value").over(running(key))) - 1).alias("cumulative"),
         F.coalesce(ratio(F.col("value"), F.max("value").over(past)) - 1, F.lit(0.0)).alias("drawdown"),
-        F.when((n90 >= 20) & (sd90 > 0), (mean90 * YEAR - rf) / (sd90 * F.sqrt(F.lit(YEAR)))).alias("sharpe_90"),
-        F.when(n21 >= 5, sd21 * F.sqrt(F.lit(YEAR))).alias("vol_21"),
+        F.when(sd90 > 0, (before("_m90") * YEAR - rf) / (sd90 * F.sqrt(F.lit(YEAR)))).alias("sharpe_90"),
+        (pop("_s21", 21) * F.sqrt(F.lit(YEAR))).alias("vol_21"),
     ).join(b, "date", "left")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tessera.functions.windows import ANNUAL, trailing
+from tessera.functions.windows import ANNUAL, last_values
 
 MAX_POSITION, DUST, VOL_FLOOR = 0.05, 0.004, 0.05
 DATE = ["date"]
@@ -15,11 +15,22 @@ def _over(*keys: str) -> WindowSpec:
     return Window.partitionBy(*keys)
 
 
-def eligibility(panel: DataFrame, dims: DataFrame, min_price: float = 5.0, min_rows: int = 252, min_dollars: float = 1e7, exempt: tuple = (), gated: tuple = ()) -> DataFrame:
-    """`panel` with eligible.  The framed median is percentile 0.5."""
+def median(values: Column) -> Column:
+    """Of the values of an array that are there."""
+    held = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
+    n = F.size(held)
+    return F.when(n > 0, (F.get(held, F.floor((n - 1) / 2).cast("int")) + F.get(held, F.floor(n / 2).cast("int"))) / 2)
+
+
+def eligibility(panel: DataFrame, dims: DataFrame, min_price: float = 5.0, min_rows: int = 252, min_dollars: float = 1e7, exempt: tuple = (), gated: tuple = (), on: Column | None = None) -> DataFrame:
+    """`panel` with eligible, on the rows `on` (default all).
+
+    The median dollar volume of 21 rows is taken from shifts of the rows that count, without a frame.
+    """
     history = F.count("px").over(Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    dollars = F.expr("percentile(px * volume, 0.5)").over(trailing(21))
-    known = panel.withColumn("_n", history).withColumn("_d", dollars).join(dims, "ticker", "left")
+    on = F.lit(True) if on is None else on
+    rows = panel.withColumns({"_n": history, "_d": last_values(F.col("px") * F.col("volume"), 21), "_on": on}).where("_on").drop("_on")
+    known = rows.withColumn("_d", median(F.col("_d"))).join(dims, "ticker", "left")
     liquid = (F.col("_d") >= min_dollars) | F.col("asset_class").isin(*exempt)
     ok = (F.col("px") >= min_price) & (F.col("_n") >= min_rows) & liquid & ~F.col("asset_class").isin(*gated)
     return known.withColumn("eligible", F.coalesce(ok, F.lit(False))).drop("_n", "_d")

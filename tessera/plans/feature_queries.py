@@ -19,6 +19,11 @@ def _own(columns: dict):
     return lambda spark, d: O.long_enough(T.own_series(spark, d)).select("ticker", "date", *(out(c).alias(n) for n, c in columns().items()))
 
 
+def _added(fn, *names: str):
+    """The columns that an operator adds to own series."""
+    return lambda spark, d: fn(O.long_enough(T.own_series(spark, d))).select("ticker", "date", *(out(F.col(n)).alias(n) for n in names))
+
+
 def _sql(columns: dict[str, str]) -> str:
     return OWN + "SELECT ticker, date, " + ", ".join(f"{S.out(e)} AS {n}" for n, e in columns.items()) + " FROM long"
 
@@ -29,8 +34,8 @@ def vol(n: int) -> str:
 
 SMA = lambda n: f"({S.roll('avg', 'px', n)})"
 book.add("f1_returns", _own(O.returns), _sql({f"ret_{k}": S.change("px", k) for k in O.HORIZONS}))
-book.add("f2_volatility", _own(lambda: {"vol_21": O.volatility(21), "vol_63": O.volatility(63)}), _sql({"vol_21": vol(21), "vol_63": vol(63)}))
-book.add("f3_volatility_ratio", _own(lambda: {"ratio": O.volatility_ratio()}), _sql({"ratio": f"({vol(21)}) / nullif({vol(63)}, 0)"}))
+book.add("f2_volatility", _added(lambda own: O.volatility(own, 21, 63), "vol_21", "vol_63"), _sql({"vol_21": vol(21), "vol_63": vol(63)}))
+book.add("f3_volatility_ratio", _added(O.volatility_ratio, "ratio"), _sql({"ratio": f"({vol(21)}) / nullif({vol(63)}, 0)"}))
 
 
 def ema(x: str, alpha: str) -> str:
@@ -65,21 +70,21 @@ book.add(
     SELECT ticker, date, {S.out("macd", 4)} AS macd, {S.out("s", 4)} AS macd_signal, {S.out("macd - s", 4)} AS macd_hist FROM signalled""",
 )
 SD20 = f"({S.roll('stddev_samp', 'px', 20)})"
-book.add("f6_bollinger", _own(lambda: {"place": O.bollinger()}), _sql({"place": f"(px - ({SMA(20)} - 2 * {SD20})) / nullif(4 * {SD20}, 0)"}))
+book.add("f6_bollinger", _added(O.bollinger, "place"), _sql({"place": f"(px - ({SMA(20)} - 2 * {SD20})) / nullif(4 * {SD20}, 0)"}))
 book.add(
     "f7_atr",
-    lambda spark, d: O.with_atr(O.long_enough(T.own_series(spark, d))).select("ticker", "date", out(F.col("atr")).alias("atr")),
+    _added(O.with_atr, "atr"),
     OWN
     + f""", ranged AS (SELECT *, greatest(high - low, abs(high - {S.lag("close", 1)}), abs(low - {S.lag("close", 1)})) AS tr FROM long)
     SELECT ticker, date, {S.out(S.roll("avg", "tr", 14))} AS atr FROM ranged""",
 )
-book.add("f8_volume_ratio", _own(lambda: {"ratio": O.volume_ratio()}), _sql({"ratio": f"volume / nullif({S.roll('avg', 'volume', 21)}, 0)"}))
-book.add("f9_drawdown", _own(lambda: {"drawdown": O.drawdown()}), _sql({"drawdown": f"px / nullif({S.roll('max', 'px', 252)}, 0) - 1"}))
-book.add("f10_sma_cross", _own(lambda: {"sma_cross": O.sma_cross()}), _sql({"sma_cross": f"{SMA(50)} / nullif({SMA(200)}, 0) - 1"}))
+book.add("f8_volume_ratio", _added(O.volume_ratio, "ratio"), _sql({"ratio": f"volume / nullif({S.roll('avg', 'volume', 21)}, 0)"}))
+book.add("f9_drawdown", _added(O.drawdown, "drawdown"), _sql({"drawdown": f"px / nullif({S.roll('max', 'px', 252)}, 0) - 1"}))
+book.add("f10_sma_cross", _added(O.sma_cross, "sma_cross"), _sql({"sma_cross": f"{SMA(50)} / nullif({SMA(200)}, 0) - 1"}))
 book.add("f11_momentum_12_1", _own(lambda: {"momentum": O.momentum_12_1()}), _sql({"momentum": f"{S.change('px', 252)} - {S.change('px', 21)}"}))
 book.add(
     "f12_latest",
-    lambda spark, d: O.latest(_own(lambda: {"ret_21": change("px", 21), "vol_21": O.volatility(21)})(spark, d)),
+    lambda spark, d: O.latest(_added(lambda own: O.volatility(own.withColumn("ret_21", change("px", 21)), 21), "ret_21", "vol_21")(spark, d)),
     f"WITH f AS ({_sql({'ret_21': S.change('px', 21), 'vol_21': vol(21)})}) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1",
 )
 FILL = "last_value({0} IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)"
@@ -104,7 +109,7 @@ book.add(
       {MEAN.format("vix", 20)} AS vix_sma, vix / nullif({MEAN.format("vix", 20)}, 0) AS vix_ratio, {MEAN.format("claims", 3)} AS claims_4 FROM wide)
     SELECT date, {", ".join(f"{S.out(FILL.format(c))} AS {c}" for c in NAMES)} FROM f""",
 )
-book.add("f14_trend_strength", _own(lambda: {"strength": O.trend_strength().cast("double")}), _sql({"strength": f"CAST(CASE WHEN px > {SMA(50)} THEN 1 ELSE 0 END + CASE WHEN px > {SMA(200)} THEN 1 ELSE 0 END - 1 AS DOUBLE)"}))
+book.add("f14_trend_strength", _added(O.trend_strength, "strength"), _sql({"strength": f"CAST(CASE WHEN px > {SMA(50)} THEN 1 ELSE 0 END + CASE WHEN px > {SMA(200)} THEN 1 ELSE 0 END - 1 AS DOUBLE)"}))
 SPEED = lambda n: f"{S.change('px', n)} / nullif(({S.roll('stddev_samp', 'r', n)}) * sqrt({n}), 0)"
 book.add(
     "f15_trend_following",

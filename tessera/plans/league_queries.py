@@ -100,9 +100,12 @@ INC = f""", inc AS (SELECT ticker, date, ({" + ".join(f"coalesce({n}, 0)" for n
     corrs AS (SELECT signal, avg(CASE WHEN isfinite(c) THEN c END) AS corr FROM (SELECT signal, t.date, corr(score, incumbent) AS c FROM tallc t JOIN inc USING (ticker, date) GROUP BY signal, t.date HAVING count(*) >= {LEAST}) GROUP BY signal)"""
 
 
-def every(spark, d):
-    c = SG.candidates(candidate_panel(spark, d), ALL)
-    return c.select("ticker", "date", "i", "pf", *(out(F.col(n)).alias(n) for n in ALL))
+def every(spark, d, panel=None):
+    """All candidates on the dates that any test reads, with the return ahead; stored once for all tests."""
+    rows = O.with_forward(panel or candidate_panel(spark, d), H)
+    on = (F.col("i") >= START) & (((F.col("i") - START) % H == 0) | ((F.col("i") - START) % 21 == 0))
+    c = SG.candidates(rows, ALL, on, ("i", "pf", "fwd"))
+    return T.stored(c.select("ticker", "date", "i", "pf", "fwd", *(out(F.col(n)).alias(n) for n in ALL)))
 
 
 def incumbent(c):
@@ -113,12 +116,13 @@ def _ic(spark, d):
     return O.ic_series(every(spark, d), ALL, H, START, LEAST)
 
 
-def _members(spark, d):
-    return O.quintile_members(every(spark, d), ALL, 5, START, LEAST, SMALLEST)
+def _members(spark, d, panel=None):
+    return O.quintile_members(every(spark, d, panel), ALL, 5, START, LEAST, SMALLEST)
 
 
 def _spread(spark, d):
-    return O.quintile_spread(_members(spark, d), T.filled_panel(spark, d), 5, START)
+    panel = T.stored(candidate_panel(spark, d))
+    return O.quintile_spread(_members(spark, d, panel), panel, 5, START)
 
 
 book.add("a19_ic_series", lambda s, d: _ic(s, d).select("signal", "date", "n", out(F.col("ic")).alias("ic")), CAND + f"SELECT signal, date, n, {S.out('ic')} AS ic FROM ics")
@@ -147,8 +151,9 @@ def _rows(spark, d):
 
 
 def _league(s, d):
-    c = every(s, d)
-    return O.league_table(c, T.filled_panel(s, d), incumbent(c), ALL, _rows(s, d), H, START, LEAST, SMALLEST).select(
+    panel = T.stored(candidate_panel(s, d))
+    c = every(s, d, panel)
+    return O.league_table(c, panel, incumbent(c), ALL, _rows(s, d), H, START, LEAST, SMALLEST).select(
         "signal", *(out(F.col(x), 4).alias(x) for x in ("t_is", "t_oos", "corr")), "sharpe_gross", "sharpe_5", "sharpe_15", "annual", "turnover", "verdict"
     )
 

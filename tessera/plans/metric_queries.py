@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import sql as S
-from tessera.functions.windows import ANNUAL, change, out, roll, zscore
+from tessera.functions.sliding import sd, sliding
+from tessera.functions.windows import ANNUAL, change, out, zscore
 from tessera.operators import metrics as O
 from tessera.operators import portfolio as PF
 from tessera.operators import regime as RG
@@ -163,9 +164,11 @@ def _returns(s, d):
 
 def targets(s, d, configs=LIVE):
     """W2 over the weekly panel: vote of the price alone, as the walk-forward has no other series."""
-    panel = T.filled_panel(s, d).withColumn("vol", roll(F.stddev_samp, F.col("r"), 63) * F.sqrt(F.lit(ANNUAL)))
-    signals = SG.production_signals(panel, HISTORY, keep=("i", "pf"))
-    able = PF.eligibility(panel, T.dimensions(s, d), 5, 0, MEDIAN, (), ("leveraged",)).select("ticker", "date", "eligible", "vol", "sector", "asset_class")
+    panel = T.stored(T.filled_panel(s, d))
+    signals = T.stored(SG.production_signals(panel, HISTORY, keep=("i", "pf"), rolls={"vol": sd("r", 63)}))
+    on = WK.on_rebalance(configs, WARM)
+    able = PF.eligibility(panel, T.dimensions(s, d), 5, 0, MEDIAN, (), ("leveraged",), on).select("ticker", "date", "eligible", "sector", "asset_class")
+    able = able.join(signals.where(on).select("ticker", "date", (F.col("vol") * F.sqrt(F.lit(ANNUAL))).alias("vol")), ["ticker", "date"])
     market = T.market(s, d).withColumn("market", F.lit("MKT"))
     votes = market.select("market", "date", *(c.alias(n) for n, c in RG.proxy_votes(n=50).items()))
     cal = T.calendar(T.bars(s, d))
@@ -274,8 +277,8 @@ SLEEVE, SLEEVE_VOL = 260, 2.0  # weekly moves are large: the default of 0.08 lea
 
 def sleeve(s, d):
     """The trend sleeve (S10, P7) through the same walk."""
-    p = T.filled_panel(s, d).withColumn("vol", roll(F.stddev_samp, F.col("r"), 63) * F.sqrt(F.lit(ANNUAL)))
-    on = SG.tsmom(p).where(f"i >= {SLEEVE} and (i - {SLEEVE}) % {K} = 0").select("ticker", "date", "i", F.col("tsmom").alias("score"), "vol")
+    p = sliding(SG.tsmom(T.filled_panel(s, d)), {"vol": sd("r", 63)}).withColumn("vol", F.col("vol") * F.sqrt(F.lit(ANNUAL)))
+    on = p.where(f"i >= {SLEEVE} and (i - {SLEEVE}) % {K} = 0").select("ticker", "date", "i", F.col("tsmom").alias("score"), "vol")
     t = PF.sleeve_targets(on.join(T.dimensions(s, d), "ticker"), SLEEVE_VOL).select(F.lit("sleeve").alias("config"), F.expr(f"(i - {SLEEVE}) div {K}").alias("period"), "ticker", "weight")
     t = stored(t)
     rows, ends = O.drifted_returns(t, _returns(s, d), K, SLEEVE)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import sql as S
-from tessera.functions.windows import ANNUAL, out, roll
+from tessera.functions.sliding import sd
+from tessera.functions.windows import ANNUAL, out
 from tessera.operators import portfolio as O
 from tessera.operators import signals as SG
 from tessera.operators.regime import sma
@@ -19,9 +20,8 @@ book = Book()
 
 def scored(spark, d):
     """date, ticker, score (rounded), vol, px, sector, asset_class on rebalance rows."""
-    panel = T.filled_panel(spark, d).withColumn("vol", roll(F.stddev_samp, F.col("r"), 63) * F.sqrt(F.lit(ANNUAL)))
-    signals = SG.production_signals(panel, on=F.expr("i % 21 = 0"), keep=("i", "px", "vol"))
-    score = SG.combine(signals, WEIGHTS).select("ticker", "date", "i", "px", "vol", out(F.col("composite")).alias("score"))
+    signals = SG.production_signals(T.filled_panel(spark, d), on=F.expr("i % 21 = 0"), keep=("i", "px"), rolls={"vol": sd("r", 63)})
+    score = SG.combine(signals, WEIGHTS).select("ticker", "date", "i", "px", (F.col("vol") * F.sqrt(F.lit(ANNUAL))).alias("vol"), out(F.col("composite")).alias("score"))
     return score.join(T.dimensions(spark, d), "ticker", "left")
 
 

@@ -88,3 +88,17 @@ def test_one_shuffle_and_split_tasks(spark):
     assert W.sliding(long, {"m": W.avg("x", 252)}).join(cut.withColumnRenamed("m", "z"), ["ticker", "date"]).where("abs(m - z) > 1e-12 or (m is null) <> (z is null)").count() == 0
     plan = W.sliding(long.repartition("ticker"), {"m": W.avg("x", 5)})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2 and "MapInArrow" in plan
+
+
+def test_user_function_over_pieces(spark, prices):
+    """A numpy function that no SQL aggregate has, over whole and cut series."""
+    spread = lambda w: np.median(np.abs(w - np.median(w, axis=1, keepdims=True)), axis=1)
+    got = {}
+    for split in (None, 13):
+        got[split] = {(r.ticker, r.date): r.mad for r in W.sliding(prices, {"mad": W.user("x", 9, spread)}, split=split, rows=40).collect()}
+    assert got[None].keys() == got[13].keys() and str(sorted(got[None].items())) == str(sorted(got[13].items()))
+    rows = sorted((r.date, r.x) for r in prices.where("ticker = 'gaps'").collect())
+    for k, (date, _) in enumerate(rows):
+        window = [v for _, v in rows[max(0, k - 8) : k + 1]]
+        want = None if len(window) < 9 or None in window else float(np.median(np.abs(np.array(window) - np.median(window))))
+        assert got[None]["gaps", date] == want
