@@ -11,11 +11,11 @@ from tessera.functions.windows import ANNUAL, ratio
 YEAR = ANNUAL
 
 
-def running(key: str = "strategy_id"):
+def running(key: str | list[str] = "strategy_id"):
     return Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def equity(daily: DataFrame, key: str = "strategy_id") -> DataFrame:
+def equity(daily: DataFrame, key: str | list[str] = "strategy_id") -> DataFrame:
     """M1: equity = running product of 1 + ret; a missing ret is 0, and after a total loss all is 0."""
     return daily.withColumn("equity", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(running(key)))
 
@@ -26,21 +26,32 @@ def sharpe(r: Column, least: int = 20) -> Column:
     return F.when((F.count(r) >= least) & (sd > 0), F.avg(r) / sd * F.sqrt(F.lit(YEAR)))
 
 
-def summary(daily: DataFrame, key: str = "strategy_id") -> DataFrame:
+def summary(daily: DataFrame, key: str | list[str] = "strategy_id") -> DataFrame:
     """M1-M5: cagr, sharpe, sortino, max_drawdown, hit_rate, vol by strategy."""
     eq = equity(daily, key)
     eq = eq.withColumn("dd", ratio(F.col("equity"), F.max("equity").over(running(key))) - 1)
     r = F.col("ret")
     down = F.stddev_samp(F.when(r < 0, r))
-    return eq.groupBy(key).agg(
+    return eq.groupBy(*([key] if isinstance(key, str) else key)).agg(
         F.when(F.max_by("equity", "date") >= 0, F.pow(F.max_by("equity", "date"), YEAR / F.count(F.lit(1))) - 1).alias("cagr"), F.round(sharpe(r), 2).alias("sharpe"),
         F.when(down > 0, F.avg(r) * YEAR / (down * F.sqrt(F.lit(YEAR)))).alias("sortino"), F.min("dd").alias("max_drawdown"),
         F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("hit_rate"), (F.stddev_samp(r) * F.sqrt(F.lit(YEAR))).alias("vol"),
     )
 
 
-def ledger_metrics(values: DataFrame, key: str = "strategy_id", rf: float = 0.04) -> DataFrame:
-    """M6 over (key, date, value): total return, CAGR on days / 365.25, Sharpe, Sortino and Calmar against rf."""
+def benchmark_cagr(daily: DataFrame, bench: DataFrame, key: str = "strategy_id") -> DataFrame:
+    """M5: key, benchmark_cagr of the benchmark (date, rm) over the days of each strategy; a missing return is 0."""
+    both = daily.select(key, "date").join(bench.select("date", "rm"), "date", "left")
+    grown = F.product(1 + F.coalesce("rm", F.lit(0.0)))
+    return both.groupBy(key).agg((F.pow(grown, YEAR / F.count(F.lit(1))) - 1).alias("benchmark_cagr"))
+
+
+def ledger_metrics(values: DataFrame, key: str = "strategy_id", rf: float = 0.04, trades: DataFrame | None = None) -> DataFrame:
+    """M6 over (key, date, value): start and end value, total return, CAGR on days / 365.25, Sharpe, Sortino and Calmar against rf.
+
+    Sortino takes the whole deviation where no return is negative; a ratio without a denominator is 0; Calmar is
+    absolute.  `trades` (key, cost) adds their number and total cost.
+    """
     w = Window.partitionBy(key).orderBy("date")
     rows = values.withColumn("r", ratio(F.col("value"), F.lag("value").over(w)) - 1).withColumn("dd", ratio(F.col("value"), F.max("value").over(running(key))) - 1)
     years = F.datediff(F.max("date"), F.min("date")) / 365.25
@@ -48,12 +59,20 @@ def ledger_metrics(values: DataFrame, key: str = "strategy_id", rf: float = 0.04
     agg = rows.groupBy(key).agg(
         (total - 1).alias("total_return"), F.when(years > 0, F.pow(total, 1 / years) - 1).alias("cagr"), (F.stddev_samp("r") * F.sqrt(F.lit(YEAR))).alias("vol"),
         (F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))) * F.sqrt(F.lit(YEAR))).alias("down"), F.min("dd").alias("max_drawdown"),
+        F.count(F.when(F.col("r") < 0, 1)).alias("falls"), F.min_by("value", "date").alias("start_value"), F.max_by("value", "date").alias("end_value"),
     )
     over = F.col("cagr") - rf
-    return agg.select(
-        key, "total_return", "cagr", ratio(over, F.col("vol")).alias("sharpe"), ratio(over, F.col("down")).alias("sortino"),
-        ratio(F.col("cagr"), F.abs("max_drawdown")).alias("calmar"), "max_drawdown",
+    safe = lambda a, b: F.coalesce(F.when(b > 0, a / b), F.lit(0.0))
+    down = F.when(F.col("falls") > 0, F.col("down")).otherwise(F.col("vol"))
+    out = agg.select(
+        key, "start_value", "end_value", "total_return", "cagr", safe(over, F.col("vol")).alias("sharpe"), safe(over, down).alias("sortino"),
+        safe(F.abs("cagr"), F.abs("max_drawdown")).alias("calmar"), "max_drawdown",
     )
+    if trades is None:
+        return out
+    sums = trades.groupBy(key).agg(F.count(F.lit(1)).alias("trades"), F.sum("cost").alias("costs"))
+    none = {"trades": F.coalesce("trades", F.lit(0)), "costs": F.coalesce(F.col("costs").cast("double"), F.lit(0.0))}
+    return out.join(sums, key, "left").withColumns(none)
 
 
 def period_returns(values: DataFrame, unit: str = "month", key: str = "strategy_id") -> DataFrame:
@@ -67,11 +86,11 @@ def period_returns(values: DataFrame, unit: str = "month", key: str = "strategy_
 
 
 def win_loss(months: DataFrame, key: str = "strategy_id") -> DataFrame:
-    """M7."""
+    """M7: the profit factor is the mean gain over the mean loss, absolute; NULL without a loss."""
     r = F.col("ret")
-    gain, loss = F.sum(F.when(r > 0, r)), F.abs(F.sum(F.when(r < 0, r)))
+    gain, loss = F.avg(F.when(r > 0, r)), F.abs(F.avg(F.when(r < 0, r)))
     return months.where(r.isNotNull()).groupBy(key).agg(
-        F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("win_rate"), ratio(gain, loss).alias("profit_factor"),
+        F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.when(loss > 0, F.coalesce(gain, F.lit(0.0)) / loss).alias("profit_factor"),
         F.avg(F.when(r > 0, r)).alias("avg_win"), F.avg(F.when(r < 0, r)).alias("avg_loss"), F.max(r).alias("best"), F.min(r).alias("worst"),
     )
 
@@ -243,17 +262,23 @@ def turnover_summary(daily: DataFrame, trades: DataFrame) -> DataFrame:
 
 
 def cost_sensitivity(daily: DataFrame, trades: DataFrame, levels=(0.0, 5.0, 15.0)) -> DataFrame:
-    """Every cost level at once, without a second run."""
+    """Config, bps, cagr, sharpe, max_drawdown, total and turnover at every cost level, without a second run."""
     costs = daily.sparkSession.createDataFrame([(float(b),) for b in levels], "bps double")
     spread = daily.crossJoin(F.broadcast(costs))
     first = F.row_number().over(Window.partitionBy("config", "bps", "period").orderBy("i")) == 1
     net = spread.join(trades, ["config", "period"]).withColumn("ret", F.col("gross") - F.when(first, F.col("traded") * F.col("bps") / 10000.0).otherwise(F.lit(0.0)))
-    return net.groupBy("config", "bps").agg(sharpe(F.col("ret")).alias("sharpe"), (F.product(1 + F.coalesce("ret", F.lit(0.0))) - 1).alias("total"))
+    total = net.groupBy("config", "bps").agg((F.product(1 + F.coalesce("ret", F.lit(0.0))) - 1).alias("total"))
+    figures = summary(net, ["config", "bps"]).select("config", "bps", "cagr", "sharpe", "max_drawdown").join(total, ["config", "bps"])
+    return figures.join(turnover_summary(daily, trades).select("config", "turnover"), "config")
+
 
+def blends(a: DataFrame, b: DataFrame, allocations=(1.0, 0.0, 0.7, 0.6, 0.5)) -> DataFrame:
+    """Share of the first engine, cagr, sharpe, max_drawdown and vol of mixes of two return series (date, ret), and their correlation.
 
-def blends(a: DataFrame, b: DataFrame, allocations=(0.7, 0.6, 0.5)) -> DataFrame:
-    """Mixes of two return series (date, ret) and their correlation."""
+    Shares 1 and 0 are the engines alone.
+    """
     both = a.select("date", F.col("ret").alias("x")).join(b.select("date", F.col("ret").alias("y")), "date").where("x is not null and y is not null")
     mixes = a.sparkSession.createDataFrame([(float(w),) for w in allocations], "share double")
     mixed = both.crossJoin(mixes).withColumn("r", F.col("share") * F.col("x") + (1 - F.col("share")) * F.col("y"))
-    return mixed.groupBy("share").agg(sharpe(F.col("r")).alias("sharpe"), (F.stddev_samp("r") * F.sqrt(F.lit(YEAR))).alias("vol"), F.round(F.corr("x", "y"), 2).alias("corr"))
+    figures = summary(mixed.select("share", "date", F.col("r").alias("ret")), "share").select("share", "cagr", "sharpe", "max_drawdown", "vol")
+    return figures.join(mixed.groupBy("share").agg(F.round(F.corr("x", "y"), 2).alias("corr")), "share")

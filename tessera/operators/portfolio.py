@@ -163,12 +163,12 @@ def trend_filter(weights: DataFrame, trend: DataFrame) -> DataFrame:
     return moved.withColumn("weight", F.when(over, F.col("weight") * (1 - cash) / invested).otherwise(F.col("weight")))
 
 
-def score_weights(scores: DataFrame, top: int = 10, cap: float = 0.15) -> DataFrame:
-    """The best positive scores in proportion, capped; renormalised only if they sum to more than one."""
+def score_weights(scores: DataFrame, top: int = 10, cap: float = 0.15, cash: float = 0.05) -> DataFrame:
+    """1 - cash over the best positive scores in proportion, capped; renormalised only if they sum to more than that."""
     w = _over("date")
     s = scores.where(F.col("score") > 0).withColumn("_k", F.row_number().over(w.orderBy(F.desc("score"), "ticker"))).where(F.col("_k") <= top)
-    s = s.withColumn("weight", F.least(F.col("score") / F.sum("score").over(w), F.lit(cap)))
-    return s.withColumn("weight", F.col("weight") / F.greatest(F.lit(1.0), F.sum("weight").over(w))).drop("_k")
+    s = s.withColumn("weight", F.least(F.col("score") / F.sum("score").over(w) * (1 - cash), F.lit(cap)))
+    return s.withColumn("weight", F.col("weight") * (1 - cash) / F.greatest(F.lit(1 - cash), F.sum("weight").over(w))).drop("_k")
 
 
 def top_n_by_group(scores: DataFrame, n: int = 15, most: int = 3, group: str = "sector") -> DataFrame:

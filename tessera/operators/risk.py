@@ -23,6 +23,11 @@ def panel_gate(bars: DataFrame, asof: str, max_age: int = 5, least: int = 20, mo
     return last.select(age.alias("age"), "names", "moves", ((age <= max_age) & (F.col("names") >= least) & (F.col("moves") <= most_moves)).alias("ok"))
 
 
+def gate_errors(max_age: int = 5, least: int = 20, most_moves: int = 6) -> Column:
+    """K1: what a gate (age, names, moves) fails for, joined by ';'."""
+    return F.concat_ws(";", F.when(F.col("age") > max_age, "stale prices"), F.when(F.col("names") < least, "few names"), F.when(F.col("moves") > most_moves, "large moves"))
+
+
 def book_sanity(targets: DataFrame, keys: list[str]) -> DataFrame:
     """K2."""
     s = targets.groupBy(*keys).agg(F.count(F.when(F.abs("weight") > 0.01, 1)).alias("positions"), F.sum(F.abs("weight")).alias("gross"))
@@ -47,15 +52,43 @@ def cash_reserve(targets: DataFrame, keys: list[str], limit: float = 1.03, to: f
     return s.withColumn("weight", F.when((w > 0) & (F.col("_l") > limit), w * to / F.col("_l")).otherwise(w)).drop("_l")
 
 
+def active(targets: DataFrame, keys: list[str], least_weight: float = 0.01) -> DataFrame:
+    """Names of more than `least_weight` of the books that have two of them or more, with _size."""
+    held = targets.where(F.abs("weight") > least_weight).select(*keys, "ticker", "weight")
+    return held.withColumn("_size", F.count(F.lit(1)).over(_over(*keys))).where("_size >= 2")
+
+
+def complete_days(held: DataFrame, returns: DataFrame, keys: list[str], n: int = 63) -> DataFrame:
+    """keys, date: the last n dates on which every name of a book has a return; `held` as from `active`.
+
+    A name's dates are bits, 64 a word; a book's are the names' bits and-ed, so that books meet words, not days.
+    Words are taken from the newest until n bits are found, and only those are unpacked.
+    """
+    there = returns.where(F.col("r").isNotNull()).select("ticker", "date")
+    calendar = there.select("date").distinct().withColumn("day", F.row_number().over(Window.orderBy("date")) - 1)  # a row a date
+    days = there.join(F.broadcast(calendar), "date").select("ticker", F.expr("day div 64").alias("word"), F.expr("shiftleft(1L, day % 64)").alias("bit"))
+    names = days.groupBy("ticker", "word").agg(F.bit_or("bit").alias("bits"))
+    words = held.join(names, "ticker").groupBy(*keys, "word").agg(F.bit_and("bits").alias("bits"), F.count(F.lit(1)).alias("_n"), F.max("_size").alias("_size"))
+    newer = F.sum(F.bit_count("bits")).over(_over(*keys).orderBy(F.desc("word")).rowsBetween(Window.unboundedPreceding, -1))
+    # a name without the word has none of its dates
+    words = words.where("_n = _size and bits <> 0").withColumn("_newer", F.coalesce(newer, F.lit(0))).where(F.col("_newer") < n)
+    bits = F.expr("filter(sequence(63, 0), b -> getbit(bits, b) = 1)")
+    each = words.select(*keys, "word", "_newer", F.posexplode(bits).alias("_k", "_b")).where(F.col("_newer") + F.col("_k") < n)
+    return each.select(*keys, (F.col("word") * 64 + F.col("_b")).cast("int").alias("day")).join(F.broadcast(calendar), "day").select(*keys, "date")
+
+
+def recent_returns(targets: DataFrame, returns: DataFrame, keys: list[str], n: int, least_weight: float) -> DataFrame:
+    """keys, ticker, weight, date, r over each book's last n complete rows."""
+    held = active(targets, keys, least_weight)
+    days = complete_days(held, returns, keys, n)
+    return held.join(days, keys).join(returns.select("ticker", "date", "r"), ["ticker", "date"])
+
+
 def value_at_risk(targets: DataFrame, returns: DataFrame, keys: list[str], n: int = 63, least_weight: float = 0.01) -> DataFrame:
-    """K5: keys, var95 - w'Sw is the variance of the book's daily return, so no matrix is made.  Complete rows of the last n dates."""
-    held = targets.where(F.abs("weight") > least_weight)
-    size = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where("_size >= 2")
-    days = returns.select("date").distinct().orderBy(F.desc("date")).limit(n).select(F.col("date").alias("day"))
-    recent = returns.where(F.col("r").isNotNull()).select("ticker", F.col("date").alias("day"), "r").join(days, "day", "left_semi")
-    book = held.join(recent, "ticker").groupBy(*keys, "day").agg(F.sum(F.col("weight") * F.col("r")).alias("ret"), F.count(F.lit(1)).alias("_n"))
-    whole = book.join(size, keys).where("_n = _size")
-    return whole.groupBy(*keys).agg((F.sqrt(F.var_samp("ret")) * 1.645).alias("var95"))
+    """K5: keys, var95 over the last n complete rows of a book's names; w'Sw is the variance of the book's daily return, so no matrix is made."""
+    rows = recent_returns(targets, returns, keys, n, least_weight)
+    book = rows.groupBy(*keys, "date").agg(F.sum(F.col("weight") * F.col("r")).alias("ret"))
+    return book.groupBy(*keys).agg((F.sqrt(F.var_samp("ret")) * 1.645).alias("var95"))
 
 
 def scale_to_var(targets: DataFrame, var: DataFrame, keys: list[str], limit: float = 0.02) -> DataFrame:
@@ -64,15 +97,19 @@ def scale_to_var(targets: DataFrame, var: DataFrame, keys: list[str], limit: flo
     return joined.withColumn("weight", F.col("weight") * F.coalesce(F.when(F.col("var95") > limit, limit / F.col("var95")), F.lit(1.0))).drop("var95")
 
 
-def average_correlation(returns: DataFrame, n: int = 63) -> DataFrame:
-    """K6: mean pairwise correlation over complete names of the last n dates: (var(sum z) - m) / (m (m - 1)), linear in the names."""
-    days = returns.select("date").distinct().orderBy(F.desc("date")).limit(n)
-    rows = returns.where(F.col("r").isNotNull()).join(days, "date", "left_semi")
-    w = _over("ticker")
-    z = rows.withColumn("_n", F.count("r").over(w)).where(F.col("_n") == n).withColumn("z", (F.col("r") - F.avg("r").over(w)) / F.stddev_samp("r").over(w))
-    daily = z.groupBy("date").agg(F.sum("z").alias("s"), F.count("z").alias("m"))
+def average_correlation(targets: DataFrame, returns: DataFrame, keys: list[str], n: int = 63, least_weight: float = 0.01, limit: float = 0.70) -> DataFrame:
+    """K6: keys, correlation, names, warn - the mean pairwise correlation of a book's names over its last n complete rows.
+
+    (var(sum z) - m) / (m (m - 1)), linear in the names; NULL where a name does not move or fewer than two rows are complete.
+    """
+    w = _over(*keys, "ticker")
+    rows = recent_returns(targets, returns, keys, n, least_weight)
+    sd = F.stddev_samp("r").over(w)
+    z = rows.withColumn("z", (F.col("r") - F.avg("r").over(w)) / F.when(sd > 0, sd))
+    daily = z.groupBy(*keys, "date").agg(F.sum("z").alias("s"), F.count("z").alias("live"), F.count(F.lit(1)).alias("m"))
     m = F.max("m")
-    return daily.agg(((F.var_samp("s") - m) / (m * (m - 1))).alias("correlation"), m.alias("names")).withColumn("warn", F.col("correlation") > 0.70)
+    mean = F.when(F.min("live") == m, (F.var_samp("s") - m) / (m * (m - 1)))
+    return daily.groupBy(*keys).agg(mean.alias("correlation"), m.alias("names")).withColumn("warn", F.coalesce(F.col("correlation") > limit, F.lit(False)))
 
 
 def stop_breaches(positions: DataFrame, limit: float = -0.08) -> DataFrame:
@@ -98,11 +135,40 @@ def breakers(values: DataFrame, fear: DataFrame, key: str = "portfolio_id") -> D
     return rows.select("*", (on["daily_loss"] | on["max_drawdown"]).alias("halt"), (on["weekly_loss"] | on["vix_level"]).alias("reduce"), factor.alias("factor"), names.alias("tripped"))
 
 
-def validate(targets: DataFrame, returns: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
-    """Limits, reserve, VaR and the breakers' factor in order."""
-    limited = cash_reserve(position_limits(targets, keys), keys)
-    scaled = scale_to_var(limited, value_at_risk(limited, returns, keys), keys)
-    return scaled.withColumn("weight", F.col("weight") * factor)
+def validate(targets: DataFrame, returns: DataFrame, keys: list[str], gate: DataFrame, halts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(weights, verdicts) of the whole validation.
+
+    gate: one row with ok and errors (K1); halts: keys, halt, tripped.  A gate that fails rejects every book and stops there; then sanity warns,
+    limits, reserve and VaR change the weights and warn, and a breaker's halt rejects the book.  Rejected books are empty.
+    verdicts: keys, approved, rejections, warnings (joined by ';').
+    """
+    w = F.col("weight")
+    sane = book_sanity(targets, keys).select(*keys, "warnings")
+    capped = targets.groupBy(*keys).agg(F.max((F.abs(w) > POSITION_CAP).cast("int")).alias("_cap"), F.count(F.when(F.abs(w) >= DUST, 1)).alias("_many"))
+    whole = _over(*keys, "sector")
+    clipped = targets.withColumn("weight", F.greatest(F.lit(-POSITION_CAP), F.least(F.lit(POSITION_CAP), w))).where(F.abs(w) >= DUST)
+    clipped = clipped.withColumn("_k", F.row_number().over(_over(*keys).orderBy(F.desc(F.abs(w)), "ticker"))).where(F.col("_k") <= MOST_POSITIONS)
+    sectors = clipped.withColumn("_s", F.sum(F.when(w > 0, w).otherwise(0.0)).over(whole)).groupBy(*keys).agg(F.max((F.col("_s") > SECTOR_CAP).cast("int")).alias("_sector"))
+    limited = position_limits(targets, keys)
+    long = limited.groupBy(*keys).agg(F.sum(F.when(w > 0, w).otherwise(0.0)).alias("_long"))
+    reserved = cash_reserve(limited, keys)
+    var = value_at_risk(reserved, returns, keys)
+    scaled = scale_to_var(reserved, var, keys)
+    alike = average_correlation(reserved, returns, keys).select(*keys, F.col("warn").alias("_alike"))
+    books = sane
+    for part in (capped, sectors, long, var, alike, halts.select(*keys, "halt", "tripped")):
+        books = books.join(part, keys, "left")
+    books = books.crossJoin(F.broadcast(gate.select(F.col("ok").alias("_ok"), "errors")))  # one row
+    stopped = F.coalesce("halt", F.lit(False))
+    said = F.concat_ws(
+        ";", F.when(F.col("warnings") != "", F.col("warnings")), F.when(F.col("_cap") == 1, "position cap"), F.when(F.col("_many") > MOST_POSITIONS, "too many positions"),
+        F.when(F.col("_sector") == 1, "sector exposure"), F.when(F.col("_long") > 1.03, "cash reserve"), F.when(F.col("var95") > 0.02, "value at risk"), F.when(F.col("_alike"), "correlation"),
+    )
+    reasons = F.when(~F.col("_ok"), F.col("errors")).when(stopped, F.concat(F.lit("circuit breaker: "), F.col("tripped"))).otherwise("")
+    verdicts = books.select(
+        *keys, (F.col("_ok") & ~stopped).alias("approved"), reasons.alias("rejections"), F.when(F.col("_ok"), said).otherwise("").alias("warnings")
+    )
+    return scaled.join(verdicts.where("approved").select(*keys), keys, "left_semi"), verdicts
 
 
 def health_warnings() -> Column:

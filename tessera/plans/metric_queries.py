@@ -54,14 +54,42 @@ for name, columns, e in (
     ("m2_sharpe", ["sharpe"], {"sharpe": f"round({SHARPE('ret')}, 2)"}),
     ("m3_sortino", ["sortino"], {"sortino": "CASE WHEN stddev_samp(ret) FILTER (ret < 0) > 0 THEN avg(ret) * 252 / (stddev_samp(ret) FILTER (ret < 0) * sqrt(252)) END"}),
     ("m4_max_drawdown", ["max_drawdown"], {"max_drawdown": "min(dd)"}),
-    ("m5_hit_rate_vol", ["hit_rate", "vol"], {"hit_rate": "avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END)", "vol": "stddev_samp(ret) * sqrt(252)"}),
 ):
     book.add(name, lambda s, d, c=columns: pick(O.summary(daily(s, d)), *c), EQ + f"SELECT strategy_id, {cols(**e)} FROM dds GROUP BY 1")
-LEDGER = ["total_return", "cagr", "sharpe", "sortino", "calmar", "max_drawdown"]
+book.add(
+    "m5_hit_rate_vol",
+    lambda s, d: pick(O.summary(rows := daily(s, d)).join(O.benchmark_cagr(rows, T.market(s, d)), "strategy_id"), "hit_rate", "vol", "benchmark_cagr"),
+    EQ + f"""SELECT strategy_id, {cols(hit_rate="avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END)", vol="stddev_samp(ret) * sqrt(252)", benchmark_cagr="pow(product(1 + coalesce(rm, 0)), 252.0 / count(*)) - 1")}
+    FROM dds LEFT JOIN market USING (date) GROUP BY 1""",
+)
+LEDGER = ["start_value", "end_value", "total_return", "cagr", "sharpe", "sortino", "calmar", "max_drawdown", "costs"]
 LED = B + f""", lr AS (SELECT *, value / nullif(lag(value) OVER {W}, 0) - 1 AS r, value / max(value) OVER {RUN} - 1 AS dd FROM vals),
-    la AS (SELECT strategy_id, arg_max(value, date) / arg_min(value, date) AS total, (max(date) - min(date)) / 365.25::DOUBLE AS years, stddev_samp(r) * sqrt(252) AS vol, stddev_samp(r) FILTER (r < 0) * sqrt(252) AS down, min(dd) AS dd FROM lr GROUP BY 1),
-    ledger AS (SELECT strategy_id, total - 1 AS total_return, c AS cagr, (c - 0.04) / nullif(vol, 0) AS sharpe, (c - 0.04) / nullif(down, 0) AS sortino, c / nullif(abs(dd), 0) AS calmar, dd AS max_drawdown FROM (SELECT *, pow(total, 1 / years) - 1 AS c FROM la))"""
-book.add("m6_ledger", lambda s, d: pick(O.ledger_metrics(values(s, d)), *LEDGER), LED + f"SELECT strategy_id, {cols(**{c: c for c in LEDGER})} FROM ledger")
+    la AS (SELECT strategy_id, arg_max(value, date) / arg_min(value, date) AS total, (max(date) - min(date)) / 365.25::DOUBLE AS years, stddev_samp(r) * sqrt(252) AS vol, stddev_samp(r) FILTER (r < 0) * sqrt(252) AS down, min(dd) AS dd, count(*) FILTER (r < 0) AS falls,
+      arg_min(value, date) AS start_value, arg_max(value, date) AS end_value FROM lr GROUP BY 1),
+    tl AS (SELECT CAST(l_suppkey AS VARCHAR) AS strategy_id, count(*) AS trades, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0 * 0.0005 AS costs FROM lineitem GROUP BY 1),
+    ledger AS (SELECT strategy_id, start_value, end_value, total - 1 AS total_return, c AS cagr, CASE WHEN vol > 0 THEN (c - 0.04) / vol ELSE 0.0 END AS sharpe,
+      CASE WHEN d > 0 THEN (c - 0.04) / d ELSE 0.0 END AS sortino, CASE WHEN dd <> 0 THEN abs(c / dd) ELSE 0.0 END AS calmar, dd AS max_drawdown, coalesce(trades, 0) AS trades, coalesce(costs, 0.0)::DOUBLE AS costs
+      FROM (SELECT *, pow(total, 1 / years) - 1 AS c, CASE WHEN falls > 0 THEN down ELSE vol END AS d FROM la) LEFT JOIN tl USING (strategy_id))"""
+
+
+def trades(s, d):
+    """A trade line costs 5 bps of what it moves; sums are taken in cents."""
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))
+    lines = T.table(s, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("strategy_id"), "l_extendedprice")
+    return lines.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("lines"), (cents / 100.0 * 0.0005).alias("cost"))
+
+
+def _ledger(s, d):
+    found = O.ledger_metrics(values(s, d), trades=trades(s, d))
+    # the trades come summed by strategy, so that cents add up exactly
+    return found.drop("trades").join(trades(s, d).select("strategy_id", F.col("lines").alias("trades")), "strategy_id", "left")
+
+
+book.add(
+    "m6_ledger",
+    lambda s, d: pick(_ledger(s, d), *LEDGER, keys=("strategy_id", "trades")),
+    LED + f"SELECT strategy_id, trades, {cols(**{c: c for c in LEDGER})} FROM ledger",
+)
 PERIOD = lambda u: B + f""", lastv AS (SELECT strategy_id, CAST(date_trunc('{u}', date) AS DATE) AS period, arg_max(value, date) AS value FROM vals GROUP BY ALL),
     gridp AS (SELECT strategy_id, CAST(unnest(generate_series(min(period)::TIMESTAMP, max(period)::TIMESTAMP, INTERVAL 1 {u})) AS DATE) AS period FROM lastv GROUP BY 1),
     pers AS (SELECT g.*, value, value / nullif(lag(value) OVER (PARTITION BY g.strategy_id ORDER BY g.period), 0) - 1 AS ret FROM gridp g LEFT JOIN lastv l ON l.strategy_id = g.strategy_id AND l.period = g.period)"""
@@ -69,7 +97,7 @@ WL = ["win_rate", "profit_factor", "avg_win", "avg_loss", "best", "worst"]
 book.add(
     "m7_monthly",
     lambda s, d: pick(O.win_loss(O.period_returns(values(s, d))), *WL),
-    PERIOD("month") + f"""SELECT strategy_id, {cols(win_rate="avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END)", profit_factor="sum(ret) FILTER (ret > 0) / nullif(abs(sum(ret) FILTER (ret < 0)), 0)",
+    PERIOD("month") + f"""SELECT strategy_id, {cols(win_rate="avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0 END)", profit_factor="abs(coalesce(avg(ret) FILTER (ret > 0), 0) / avg(ret) FILTER (ret < 0))",
     avg_win="avg(ret) FILTER (ret > 0)", avg_loss="avg(ret) FILTER (ret < 0)", best="max(ret)", worst="min(ret)")} FROM pers WHERE ret IS NOT NULL GROUP BY 1""",
 )
 book.add("m8_best_year", lambda s, d: pick(O.win_loss(O.period_returns(values(s, d), "year")), "best", "worst"), PERIOD("year") + f"SELECT strategy_id, {cols(best='max(ret)', worst='min(ret)')} FROM pers WHERE ret IS NOT NULL GROUP BY 1")
@@ -268,9 +296,11 @@ book.add(
 )
 book.add(
     "w6_cost_sensitivity",
-    lambda s, d: pick(O.cost_sensitivity(*_walk(s, d)[1:]), "sharpe", "total", keys=("bps",)),
-    WF + f""", lv AS (SELECT bps, gross - CASE WHEN first THEN traded * bps / 10000.0 ELSE 0 END AS ret FROM nt, (VALUES (0.0::DOUBLE), (5.0), (15.0)) b(bps))
-    SELECT bps, {cols(sharpe=SHARPE('ret'), total="product(1 + ret) - 1")} FROM lv GROUP BY 1""",
+    lambda s, d: pick(O.cost_sensitivity(*_walk(s, d)[1:]), "cagr", "sharpe", "max_drawdown", "turnover", "total", keys=("bps",)),
+    WF + f""", lq AS (SELECT *, product(1 + ret) OVER (PARTITION BY bps ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM (SELECT bps, date, ret FROM (SELECT nt.date, bps, gross - CASE WHEN first THEN traded * bps / 10000.0 ELSE 0 END AS ret FROM nt, (VALUES (0.0::DOUBLE), (5.0), (15.0)) b(bps)))),
+    ld AS (SELECT *, equity / nullif(max(equity) OVER (PARTITION BY bps ORDER BY date ROWS UNBOUNDED PRECEDING), 0) - 1 AS dd FROM lq)
+    SELECT bps, {cols(cagr="CASE WHEN arg_max(equity, date) >= 0 THEN pow(arg_max(equity, date), 252.0 / count(*)) - 1 END", sharpe=f"round({SHARPE('ret')}, 2)", max_drawdown="min(dd)", turnover="any_value(tv) / (count(*) / 252.0) / 2", total="product(1 + ret) - 1")}
+    FROM ld, (SELECT sum(traded) AS tv FROM tr) GROUP BY 1""",
 )
 SLEEVE, SLEEVE_VOL = 260, 2.0  # weekly moves are large: the default of 0.08 leaves dust only
 
@@ -298,8 +328,10 @@ SL = (
 book.add("w7_sleeve", lambda s, d: pick(sleeve(s, d), "ret", keys=("date",)), SL + f"SELECT date, {cols(ret=NET)} FROM nt")
 book.add(
     "w8_blends",
-    lambda s, d: pick(O.blends(_net(s, d), sleeve(s, d)), "sharpe", "vol", "corr", keys=("share",)),
+    lambda s, d: pick(O.blends(_net(s, d), sleeve(s, d)), "cagr", "sharpe", "max_drawdown", "vol", "corr", keys=("share",)),
     f"""WITH one AS ({WF} SELECT date, {NET} AS x FROM nt), two AS ({SL} SELECT date, {NET} AS y FROM nt),
-    bl AS (SELECT share, x, y, share * x + (1 - share) * y AS r FROM one JOIN two USING (date), (VALUES (0.7::DOUBLE), (0.6), (0.5)) s(share))
-    SELECT share, {cols(sharpe=SHARPE('r'), vol="stddev_samp(r) * sqrt(252)", corr="round(corr(x, y), 2)")} FROM bl GROUP BY 1""",
+    bl AS (SELECT date, share, x, y, share * x + (1 - share) * y AS r FROM one JOIN two USING (date), (VALUES (1.0::DOUBLE), (0.0), (0.7), (0.6), (0.5)) s(share)),
+    bq AS (SELECT *, product(1 + r) OVER (PARTITION BY share ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM bl),
+    bd AS (SELECT *, equity / nullif(max(equity) OVER (PARTITION BY share ORDER BY date ROWS UNBOUNDED PRECEDING), 0) - 1 AS dd FROM bq)
+    SELECT share, {cols(cagr="CASE WHEN arg_max(equity, date) >= 0 THEN pow(arg_max(equity, date), 252.0 / count(*)) - 1 END", sharpe=f"round({SHARPE('r')}, 2)", max_drawdown="min(dd)", vol="stddev_samp(r) * sqrt(252)", corr="round(corr(x, y), 2)")} FROM bd GROUP BY 1""",
 )

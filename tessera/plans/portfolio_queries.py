@@ -96,8 +96,8 @@ TILT = SCORED + """, n1 AS (SELECT *, least(score / sum(score) OVER (PARTITION B
 tilt = lambda s, d: O.alpha_tilt(scored(s, d))
 book.add("p9_alpha_tilt", lambda s, d: SHOW(tilt(s, d)), TILT + f"SELECT date, ticker, {W6} FROM tilt")
 TOPS = """, tops AS (SELECT * FROM base WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) <= 10),
-    tops2 AS (SELECT *, least(score / sum(score) OVER (PARTITION BY date), 0.15) AS w FROM tops),
-    sw AS (SELECT date, ticker, score, asset_class, w / greatest(1.0, sum(w) OVER (PARTITION BY date)) AS weight FROM tops2)"""
+    tops2 AS (SELECT *, least(score / sum(score) OVER (PARTITION BY date) * 0.95, 0.15) AS w FROM tops),
+    sw AS (SELECT date, ticker, score, asset_class, w * 0.95 / greatest(0.95, sum(w) OVER (PARTITION BY date)) AS weight FROM tops2)"""
 tops = lambda s, d: O.score_weights(scored(s, d))
 book.add(
     "p10_combined",

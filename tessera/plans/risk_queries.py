@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from tessera.functions import sql as S
-from tessera.functions.windows import ANNUAL, out, roll
+from tessera.functions.windows import ANNUAL, change, out
 from tessera.operators import risk as O
 from tessera.operators.joins import asof
 from tessera.sources import tables as T
@@ -75,19 +77,35 @@ book.add(
     lambda s, d: SHOW(O.cash_reserve(_double(books(s, d)), P)),
     POS + ", doubled AS (SELECT portfolio_id, ticker, weight * 2 AS weight FROM books)" + RESERVED.format(1.03, "doubled") + f"SELECT portfolio_id, ticker, {W6} FROM reserved",
 )
-VAR = ", held AS (SELECT * FROM {0} WHERE abs(weight) > 0.01), size AS (SELECT portfolio_id, count(*) AS size FROM held GROUP BY 1 HAVING count(*) >= 2), recent AS (SELECT ticker, date, r FROM panel WHERE r IS NOT NULL AND date IN (SELECT DISTINCT date FROM panel ORDER BY date DESC LIMIT 63)), bk AS (SELECT portfolio_id, date, sum(weight * r) AS ret FROM held JOIN recent USING (ticker) JOIN size USING (portfolio_id) GROUP BY portfolio_id, date HAVING count(*) = any_value(size)), vr AS (SELECT portfolio_id, 1.645 * sqrt(var_samp(ret)) AS var95 FROM bk GROUP BY 1)"
-book.add(
-    "k5_value_at_risk",
-    lambda s, d: O.value_at_risk(books(s, d), T.filled_panel(s, d), P).select("portfolio_id", out(F.col("var95")).alias("var95")),
-    RETURNS + VAR.format("books") + f"SELECT portfolio_id, {S.out('var95')} AS var95 FROM vr",
-)
-book.add(
-    "k6_average_correlation",
-    lambda s, d: O.average_correlation(T.filled_panel(s, d)).withColumn("correlation", out(F.col("correlation"))),
-    S.FILLED + f""", rec AS (SELECT ticker, date, r FROM panel WHERE r IS NOT NULL AND date IN (SELECT DISTINCT date FROM panel ORDER BY date DESC LIMIT 63)),
-    pairs AS (SELECT corr(a.r, b.r) AS c FROM rec a JOIN rec b ON a.date = b.date AND a.ticker < b.ticker GROUP BY a.ticker, b.ticker)
-    SELECT {S.out("avg(c)")} AS correlation, (SELECT count(DISTINCT ticker) FROM rec) AS names, avg(c) > 0.70 AS warn FROM pairs""",
-)
+#: Returns of weeks that follow each other; a missing week has none, nor the week after it.
+GAPPED = POS.replace(S.BARS, S.PANEL) + f""", wk AS (SELECT ticker, date, {S.change("px", 1)} AS r FROM panel)"""
+WEEKS = ", wk AS (SELECT ticker, date, r FROM panel)"
+RECENT = """, held AS (SELECT portfolio_id, ticker, weight, count(*) OVER (PARTITION BY portfolio_id) AS size FROM {0} WHERE abs(weight) > 0.01),
+    whole AS (SELECT portfolio_id, date FROM held h JOIN wk USING (ticker) WHERE r IS NOT NULL AND size >= 2 GROUP BY portfolio_id, date, size HAVING count(*) = size
+      QUALIFY row_number() OVER (PARTITION BY portfolio_id ORDER BY date DESC) <= 63),
+    recent AS (SELECT h.portfolio_id, h.ticker, weight, date, r FROM held h JOIN whole w USING (portfolio_id) JOIN wk USING (ticker, date) WHERE size >= 2)"""
+VAR = RECENT + ", vr AS (SELECT portfolio_id, stddev_samp(x) * 1.645 AS var95 FROM (SELECT portfolio_id, date, sum(weight * r) AS x FROM recent GROUP BY 1, 2) GROUP BY 1)"
+CORR = """, still AS (SELECT portfolio_id, count(*) AS names, min(sd) AS least FROM (SELECT portfolio_id, ticker, stddev_samp(r) AS sd FROM recent GROUP BY 1, 2) GROUP BY 1),
+    pairs AS (SELECT portfolio_id, corr(a.r, b.r) AS c FROM recent a JOIN recent b USING (portfolio_id, date) WHERE a.ticker < b.ticker GROUP BY portfolio_id, a.ticker, b.ticker),
+    alike AS (SELECT portfolio_id, names, CASE WHEN least > 0 THEN mean END AS correlation, coalesce(CASE WHEN least > 0 THEN mean END > 0.70, false) AS warn
+      FROM still LEFT JOIN (SELECT portfolio_id, avg(CASE WHEN isfinite(c) THEN c END) AS mean FROM pairs GROUP BY 1) USING (portfolio_id))"""
+
+
+def _weekly(s, d):
+    return T.panel(s, d).withColumn("r", change("px", 1)).select("ticker", "date", "r")
+
+
+for name, base, rows in (("", RETURNS + WEEKS, T.filled_panel), ("_gaps", GAPPED, _weekly)):
+    book.add(
+        "k5_value_at_risk" if not name else "k5_gaps",
+        lambda s, d, rows=rows: O.value_at_risk(books(s, d), rows(s, d), P).select("portfolio_id", out(F.col("var95")).alias("var95")),
+        base + VAR.format("books") + f"SELECT portfolio_id, {S.out('var95')} AS var95 FROM vr",
+    )
+    book.add(
+        "k6_average_correlation" if not name else "k6_gaps",
+        lambda s, d, rows=rows: O.average_correlation(books(s, d), rows(s, d), P).withColumn("correlation", out(F.col("correlation"))),
+        base + RECENT.format("books") + CORR + f"SELECT portfolio_id, {S.out('correlation')} AS correlation, names, warn FROM alike",
+    )
 book.add(
     "k7_stop_breaches",
     lambda s, d: O.stop_breaches(positions(s, d)).select("portfolio_id", "ticker", out(F.col("pnl")).alias("pnl")),
@@ -119,11 +137,55 @@ book.add(
     BREAK + """SELECT portfolio_id, date, a OR c AS halt, b OR e AS reduce, CASE WHEN b OR c OR e THEN 0.5::DOUBLE ELSE 1.0 END AS factor,
     concat_ws(',', CASE WHEN a THEN 'daily_loss' END, CASE WHEN b THEN 'weekly_loss' END, CASE WHEN c THEN 'max_drawdown' END, CASE WHEN e THEN 'vix_level' END) AS tripped FROM t""",
 )
+#: Weeks of its own history that a book's breakers look at.
+HISTORY = 63
+
+
+def _halts(s, d):
+    """Each book's breakers on the last day, over its long value of the last HISTORY weeks."""
+    panel = T.filled_panel(s, d)
+    last = panel.agg(F.max("i").alias("last"))  # one row
+    px = panel.crossJoin(F.broadcast(last)).where(F.col("i") > F.col("last") - HISTORY).select("ticker", "date", "px")
+    v = positions(s, d).select("portfolio_id", "ticker", F.abs("qty").alias("q")).join(px, "ticker").groupBy("portfolio_id", "date").agg(F.sum(F.col("q") * F.col("px")).alias("value"))
+    fear = asof(v.select("date").distinct(), T.macro(s, d).where("series_id = '3-MEDIUM'").select("date", (F.col("value") / 10000).alias("vix")), "date", ["vix"])
+    return O.breakers(v, fear).groupBy("portfolio_id").agg(F.max_by(F.struct("halt", "tripped"), "date").alias("b")).select("portfolio_id", "b.*")
+
+
+def _validated(s, d, late=0, moves=10**6):
+    """As of `late` days after the last week.  The weekly panel moves more than a daily one, so the gate's limit of moves is a parameter."""
+    last = T.bars(s, d).agg(F.max("date")).first()[0] or date.min  # one value
+    gate = O.panel_gate(T.bars(s, d), str(last + timedelta(days=late)), most_moves=moves).select("ok", O.gate_errors(most_moves=moves).alias("errors"))
+    return O.validate(sectored(s, d), T.filled_panel(s, d), P, gate, _halts(s, d))
+
+
+HALTS = S.MACRO + f""", hv AS (SELECT portfolio_id, date, sum(abs(qty) * px) AS value FROM positions JOIN (SELECT ticker, date, px FROM panel WHERE i > (SELECT max(i) FROM panel) - {HISTORY}) USING (ticker) GROUP BY 1, 2),
+    hk AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY date) AS k FROM hv),
+    hb AS (SELECT portfolio_id, h.date, value / nullif(lag(value) OVER w, 0) - 1 AS daily, value / nullif(CASE WHEN k >= 6 THEN lag(value, 5) OVER w WHEN k = 5 THEN first_value(value) OVER w END, 0) - 1 AS weekly,
+      value / nullif(max(value) OVER (PARTITION BY portfolio_id ORDER BY h.date ROWS UNBOUNDED PRECEDING), 0) - 1 AS drawdown, level AS vix FROM hk h
+      ASOF LEFT JOIN (SELECT date, value / 10000 AS level FROM macro WHERE series_id = '3-MEDIUM') f ON h.date >= f.date WINDOW w AS (PARTITION BY portfolio_id ORDER BY h.date)),
+    halts AS (SELECT portfolio_id, coalesce(daily <= -0.03, false) OR coalesce(drawdown <= -0.15, false) AS halt,
+      concat_ws(',', CASE WHEN daily <= -0.03 THEN 'daily_loss' END, CASE WHEN weekly <= -0.05 THEN 'weekly_loss' END, CASE WHEN drawdown <= -0.15 THEN 'max_drawdown' END, CASE WHEN vix >= 35 THEN 'vix_level' END) AS tripped
+      FROM hb QUALIFY row_number() OVER (PARTITION BY portfolio_id ORDER BY date DESC) = 1)"""
+CHECKED = (
+    LIMITED.replace(S.BARS, S.FILLED) + RESERVED.format(1.03, "limited") + WEEKS + VAR.format("reserved") + CORR + HALTS
+    + """, said AS (SELECT portfolio_id, concat_ws(';', CASE WHEN count(*) FILTER (abs(weight) > 0.01) < 3 THEN 'few positions' END, CASE WHEN sum(abs(weight)) > 1.5 THEN 'gross exposure' END,
+        CASE WHEN max(abs(weight)) > 0.05 THEN 'position cap' END, CASE WHEN count(*) FILTER (abs(weight) >= 0.004) > 80 THEN 'too many positions' END) AS a FROM books GROUP BY 1),
+    spread AS (SELECT portfolio_id, bool_or(s > 0.25) AS over FROM k3 GROUP BY 1), lng AS (SELECT portfolio_id, sum(greatest(weight, 0)) AS l FROM limited GROUP BY 1),
+    verdicts AS (SELECT portfolio_id, NOT coalesce(halt, false) AS approved, CASE WHEN halt THEN 'circuit breaker: ' || tripped ELSE '' END AS rejections,
+      concat_ws(';', nullif(a, ''), CASE WHEN over THEN 'sector exposure' END, CASE WHEN l > 1.03 THEN 'cash reserve' END, CASE WHEN var95 > 0.02 THEN 'value at risk' END, CASE WHEN warn THEN 'correlation' END) AS warnings
+      FROM said LEFT JOIN spread USING (portfolio_id) LEFT JOIN lng USING (portfolio_id) LEFT JOIN vr USING (portfolio_id) LEFT JOIN alike USING (portfolio_id) LEFT JOIN halts USING (portfolio_id))"""
+)
 book.add(
     "k13_validated",
-    lambda s, d: SHOW(O.validate(sectored(s, d), T.filled_panel(s, d), P, 0.5)),
-    LIMITED.replace(S.BARS, S.FILLED) + RESERVED.format(1.03, "limited") + VAR.format("reserved")
-    + f"SELECT portfolio_id, ticker, {S.out('weight * CASE WHEN var95 > 0.02 THEN 0.02 / var95 ELSE 1.0 END * 0.5')} AS weight FROM reserved LEFT JOIN vr USING (portfolio_id)",
+    lambda s, d: SHOW(_validated(s, d)[0]),
+    CHECKED + f"SELECT portfolio_id, ticker, {S.out('weight * CASE WHEN var95 > 0.02 THEN 0.02 / var95 ELSE 1.0 END')} AS weight FROM reserved LEFT JOIN vr USING (portfolio_id) JOIN verdicts USING (portfolio_id) WHERE approved",
+)
+book.add("k13_verdicts", lambda s, d: _validated(s, d)[1], CHECKED + "SELECT * FROM verdicts")
+book.add(
+    "k13_gate_fails",
+    # four weeks later the same prices are stale: every book is rejected before its limits are looked at
+    lambda s, d: _validated(s, d, 28)[1],
+    POS + "SELECT DISTINCT portfolio_id, false AS approved, 'stale prices' AS rejections, '' AS warnings FROM books",
 )
 
 
