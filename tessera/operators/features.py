@@ -6,11 +6,10 @@ partitioning by ticker; rolling figures are taken in one pass over the same sort
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scans import affine_scan
 from tessera.functions.sliding import avg, corr, high, sd, sliding
 from tessera.functions.windows import ANNUAL, change, clip, lag, percentile_rank, ratio, series, zscore
 
@@ -39,31 +38,27 @@ def volatility_ratio(own: DataFrame) -> DataFrame:
     return volatility(own, 21, 63).withColumn("ratio", ratio(F.col("vol_21"), F.col("vol_63")))
 
 
-def recursive_features(own: DataFrame) -> DataFrame:
-    """F4 + F5: ticker, date, rsi, macd, macd_signal, macd_hist - the recursions, one ticker at a time."""
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        p = pdf["px"].astype(float)
-        step = p.diff().fillna(0.0)
-        sides = []
-        for x in (step.clip(lower=0), (-step).clip(lower=0)):
-            seeded = x.copy()
-            seeded.iloc[:13] = np.nan
-            if len(x) > 13:
-                seeded.iloc[13] = x.iloc[:14].mean()
-            sides.append(seeded.ewm(alpha=1 / 14, adjust=False).mean())
-        gain, loss = sides
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rsi = 100 - 100 / (1 + gain / loss)
-        macd = p.ewm(span=12, adjust=False).mean() - p.ewm(span=26, adjust=False).mean()
-        signal = macd.ewm(span=9, adjust=False).mean()
-        return pd.DataFrame({"ticker": pdf["ticker"], "date": pdf["date"], "rsi": rsi, "macd": macd, "macd_signal": signal, "macd_hist": macd - signal})
-
-    out = own.select("ticker", "date", "px").groupBy("ticker").applyInPandas(
-        fn, "ticker string, date date, rsi double, macd double, macd_signal double, macd_hist double"
-    )
-    return out.withColumn("rsi", F.when(~F.isnan("rsi"), F.col("rsi")))
+def recursive_features(own: DataFrame, chunk: int = 2048) -> DataFrame:
+    """F4 + F5: ticker, date, rsi, macd, macd_signal, macd_hist.
+
+    Wilder's averages begin with the mean of 14 moves, the exponential ones with the first price; both are scans over
+    chunks of a ticker (functions.scans).
+    """
+    w = series()
+    n = F.row_number().over(w)
+    rows = own.select("ticker", "date", F.col("px").cast("double").alias("px"), n.alias("n"), F.coalesce(F.col("px") - F.lag("px").over(w), F.lit(0.0)).alias("step"))
+    up, down = F.greatest(F.col("step"), F.lit(0.0)), F.greatest(-F.col("step"), F.lit(0.0))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    wilder = lambda x: F.when(F.col("n") > 14, x / 14).when(F.col("n") == 14, F.sum(x).over(upto) / 14)
+    ema = lambda x, a: F.when(F.col("n") == 1, x).otherwise(a * x)
+    p = F.col("px")
+    begun = rows.withColumns({"_up": wilder(up), "_down": wilder(down), "_fast": ema(p, 2 / 13), "_slow": ema(p, 2 / 27)})
+    terms = {"gain": ("_up", 13 / 14), "loss": ("_down", 13 / 14), "fast": ("_fast", 11 / 13), "slow": ("_slow", 25 / 27)}
+    first = affine_scan(begun, terms, order="n", chunk=chunk).withColumn("macd", F.col("fast") - F.col("slow"))
+    second = affine_scan(first.withColumn("_m", ema(F.col("macd"), 0.2)), {"macd_signal": ("_m", 0.8)}, order="n", chunk=chunk)
+    gain, loss = F.col("gain"), F.col("loss")
+    rsi = F.when(F.col("n") >= 14, F.when(loss > 0, 100 - 100 / (1 + gain / loss)).when(gain > 0, F.lit(100.0)))
+    return second.select("ticker", "date", rsi.alias("rsi"), "macd", "macd_signal", (F.col("macd") - F.col("macd_signal")).alias("macd_hist"))
 
 
 def bands(p: Column, m: Column, s: Column) -> Column:
