@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import ranges
 from tessera.functions.scans import affine_scan
 from tessera.functions.sliding import avg, corr, high, sd, sliding
 from tessera.functions.windows import ANNUAL, change, clip, lag, percentile_rank, ratio, series, zscore
+from tessera.sources.tables import stored
 
 HORIZONS = (1, 5, 21, 63, 126, 252)
 LEAST_ROWS = 252
@@ -159,11 +161,17 @@ def legacy_zscore(x: Column) -> Column:
     return F.when((F.count(x).over(w) < 3) | sd.isNull() | (sd == 0), F.lit(0.0)).otherwise(z)
 
 
+def ranged_percentile_rank(df: DataFrame, x: str, name: str = "pct") -> DataFrame:
+    """Percentile rank of x on its date, ties at their mean; a date of any size runs in several tasks."""
+    found = ranges.ranked(df, x, ["date"], stored, "_rank", "_held")
+    return found.withColumn(name, F.col("_rank") / F.col("_held")).drop("_rank", "_held")
+
+
 def quintile(df: DataFrame, x: str) -> DataFrame:
-    """Label 1-5 by linearly interpolated edges, right-closed."""
-    edges = F.expr(f"percentile({x}, array(0.2, 0.4, 0.6, 0.8))").over(Window.partitionBy("date"))
+    """Label 1-5 by linearly interpolated edges, right-closed; edges come from sorted ranges of the date's values."""
+    edges = ranges.quantiles(df, x, ["date"], (0.2, 0.4, 0.6, 0.8), stored).withColumnRenamed("edges", "_e")  # a row a date
     label = sum((F.when(F.col(x) > F.col("_e")[k], 1).otherwise(0) for k in range(4)), F.lit(1))
-    return df.withColumn("_e", edges).withColumn("quintile", F.when(F.col(x).isNotNull(), label)).drop("_e")
+    return df.join(edges, "date", "left").withColumn("quintile", F.when(F.col(x).isNotNull(), label)).drop("_e")
 
 
 def benchmark_correlation(own: DataFrame, market: DataFrame, n: int = 63) -> DataFrame:

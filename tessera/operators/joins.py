@@ -6,24 +6,19 @@ from collections.abc import Callable
 
 import pandas as pd
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import ranges
 
-def asof(left: DataFrame, right: DataFrame, on: str, values: list[str], by: list[str] | None = None) -> DataFrame:
-    """To each row of `left` the latest row of `right` at or before it, by a union and one window: one shuffle, no range join.
 
-    Without `by` both sides are one short series and are ordered in one task.
+def asof(left: DataFrame, right: DataFrame, on: str, values: list[str], by: list[str] | None = None, unit: str = "month") -> DataFrame:
+    """To each row of `left` the latest row of `right` of the same `by` at or before it.
+
+    Ranges of time (`unit`) are filled apart and carry their last value on, so that neither a long series nor a hot key is
+    one task; no range join.
     """
-    by = by or []
-    own = [c for c in left.columns if c not in (on, *by)]
-    a = left.select(*by, on, F.struct(*own).alias("_l") if own else F.struct(F.lit(1).alias("one")).alias("_l"), F.lit(None).alias("_v"), F.lit(1).alias("_s"))
-    held = F.struct(*values)
-    b = right.select(*by, on, F.lit(None).alias("_l"), held.alias("_v"), F.lit(0).alias("_s"))
-    w = Window.partitionBy(*by) if by else Window
-    w = w.orderBy(on, "_s").rowsBetween(Window.unboundedPreceding, 0)
-    filled = a.unionByName(b).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_s = 1")
-    return filled.select(*by, on, *(F.col(f"_l.{c}").alias(c) for c in own), *(F.col(f"_v.{c}").alias(c) for c in values))
+    return ranges.asof(left, right, on, values, by or [], unit)
 
 
 def pair_complete(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

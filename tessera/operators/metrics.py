@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import ranges
 from tessera.functions.sliding import avg, sd, sliding
 from tessera.functions.windows import ANNUAL, ratio
 
@@ -15,8 +16,13 @@ def running(key: str | list[str] = "strategy_id"):
     return Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def equity(daily: DataFrame, key: str | list[str] = "strategy_id") -> DataFrame:
-    """M1: equity = running product of 1 + ret; a missing ret is 0, and after a total loss all is 0."""
+def equity(daily: DataFrame, key: str | list[str] = "strategy_id", unit: str | None = None) -> DataFrame:
+    """M1: equity = running product of 1 + ret; a missing ret is 0, and after a total loss all is 0.
+
+    `unit` cuts long series into ranges of time that are dealt to tasks apart, each continued from the ranges before.
+    """
+    if unit:
+        return ranges.running(daily, {"equity": ("product", 1 + F.coalesce("ret", F.lit(0.0)))}, [key] if isinstance(key, str) else key, "date", unit)
     return daily.withColumn("equity", F.product(1 + F.coalesce("ret", F.lit(0.0))).over(running(key)))
 
 
@@ -26,10 +32,17 @@ def sharpe(r: Column, least: int = 20) -> Column:
     return F.when((F.count(r) >= least) & (sd > 0), F.avg(r) / sd * F.sqrt(F.lit(YEAR)))
 
 
-def summary(daily: DataFrame, key: str | list[str] = "strategy_id") -> DataFrame:
-    """M1-M5: cagr, sharpe, sortino, max_drawdown, hit_rate, vol by strategy."""
-    eq = equity(daily, key)
-    eq = eq.withColumn("dd", ratio(F.col("equity"), F.max("equity").over(running(key))) - 1)
+def drawdowns(eq: DataFrame, key: str | list[str] = "strategy_id", unit: str | None = None) -> DataFrame:
+    """M4: `eq` with dd, the equity against its peak so far; `unit` as in `equity`."""
+    if unit:
+        peaks = ranges.running(eq, {"_peak": ("max", F.col("equity"))}, [key] if isinstance(key, str) else key, "date", unit)
+        return peaks.withColumn("dd", ratio(F.col("equity"), F.col("_peak")) - 1).drop("_peak")
+    return eq.withColumn("dd", ratio(F.col("equity"), F.max("equity").over(running(key))) - 1)
+
+
+def summary(daily: DataFrame, key: str | list[str] = "strategy_id", unit: str | None = None) -> DataFrame:
+    """M1-M5: cagr, sharpe, sortino, max_drawdown, hit_rate, vol by strategy; `unit` as in `equity`."""
+    eq = drawdowns(equity(daily, key, unit), key, unit)
     r = F.col("ret")
     down = F.stddev_samp(F.when(r < 0, r))
     return eq.groupBy(*([key] if isinstance(key, str) else key)).agg(

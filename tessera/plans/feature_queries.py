@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import sql as S
-from tessera.functions.windows import change, out, percentile_rank, zscore
+from tessera.functions.windows import change, out, zscore
 from tessera.operators import features as O
 from tessera.sources import tables as T
 
@@ -140,7 +140,7 @@ book.add(
 )
 book.add(
     "x3_percentile_rank",
-    _panel(lambda p: p.select("ticker", "date", out(percentile_rank("x")).alias("pct"))),
+    _panel(lambda p: O.ranged_percentile_rank(p, "x").select("ticker", "date", out(F.col("pct")).alias("pct"))),
     X + f"SELECT ticker, date, {S.out(f'({S.average_rank("x")}) / nullif(count(x) OVER (PARTITION BY date), 0)')} AS pct FROM scored",
 )
 book.add(

@@ -148,9 +148,24 @@ book.add(
 
 # ---- joins and dates -----------------------------------------------------------------------
 
-_fear = lambda s, d: T.macro(s, d).where("series_id = '3-MEDIUM'").select("date", "value")
-book.add("j1_asof", lambda s, d: J.asof(T.market(s, d).select("date", "m"), _fear(s, d), "date", ["value"]), S.BARS + S.MARKET + S.MACRO + "SELECT k.date, m, value FROM market k ASOF LEFT JOIN (SELECT * FROM macro WHERE series_id = '3-MEDIUM') f ON k.date >= f.date")
-book.add("j2_pair_complete", lambda s, d: J.pair_complete(T.market(s, d), _fear(s, d), ["date"], "rm", "value").select("date", out(F.col("rm")).alias("rm"), "value"), S.BARS + S.MARKET + S.MACRO + f"SELECT k.date, {R6('rm')} AS rm, value FROM market k JOIN macro f ON f.date = k.date AND series_id = '3-MEDIUM' WHERE rm IS NOT NULL")
+
+
+def _by_series(s, d):
+    """The benchmark's dates for every macro series; the series are a handful of names."""
+    return T.market(s, d).select("date", "m", "rm").crossJoin(F.broadcast(T.macro(s, d).select("series_id").distinct()))
+
+
+KEYED = S.BARS + S.MARKET + S.MACRO + ", keyed AS (SELECT * FROM market, (SELECT DISTINCT series_id FROM macro))"
+book.add(
+    "j1_asof",
+    lambda s, d: J.asof(_by_series(s, d).select("series_id", "date", "m"), T.macro(s, d), "date", ["value"], ["series_id"]),
+    KEYED + "SELECT k.series_id, k.date, m, value FROM keyed k ASOF LEFT JOIN macro f ON k.series_id = f.series_id AND k.date >= f.date",
+)
+book.add(
+    "j2_pair_complete",
+    lambda s, d: J.pair_complete(_by_series(s, d), T.macro(s, d), ["series_id", "date"], "rm", "value").select("series_id", "date", out(F.col("rm")).alias("rm"), "value"),
+    KEYED + f"SELECT series_id, date, {R6('rm')} AS rm, value FROM keyed JOIN macro USING (series_id, date) WHERE rm IS NOT NULL",
+)
 book.add(
     "j3_range_join",
     lambda s, d: J.next_rows(T.panel(s, d).where("i % 10 = 0 and px > 1500").select(F.expr("i div 10").alias("period"), "ticker"), T.panel(s, d).select("ticker", "i", "r"), 10).groupBy("period").agg(F.count("r").alias("n"), out(F.sum("r")).alias("r")),

@@ -48,14 +48,14 @@ def cols(**named) -> str:
     return ", ".join(f"{S.out(e)} AS {n}" for n, e in named.items())
 
 
-book.add("m1_equity", lambda s, d: pick(O.equity(daily(s, d)).withColumn("log_equity", F.ln("equity")), "log_equity", keys=("strategy_id", "date")), EQ + f"SELECT strategy_id, date, {cols(log_equity='ln(equity)')} FROM eq")
+book.add("m1_equity", lambda s, d: pick(O.equity(daily(s, d), unit="year").withColumn("log_equity", F.ln("equity")), "log_equity", keys=("strategy_id", "date")), EQ + f"SELECT strategy_id, date, {cols(log_equity='ln(equity)')} FROM eq")
 for name, columns, e in (
     ("m1_cagr", ["cagr"], {"cagr": "CASE WHEN arg_max(equity, date) >= 0 THEN pow(arg_max(equity, date), 252.0 / count(*)) - 1 END"}),
     ("m2_sharpe", ["sharpe"], {"sharpe": f"round({SHARPE('ret')}, 2)"}),
     ("m3_sortino", ["sortino"], {"sortino": "CASE WHEN stddev_samp(ret) FILTER (ret < 0) > 0 THEN avg(ret) * 252 / (stddev_samp(ret) FILTER (ret < 0) * sqrt(252)) END"}),
     ("m4_max_drawdown", ["max_drawdown"], {"max_drawdown": "min(dd)"}),
 ):
-    book.add(name, lambda s, d, c=columns: pick(O.summary(daily(s, d)), *c), EQ + f"SELECT strategy_id, {cols(**e)} FROM dds GROUP BY 1")
+    book.add(name, lambda s, d, c=columns, u="year" if name == "m4_max_drawdown" else None: pick(O.summary(daily(s, d), unit=u), *c), EQ + f"SELECT strategy_id, {cols(**e)} FROM dds GROUP BY 1")
 book.add(
     "m5_hit_rate_vol",
     lambda s, d: pick(O.summary(rows := daily(s, d)).join(O.benchmark_cagr(rows, T.market(s, d)), "strategy_id"), "hit_rate", "vol", "benchmark_cagr"),
