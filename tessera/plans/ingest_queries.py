@@ -10,6 +10,8 @@ from tessera.functions.windows import out
 from tessera.operators import ingest as O
 from tessera.operators import joins as J
 from tessera.sources import tables as T
+from tessera.sources.intake import read_csv, read_json
+from tessera.sources.store import Store
 from tessera.streaming import jobs as ST
 
 from .base import Book
@@ -56,6 +58,70 @@ book.add(
 )
 book.add("d5_price_range", lambda s, d: O.read_range(bars(s, d), "ticker", "3", "1996-01-01", "1998-12-31").select("ticker", "date", out(F.col("px")).alias("px")), S.BARS + f"SELECT ticker, date, {R6('px')} AS px FROM bars WHERE ticker = '3' AND date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'")
 book.add("d6_macro_range", lambda s, d: O.read_range(T.macro(s, d), "series_id", "5-LOW", "1996-01-01", "1998-12-31"), "WITH x AS (SELECT 1)" + S.MACRO + "SELECT * FROM macro WHERE series_id = '5-LOW' AND date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'")
+def _stored(rows, late, keys, unit):
+    """The rows in a partitioned store, then a correction of some of its partitions, sent twice."""
+    store = Store.new(rows, keys, unit=unit)
+    store.upsert(rows, 0)
+    store.upsert(late, 1)
+    store.upsert(rows.limit(0).unionByName(late), 1)  # the ledger knows the batch
+    return store.read()
+
+
+def _bars_stored(s, d):
+    old, new = _split(s, d)
+    return _stored(old, new, ["ticker", "date"], "month").select("ticker", "date", out(F.col("px")).alias("px"))
+
+
+def _macro_stored(s, d):
+    m = T.macro(s, d)
+    return _stored(m, m.where("date >= '1997-01-01'").withColumn("value", -F.col("value")), ["series_id", "date"], "year")
+
+
+book.add("d2_store", _bars_stored, UP + f"SELECT ticker, date, {R6('px')} AS px FROM up")
+book.add("d3_store", _macro_stored, "WITH x AS (SELECT 1)" + S.MACRO + "SELECT series_id, date, CASE WHEN date >= DATE '1997-01-01' THEN -value ELSE value END AS value FROM macro")
+
+BAR_SCHEMA = "ticker string, date date, close double, volume bigint"
+#: Lines that are spoilt on their way: a price that is no number, a line cut short, no ticker.
+SPOILT = "CASE WHEN (l_orderkey + l_linenumber) % 89 = 0 THEN 1 WHEN (l_orderkey + l_linenumber) % 97 = 0 THEN 2 WHEN (l_orderkey + l_linenumber) % 101 = 0 THEN 3 ELSE 0 END"
+
+
+def _lines(s, d):
+    how = F.col("how")
+    rows = T.table(s, d, "lineitem").select(
+        F.expr(SPOILT).alias("how"), F.col("l_suppkey").cast("string").alias("ticker"), F.to_date("l_shipdate").cast("string").alias("date"), F.col("l_extendedprice").alias("close"), F.col("l_quantity").cast("bigint").alias("volume")
+    )
+    return rows.withColumn("ticker", F.when(how != 3, F.col("ticker"))), how
+
+
+def _taken(good, bad):
+    """Both sides, counted: what was taken, by its figures, and what was not, by its reason."""
+    taken = O.clean_bars(good).agg(F.lit("taken").alias("side"), F.count(F.lit(1)).alias("rows"), F.sum("volume").alias("volume"), out(F.sum("close"), 2).alias("total"))
+    return taken.unionByName(bad.groupBy(F.col("reason").alias("side")).agg(F.count(F.lit(1)).alias("rows"), F.lit(None).cast("bigint").alias("volume"), F.lit(None).cast("double").alias("total")))
+
+
+def _csv(s, d):
+    rows, how = _lines(s, d)
+    fields = [F.coalesce("ticker", F.lit("")), F.col("date"), F.when(how == 1, "n/a").otherwise(F.col("close").cast("string")), F.col("volume").cast("string")]
+    path = T.shared_folder(s)
+    rows.select(F.when(how == 2, F.concat_ws(",", *fields[:2])).otherwise(F.concat_ws(",", *fields)).alias("value")).write.text(path)
+    return _taken(*read_csv(s, path, BAR_SCHEMA, ["ticker", "close"]))
+
+
+def _json(s, d):
+    rows, how = _lines(s, d)
+    whole = F.to_json(F.struct("ticker", "date", F.when(how == 1, "n/a").otherwise(F.col("close").cast("string")).cast("string").alias("close"), "volume"))
+    path = T.shared_folder(s)
+    # prices travel as numbers, not as text
+    whole = F.regexp_replace(whole, r'"close":"([0-9.E]+)"', r'"close":$1')
+    rows.select(F.when(how == 2, F.substring(whole, 1, 20)).otherwise(whole).alias("value")).write.text(path)
+    return _taken(*read_json(s, path, BAR_SCHEMA, ["ticker", "close"]))
+
+
+TAKEN = f"""WITH x AS (SELECT *, {SPOILT} AS how FROM lineitem)
+    SELECT 'taken' AS side, count(*) AS rows, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume, {R6('sum(l_extendedprice)', 2)} AS total FROM x WHERE how = 0
+    UNION ALL SELECT CASE WHEN how < 3 THEN 'malformed' ELSE 'missing: ticker' END, count(*), NULL, NULL FROM x WHERE how > 0 GROUP BY 1"""
+book.add("d1_csv", _csv, TAKEN)
+book.add("d1_json", _json, TAKEN)
 book.add("d7_summary", lambda s, d: O.summary(bars(s, d)), S.BARS + 'SELECT ticker, min(date) AS "first", max(date) AS "last", count(*) AS rows FROM bars GROUP BY 1')
 book.add("d8_totals", lambda s, d: O.totals(bars(s, d)), S.BARS + "SELECT count(*) AS rows, max(date) AS latest FROM bars")
 book.add("d9_coverage", lambda s, d: O.coverage(bars(s, d), 50, 6).withColumn("years", out(F.col("years"))), S.BARS + f"SELECT count(DISTINCT ticker) AS tickers, {R6('(max(date) - min(date)) / 365.25::DOUBLE')} AS years, count(*) AS rows, count(DISTINCT ticker) >= 50 AND (max(date) - min(date)) / 365.25 >= 6 AS ok FROM bars")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.ingest import upsert
 from tessera.operators.regime import CAUTIOUS, step
+from tessera.sources.store import Store
 from tessera.sources.tables import shared_folder
 
 
@@ -42,9 +42,26 @@ def replay(events: DataFrame, slices: int = 3, rows: int = SLICE_ROWS) -> DataFr
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run to the end of the source; the sink is Parquet (append) or the last state of each batch (update)."""
-    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
+#: Timers ask for a batch without data after every batch, so that a bounded run would never end.
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def finished(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Run to the end of the source; the sink is Parquet (append) or the last state of each batch (update).
+
+    A `path` that a run has used before goes on from its checkpoint.
+    """
+    spark = stream.sparkSession
+    path, before = path or shared_folder(spark), spark.conf.get(EMPTY_BATCHES, "true")
+    spark.conf.set(EMPTY_BATCHES, "false")
+    try:
+        return _run(stream, mode, path)
+    finally:
+        spark.conf.set(EMPTY_BATCHES, before)
+
+
+def _run(stream: DataFrame, mode: str, path: str) -> DataFrame:
+    spark = stream.sparkSession
     writer = stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").outputMode("append").start(path)
@@ -60,39 +77,59 @@ def distinct_bars(stream: DataFrame, keys: list[str], late: str = "7 days") -> D
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def corrected_bars(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Corrections - the newest row of `keys` in a batch replaces the one before.  A batch writes a version of its own, so that it can be repeated."""
-    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
-    versions: list[int] = []
+def corrected_bars(stream: DataFrame, keys: list[str], order: list[str], date: str = "date", unit: str = "month") -> DataFrame:
+    """Corrections - the newest row of `keys` in a batch replaces the one before.
+
+    A batch reads and rewrites the partitions of time that its rows fall into (sources.store); a batch that is repeated
+    after a failure changes nothing.
+    """
+    store = Store.new(stream.sparkSession.createDataFrame([], stream.schema), keys, date, unit)
 
     def merge(batch: DataFrame, n: int) -> None:
-        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("row")).select("row.*")
-        held = spark.read.schema(batch.schema).parquet(f"{path}/{n - 1}") if n else newest.limit(0)
-        upsert(held, newest, keys).write.mode("overwrite").parquet(f"{path}/{n}")
-        versions.append(n)
+        store.upsert(batch, n, order)
 
-    stream.writeStream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/{max(versions)}") if versions else spark.createDataFrame([], stream.schema)
+    stream.writeStream.option("checkpointLocation", f"{store.path}-state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    return store.read()
 
 
 def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(["ts", "event_id"])
 
 
-def regime_stream(votes: DataFrame) -> DataFrame:
-    """The regime machine with its counters as state, keyed by market; votes: market, ts, event_id, trend, vol, credit."""
+#: A key that has not been seen for so long (processing time) is forgotten.
+LIFETIME_MS = 400 * 24 * 3600 * 1000
+
+
+def _alive(state: GroupState, lifetime_ms: int) -> bool:
+    """Whether the state of a key, whose last field is the time of its last batch, still counts."""
+    return state.exists and state.getCurrentProcessingTimeMs() - state.get[-1] <= lifetime_ms
+
+
+def regime_stream(votes: DataFrame, lifetime_ms: int = LIFETIME_MS) -> DataFrame:
+    """The regime machine with its counters as state, keyed by market; votes: market, ts, event_id, trend, vol, credit.
+
+    State of a market that is not seen for `lifetime_ms` is dropped by a timer; one that comes back later begins as CAUTIOUS,
+    in the batch of the timer too.
+    """
+    columns = ["market", "ts", "event_id", "regime", "bullish", "bearish", "confidence"]
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = tuple(state.get) if state.exists else (CAUTIOUS, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        held = tuple(state.get)[:3] if _alive(state, lifetime_ms) else (CAUTIOUS, 0, 0)
         rows = []
         for r in _ordered(frames).itertuples(index=False):
             *held, confidence = step(tuple(held), [None if v is None or v != v else int(v) for v in (r.trend, r.vol, r.credit)])
             rows.append((key[0], r.ts, r.event_id, *held, confidence))
-        state.update(tuple(held))
-        yield pd.DataFrame(rows, columns=["market", "ts", "event_id", "regime", "bullish", "bearish", "confidence"])
+        state.update((*held, state.getCurrentProcessingTimeMs()))
+        state.setTimeoutDuration(lifetime_ms)
+        yield pd.DataFrame(rows, columns=columns)
 
     out = "market string, ts timestamp, event_id long, regime string, bullish int, bearish int, confidence double"
-    return votes.groupBy("market").applyInPandasWithState(fold, out, "regime string, bullish int, bearish int", "append", GroupStateTimeout.NoTimeout)
+    held = "regime string, bullish int, bearish int, seen long"
+    return votes.groupBy("market").applyInPandasWithState(fold, out, held, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stop_stream(prices: DataFrame, positions: DataFrame, limit: float = -0.08) -> DataFrame:
@@ -101,18 +138,24 @@ def stop_stream(prices: DataFrame, positions: DataFrame, limit: float = -0.08) -
     return joined.withColumn("pnl", F.when(F.col("entry_price") > 0, F.col("value") / F.col("entry_price") - 1)).where(F.col("pnl") <= limit)
 
 
-def drawdown_stream(values: DataFrame) -> DataFrame:
-    """T4: running peak by key as state; key, ts, event_id, value, peak, drawdown."""
+def drawdown_stream(values: DataFrame, lifetime_ms: int = LIFETIME_MS) -> DataFrame:
+    """T4: running peak by key as state; key, ts, event_id, value, peak, drawdown.  Lifetimes as in `regime_stream`."""
+    columns = ["key", "ts", "event_id", "value", "peak", "drawdown"]
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
         pdf = _ordered(frames)
-        before = state.get[0] if state.exists else float("-inf")
+        before = state.get[0] if _alive(state, lifetime_ms) else float("-inf")
         peak = pdf["value"].cummax().clip(lower=before)
-        state.update((float(peak.iloc[-1]),))
+        state.update((float(peak.iloc[-1]), state.getCurrentProcessingTimeMs()))
+        state.setTimeoutDuration(lifetime_ms)
         yield pd.DataFrame({"key": key[0], "ts": pdf["ts"], "event_id": pdf["event_id"], "value": pdf["value"], "peak": peak, "drawdown": pdf["value"] / peak - 1})
 
     out = "key string, ts timestamp, event_id long, value double, peak double, drawdown double"
-    return values.groupBy("key").applyInPandasWithState(fold, out, "peak double", "append", GroupStateTimeout.NoTimeout)
+    return values.groupBy("key").applyInPandasWithState(fold, out, "peak double, seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def daily_bars_stream(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
