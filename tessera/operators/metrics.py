@@ -282,7 +282,9 @@ def cost_sensitivity(daily: DataFrame, trades: DataFrame, levels=(0.0, 5.0, 15.0
     net = spread.join(trades, ["config", "period"]).withColumn("ret", F.col("gross") - F.when(first, F.col("traded") * F.col("bps") / 10000.0).otherwise(F.lit(0.0)))
     total = net.groupBy("config", "bps").agg((F.product(1 + F.coalesce("ret", F.lit(0.0))) - 1).alias("total"))
     figures = summary(net, ["config", "bps"]).select("config", "bps", "cagr", "sharpe", "max_drawdown").join(total, ["config", "bps"])
-    return figures.join(turnover_summary(daily, trades).select("config", "turnover"), "config")
+    years = daily.groupBy("config").agg((F.count(F.lit(1)) / YEAR).alias("years"))
+    turnover = trades.groupBy("config").agg(F.sum("traded").alias("traded")).join(years, "config").select("config", (F.col("traded") / F.col("years") / 2).alias("turnover"))
+    return figures.join(turnover, "config")
 
 
 def blends(a: DataFrame, b: DataFrame, allocations=(1.0, 0.0, 0.7, 0.6, 0.5)) -> DataFrame:
