@@ -310,7 +310,12 @@ def payload_of(coefficients: np.ndarray, f: Frame) -> bytes:
 
 
 def thumbnail_features(media: DataFrame, column: str = "media") -> DataFrame:
-    """`media` (any columns, JPEG bytes in `column`) with width, height, thumb_sha256, thumb_hash; null where unreadable."""
+    """`media` (any columns, JPEG bytes in `column`) with width, height, thumb_sha256, thumb_hash; null where unreadable.
+
+    A feature whose name the table has already gets underscores behind it, until the name is free.
+    """
+    taken = {c.lower() for c in media.columns}
+    free = lambda name: free(f"{name}_") if name in taken else name
 
     @F.pandas_udf("width int, height int, thumb_sha256 string, thumb_hash string")
     def features(images: pd.Series) -> pd.DataFrame:
@@ -325,7 +330,8 @@ def thumbnail_features(media: DataFrame, column: str = "media") -> DataFrame:
         out = pd.DataFrame(rows, columns=["width", "height", "thumb_sha256", "thumb_hash"])
         return out.astype({"width": "Int32", "height": "Int32"})
 
-    return media.withColumn("_f", features(F.col(column))).select("*", "_f.*").drop("_f")
+    rows = media.select(F.struct("*").alias("row"), features(F.col(f"`{column}`")).alias("found"))
+    return rows.select("row.*", *(F.col(f"found.{name}").alias(free(name)) for name in ("width", "height", "thumb_sha256", "thumb_hash")))
 
 
 def store_payloads(docs: DataFrame) -> DataFrame:

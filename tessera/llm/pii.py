@@ -16,7 +16,10 @@ matches of the contract's patterns, failing ones dropped without a retry.  addre
 account only add spans.  Offsets are code points, ends exclusive.
 
 Scoring is one pass without a shuffle; a text is held by one task only.  Defined results: a
-null text is an empty one and has no span; repeated rows are found alike.
+null text is an empty one and has no span; a null doc_id stays null and its row is found like
+any other; repeated rows and equal texts are found alike, each a row; spans of several kinds that start at one place are all
+kept, in the order of kinds; texts of any length are searched whole; an empty table gives an
+empty result; only doc_id and text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
