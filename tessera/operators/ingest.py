@@ -23,11 +23,20 @@ def clean_bars(raw: DataFrame, ticker: str | None = None) -> DataFrame:
     return rows.withColumn("adj_close", F.coalesce("adj_close", "close")).withColumn("volume", F.coalesce("volume", F.lit(0)))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """`name` with as many underscores behind it as make it no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
     """Last write wins by key; within one side the larger `version` (or any of equal rows)."""
-    both = old.withColumn("_s", F.lit(0)).unionByName(new.withColumn("_s", F.lit(1)))
-    order = [F.desc("_s"), *([F.desc(version)] if version else [])]
-    return both.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_s", "_k")
+    side, place = unused("side", old), unused("place", old)
+    both = old.withColumn(side, F.lit(0)).unionByName(new.withColumn(side, F.lit(1)))
+    order = [F.desc(side), *([F.desc(version)] if version else [])]
+    return both.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) == 1).drop(side, place)
 
 
 def incremental_plan(bars: DataFrame, universe: DataFrame, overlap: int = 7) -> DataFrame:
@@ -146,13 +155,18 @@ def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def encode_detail(df: DataFrame, columns: list[str], name: str = "detail") -> DataFrame:
-    """D23."""
-    return df.withColumn(name, F.to_json(F.struct(*columns)))
+def encode_detail(df: DataFrame, columns: list[str | Column], name: str = "detail") -> DataFrame:
+    """The columns (structs, maps, arrays of structs too) as one JSON object; nulls are written."""
+    return df.withColumn(name, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
 def decode_detail(df: DataFrame, schema: str, name: str = "detail") -> DataFrame:
-    return df.withColumn("_d", F.from_json(name, schema)).select("*", "_d.*").drop("_d")
+    """The fields of `schema` as columns; one whose name `df` has already becomes `name`_field.  Text that is no JSON gives nulls."""
+    taken = {c.lower() for c in df.columns}
+    found = F.from_json(F.col(f"`{name}`"), schema)
+    rows = df.select(F.struct("*").alias("row"), found.alias("found"))
+    fields = rows.schema["found"].dataType.fieldNames()
+    return rows.select("row.*", *(F.col(f"found.`{f}`").alias(unused(f"{name}_{f}", df) if f.lower() in taken else f) for f in fields))
 
 
 def current_price(bid: Column, ask: Column, position_price: Column, close: Column) -> Column:

@@ -186,10 +186,19 @@ def detector_health(rows: DataFrame, last: int = 8, worst: int = 3) -> DataFrame
     return counted.withColumn("boost", F.when(F.col("wrong") >= worst, 0.15).otherwise(0.0))
 
 
-def occupancy(rows: DataFrame) -> DataFrame:
-    """Share of days and Sharpe ratio by regime; rows: regime, ret."""
-    total = F.sum(F.count(F.lit(1))).over(Window.partitionBy())
+def occupancy(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Share of days and Sharpe ratio by regime (and `keys`); rows: regime, ret."""
+    total = F.sum(F.count(F.lit(1))).over(Window.partitionBy(*keys))
     sd = F.stddev_samp("ret")
-    return rows.groupBy("regime").agg(
+    return rows.groupBy(*keys, "regime").agg(
         (F.count(F.lit(1)) / total).alias("share"), F.when((F.count("ret") >= 20) & (sd > 0), F.avg("ret") / sd * F.sqrt(F.lit(ANNUAL))).alias("sharpe")
     )
+
+
+def walk_occupancy(net: DataFrame, path: DataFrame, calendar: DataFrame) -> DataFrame:
+    """R13 of a walk-forward, by configuration: what is decided at the close of row i goes with the return of row i + 1.
+
+    net: config, i, ret (W4); path: date, regime; calendar: date, i.
+    """
+    decided = path.join(calendar.select("date", "i"), "date").select("regime", (F.col("i") + 1).alias("i"))
+    return occupancy(net.join(decided, "i"), ("config",))

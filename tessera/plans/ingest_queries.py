@@ -206,6 +206,28 @@ def _sink(s, d):
 
 book.add("d22_sink", _sink, S.BARS + f"SELECT CAST(year(date) AS INT) AS year, count(*) AS rows, {R6('sum(CASE WHEN year(date) = 1997 THEN 1 ELSE px END)', 2)} AS px FROM bars GROUP BY 1")
 book.add("d23_json", lambda s, d: O.decode_detail(T.table(s, d, "events").select("event_id", F.col("props").alias("detail")), "k bigint").select("event_id", "k"), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+NESTED = "event_id bigint, used array<struct<name: string, weight: int>>, votes map<string, struct<user: bigint, stamp: string>>, note string"
+
+
+def _nested(s, d):
+    """Events as nested details and back: a list of named weights, votes by name, and a null."""
+    e = T.table(s, d, "events")
+    used = F.array(F.struct(F.col("event_type").alias("name"), F.lit(2).alias("weight")), F.struct(F.lit("all").alias("name"), F.lit(None).cast("int").alias("weight")))
+    votes = F.create_map(F.lit("by"), F.struct(F.col("user_id").alias("user"), F.date_format("ts", "yyyy-MM-dd").alias("stamp")))
+    rows = O.encode_detail(e, ["event_id", used.alias("used"), votes.alias("votes"), F.lit(None).cast("string").alias("note")]).select("event_id", "detail")
+    back = O.decode_detail(rows, NESTED)
+    return back.select(
+        "event_id", "detail", F.col("detail_event_id").alias("again"), F.col("used")[0]["name"].alias("first"), F.expr("aggregate(used, 0, (a, u) -> a + coalesce(u.weight, 0))").cast("long").alias("weight"),
+        F.col("votes")["by"]["user"].alias("user"), F.col("votes")["by"]["stamp"].alias("stamp"), "note",
+    )
+
+
+book.add(
+    "d23_nested",
+    _nested,
+    """SELECT event_id, '{"event_id":' || coalesce(event_id::VARCHAR, 'null') || ',"used":[{"name":' || coalesce('"' || event_type || '"', 'null') || ',"weight":2},{"name":"all","weight":null}],"votes":{"by":{"user":' || coalesce(user_id::VARCHAR, 'null')
+      || ',"stamp":' || coalesce('"' || strftime(ts, '%Y-%m-%d') || '"', 'null') || '}},"note":null}' AS detail, event_id AS again, event_type AS first, 2::BIGINT AS weight, user_id AS user, strftime(ts, '%Y-%m-%d') AS stamp, NULL::VARCHAR AS note FROM events""",
+)
 book.add(
     "d24_current_price",
     lambda s, d: T.table(s, d, "events").select("event_id", out(O.current_price(F.when(F.col("event_id") % 3 != 0, F.col("value")), F.when(F.col("event_id") % 2 != 0, F.col("value") + 1), F.lit(None).cast("double"), F.lit(7.0))).alias("price")),

@@ -190,18 +190,22 @@ def _returns(s, d):
     return T.filled_panel(s, d).select("ticker", "i", "date", "r")
 
 
+def _regimes(s, d, cal):
+    """Regimes from row WARM on: votes of the price alone, as the walk-forward has no other series."""
+    market = T.market(s, d).withColumn("market", F.lit("MKT"))
+    votes = market.select("market", "date", *(c.alias(n) for n, c in RG.proxy_votes(n=50).items()))
+    return RG.regime_path(votes.join(cal.where(F.col("i") >= WARM).select("date"), "date"))
+
+
 def targets(s, d, configs=LIVE):
-    """W2 over the weekly panel: vote of the price alone, as the walk-forward has no other series."""
+    """W2 over the weekly panel."""
     panel = T.stored(T.filled_panel(s, d))
     signals = T.stored(SG.production_signals(panel, HISTORY, keep=("i", "pf"), rolls={"vol": sd("r", 63)}))
     on = WK.on_rebalance(configs, WARM)
     able = PF.eligibility(panel, T.dimensions(s, d), 5, 0, MEDIAN, (), ("leveraged",), on).select("ticker", "date", "eligible", "sector", "asset_class")
     able = able.join(signals.where(on).select("ticker", "date", (F.col("vol") * F.sqrt(F.lit(ANNUAL))).alias("vol")), ["ticker", "date"])
-    market = T.market(s, d).withColumn("market", F.lit("MKT"))
-    votes = market.select("market", "date", *(c.alias(n) for n, c in RG.proxy_votes(n=50).items()))
     cal = T.calendar(T.bars(s, d))
-    path = RG.regime_path(votes.join(cal.where(F.col("i") >= WARM).select("date"), "date"))
-    return WK.live_targets(signals, list(SG.SIGNALS), able, path, cal, configs, WARM, LONGS, SHORTS, long_cap=0.30)
+    return WK.live_targets(signals, list(SG.SIGNALS), able, _regimes(s, d, cal), cal, configs, WARM, LONGS, SHORTS, long_cap=0.30)
 
 
 def _walk(s, d, configs=LIVE):
@@ -288,6 +292,19 @@ book.add(
     SELECT config, {cols(cagr="CASE WHEN arg_max(equity, date) >= 0 THEN pow(arg_max(equity, date), 252.0 / count(*)) - 1 END", sharpe=f"round({SHARPE('ret')}, 2)", max_drawdown="min(dd)", turnover="any_value(tv) / (count(*) / 252.0) / 2")}
     FROM gd JOIN (SELECT config, sum(traded) AS tv FROM tr GROUP BY 1) USING (config) GROUP BY config""",
 )
+
+
+def _walk_regimes(s, d):
+    cal = T.calendar(T.bars(s, d))
+    return RG.walk_occupancy(_net(s, d), _regimes(s, d, cal), cal)
+
+
+book.add(
+    "r13_walk",
+    lambda s, d: pick(_walk_regimes(s, d), "share", "sharpe", digits=4, keys=("config", "regime")),
+    WF + f""", rd AS (SELECT config, regime, {NET} AS ret FROM nt JOIN cal ON cal.i = nt.i - 1 JOIN path ON path.date = cal.date)
+    SELECT config, regime, {S.out("count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY config)", 4)} AS share, {S.out("CASE WHEN count(ret) >= 20 AND stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) END", 4)} AS sharpe FROM rd GROUP BY config, regime""",
+)
 book.add("w4_costs", lambda s, d: pick(_net(s, d), "ret", "traded", keys=("date",)), WF + f"SELECT date, {cols(ret=NET, traded='traded')} FROM nt")
 book.add(
     "w5_turnover",
