@@ -10,6 +10,7 @@ import pytest
 
 from tessera.operators import metrics as M
 from tessera.operators import portfolio as P
+from tessera.operators import regime
 from tessera.operators import risk as R
 
 DAYS = [dt.date(2020, 1, 1) + dt.timedelta(days=7 * k) for k in range(200)]
@@ -129,3 +130,18 @@ def test_blends_and_costs_have_the_whole_table(spark):
         curve = (1 + x).cumprod()
         assert r.cagr == pytest.approx(curve.iloc[-1] ** (252 / 120) - 1) and r.max_drawdown == pytest.approx((curve / curve.cummax() - 1).min())
         assert r.sharpe == pytest.approx(round(x.mean() / x.std() * np.sqrt(252), 2)) and r.corr == pytest.approx(round(np.corrcoef(a, b)[0, 1], 2))
+
+
+def test_regimes_of_a_walk_pair_with_the_next_return(spark):
+    rng = np.random.default_rng(12)
+    days, rets = pd.date_range("2020-01-01", periods=90), rng.normal(0, 0.01, (2, 90))
+    stance = ["ACTIVE" if i < 40 else "CRISIS" if i < 60 else "CAUTIOUS" for i in range(90)]
+    calendar = spark.createDataFrame([(d.date(), i) for i, d in enumerate(days)], "date date, i int")
+    path = spark.createDataFrame([(d.date(), stance[i]) for i, d in enumerate(days)], "date date, regime string")
+    net = spark.createDataFrame([(c, i, float(rets[k, i])) for k, c in enumerate("xy") for i in range(1, 90)], "config string, i int, ret double")
+    got = {(r.config, r.regime): (r.share, r.sharpe) for r in regime.walk_occupancy(net, path, calendar).collect()}
+    for k, c in enumerate("xy"):
+        frame = pd.DataFrame({"ret": rets[k, 1:], "regime": stance[:-1]})  # the loop: decide at i, earn at i + 1
+        for name, g in frame.groupby("regime"):
+            share, sharpe = got[c, name]
+            assert abs(share - len(g) / 89) < 1e-12 and abs(sharpe - g.ret.mean() / g.ret.std() * 252**0.5) < 1e-9

@@ -5,6 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import os
 
+from pyspark.sql import functions as F
+
+from tessera.operators import ingest
 from tessera.sources.intake import read_csv, read_json
 from tessera.sources.store import Store
 
@@ -73,3 +76,23 @@ def test_empty_files(spark, tmp_path):
     (tmp_path / "none.csv").write_text("")
     good, bad = read_csv(spark, str(tmp_path / "none.csv"), "a string")
     assert good.count() == 0 and bad.count() == 0
+
+
+def test_details_nest_and_keep_own_columns(spark):
+    df = spark.createDataFrame([(1, "a", None, "mine"), (2, None, 4, "mine"), (None, 'q"uote', 5, None)], "k int, name string, weight int, _d string")
+    rows = ingest.encode_detail(df, ["k", F.array(F.struct("name", "weight")).alias("used"), F.create_map(F.lit("by"), F.struct("name")).alias("votes")])
+    assert rows.first().detail == '{"k":1,"used":[{"name":"a","weight":null}],"votes":{"by":{"name":"a"}}}'
+    back = ingest.decode_detail(rows, "k int, used array<struct<name: string, weight: int>>, votes map<string, struct<name: string>>, missing string")
+    assert back.columns == ["k", "name", "weight", "_d", "detail", "detail_k", "used", "votes", "missing"]
+    for r in back.collect():
+        assert r.detail_k == r.k and r.used[0] == (r["name"], r.weight) and r.votes["by"]["name"] == r["name"] and r.missing is None
+    assert {r._d for r in back.collect()} == {"mine", None}
+    broken = ingest.decode_detail(spark.createDataFrame([("no json",), (None,)], "detail string"), "k int")
+    assert [tuple(r) for r in broken.collect()] == [("no json", None), (None, None)]
+
+
+def test_upsert_keeps_own_columns(spark):
+    old = spark.createDataFrame([("a", 1, 10, 0), ("b", 1, 20, 0)], "ticker string, side int, place int, _s int")
+    new = spark.createDataFrame([("b", 2, 30, 7), ("c", 2, 40, 7)], "ticker string, side int, place int, _s int")
+    got = ingest.upsert(old, new, ["ticker"])
+    assert got.columns == old.columns and sorted(tuple(r) for r in got.collect()) == [("a", 1, 10, 0), ("b", 2, 30, 7), ("c", 2, 40, 7)]
