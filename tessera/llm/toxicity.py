@@ -78,7 +78,7 @@ def windows(parts: list[bytes]) -> list[bytes]:
     """All words in pieces of at most WINDOW bytes after PRIME; a longer word is cut."""
     out, size, held = [], 0, []
     for word in parts:
-        for w in cut(word):
+        for w in (word,) if len(word) < WINDOW else cut(word):
             if size + len(w) >= WINDOW:
                 out.append(PRIME + b" ".join(held) + b" ")
                 held, size = [], 0
