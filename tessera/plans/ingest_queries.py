@@ -146,6 +146,24 @@ book.add(
 book.add("d13_low_volume", lambda s, d: O.low_volume(bars(s, d), 50).withColumn("mean", out(F.col("mean"))), S.BARS + f"SELECT ticker, {R6('avg(volume)')} AS mean FROM (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 21) GROUP BY 1 HAVING avg(volume) < 50")
 book.add("d14_report", lambda s, d: O.quality_report(_complete(s, d), _fresh(s, d))[1], S.BARS + f"SELECT coalesce(bool_and(severity <> 'error'), true) AS passed, count(*) AS issues FROM (SELECT * FROM ({COMPLETE}) UNION ALL ({STALE}))")
 book.add("d15_panel", lambda s, d: T.panel(s, d).select("ticker", "date", F.col("i").cast("long").alias("i"), out(F.col("px")).alias("px"), out(F.col("pf")).alias("pf")), S.PANEL + f"SELECT ticker, date, i, {R6('px')} AS px, {R6('pf')} AS pf FROM panel")
+
+
+def _bounded(s, d):
+    """Users as names that come and go: the highest value of a day, on the shared calendar from first to last day."""
+    e = T.table(s, d, "events").where("user_id is not null")
+    days = e.groupBy(F.col("user_id").cast("string").alias("ticker"), F.to_date("ts").alias("date")).agg(F.max("value").alias("px"))
+    return T.dense(days, bounded=True).select("ticker", "date", F.col("i").cast("long").alias("i"), "px", "pf", out(F.col("r")).alias("r"))
+
+
+book.add(
+    "d15_bounded",
+    _bounded,
+    f"""WITH b AS (SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date, max(value) AS px FROM events WHERE user_id IS NOT NULL GROUP BY ALL),
+    cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM b)),
+    grid AS (SELECT t.ticker, cal.date, cal.i, b.px FROM (SELECT ticker, min(date) AS first, max(date) AS last FROM b GROUP BY 1) t JOIN cal ON cal.date BETWEEN first AND last LEFT JOIN b ON b.ticker = t.ticker AND b.date = cal.date),
+    filled AS (SELECT *, last_value(px IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS pf FROM grid)
+    SELECT ticker, date, i, px, pf, {R6('pf / nullif(lag(pf) OVER (PARTITION BY ticker ORDER BY date), 0) - 1')} AS r FROM filled""",
+)
 CLASSES = ["equity", "fixed_income", "commodity", "alternative", "leveraged"]
 
 

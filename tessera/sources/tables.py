@@ -64,10 +64,19 @@ def calendar(df: DataFrame) -> DataFrame:
     return df.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
 
 
-def dense(df: DataFrame) -> DataFrame:
-    """All tickers on all dates (D15), with the filled price pf and r on it."""
+def dense(df: DataFrame, bounded: bool = False) -> DataFrame:
+    """All tickers on all dates (D15), with the filled price pf and r on it.
+
+    `bounded`: a ticker has the dates of the shared calendar from its first row to its last, so that names which live
+    for a short time don't fill the years before and after; i still counts the shared calendar.  Within its dates
+    every column equals that of the whole grid.  Where names are listed for all the time both are the same.
+    """
     dates = F.broadcast(calendar(df))  # a row a calendar day: bounded by the years covered
-    grid = df.select("ticker").distinct().crossJoin(dates)
+    if bounded:
+        ends = df.join(dates, "date").groupBy("ticker").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+        grid = ends.select("ticker", F.explode(F.sequence("first", "last")).alias("i")).join(dates, "i")
+    else:
+        grid = df.select("ticker").distinct().crossJoin(dates)
     full = grid.join(df, ["ticker", "date"], "left")
     full = full.withColumn("pf", F.last("px", ignorenulls=True).over(series().rowsBetween(Window.unboundedPreceding, 0)))
     return full.withColumn("r", change("pf", 1))

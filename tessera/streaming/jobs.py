@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.regime import CAUTIOUS, step
 from tessera.sources.store import Store
@@ -42,8 +42,12 @@ def replay(events: DataFrame, slices: int = 3, rows: int = SLICE_ROWS) -> DataFr
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-#: Timers ask for a batch without data after every batch, so that a bounded run would never end.
-EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+#: Settings of a run.  State with a lifetime asks for a batch without data after every batch, so that a bounded run would
+#: never end; and state lives in RocksDB on the executors' disks, not in their heaps.
+SETTINGS = {
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 
 
 def finished(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
@@ -52,12 +56,14 @@ def finished(stream: DataFrame, mode: str = "append", path: str | None = None) -
     A `path` that a run has used before goes on from its checkpoint.
     """
     spark = stream.sparkSession
-    path, before = path or shared_folder(spark), spark.conf.get(EMPTY_BATCHES, "true")
-    spark.conf.set(EMPTY_BATCHES, "false")
+    before = {name: spark.conf.get(name, None) for name in SETTINGS}
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     try:
-        return _run(stream, mode, path)
+        return _run(stream, mode, path or shared_folder(spark))
     finally:
-        spark.conf.set(EMPTY_BATCHES, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _run(stream: DataFrame, mode: str, path: str) -> DataFrame:
@@ -100,36 +106,60 @@ def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
 LIFETIME_MS = 400 * 24 * 3600 * 1000
 
 
-def _alive(state: GroupState, lifetime_ms: int) -> bool:
-    """Whether the state of a key, whose last field is the time of its last batch, still counts."""
-    return state.exists and state.getCurrentProcessingTimeMs() - state.get[-1] <= lifetime_ms
+class Keyed(StatefulProcessor):
+    """One value of state a key, with a lifetime: the store forgets it that long after its last batch, without a timer.
+
+    A subclass says what the state holds (`held`, `start`) and how the rows of a key, in order, go on from it (`fold`).
+    """
+
+    held: str
+    start: tuple
+
+    def __init__(self, lifetime_ms: int):
+        self.lifetime_ms = lifetime_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("held", self.held, self.lifetime_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        frame = _ordered(rows)
+        held = self.state.get() if self.state.exists() else None
+        held, out = self.fold(key[0], frame, self.start if held is None else tuple(held))
+        self.state.update(held)
+        yield out
+
+    def fold(self, key: str, rows: pd.DataFrame, held: tuple) -> tuple[tuple, pd.DataFrame]:
+        raise NotImplementedError
+
+
+class Regimes(Keyed):
+    held, start = "regime string, bullish int, bearish int", (CAUTIOUS, 0, 0)
+
+    def fold(self, key: str, rows: pd.DataFrame, held: tuple) -> tuple[tuple, pd.DataFrame]:
+        out = []
+        for r in rows.itertuples(index=False):
+            *held, confidence = step(tuple(held), [None if v is None or v != v else int(v) for v in (r.trend, r.vol, r.credit)])
+            out.append((key, r.ts, r.event_id, *held, confidence))
+        return tuple(held), pd.DataFrame(out, columns=["market", "ts", "event_id", "regime", "bullish", "bearish", "confidence"])
+
+
+class Peaks(Keyed):
+    held, start = "peak double", (float("-inf"),)
+
+    def fold(self, key: str, rows: pd.DataFrame, held: tuple) -> tuple[tuple, pd.DataFrame]:
+        peak = rows["value"].cummax().ffill().fillna(held[0]).clip(lower=held[0])
+        known = peak.where(peak > float("-inf"))  # no value yet, no peak
+        out = pd.DataFrame({"key": key, "ts": rows["ts"], "event_id": rows["event_id"], "value": rows["value"], "peak": known, "drawdown": rows["value"] / known - 1})
+        return (float(peak.iloc[-1]),), out
 
 
 def regime_stream(votes: DataFrame, lifetime_ms: int = LIFETIME_MS) -> DataFrame:
     """The regime machine with its counters as state, keyed by market; votes: market, ts, event_id, trend, vol, credit.
 
-    State of a market that is not seen for `lifetime_ms` is dropped by a timer; one that comes back later begins as CAUTIOUS,
-    in the batch of the timer too.
+    A market that was not seen for `lifetime_ms` begins again as CAUTIOUS.  Needs the RocksDB state store (see SETTINGS).
     """
-    columns = ["market", "ts", "event_id", "regime", "bullish", "bearish", "confidence"]
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=columns)
-            return
-        held = tuple(state.get)[:3] if _alive(state, lifetime_ms) else (CAUTIOUS, 0, 0)
-        rows = []
-        for r in _ordered(frames).itertuples(index=False):
-            *held, confidence = step(tuple(held), [None if v is None or v != v else int(v) for v in (r.trend, r.vol, r.credit)])
-            rows.append((key[0], r.ts, r.event_id, *held, confidence))
-        state.update((*held, state.getCurrentProcessingTimeMs()))
-        state.setTimeoutDuration(lifetime_ms)
-        yield pd.DataFrame(rows, columns=columns)
-
     out = "market string, ts timestamp, event_id long, regime string, bullish int, bearish int, confidence double"
-    held = "regime string, bullish int, bearish int, seen long"
-    return votes.groupBy("market").applyInPandasWithState(fold, out, held, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return votes.groupBy("market").transformWithStateInPandas(Regimes(lifetime_ms), out, "append", "ProcessingTime")
 
 
 def stop_stream(prices: DataFrame, positions: DataFrame, limit: float = -0.08) -> DataFrame:
@@ -140,22 +170,8 @@ def stop_stream(prices: DataFrame, positions: DataFrame, limit: float = -0.08) -
 
 def drawdown_stream(values: DataFrame, lifetime_ms: int = LIFETIME_MS) -> DataFrame:
     """T4: running peak by key as state; key, ts, event_id, value, peak, drawdown.  Lifetimes as in `regime_stream`."""
-    columns = ["key", "ts", "event_id", "value", "peak", "drawdown"]
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=columns)
-            return
-        pdf = _ordered(frames)
-        before = state.get[0] if _alive(state, lifetime_ms) else float("-inf")
-        peak = pdf["value"].cummax().clip(lower=before)
-        state.update((float(peak.iloc[-1]), state.getCurrentProcessingTimeMs()))
-        state.setTimeoutDuration(lifetime_ms)
-        yield pd.DataFrame({"key": key[0], "ts": pdf["ts"], "event_id": pdf["event_id"], "value": pdf["value"], "peak": peak, "drawdown": pdf["value"] / peak - 1})
-
     out = "key string, ts timestamp, event_id long, value double, peak double, drawdown double"
-    return values.groupBy("key").applyInPandasWithState(fold, out, "peak double, seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return values.groupBy("key").transformWithStateInPandas(Peaks(lifetime_ms), out, "append", "ProcessingTime")
 
 
 def daily_bars_stream(ticks: DataFrame, late: str = "1 hour") -> DataFrame:

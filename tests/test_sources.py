@@ -8,6 +8,7 @@ import os
 from pyspark.sql import functions as F
 
 from tessera.operators import ingest
+from tessera.sources import tables as T
 from tessera.sources.intake import read_csv, read_json
 from tessera.sources.store import Store
 
@@ -96,3 +97,16 @@ def test_upsert_keeps_own_columns(spark):
     new = spark.createDataFrame([("b", 2, 30, 7), ("c", 2, 40, 7)], "ticker string, side int, place int, _s int")
     got = ingest.upsert(old, new, ["ticker"])
     assert got.columns == old.columns and sorted(tuple(r) for r in got.collect()) == [("a", 1, 10, 0), ("b", 2, 30, 7), ("c", 2, 40, 7)]
+
+
+def test_bounded_grid_equals_the_whole_one_within_its_dates(spark):
+    """Names that come and go, gaps, a missing price, a name of one day, an empty table."""
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    rows = [("a", day(k), 10.0 + k) for k in range(12) if k not in (5, 8)] + [("b", day(3), None), ("b", day(5), 7.0), ("b", day(8), 8.0), ("c", day(11), 1.0)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, px double")
+    columns = ["ticker", "date", "i", "px", "pf", "r"]
+    whole, bounded = ({(r.ticker, r.i): tuple(r) for r in T.dense(bars, b).select(columns).collect()} for b in (False, True))
+    lives = {"a": (0, 11), "b": (3, 8), "c": (11, 11)}
+    assert len(whole) == 3 * 12 and set(bounded) == {(t, i) for t, (first, last) in lives.items() for i in range(first, last + 1)}
+    assert all(whole[k] == v for k, v in bounded.items())
+    assert T.dense(bars.limit(0), True).count() == 0

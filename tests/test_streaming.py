@@ -68,3 +68,15 @@ def test_corrections_follow_their_dates(spark):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     got = {(r.key, r.date): r.value for r in ST.corrected_bars(stream, ["key", "date"], ["ts", "event_id"]).collect()}
     assert got == {(k, d): v for k, _, d, _, v in rows} | {(k, d): v for k, _, d, _, v in late}
+
+
+def test_peaks_go_on_over_batches_and_missing_values(spark):
+    source = shared_folder(spark)
+    schema = "ts timestamp, event_id long, key string, value double"
+    values = [None, 2.0, None, 1.0, 3.0, None, 2.5]
+    for at in (slice(0, 1), slice(1, 4), slice(4, 7)):
+        rows = [(T0 + dt.timedelta(hours=k), k, "k", values[k]) for k in range(7)[at]]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    got = {r.event_id: (r.peak, r.drawdown) for r in ST.finished(ST.drawdown_stream(stream)).collect()}
+    assert got == {0: (None, None), 1: (2.0, 0.0), 2: (2.0, None), 3: (2.0, -0.5), 4: (3.0, 0.0), 5: (3.0, None), 6: (3.0, 2.5 / 3 - 1)}
