@@ -57,6 +57,31 @@ def test_value_at_risk_and_correlation_take_complete_rows(world, n):
             assert alike[b].names == len(held) and alike[b].warn == (c > 0.70)
 
 
+def test_book_figures_do_not_depend_on_tiles(world, monkeypatch):
+    """Books and names in many tiles; a wide row of names times days is never shuffled."""
+    _, books, returns, targets = world
+    figures = lambda: (
+        {r.book: r.var95 for r in R.value_at_risk(targets, returns, ["book"]).collect()},
+        {r.book: (r.correlation, r.names, r.warn) for r in R.average_correlation(targets, returns, ["book"]).collect()},
+    )
+    whole = figures()
+    monkeypatch.setattr(R, "TILE_ROWS", 5)
+    monkeypatch.setattr(R, "TILE_NAMES", 4)
+    cut = figures()
+    assert set(cut[0]) == set(whole[0]) and len(whole[0]) > 5
+    for b in whole[0]:
+        assert cut[1][b][1:] == whole[1][b][1:]
+        for one, two in ((cut[0][b], whole[0][b]), (cut[1][b][0], whole[1][b][0])):
+            assert one is two is None or one == pytest.approx(two, rel=1e-9)
+
+
+def test_failed_gate_needs_no_halts(spark, world):
+    _, books, returns, targets = world
+    gate = spark.createDataFrame([(False, "few names")], "ok boolean, errors string")
+    weights, verdicts = R.validate(targets, returns.where("1 = 0"), ["book"], gate, None)
+    assert weights.count() == 0 and {r.book for r in verdicts.collect()} == set(books)
+
+
 def test_validation_gates_halts_and_warns(spark, world):
     _, books, returns, targets = world
     halts = spark.createDataFrame([(2, True, "daily_loss,max_drawdown"), (3, False, "")], "book int, halt boolean, tripped string")
