@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tessera.operators import features
 from tessera.operators import metrics as M
 from tessera.operators import portfolio as P
 from tessera.operators import regime
@@ -170,3 +171,13 @@ def test_regimes_of_a_walk_pair_with_the_next_return(spark):
         for name, g in frame.groupby("regime"):
             share, sharpe = got[c, name]
             assert abs(share - len(g) / 89) < 1e-12 and abs(sharpe - g.ret.mean() / g.ret.std() * 252**0.5) < 1e-9
+
+
+def test_volume_ratio_is_rounded_once(spark):
+    """A mean of whole numbers is their exact sum over 21, to the last bit."""
+    rng = np.random.default_rng(8)
+    volume = rng.integers(1, 51, 400).tolist()
+    days = [dt.date(2000, 1, 3) + dt.timedelta(days=7 * k) for k in range(400)]
+    own = spark.createDataFrame([("a", d, v) for d, v in zip(days, volume)], "ticker string, date date, volume long")
+    got = [r.ratio for r in features.volume_ratio(own).orderBy("date").collect()]
+    assert got == [None] * 20 + [volume[k] / (sum(volume[k - 20 : k + 1]) / 21) for k in range(20, 400)]
